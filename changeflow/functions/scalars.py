@@ -14,8 +14,10 @@ METRIC_LINE = (
     r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+"
     r"([-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 )
-DATETIME_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{0,6})?$"
-INSTANT_TEXT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$"
+# "T" or a blank between date and time, 0 to 6 fraction digits; or an instant that ends in "Z"
+TIMESTAMP_TEXT = (
+    r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{0,6})?|T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z)$"
+)
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -36,28 +38,26 @@ def add_seconds(ts: Column, seconds: Column) -> Column:
 
 def number_to_timestamp(value: Column, unit: str | None = None) -> Column:
     """Epoch number to zone-less timestamp: milliseconds below the threshold, else microseconds."""
-    millis, micros = micros_to_timestamp(value * 1000), micros_to_timestamp(value)
-    if unit == "ms":
-        return millis
-    if unit == "us":
-        return micros
-    if unit is not None:
+    if unit not in (None, "ms", "us"):
         raise ValueError(f"unit must be ms or us, not {unit!r}")
-    return F.when(F.abs(value) < MICROS_THRESHOLD, millis).otherwise(micros)
+    if unit == "us":
+        micros = value
+    elif unit == "ms":
+        micros = value * 1000
+    else:
+        micros = F.when(F.abs(value) < MICROS_THRESHOLD, value * 1000).otherwise(value)
+    return micros_to_timestamp(micros)
 
 
 def text_to_long(text: Column) -> Column:
     """Any numeric text to a whole number, fractions cut towards zero; null if not a number."""
-    cut = text.try_cast("decimal(38,9)")
-    whole = F.when(cut >= 0, F.floor(cut)).otherwise(F.ceil(cut)).try_cast("bigint")
-    return F.coalesce(text.try_cast("bigint"), whole)
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,9)").try_cast("bigint"))
 
 
 def text_to_timestamp(text: Column, unit: str | None = None) -> Column:
-    """Epoch number or date text (``T`` or blank between, optional ``Z``) to a zone-less timestamp."""
-    plain = F.when(text.rlike(DATETIME_TEXT) | text.rlike(INSTANT_TEXT), text.try_cast("timestamp_ntz"))
-    number = text.try_cast("bigint")
-    return F.when(number.isNotNull(), number_to_timestamp(number, unit)).otherwise(plain)
+    """Epoch number or date text to a zone-less timestamp; null for anything else."""
+    plain = F.when(text.rlike(TIMESTAMP_TEXT), text.try_cast("timestamp_ntz"))
+    return F.coalesce(number_to_timestamp(text.try_cast("bigint"), unit), plain)
 
 
 def coerce_timestamp(value: Column, dtype: T.DataType, unit: str | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.functions import scalars as S
-from changeflow.schemas import CHANGE_COLUMNS, CHANGELOG_COLUMNS, CURRENT_COLUMNS, ORDER_FIELDS
+from changeflow.schemas import CHANGELOG_COLUMNS, CURRENT_COLUMNS, ORDER_FIELDS
 
 # Envelope operations and the row kinds and names they become.
 HANDLED_OPS = ("c", "r", "u", "d")
@@ -18,130 +18,169 @@ POS_BITS, ROW_BITS = 32, 12
 
 
 def log_position(source: Column) -> Column:
-    """One ordered number per change. Null where the parts are missing or do not fit."""
-    file_no = F.regexp_extract(source["file"], r"([0-9]+)$", 1).try_cast("bigint")
-    row = F.coalesce(source["row"].cast("bigint"), F.lit(0).cast("bigint"))
-    fits = (
-        (file_no < (1 << (63 - POS_BITS - ROW_BITS)))
-        & source["pos"].between(0, (1 << POS_BITS) - 1)
-        & row.between(0, (1 << ROW_BITS) - 1)
-    )
-    packed = F.shiftleft(file_no, POS_BITS + ROW_BITS) + F.shiftleft(source["pos"], ROW_BITS) + row
-    # Without a file name the offset itself is the position (one log, one row per event).
-    return F.when(source["file"].isNull(), source["pos"]).when(fits, packed)
+    """One ordered number per change. Null where the parts are missing or do not fit.
+
+    Log files are named ``<base>.<number>``. Without a file name the offset itself is the
+    position (one log, one row per event).
+    """
+    file_no = F.substring_index(source["file"], ".", -1).try_cast("bigint")
+    pos, row = source["pos"], F.coalesce(source["row"].cast("bigint"), F.lit(0).cast("bigint"))
+    fits = file_no.between(0, (1 << (63 - POS_BITS - ROW_BITS)) - 1)
+    fits &= pos.between(0, (1 << POS_BITS) - 1) & row.between(0, (1 << ROW_BITS) - 1)
+    packed = F.shiftleft(file_no, POS_BITS + ROW_BITS) + F.shiftleft(pos, ROW_BITS) + row
+    return F.when(source["file"].isNull(), pos).when(fits, packed)
 
 
-def _image_fields(df: DataFrame, name: str) -> dict[str, T.DataType]:
+def _image_types(df: DataFrame, name: str) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema[name].dataType.fields}
 
 
-def _typed(df: DataFrame, name: str) -> list[Column]:
-    """The eight columns of one image, coerced; a field that cannot be read becomes null."""
-    types, image = _image_fields(df, name), F.col(name)
-    out = []
-    for field, target in ORDER_FIELDS:
-        value = image[field]
-        if target == "timestamp_ntz":
-            value = S.coerce_timestamp(value, types[field])
-        elif target in ("bigint", "int"):
-            value = S.coerce_whole(value, types[field], target)
-        out.append(value.alias(field))
-    return out
+def _coerced(image: Column, field: str, target: str, dtype: T.DataType) -> Column:
+    """One image field in its table type; null if it cannot be read."""
+    if target == "timestamp_ntz":
+        return S.coerce_timestamp(image[field], dtype)
+    if target in ("bigint", "int"):
+        return S.coerce_whole(image[field], dtype, target)
+    return image[field]
 
 
-def typed_envelopes(envelopes: DataFrame) -> DataFrame:
-    """Coerce both images and name what is wrong with each envelope.
+def _unreadable(df: DataFrame, name: str) -> list[tuple[str, Column]]:
+    """For each required field of an image, the condition that it is absent or unreadable."""
+    types, image = _image_types(df, name), F.col(name)
+    return [
+        (field, _coerced(image, field, target, types[field]).isNull())
+        for field, target in ORDER_FIELDS
+    ]
 
-    Adds ``reject_reason`` (null for good ones) and ``ignored`` (values that are not change
-    records at all). Images that already carry the right types are passed through untouched.
-    """
+
+def _corrupt(df: DataFrame) -> Column:
+    if "_corrupt_record" in df.columns:
+        return F.col("_corrupt_record")
+    return F.lit(None).cast("string")
+
+
+def is_ignored(envelopes: DataFrame) -> Column:
+    """Values that are no change records at all."""
+    known = F.coalesce(F.col("op").isin(*HANDLED_OPS), F.lit(False))
+    return _corrupt(envelopes).isNull() & F.col("source").isNull() & ~known
+
+
+def is_good(envelopes: DataFrame) -> Column:
+    """Envelopes that decode without loss. Kept to null checks: it runs for every record."""
+
+    def whole(image: str) -> Column:
+        ok = F.col(image).isNotNull()
+        for _, bad in _unreadable(envelopes, image):
+            ok = ok & ~bad
+        return ok
+
+    op = F.col("op")
+    before = F.when(op.isin("u", "d"), whole("before")).otherwise(True)
+    after = F.when(op.isin("c", "r", "u"), whole("after")).otherwise(True)
+    known = F.coalesce(op.isin(*HANDLED_OPS), F.lit(False))
+    placed = log_position(F.col("source")).isNotNull()
+    return known & _corrupt(envelopes).isNull() & before & after & placed
+
+
+def reject_reason(envelopes: DataFrame) -> Column:
+    """Why an envelope cannot be decoded; null for good and for ignored ones."""
     op, source = F.col("op"), F.col("source")
-    corrupt = F.col("_corrupt_record") if "_corrupt_record" in envelopes.columns else F.lit(None)
-    typed = envelopes.select(
-        "op",
-        "ts_ms",
-        F.when(F.col("before").isNotNull(), F.struct(*_typed(envelopes, "before"))).alias("before"),
-        F.when(F.col("after").isNotNull(), F.struct(*_typed(envelopes, "after"))).alias("after"),
-        source,
-        corrupt.cast("string").alias("_corrupt_record"),
-        log_position(source).alias("_seq"),
-        # as it came, for the rejects; pruned wherever it is not asked for
-        F.to_json(F.struct("op", "ts_ms", "before", "after", "source")).alias("raw"),
-    )
+    known = F.coalesce(op.isin(*HANDLED_OPS), F.lit(False))
 
     def bad_field(image: str) -> Column:
         return F.coalesce(
-            *[
-                F.when(F.col(image)[name].isNull(), F.lit(f"bad {name} in {image}"))
-                for name, _ in ORDER_FIELDS
-            ]
+            *[F.when(bad, F.lit(f"bad {name} in {image}")) for name, bad in _unreadable(envelopes, image)]
         )
 
     needs_before, needs_after = op.isin("u", "d"), op.isin("c", "r", "u")
-    known = op.isin(*HANDLED_OPS)
-    reason = F.coalesce(
-        F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed record")),
-        F.when(~known & source.isNotNull(), F.concat(F.lit("unsupported operation "), op)),
-        F.when(op.isNull() & source.isNotNull(), F.lit("unsupported operation")),
-        F.when(needs_before & F.col("before").isNull(), F.lit("missing before image")),
-        F.when(needs_after & F.col("after").isNull(), F.lit("missing after image")),
-        F.when(needs_before, bad_field("before")),
-        F.when(needs_after, bad_field("after")),
-        F.when(known & F.col("_seq").isNull(), F.lit("no usable log position")),
+    before, after = F.col("before"), F.col("after")
+    return F.coalesce(
+        F.when(needs_before & before.isNotNull(), bad_field("before")),
+        F.when(needs_after & after.isNotNull(), bad_field("after")),
+        F.when(_corrupt(envelopes).isNotNull(), F.lit("malformed record")),
+        F.when(
+            ~known & source.isNotNull(),
+            F.concat_ws(" ", F.lit("unsupported operation"), op),
+        ),
+        F.when(needs_before & before.isNull(), F.lit("missing before image")),
+        F.when(needs_after & after.isNull(), F.lit("missing after image")),
+        F.when(known & log_position(source).isNull(), F.lit("no usable log position")),
     )
-    ignored = F.col("_corrupt_record").isNull() & source.isNull() & ~F.coalesce(known, F.lit(False))
-    return typed.withColumn("reject_reason", reason).withColumn("ignored", ignored)
 
 
-def good_envelopes(typed: DataFrame, mode: str = "quarantine") -> DataFrame:
+def good_envelopes(envelopes: DataFrame, mode: str = "quarantine") -> DataFrame:
     """Envelopes fit to decode. ``fail`` stops the job at the first bad one."""
-    good = F.col("reject_reason").isNull()
-    if mode == "fail":
-        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.col("reject_reason")).cast("boolean"))
-    elif mode != "quarantine":
+    good = is_good(envelopes)
+    if mode == "quarantine":
+        return envelopes.filter(good)
+    if mode != "fail":
         raise ValueError(f"mode must be quarantine or fail, not {mode!r}")
-    return typed.filter(~F.col("ignored") & good)
+    stop = F.raise_error(F.coalesce(reject_reason(envelopes), F.lit("bad envelope")))
+    keep = F.when(good, F.lit(True)).when(is_ignored(envelopes), F.lit(False))
+    return envelopes.filter(keep.otherwise(stop.cast("boolean")))
 
 
 def rejects(envelopes: DataFrame) -> DataFrame:
     """The envelopes that cannot be decoded, as they came, each with its reason."""
-    return rejected(typed_envelopes(envelopes))
+    whole = F.to_json(F.struct("op", "ts_ms", "before", "after", "source"))
+    return envelopes.filter(~is_good(envelopes) & ~is_ignored(envelopes)).select(
+        reject_reason(envelopes).alias("reject_reason"),
+        "op",
+        log_position(F.col("source")).alias("_seq"),
+        F.coalesce(_corrupt(envelopes), whole).alias("raw"),
+    )
 
 
-def rejected(typed: DataFrame) -> DataFrame:
-    return typed.filter(F.col("reject_reason").isNotNull()).select(
-        "reject_reason", "op", "_seq", F.coalesce("_corrupt_record", "raw").alias("raw")
-    )
+def _image_row(envelopes: DataFrame, image: Column) -> list[Column]:
+    """The eight table columns of one image. Called once per plan, after the fan-out."""
+    types = _image_types(envelopes, "after")
+    return [
+        _coerced(image, field, target, types[field]).alias(field) for field, target in ORDER_FIELDS
+    ]
 
 
-def _change(image: str, kind: str, operation: Column | str, img: int) -> Column:
-    operation = F.lit(operation) if isinstance(operation, str) else operation
+def _row_of(kind: str, operation: str, img: int) -> Column:
     return F.struct(
-        *[F.col(image)[name].alias(name) for name in CURRENT_COLUMNS],
-        F.lit(kind).alias("cdc_row_kind"),
-        operation.alias("cdc_operation"),
-        F.col("ts_ms").alias("source_ts_ms"),
-        F.col("_seq"),
-        F.lit(img).cast("tinyint").alias("_img"),
+        F.lit(kind).alias("kind"),
+        F.lit(operation).alias("operation"),
+        F.lit(img).cast("tinyint").alias("img"),
     )
 
 
-def changelog_rows(typed: DataFrame) -> DataFrame:
-    """Good typed envelopes to the full changelog: an update gives two rows, before then after."""
+def changelog_rows(good: DataFrame) -> DataFrame:
+    """Good envelopes to the full changelog: an update gives two rows, before then after.
+
+    The fan-out explodes constant lists of row kinds; images are picked and coerced behind it,
+    so that code exists once however many rows an operation gives.
+    """
     op = F.col("op")
-    before = lambda: _change("before", UPDATE_BEFORE, "update_before", 0)
-    inserted = F.when(op == "c", F.lit("insert")).otherwise(F.lit("snapshot"))
-    rows = (
-        F.when(op == "u", F.array(before(), _change("after", UPDATE_AFTER, "update_after", 1)))
-        .when(op == "d", F.array(_change("before", DELETE, "delete", 0)))
-        .otherwise(F.array(_change("after", INSERT, inserted, 1)))
+    kinds = (
+        F.when(
+            op == "u",
+            F.array(
+                _row_of(UPDATE_BEFORE, "update_before", 0), _row_of(UPDATE_AFTER, "update_after", 1)
+            ),
+        )
+        .when(op == "d", F.array(_row_of(DELETE, "delete", 0)))
+        .when(op == "c", F.array(_row_of(INSERT, "insert", 1)))
+        .otherwise(F.array(_row_of(INSERT, "snapshot", 1)))
+    )
+    rows = good.select("before", "after", "ts_ms", "source", F.explode(kinds).alias("k"))
+    image = F.when(F.col("k.img") == 0, F.col("before")).otherwise(F.col("after"))
+    picked = rows.select(image.alias("image"), "ts_ms", "source", "k")
+    return picked.select(
+        *_image_row(good, F.col("image")),
+        F.col("k.kind").alias("cdc_row_kind"),
+        F.col("k.operation").alias("cdc_operation"),
+        F.col("ts_ms").alias("source_ts_ms"),
+        log_position(F.col("source")).alias("_seq"),
+        F.col("k.img").alias("_img"),
     )
-    return typed.select(F.explode(rows).alias("change")).select("change.*").select(*CHANGE_COLUMNS)
 
 
 def decode(envelopes: DataFrame, mode: str = "quarantine") -> DataFrame:
     """Envelopes to the changelog."""
-    return changelog_rows(good_envelopes(typed_envelopes(envelopes), mode))
+    return changelog_rows(good_envelopes(envelopes, mode))
 
 
 def decode_upserts(
@@ -154,29 +193,32 @@ def decode_upserts(
     """
     if rekey not in ("reference", "strict"):
         raise ValueError(f"rekey must be reference or strict, not {rekey!r}")
-    typed = good_envelopes(typed_envelopes(envelopes), mode)
-    op = F.col("op")
-    image = F.when(op == "d", F.col("before")).otherwise(F.col("after"))
-    kind = F.when(op == "d", DELETE).when(op == "u", UPDATE_AFTER).otherwise(INSERT)
-    name = (
-        F.when(op == "d", "delete")
+    good = good_envelopes(envelopes, mode)
+    op, is_delete = F.col("op"), F.col("op") == "d"
+    rows = good.select(
+        F.when(is_delete, F.col("before")).otherwise(F.col("after")).alias("image"),
+        "op",
+        "ts_ms",
+        "source",
+    )
+    if rekey == "strict":
+        moved = (op == "u") & (F.col("before")["order_id"] != F.col("after")["order_id"])
+        old = good.filter(moved).select(
+            F.col("before").alias("image"), F.lit("d").alias("op"), "ts_ms", "source"
+        )
+        rows = rows.unionByName(old)
+    return rows.select(
+        *_image_row(envelopes, F.col("image")),
+        F.when(is_delete, DELETE).when(op == "u", UPDATE_AFTER).otherwise(INSERT).alias("cdc_row_kind"),
+        F.when(is_delete, "delete")
         .when(op == "u", "update_after")
         .when(op == "c", "insert")
         .otherwise("snapshot")
-    )
-    main = typed.withColumn("_image", image).select(
-        *[F.col("_image")[c].alias(c) for c in CURRENT_COLUMNS],
-        kind.alias("cdc_row_kind"),
-        name.alias("cdc_operation"),
+        .alias("cdc_operation"),
         F.col("ts_ms").alias("source_ts_ms"),
-        "_seq",
-        F.when(op == "d", 0).otherwise(1).cast("tinyint").alias("_img"),
+        log_position(F.col("source")).alias("_seq"),
+        F.when(is_delete, 0).otherwise(1).cast("tinyint").alias("_img"),
     )
-    if rekey == "reference":
-        return main
-    moved = (op == "u") & (F.col("before")["order_id"] != F.col("after")["order_id"])
-    old = typed.filter(moved).select(_change("before", DELETE, "delete", 0).alias("c")).select("c.*")
-    return main.unionByName(old.select(*CHANGE_COLUMNS))
 
 
 def drop_update_before(changes: DataFrame) -> DataFrame:

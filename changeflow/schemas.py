@@ -21,12 +21,23 @@ CHANGELOG = f"{CURRENT}, cdc_row_kind string, cdc_operation string, source_ts_ms
 CHANGE = f"{CHANGELOG}, _seq bigint, _img tinyint"
 STORED_CHANGE = f"{CHANGE}, writer_id string, batch_id bigint"
 
-#: Images arrive as text so that a wrong value can be named instead of silently nulled.
-RAW_IMAGE = ", ".join(f"{name}: string" for name, _ in ORDER_FIELDS)
-RAW_ENVELOPE = (
-    f"op string, ts_ms bigint, before struct<{RAW_IMAGE}>, after struct<{RAW_IMAGE}>, "
-    "source struct<file: string, pos: bigint, row: int>, _corrupt_record string"
+_POSITION = "struct<file: string, pos: bigint, row: int>"
+
+
+def _envelope(image: str) -> str:
+    return (
+        f"op string, ts_ms bigint, before struct<{image}>, after struct<{image}>, "
+        f"source {_POSITION}, _corrupt_record string"
+    )
+
+
+#: Envelopes as a log delivers them: numbers are numbers, times are numbers or text. A field of
+#: another type reads as null and the record is kept whole in ``_corrupt_record``.
+ENVELOPE = _envelope(
+    ", ".join(f"{n}: {'string' if k == 'timestamp_ntz' else k}" for n, k in ORDER_FIELDS)
 )
+#: The same with every field as text, for writers that quote or carry fractions.
+TEXT_ENVELOPE = _envelope(", ".join(f"{name}: string" for name, _ in ORDER_FIELDS))
 
 STORED_REJECT = (
     "reject_reason string, op string, _seq bigint, raw string, writer_id string, batch_id bigint"

@@ -31,9 +31,20 @@ def _position(seq: Column) -> Column:
     )
 
 
-def _no_image(image: Column) -> Column:
-    """A null of the image's own type."""
-    return F.when(F.lit(False), image)
+def _envelopes(rows: DataFrame, op: Column, ts_ms: Column, before: Column, after: Column, seq: Column) -> DataFrame:
+    """Envelope rows whose images are built once.
+
+    A plain projection would be folded into every predicate that looks into an image, and build
+    the image again for each field. Exploding a list of one keeps it a value.
+    """
+    envelope = F.struct(
+        op.alias("op"),
+        ts_ms.alias("ts_ms"),
+        before.alias("before"),
+        after.alias("after"),
+        _position(seq).alias("source"),
+    )
+    return rows.select(F.inline(F.array(envelope)))
 
 
 def orders_feed(orders: DataFrame) -> DataFrame:
@@ -67,12 +78,13 @@ def orders_feed(orders: DataFrame) -> DataFrame:
     k = F.col("k")
     now, prior = image(k), image(k - 1)
     seq = F.col("o_orderkey") * 4 + k
-    return steps.select(
-        F.when(k == 0, "c").when(k == 3, "d").otherwise("u").alias("op"),
-        (F.col("base_ms") + 1000 * k + 250).alias("ts_ms"),
-        F.when(k > 0, prior).alias("before"),
-        F.when(k < 3, now).alias("after"),
-        _position(seq).alias("source"),
+    return _envelopes(
+        steps,
+        op=F.when(k == 0, "c").when(k == 3, "d").otherwise("u"),
+        ts_ms=F.col("base_ms") + 1000 * k + 250,
+        before=F.when(k > 0, prior),
+        after=F.when(k < 3, now),
+        seq=seq,
     )
 
 
@@ -107,24 +119,26 @@ def events_feed(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     error = F.col("event_type") == "error"
     now = image(F.col("event_id"), F.col("event_type"), F.col("cents"), F.col("micros"))
     prior = image(prev["event_id"], prev["event_type"], prev["cents"], prev["micros"])
-    return linked.filter(~error | live).select(
-        F.when(error, "d").when(live, "u").otherwise("c").alias("op"),
-        F.floor(F.col("micros") / 1000).alias("ts_ms"),
-        F.when(live, prior).alias("before"),
-        F.when(~error, now).alias("after"),
-        _position(F.col("event_id")).alias("source"),
+    return _envelopes(
+        linked.filter(~error | live),
+        op=F.when(error, "d").when(live, "u").otherwise("c"),
+        ts_ms=F.floor(F.col("micros") / 1000),
+        before=F.when(live, prior),
+        after=F.when(~error, now),
+        seq=F.col("event_id"),
     )
 
 
 def snapshot_feed(rows: DataFrame) -> DataFrame:
     """The initial read of a source table: one ``r`` envelope per row, before any log position."""
     image = F.struct(*rows.columns)
-    return rows.select(
-        F.lit("r").alias("op"),
-        F.lit(None).cast("bigint").alias("ts_ms"),
-        _no_image(image).alias("before"),
-        image.alias("after"),
-        _position(F.lit(-1).cast("bigint")).alias("source"),
+    return _envelopes(
+        rows,
+        op=F.lit("r"),
+        ts_ms=F.lit(None).cast("bigint"),
+        before=F.when(F.lit(False), image),
+        after=image,
+        seq=F.lit(-1).cast("bigint"),
     )
 
 
@@ -225,10 +239,11 @@ def scenario_feed(instances: DataFrame) -> DataFrame:
         )
 
     op = F.col("op")
-    return rows.select(
-        op,
-        (order_id + F.col("step")).alias("ts_ms"),
-        F.when(op == "u", image(False)).when(op == "d", image(True)).alias("before"),
-        F.when(op == "c", image(False)).when(op == "u", image(True)).alias("after"),
-        _position(F.col("scenario_id") * 16 + F.col("step")).alias("source"),
+    return _envelopes(
+        rows,
+        op=op,
+        ts_ms=order_id + F.col("step"),
+        before=F.when(op == "u", image(False)).when(op == "d", image(True)),
+        after=F.when(op == "c", image(False)).when(op == "u", image(True)),
+        seq=F.col("scenario_id") * 16 + F.col("step"),
     )

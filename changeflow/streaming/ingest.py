@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from changeflow.schemas import PROGRESS, RAW_ENVELOPE
+from changeflow.schemas import ENVELOPE, PROGRESS
 from changeflow.streaming.table import ChangeTable
 
 # Restart policy and trigger defaults.
@@ -21,23 +21,25 @@ BATCH_TIMEOUT_SECONDS = 600
 QUERY_NAME = "orders-changes"
 
 
-def json_envelopes(spark: SparkSession, path: str) -> DataFrame:
+def json_envelopes(spark: SparkSession, path: str, schema: str = ENVELOPE) -> DataFrame:
     """Envelopes from JSON files, as a batch."""
-    return spark.read.schema(RAW_ENVELOPE).json(path)
+    return spark.read.schema(schema).json(path)
 
 
-def json_envelope_stream(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
+def json_envelope_stream(
+    spark: SparkSession, path: str, max_files: int = 1_000, schema: str = ENVELOPE
+) -> DataFrame:
     """Envelopes from JSON files as they arrive; ``max_files`` per batch is the rate limit."""
-    return spark.readStream.schema(RAW_ENVELOPE).option("maxFilesPerTrigger", max_files).json(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
 
 
-def value_envelopes(messages: DataFrame, column: str = "value") -> DataFrame:
+def value_envelopes(messages: DataFrame, column: str = "value", schema: str = ENVELOPE) -> DataFrame:
     """Envelopes from a message value (binary or text), batch or stream, such as a Kafka topic.
 
     A null value is no change record; text that is not JSON is kept as a malformed record.
     """
     text = F.col(column).cast("string")
-    parsed = F.from_json(text, RAW_ENVELOPE, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
     return messages.select(parsed.alias("e")).select("e.*")
 
 

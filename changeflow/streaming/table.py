@@ -132,14 +132,13 @@ class ChangeTable:
         self.hooks.before_write(batch_id)
         part = (f"writer_id={writer_id}", f"batch_id={batch_id}")
         seen = Observation()
-        typed = D.typed_envelopes(envelopes).observe(
-            seen, F.count_if(F.col("reject_reason").isNotNull()).alias("rejects")
-        )
-        stats = self._write_changes(D.changelog_rows(D.good_envelopes(typed, mode)), part)
-        bad = int(seen.get["rejects"] or 0)
-        if bad:
+        bad = ~D.is_good(envelopes) & ~D.is_ignored(envelopes)
+        counted = envelopes.observe(seen, F.count_if(bad).alias("rejects"))
+        stats = self._write_changes(D.decode(counted, mode), part)
+        rejects = int(seen.get["rejects"] or 0)
+        if rejects:
             self._writer(D.rejects(envelopes)).parquet(self.path("rejects", *part))
-        self._commit(writer_id, batch_id, {**stats, "rejects": bad})
+        self._commit(writer_id, batch_id, {**stats, "rejects": rejects})
         return True
 
     def append_changes(self, changes: DataFrame, writer_id: str, batch_id: int) -> bool:
