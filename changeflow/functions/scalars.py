@@ -18,6 +18,9 @@ METRIC_LINE = (
 TIMESTAMP_TEXT = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{0,6})?|T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z)$"
 )
+SHORT_WHOLE_TEXT = r"^[-+]?[0-9]{1,18}$"  # always fits a long
+WHOLE_TEXT = r"^[-+]?[0-9]{1,19}$"
+NUMBER_TEXT = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -50,14 +53,20 @@ def number_to_timestamp(value: Column, unit: str | None = None) -> Column:
 
 
 def text_to_long(text: Column) -> Column:
-    """Any numeric text to a whole number, fractions cut towards zero; null if not a number."""
-    return F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,9)").try_cast("bigint"))
+    """Any numeric text to a whole number, fractions cut towards zero; null if not a number.
+
+    Patterns decide which cast applies: a failing ``try_cast`` costs ten times a match.
+    """
+    return F.when(text.rlike(SHORT_WHOLE_TEXT), text.try_cast("bigint")).when(
+        text.rlike(NUMBER_TEXT), text.try_cast("decimal(38,9)").try_cast("bigint")
+    )
 
 
 def text_to_timestamp(text: Column, unit: str | None = None) -> Column:
     """Epoch number or date text to a zone-less timestamp; null for anything else."""
-    plain = F.when(text.rlike(TIMESTAMP_TEXT), text.try_cast("timestamp_ntz"))
-    return F.coalesce(number_to_timestamp(text.try_cast("bigint"), unit), plain)
+    return F.when(text.rlike(TIMESTAMP_TEXT), text.try_cast("timestamp_ntz")).when(
+        text.rlike(WHOLE_TEXT), number_to_timestamp(text.try_cast("bigint"), unit)
+    )
 
 
 def coerce_timestamp(value: Column, dtype: T.DataType, unit: str | None = None) -> Column:
@@ -158,12 +167,14 @@ def labels_map(raw: Column) -> Column:
         return F.struct(key.alias("key"), value.alias("value"))
 
     entries = F.transform(parts, entry)
-    # a repeated label keeps its last value, as a plain map assignment would
+    # A repeated label keeps its last value, as a plain map assignment would.
     last = F.filter(
         entries,
         lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
     )
-    return F.map_from_entries(last)
+    keys = entries["key"]
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
 
 
 def state_path(path: Column) -> Column:

@@ -34,8 +34,9 @@ def metric_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.trim(F.col(column))
     part = lambda n: F.regexp_extract(text, S.METRIC_LINE, n)
     others = [c for c in lines.columns if c != column]
+    # No comment can match: a name does not start with "#".
     return (
-        lines.filter((text != "") & ~F.startswith(text, F.lit("#")) & text.rlike(S.METRIC_LINE))
+        lines.filter(text.rlike(S.METRIC_LINE))
         .select(*others, part(1).alias("name"), part(2).alias("_raw"), part(3).alias("_value"))
         .select(*others, "name", S.labels_map(F.col("_raw")).alias("labels"), F.col("_value").cast("double").alias("value"))
     )
@@ -48,11 +49,10 @@ def job_metrics(metrics: DataFrame, job: str) -> DataFrame:
     return metrics.filter(label.isNull() | (label == job))
 
 
-def _ends_with_any(name: Column, suffixes: Sequence[str]) -> Column:
-    keys = ["".join(ch for ch in s.lower() if ch.isalnum()) for s in suffixes]
+def _ends_with_any(key: Column, suffixes: Sequence[str]) -> Column:
     hit = F.lit(False)
-    for key in keys:
-        hit = hit | F.endswith(S.metric_key(name), F.lit(key))
+    for suffix in suffixes:
+        hit = hit | F.endswith(key, F.lit("".join(ch for ch in suffix.lower() if ch.isalnum())))
     return hit
 
 
@@ -63,7 +63,7 @@ def reporter_snapshot(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     aggs = []
     for quantity, suffixes in SUFFIXES.items():
-        hit = _ends_with_any(F.col("name"), suffixes)
+        hit = _ends_with_any(F.col("_key"), suffixes)
         value = F.when(hit, F.col("value"))
         aggs += [
             F.max(value).alias(quantity),
@@ -71,7 +71,7 @@ def reporter_snapshot(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                 f"{quantity}_name"
             ),
         ]
-    snap = metrics.groupBy(*by).agg(*aggs)
+    snap = metrics.withColumn("_key", S.metric_key(F.col("name"))).groupBy(*by).agg(*aggs)
     aligned = S.alignment_ms(
         F.col("checkpoint_alignment_time_ms"), F.col("checkpoint_alignment_time_ms_name")
     )

@@ -13,6 +13,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # The JVM does not compile methods above 8000 bytes; past that Spark's split code is faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording a Python call site for every column costs more than building the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -60,13 +60,14 @@ def orders_feed(orders: DataFrame) -> DataFrame:
         "o_custkey",
         base_ms.alias("base_ms"),
         cents.alias("cents"),
+        S.padded_key("order-", key).alias("business_key"),
         F.explode(F.sequence(F.lit(0), last)).alias("k"),
     )
 
     def image(k: Column) -> Column:
         return F.struct(
             F.col("o_orderkey").alias("order_id"),
-            S.padded_key("order-", F.col("o_orderkey")).alias("business_key"),
+            F.col("business_key"),
             (F.col("o_orderkey") * 4 + k).alias("event_id"),
             F.col("o_custkey").alias("customer_id"),
             F.element_at(_statuses(), k + 1).alias("status"),
@@ -223,16 +224,18 @@ def scenario_feed(instances: DataFrame) -> DataFrame:
     plan = plan.when(F.col("kind") == "crash", steps("crash"))
     plan = plan.when(F.col("kind") == "restore", steps("restore"))
     rows = instances.select("scenario_id", F.explode(plan).alias("s")).select("scenario_id", "s.*")
-    order_id = F.col("scenario_id") * SCENARIO_STRIDE + F.col("n")
+    rows = rows.withColumn("order_id", F.col("scenario_id") * SCENARIO_STRIDE + F.col("n"))
+    rows = rows.withColumn("business_key", S.padded_key("scenario-", F.col("order_id")))
+    order_id = F.col("order_id")
 
-    def image(updated: bool) -> Column:
-        bump = UPDATE_OFFSET if updated else 0
+    def image(updated: Column) -> Column:
+        bump = F.when(updated, UPDATE_OFFSET).otherwise(0)
         return F.struct(
-            order_id.alias("order_id"),
-            S.padded_key("scenario-", order_id).alias("business_key"),
+            order_id,
+            F.col("business_key"),
             (order_id + bump).alias("event_id"),
             F.col("scenario_id").alias("customer_id"),
-            F.lit(STATUSES[1] if updated else STATUSES[0]).alias("status"),
+            F.when(updated, STATUSES[1]).otherwise(STATUSES[0]).alias("status"),
             (order_id * 10 + bump).alias("amount_cents"),
             (order_id + bump).alias("updated_at"),
             F.lit(1).alias("seed"),
@@ -243,7 +246,7 @@ def scenario_feed(instances: DataFrame) -> DataFrame:
         rows,
         op=op,
         ts_ms=order_id + F.col("step"),
-        before=F.when(op == "u", image(False)).when(op == "d", image(True)),
-        after=F.when(op == "c", image(False)).when(op == "u", image(True)),
+        before=F.when(op != "c", image(op == "d")),
+        after=F.when(op != "d", image(op == "u")),
         seq=F.col("scenario_id") * 16 + F.col("step"),
     )
