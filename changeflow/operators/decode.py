@@ -59,10 +59,17 @@ def _corrupt(df: DataFrame) -> Column:
     return F.lit(None).cast("string")
 
 
+def _malformed(df: DataFrame) -> Column:
+    """Text that is no JSON, or a JSON object some field of which could not be read."""
+    text = _corrupt(df)
+    is_object = F.startswith(F.ltrim(text), F.lit("{"))
+    return text.isNotNull() & (is_object | F.try_parse_json(text).isNull())
+
+
 def is_ignored(envelopes: DataFrame) -> Column:
-    """Values that are no change records at all."""
+    """Values that are no change records at all, such as a null or a bare number."""
     known = F.coalesce(F.col("op").isin(*HANDLED_OPS), F.lit(False))
-    return _corrupt(envelopes).isNull() & F.col("source").isNull() & ~known
+    return ~_malformed(envelopes) & F.col("source").isNull() & ~known
 
 
 def is_good(envelopes: DataFrame) -> Column:
@@ -97,7 +104,7 @@ def reject_reason(envelopes: DataFrame) -> Column:
     return F.coalesce(
         F.when(needs_before & before.isNotNull(), bad_field("before")),
         F.when(needs_after & after.isNotNull(), bad_field("after")),
-        F.when(_corrupt(envelopes).isNotNull(), F.lit("malformed record")),
+        F.when(_malformed(envelopes), F.lit("malformed record")),
         F.when(
             ~known & source.isNotNull(),
             F.concat_ws(" ", F.lit("unsupported operation"), op),

@@ -99,6 +99,13 @@ def test_rejects_keep_the_record_as_it_came(spark, tmp_path):
     assert kept["missing before image"]["after"]["order_id"] == 3
 
 
+def test_values_that_are_no_records_are_skipped(spark, tmp_path):
+    df = load(spark, tmp_path, ["null", "5", '"text"', env("c", 0, after=image(5, 50)), '{"op": "x"']).cache()
+    assert rows(D.decode(df), "event_id") == [(50,)]
+    assert rows(D.rejects(df), "reject_reason", "raw") == [("malformed record", '{"op": "x"')]
+    assert df.filter(D.is_ignored(df)).count() == 3
+
+
 def test_fail_mode_lets_good_and_stray_values_pass(spark, tmp_path):
     df = load(spark, tmp_path, [env("c", 0, after=image(5, 50)), env("x", 4, source=False)])
     assert rows(D.decode(df, mode="fail"), "event_id") == [(50,)]
