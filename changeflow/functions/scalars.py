@@ -25,6 +25,12 @@ NUMBER_TEXT = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
+def floor_div(value: Column, by: int) -> Column:
+    """Whole-number division rounding down, negatives too; never through a double."""
+    n = F.lit(by).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, n), n)
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since the epoch of a zone-less timestamp, whatever the session zone."""
     return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts)

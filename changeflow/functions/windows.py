@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeflow.functions.scalars import floor_div
+
 #: A key with more rows than this is cut into chunks. It also bounds the list of hot keys:
 #: at most rows / HOT_ROWS of them can exist, about a million in 10^12 rows.
 HOT_ROWS = 1 << 20
@@ -39,7 +41,7 @@ def previous_row(
         .filter(F.col("_n") > hot_rows)
         .select(key, F.lit(True).alias("_hot"))
     )
-    chunk = F.when(F.col("_hot"), F.floor(F.col(order) / width)).otherwise(F.lit(0)).cast("bigint")
+    chunk = F.when(F.col("_hot"), floor_div(F.col(order), width)).otherwise(F.lit(0)).cast("bigint")
     rows = df.join(F.broadcast(hot), key, "left").withColumn("_chunk", chunk)
 
     before = Window.unboundedPreceding, -1

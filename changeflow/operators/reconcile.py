@@ -20,7 +20,7 @@ MISSING, UNEXPECTED = "missing", "unexpected"
 def normalise(rows: DataFrame, columns: Sequence[str] = CURRENT_COLUMNS) -> DataFrame:
     """The compared columns, timestamps cut to milliseconds."""
     types = dict(rows.dtypes)
-    cut = lambda c: S.micros_to_timestamp(F.floor(S.epoch_micros(c) / 1000) * 1000)
+    cut = lambda c: S.micros_to_timestamp(S.floor_div(S.epoch_micros(c), 1000) * 1000)
     return rows.select(
         *[
             cut(F.col(c)).alias(c) if types[c] == "timestamp_ntz" else F.col(c)

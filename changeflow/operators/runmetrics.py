@@ -26,6 +26,7 @@ SUFFIXES = {
 }
 MIN_PRESSURE = 0.05
 RECOVERED_AFTER = 3
+BROADCAST_SLICES = 500_000  # rows of about 50 bytes that may be sent to every executor
 BASELINE, LOADED, RECOVERY = "baseline", "backpressure", "recovery"
 
 
@@ -127,45 +128,62 @@ def numeric_leaves(
     return checked.select(*keys, "path", "last", number.alias("number")).filter("number is not null")
 
 
-def path_max(leaves: DataFrame, keys: Sequence[str], include: Sequence[str], suffixes: Sequence[str]) -> DataFrame:
-    """Largest number whose path holds all of ``include`` and whose last part ends as asked."""
-    path, last = S.metric_key(F.col("path")), S.metric_key(F.col("last"))
-    hit = F.lit(True)
-    for part in include:
-        hit = hit & F.contains(path, S.metric_key(F.lit(part)))
-    if suffixes:
-        ends = F.lit(False)
-        for part in suffixes:
-            ends = ends | F.endswith(last, S.metric_key(F.lit(part)))
-        hit = hit & ends
-    return leaves.groupBy(*keys).agg(F.max(F.when(hit, F.col("number"))).alias("max_number"))
+def path_max(
+    leaves: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Sequence[str], Sequence[str]]]
+) -> DataFrame:
+    """Largest number below matching paths, one column per entry of ``wanted``, in one pass.
+
+    An entry gives the parts a path must hold and the endings its last part may have.
+    """
+    keyed = leaves.withColumn("_path", S.metric_key(F.col("path"))).withColumn(
+        "_last", S.metric_key(F.col("last"))
+    )
+    aggs = []
+    for name, (include, suffixes) in wanted.items():
+        hit = F.lit(True)
+        for part in include:
+            hit = hit & F.contains("_path", S.metric_key(F.lit(part)))
+        if suffixes:
+            hit = hit & _ends_with_any(F.col("_last"), suffixes)
+        aggs.append(F.max(F.when(hit, F.col("number"))).alias(name))
+    return keyed.groupBy(*keys).agg(*aggs)
+
+
+def _listed(column: str) -> tuple[Column, Column]:
+    """Parsed document, and its completed checkpoints: the latest first, each id once."""
+    doc = F.from_json(column, CHECKPOINTS)
+    latest = doc["latest"]["completed"]
+    done = F.filter(
+        F.concat(
+            F.array(latest),
+            F.coalesce(
+                F.filter(doc["history"], lambda h: h["status"] == "COMPLETED"),
+                F.slice(F.array(latest), 1, 0),
+            ),
+        ),
+        lambda c: c["id"].isNotNull(),
+    )
+    # Histories are short lists inside one row, so repeats go without a shuffle.
+    once = F.filter(
+        done, lambda c, i: ~F.exists(F.slice(done, F.lit(1), i), lambda earlier: earlier["id"] == c["id"])
+    )
+    return doc, once
 
 
 def completed_checkpoints(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """Completed checkpoints of each payload, the latest one first, each id once (first kept)."""
-    doc = F.from_json(column, CHECKPOINTS)
-    rows = payloads.select(*keys, doc.alias("d"))
-    latest = F.when(F.col("d.latest.completed.id").isNotNull(), F.array("d.latest.completed"))
-    history = F.filter("d.history", lambda h: (h["status"] == "COMPLETED") & h["id"].isNotNull())
-    empty = F.slice(F.coalesce(F.col("d.history"), F.array("d.latest.completed")), 1, 0)
-    listed = F.concat(F.coalesce(latest, empty), F.coalesce(history, empty))
-    return (
-        rows.select(*keys, F.posexplode(listed).alias("pos", "c"))
-        .groupBy(*keys, F.col("c.id").alias("checkpoint_id"))
-        .agg(F.min_by("c.end_to_end_duration", "pos").alias("duration_ms"))
+    """Completed checkpoints of each status document, each id once (the first kept)."""
+    _, once = _listed(column)
+    return payloads.select(*keys, F.explode(once).alias("c")).select(
+        *keys, F.col("c.id").alias("checkpoint_id"), F.col("c.end_to_end_duration").alias("duration_ms")
     )
 
 
 def latest_completed(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """``latest.completed`` of each payload, else the first completed entry of its history."""
-    doc = F.from_json(column, CHECKPOINTS)
-    first = F.try_element_at(
-        F.filter("d.history", lambda h: (h["status"] == "COMPLETED") & h["id"].isNotNull()), F.lit(1)
-    )
-    named = F.col("d.latest.completed.id").isNotNull()
-    chosen = F.when(named, F.col("d.latest.completed")).otherwise(first)
-    return payloads.select(*keys, doc.alias("d")).select(
-        *keys, chosen["id"].alias("checkpoint_id"), chosen["end_to_end_duration"].alias("duration_ms")
+    """``latest.completed`` of each document, else the first completed entry of its history."""
+    _, once = _listed(column)
+    rows = payloads.select(*keys, F.try_element_at(once, F.lit(1)).alias("c"))
+    return rows.select(
+        *keys, F.col("c.id").alias("checkpoint_id"), F.col("c.end_to_end_duration").alias("duration_ms")
     )
 
 
@@ -224,7 +242,7 @@ def label_phases(
         .otherwise(RECOVERY)
     )
     first = F.first(time).over(w)
-    elapsed = F.floor((S.epoch_micros(F.col(time)) - S.epoch_micros(first)) / 1000)
+    elapsed = S.floor_div(S.epoch_micros(F.col(time)) - S.epoch_micros(first), 1000)
     return (
         series.withColumn("sample_index", index.cast("int"))
         .withColumn("elapsed_ms", elapsed.cast("bigint"))
@@ -264,7 +282,9 @@ def interval_max(
 
     Intervals ``(previous, this]`` are cut into fixed-width slices and points look up their own
     slice, so the join is on equal (job, slice) and each point meets only the few intervals
-    that touch its slice. Points that lie after the last sample match nothing.
+    that touch its slice. Points that lie after the last sample match nothing. Samples are
+    counted first: a short list is broadcast, so the points are not shuffled; a long one joins
+    by shuffle.
     """
     width = width_seconds * 1_000_000
     w = Window.partitionBy(job).orderBy(time)
@@ -280,18 +300,19 @@ def interval_max(
     slices = (
         bounds.join(earliest, job, "left")
         .withColumn("_from", start)
-        .withColumn("_slice", F.explode(F.sequence(F.floor((F.col("_from") + 1) / width), F.floor(F.col("_to") / width))))
+        .withColumn("_slice", F.explode(F.sequence(S.floor_div(F.col("_from") + 1, width), S.floor_div(F.col("_to"), width))))
     )
     dots = points.select(
         F.col(job).alias("_job"),
         S.epoch_micros(F.col(time)).alias("_t"),
-        F.floor(S.epoch_micros(F.col(time)) / width).alias("_pslice"),
+        S.floor_div(S.epoch_micros(F.col(time)), width).alias("_pslice"),
         F.col(value).alias("_v"),
     )
     hit = (F.col(job) == F.col("_job")) & (F.col("_slice") == F.col("_pslice"))
     hit &= (F.col("_t") > F.col("_from")) & (F.col("_t") <= F.col("_to"))
+    few = slices.limit(BROADCAST_SLICES + 1).count() <= BROADCAST_SLICES
     found = (
-        dots.join(slices, hit)
+        dots.join(F.broadcast(slices) if few else slices, hit)
         .groupBy(job, "sample_ts")
         .agg(F.count(F.lit(1)).alias("points"), F.max("_v").alias("max_value"))
     )

@@ -85,7 +85,7 @@ def changelog_counts(spark: SparkSession, sf: str) -> DataFrame:
 def _damaged_feed(spark: SparkSession, sf: str) -> DataFrame:
     """The orders feed with images lost and operations garbled by rule; every envelope is kept."""
     feed = orders_feed(spark, sf)
-    key = F.floor(F.col("source.pos") / 4)
+    key = S.floor_div(F.col("source.pos"), 4)
     lost, garbled, stray = key % 97 == 0, key % 101 == 0, key % 103 == 0
     gone = lambda c: F.when(~lost, F.col(c)).alias(c)
     return feed.select(
@@ -119,9 +119,9 @@ def coerce_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return e.select(
         "event_id",
-        S.number_to_timestamp(F.floor(micros / 1000)).alias("from_millis"),
+        S.number_to_timestamp(S.floor_div(micros, 1000)).alias("from_millis"),
         S.number_to_timestamp(micros).alias("from_micros"),
-        S.number_to_timestamp(-F.floor(micros / 1000)).alias("from_negative"),
+        S.number_to_timestamp(-S.floor_div(micros, 1000)).alias("from_negative"),
         S.text_to_timestamp(text).alias("from_text"),
         S.text_to_timestamp(F.concat(F.translate(text, " ", "T"), F.lit("Z"))).alias("from_instant"),
         S.text_to_timestamp(F.substring_index(text, ".", 1)).alias("from_seconds"),
@@ -184,7 +184,7 @@ def source_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 def merge_on_read(spark: SparkSession, sf: str) -> DataFrame:
     """Data rows and equality deletes, merged when read."""
     data, deletes = state.upsert_files(D.decode(events_feed(spark, sf)))
-    return state.apply_equality_deletes(data, deletes, salt=8).select(*CURRENT_COLUMNS)
+    return state.apply_equality_deletes(data, deletes).select(*CURRENT_COLUMNS)
 
 
 VERSION = 19_737  # days since the epoch: 2024-01-15
@@ -192,7 +192,7 @@ VERSION = 19_737  # days since the epoch: 2024-01-15
 
 def _batched(spark: SparkSession, sf: str) -> DataFrame:
     """The deep histories in daily batches."""
-    day = F.floor(F.col("source_ts_ms") / 86_400_000)
+    day = S.floor_div(F.col("source_ts_ms"), 86_400_000)
     return D.decode(events_feed(spark, sf)).withColumn("batch_id", day.cast("bigint"))
 
 
@@ -448,7 +448,7 @@ def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scenario_of(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("scenario_id", F.floor(F.col("order_id") / feeds.SCENARIO_STRIDE))
+    return rows.withColumn("scenario_id", S.floor_div(F.col("order_id"), feeds.SCENARIO_STRIDE))
 
 
 @query
@@ -543,7 +543,7 @@ HOUR = 3_600_000_000
 
 
 def _hour(ts: Column) -> Column:
-    return S.micros_to_timestamp(F.floor(S.epoch_micros(ts) / HOUR) * HOUR)
+    return S.micros_to_timestamp(S.floor_div(S.epoch_micros(ts), HOUR) * HOUR)
 
 
 def _lag_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -694,8 +694,10 @@ def json_path_max(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "props", c, k, c + 1, k,
     )
     leaves = runmetrics.numeric_leaves(e.select("event_id", doc.alias("doc")), "doc", ["event_id"], 7)
-    one = lambda name, inc, suf: runmetrics.path_max(leaves, ["event_id"], inc, suf).withColumn("what", F.lit(name))
-    return one("alignment", ["alignment"], ["duration"]).unionByName(one("delay", ["start", "delay"], []))
+    wanted = {"alignment": (["alignment"], ["duration"]), "delay": (["start", "delay"], [])}
+    return runmetrics.path_max(leaves, ["event_id"], wanted).unpivot(
+        "event_id", list(wanted), "what", "max_number"
+    )
 
 
 def _payloads(spark: SparkSession, sf: str) -> DataFrame:

@@ -53,7 +53,7 @@ def orders_feed(orders: DataFrame) -> DataFrame:
     last = (
         F.when(status == "O", 0).when(status != "P", 1).when(key % 3 == 0, 3).otherwise(2).alias("last")
     )
-    base_ms = F.floor(S.epoch_micros(F.col("o_orderdate")) / 1000)
+    base_ms = S.floor_div(S.epoch_micros(F.col("o_orderdate")), 1000)
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     steps = orders.select(
         key,
@@ -123,7 +123,7 @@ def events_feed(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return _envelopes(
         linked.filter(~error | live),
         op=F.when(error, "d").when(live, "u").otherwise("c"),
-        ts_ms=F.floor(F.col("micros") / 1000),
+        ts_ms=S.floor_div(F.col("micros"), 1000),
         before=F.when(live, prior),
         after=F.when(~error, now),
         seq=F.col("event_id"),

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import random
+import statistics
+
 import pytest
+from conftest import rows
 
 from changeflow.operators import maintain as M
 
@@ -21,6 +25,18 @@ def test_size_stats(spark, sizes, median):
     assert s["max_file_size_bytes"] == max(sizes, default=0)
 
 
+def test_exact_median_against_sorting(spark):
+    rng = random.Random(9)
+    data = [(rng.choice("aaab"), rng.choice([rng.randrange(-50, 50), rng.randrange(10**12)])) for _ in range(401)]
+    data += [("one", 7), ("two", -3), ("two", 4), ("none", None)]
+    got = dict(rows(M.exact_median(spark.createDataFrame(data, "g string, v bigint"), "v", ("g",))))
+    want = {
+        g: float(statistics.median([v for h, v in data if h == g and v is not None]))
+        for g in ("a", "b", "one", "two")
+    }
+    assert got == want
+
+
 def test_median_timing(spark):
     df = spark.createDataFrame([(1_234_567,), (2_000_000,), (9_000_000,), (2_000_001,)], "ns bigint")
     assert M.median_ms(df, "ns").first()["median_ms"] == 2.0

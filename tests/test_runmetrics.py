@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -100,8 +101,9 @@ def test_run_summary(spark):
     assert not s["passed"]
 
 
-def test_interval_max_against_brute_force(spark):
-    import random
+@pytest.mark.parametrize("broadcast_limit", [0, 500_000])
+def test_interval_max_against_brute_force(spark, monkeypatch, broadcast_limit):
+    monkeypatch.setattr(M, "BROADCAST_SLICES", broadcast_limit)
 
     rng = random.Random(5)
     points = [("j" if rng.random() < 0.5 else "k", T0 + timedelta(seconds=rng.randrange(50_000)), float(i)) for i in range(300)]
@@ -168,8 +170,8 @@ def test_numbers_in_nested_json(spark):
         ("tasks.t1.subtasks.1.alignment.duration", 8.5),
     ]
     assert rows(leaves.filter("k = 3"), "path", "number") == [("", 5.0)]
-    assert rows(M.path_max(leaves.filter("k = 1"), ["k"], ["alignment"], ["duration"])) == [(1, 8.5)]
-    assert rows(M.path_max(leaves.filter("k = 1"), ["k"], ["start", "delay"], [])) == [(1, 2.0)]
+    wanted = {"a": (["alignment"], ["duration"]), "d": (["start", "delay"], []), "none": (["x"], [])}
+    assert rows(M.path_max(leaves.filter("k = 1"), ["k"], wanted)) == [(1, 8.5, 2.0, None)]
     with pytest.raises(PySparkException, match="too deep"):
         M.numeric_leaves(df, "doc", ["k"], 3).collect()
 
