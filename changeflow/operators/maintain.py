@@ -112,6 +112,26 @@ def planning_latency_ms(open_table, repetitions: int = 7) -> float:
     return round(statistics.median(times) / 1e6, 3)
 
 
+def file_layout(table, repetitions: int = 7) -> DataFrame:
+    """One row: files a reader opens, their sizes, commits it consults, planning time and tasks.
+
+    ``table`` is a change table. Planning time is reported, never judged here.
+    """
+    snapshot = table.latest_snapshot()
+    stats = size_stats(table.live_files(snapshot))
+    commits = table.live_commits(snapshot).agg(F.count(F.lit(1)).cast("int").alias("n")).first()["n"]
+    opened = table.open_files(snapshot)
+    return stats.select(
+        "*",
+        F.lit(commits + (snapshot is not None)).alias("commit_count"),
+        F.lit(planning_latency_ms(lambda: table.open_files(snapshot), repetitions)).alias(
+            "planning_latency_ms"
+        ),
+        F.lit(repetitions).alias("planning_repetitions"),
+        F.lit(planned_scan_tasks(opened)).alias("planned_file_scan_tasks"),
+    )
+
+
 def median_ms(timings: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Median of repeated nanosecond timings, in milliseconds with three decimals."""
     return exact_median(timings, column, by).select(

@@ -31,7 +31,7 @@ def _position(seq: Column) -> Column:
     )
 
 
-def _envelopes(rows: DataFrame, op: Column, ts_ms: Column, before: Column, after: Column, seq: Column) -> DataFrame:
+def envelopes(rows: DataFrame, op: Column, ts_ms: Column, before: Column, after: Column, seq: Column) -> DataFrame:
     """Envelope rows whose images are built once.
 
     A plain projection would be folded into every predicate that looks into an image, and build
@@ -79,7 +79,7 @@ def orders_feed(orders: DataFrame) -> DataFrame:
     k = F.col("k")
     now, prior = image(k), image(k - 1)
     seq = F.col("o_orderkey") * 4 + k
-    return _envelopes(
+    return envelopes(
         steps,
         op=F.when(k == 0, "c").when(k == 3, "d").otherwise("u"),
         ts_ms=F.col("base_ms") + 1000 * k + 250,
@@ -120,7 +120,7 @@ def events_feed(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     error = F.col("event_type") == "error"
     now = image(F.col("event_id"), F.col("event_type"), F.col("cents"), F.col("micros"))
     prior = image(prev["event_id"], prev["event_type"], prev["cents"], prev["micros"])
-    return _envelopes(
+    return envelopes(
         linked.filter(~error | live),
         op=F.when(error, "d").when(live, "u").otherwise("c"),
         ts_ms=S.floor_div(F.col("micros"), 1000),
@@ -133,7 +133,7 @@ def events_feed(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
 def snapshot_feed(rows: DataFrame) -> DataFrame:
     """The initial read of a source table: one ``r`` envelope per row, before any log position."""
     image = F.struct(*rows.columns)
-    return _envelopes(
+    return envelopes(
         rows,
         op=F.lit("r"),
         ts_ms=F.lit(None).cast("bigint"),
@@ -242,7 +242,7 @@ def scenario_feed(instances: DataFrame) -> DataFrame:
         )
 
     op = F.col("op")
-    return _envelopes(
+    return envelopes(
         rows,
         op=op,
         ts_ms=order_id + F.col("step"),

@@ -212,23 +212,36 @@ class ChangeTable:
             self.spark.read.schema(COVERAGE).json(f"{at}/coverage"),
         )
 
+    def live_commits(self, snapshot_id: int | None) -> DataFrame:
+        """Committed batches that ``snapshot_id`` does not cover; all of them without one."""
+        commits = self.commits()
+        if snapshot_id is None:
+            return commits
+        _, coverage = self._snapshot(snapshot_id)
+        # One plain comparison, so that the planner sees a selective filter and lets the commits
+        # prune batch folders when the changes are read.
+        newer = F.col("batch_id") > F.coalesce("upto", F.lit(-1))
+        return commits.join(coverage, "writer_id", "left").filter(newer).drop("upto")
+
+    def _changes_of(self, commits: DataFrame) -> DataFrame:
+        batches = commits.select("writer_id", "batch_id")
+        return self.stored().join(batches, ["writer_id", "batch_id"], "left_semi").select(*CHANGE_COLUMNS)
+
+    def open_files(self, snapshot_id: int | None) -> DataFrame:
+        """Every row a reader of the keyed table scans, before merging."""
+        tail = self._changes_of(self.live_commits(snapshot_id))
+        return tail if snapshot_id is None else self._snapshot(snapshot_id)[0].unionByName(tail)
+
     def latest_changes(self) -> DataFrame:
         """Newest committed change per key, deletes included."""
         found = self.latest_snapshot()
+        newer = self.live_commits(found)
+        tail = self._changes_of(newer)
         if found is None:
-            return state.latest_by_key(self.committed_changes().select(*CHANGE_COLUMNS), keep_deletes=True)
-        rows, coverage = self._snapshot(found)
-        newer = (
-            self.commits()
-            .join(coverage, "writer_id", "left")
-            .filter(F.col("upto").isNull() | (F.col("batch_id") > F.col("upto")))
-            .select("writer_id", "batch_id", "rows")
-        )
-        tail = self.stored().join(newer.drop("rows"), ["writer_id", "batch_id"], "left_semi")
+            return state.latest_by_key(tail, keep_deletes=True)
+        rows, _ = self._snapshot(found)
         tail_rows = newer.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-        if tail_rows == 0:
-            return rows
-        return state.snapshot_plus_tail(rows, tail.select(*CHANGE_COLUMNS), int(tail_rows))
+        return state.snapshot_plus_tail(rows, tail, int(tail_rows)) if tail_rows else rows
 
     def current(self) -> DataFrame:
         """The keyed table: eight columns, one row per live key."""
@@ -249,38 +262,24 @@ class ChangeTable:
             1
         ).write.mode("overwrite").json(f"{at}/coverage")
         coverage = self.spark.read.schema(COVERAGE).json(f"{at}/coverage")
-        before = self.live_files(previous)
-        covered = (
-            self.commits()
-            .join(coverage, "writer_id")
-            .filter("batch_id <= upto")
-            .select("writer_id", "batch_id")
-        )
-        if previous is None:
-            rows = self.stored().join(covered, ["writer_id", "batch_id"], "left_semi")
-            newest = state.latest_by_key(rows.select(*CHANGE_COLUMNS), keep_deletes=True)
-        else:
-            old, old_coverage = self._snapshot(previous)
-            fresh = (
-                covered.join(old_coverage, "writer_id", "left")
-                .filter(F.col("upto").isNull() | (F.col("batch_id") > F.col("upto")))
-                .select("writer_id", "batch_id")
-            )
-            tail = self.stored().join(fresh, ["writer_id", "batch_id"], "left_semi")
-            newest = state.latest_by_key(
-                old.unionByName(tail.select(*old.columns)), keep_deletes=True
-            )
-        bytes_in = before.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-        files = max(1, math.ceil(bytes_in / target_bytes))
+        size = self.live_files(previous).agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")
+        ).first()
+        covered = self.live_commits(previous).join(coverage, "writer_id").filter("batch_id <= upto")
+        newest = self._changes_of(covered)
+        if previous is not None:
+            newest = self._snapshot(previous)[0].unionByName(newest)
+        newest = state.latest_by_key(newest, keep_deletes=True)
+        files = max(1, math.ceil(size["b"] / target_bytes))
         wrote = Observation()
-        # coalesce, not repartition: the aggregate has just spread the keys, so files of the
-        # wanted number come without another shuffle of the table.
+        # coalesce, not repartition: the aggregate has just spread the keys evenly, so files of
+        # the wanted number come without another shuffle. Above the number of shuffle partitions
+        # it does nothing, and each partition is a file.
         out = newest.coalesce(files).observe(wrote, F.count(F.lit(1)).alias("rows"))
         self._writer(out).parquet(f"{at}/rows")
         now = datetime.now(timezone.utc).isoformat(timespec="milliseconds")
         row = {"snapshot_id": snapshot_id, "rows": wrote.get["rows"], "created_at": now}
         self._publish(self.path("snapshot_log", f"{snapshot_id}.json"), row)
-        size = before.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
         added = self.files(f"{at}/rows").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).first()
         return {
             "snapshot_id": snapshot_id,
@@ -302,17 +301,10 @@ class ChangeTable:
             part("path", r"/writer_id=([^/]+)/", 1).alias("writer_id"),
             part("path", r"/batch_id=([0-9]+)/", 1).cast("bigint").alias("batch_id"),
         )
-        done = self.commits().select("writer_id", "batch_id")
+        keep = self.live_commits(snapshot_id).select("writer_id", "batch_id")
         if snapshot_id is None:
-            keep = done
             base = self.spark.createDataFrame([], DATA_FILE)
         else:
-            _, coverage = self._snapshot(snapshot_id)
-            keep = (
-                done.join(coverage, "writer_id", "left")
-                .filter(F.col("upto").isNull() | (F.col("batch_id") > F.col("upto")))
-                .drop("upto")
-            )
             base = self.files(self.path("snapshots", f"id={snapshot_id}", "rows"))
         return base.unionByName(
             rows.join(keep, ["writer_id", "batch_id"], "left_semi").select("path", "length")

@@ -148,6 +148,16 @@ def test_changes_committed_during_a_compaction_are_not_lost(table, feed, monkeyp
     assert rows(table.current()) == expected_current(feed)
 
 
+def test_a_tail_read_prunes_covered_batches(table, feed):
+    table.append_envelopes(day(feed, 0, 19730), "w", 0)
+    table.compact()
+    table.append_envelopes(day(feed, 19730, 30000), "w", 1)
+    tail = table._changes_of(table.live_commits(0))
+    plan = tail._jdf.queryExecution().sparkPlan().toString()
+    assert "dynamicpruning" in plan
+    assert tail.count() == 1586 - table.committed_changes(0).count()
+
+
 def test_compaction_on_top_of_a_snapshot(table, feed):
     table.append_envelopes(day(feed, 0, 19730), "w", 0)
     assert table.compact()["snapshot_id"] == 0
@@ -181,6 +191,18 @@ def test_file_sizes_can_be_tuned(spark, tmp_path, feed):
     assert maintain.data_files(spark, loaded).count() == 3
 
 
+def test_file_layout(table, feed):
+    for n in range(4):
+        table.append_envelopes(day(feed, 19723 + 8 * n, 19731 + 8 * n), "w", n)
+    before = maintain.file_layout(table, 3).first()
+    table.compact()
+    after = maintain.file_layout(table, 3).first()
+    assert (before["commit_count"], after["commit_count"]) == (4, 1)
+    assert before["data_file_count"] > after["data_file_count"] >= 1
+    assert before["planning_latency_ms"] > 0 and before["planning_repetitions"] == 3
+    assert before["planned_file_scan_tasks"] >= after["planned_file_scan_tasks"] >= 1
+
+
 def test_listing_reads_no_contents(spark, sf):
     files = maintain.data_files(spark, sf)
     assert files.count() == 14
