@@ -149,42 +149,41 @@ def path_max(
     return keyed.groupBy(*keys).agg(*aggs)
 
 
-def _listed(column: str) -> tuple[Column, Column]:
-    """Parsed document, and its completed checkpoints: the latest first, each id once."""
-    doc = F.from_json(column, CHECKPOINTS)
-    latest = doc["latest"]["completed"]
-    done = F.filter(
-        F.concat(
-            F.array(latest),
-            F.coalesce(
-                F.filter(doc["history"], lambda h: h["status"] == "COMPLETED"),
-                F.slice(F.array(latest), 1, 0),
-            ),
-        ),
-        lambda c: c["id"].isNotNull(),
-    )
-    # Histories are short lists inside one row, so repeats go without a shuffle.
+def _completed_lists(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """Per document the completed checkpoints, the latest one first, each id once (``done``).
+
+    Histories are short lists inside one row, so repeats go without a shuffle.
+    """
+    latest = F.array("d.latest.completed")
+    history = F.filter("d.history", lambda h: h["status"] == "COMPLETED")
+    listed = F.concat(latest, F.coalesce(history, F.slice(latest, 1, 0)))
+    done = F.col("done")
     once = F.filter(
         done, lambda c, i: ~F.exists(F.slice(done, F.lit(1), i), lambda earlier: earlier["id"] == c["id"])
     )
-    return doc, once
+    return (
+        payloads.select(*keys, F.from_json(column, CHECKPOINTS).alias("d"))
+        .select(*keys, F.filter(listed, lambda c: c["id"].isNotNull()).alias("done"))
+        .select(*keys, once.alias("done"))
+    )
 
 
-def completed_checkpoints(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """Completed checkpoints of each status document, each id once (the first kept)."""
-    _, once = _listed(column)
-    return payloads.select(*keys, F.explode(once).alias("c")).select(
+def _checkpoint(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.select(
         *keys, F.col("c.id").alias("checkpoint_id"), F.col("c.end_to_end_duration").alias("duration_ms")
     )
 
 
+def completed_checkpoints(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """Completed checkpoints of each status document, each id once (the first kept)."""
+    lists = _completed_lists(payloads, column, keys)
+    return _checkpoint(lists.select(*keys, F.explode("done").alias("c")), keys)
+
+
 def latest_completed(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """``latest.completed`` of each document, else the first completed entry of its history."""
-    _, once = _listed(column)
-    rows = payloads.select(*keys, F.try_element_at(once, F.lit(1)).alias("c"))
-    return rows.select(
-        *keys, F.col("c.id").alias("checkpoint_id"), F.col("c.end_to_end_duration").alias("duration_ms")
-    )
+    lists = _completed_lists(payloads, column, keys)
+    return _checkpoint(lists.select(*keys, F.try_element_at("done", F.lit(1)).alias("c")), keys)
 
 
 def first_per_id(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -111,7 +111,7 @@ class LoadProfile:
     poll_seconds: float = 0.5
 
 
-REWRITE_PROFILES = {"small": RewriteProfile(24, 24), "default": RewriteProfile(48, 40)}
+REWRITE_PROFILES = {"small": RewriteProfile(24, 24), "default": RewriteProfile(40, 40)}
 LOAD_PROFILES = {"small": LoadProfile(320, 8), "default": LoadProfile(600, 12)}
 
 
