@@ -101,7 +101,8 @@ def coerce_whole(value: Column, dtype: T.DataType, target: str) -> Column:
 
 def to_float(value: Column) -> Column:
     """Number or numeric text to double; anything else, booleans too, to null."""
-    return value.cast("string").try_cast("double")
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
 
 def padded_key(prefix: str, number: Column, width: int = 12) -> Column:

@@ -98,34 +98,28 @@ def numeric_leaves(
         *keys, F.lit("").alias("path"), F.lit("").alias("last"), F.try_parse_json(column).alias("v")
     )
     for _ in range(max_depth):
-        kind = F.schema_of_variant("v")
-        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-        step = rows.withColumn("_nested", F.coalesce(nested, F.lit(False)))
-        exploded = step.lateralJoin(
-            spark.tvf.variant_explode_outer(F.when(F.col("_nested").outer(), F.col("v").outer()))
-            .toDF("_pos", "_key", "_value")
+        # A leaf or an empty container gives one row without a position, and stays as it is.
+        exploded = rows.lateralJoin(
+            spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("_pos", "_key", "_value")
         )
+        child = F.col("_pos").isNotNull()
         name = F.coalesce("_key", F.col("_pos").cast("string"))
-        has = F.col("_nested") & name.isNotNull()
         rows = exploded.select(
             *keys,
-            F.when(has & (F.col("path") != ""), F.concat_ws(".", "path", name))
-            .when(has, name)
+            F.when(child, F.concat_ws(".", F.nullif("path", F.lit("")), name))
             .otherwise(F.col("path"))
             .alias("path"),
-            F.when(has, name).otherwise(F.col("last")).alias("last"),
-            F.when(F.col("_nested"), F.col("_value")).otherwise(F.col("v")).alias("v"),
-        )
-    kind = F.schema_of_variant("v")
-    deeper = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-    empty = F.to_json("v").isin("{}", "[]")
-    checked = rows.filter(
-        F.when(deeper & ~empty, F.raise_error(F.lit("document nests too deep")).cast("boolean")).otherwise(
-            F.lit(True)
+            F.when(child, name).otherwise(F.col("last")).alias("last"),
+            F.when(child, F.col("_value")).otherwise(F.col("v")).alias("v"),
         )
+    leaves = rows.withColumn("_kind", F.schema_of_variant("v")).filter("v is not null")
+    nested = F.col("_kind").rlike("^(OBJECT|ARRAY)") & ~F.to_json("v").isin("{}", "[]")
+    fits = F.when(nested, F.raise_error(F.lit("document nests too deep")).cast("boolean")).otherwise(True)
+    text = F.try_variant_get("v", "$", "string")
+    number = F.when(F.col("_kind") != "BOOLEAN", S.to_float(text))
+    return leaves.filter(fits).select(*keys, "path", "last", number.alias("number")).filter(
+        "number is not null"
     )
-    number = F.when(kind != "BOOLEAN", S.to_float(F.try_variant_get("v", "$", "string")))
-    return checked.select(*keys, "path", "last", number.alias("number")).filter("number is not null")
 
 
 def path_max(
@@ -177,7 +171,9 @@ def _checkpoint(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def completed_checkpoints(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Completed checkpoints of each status document, each id once (the first kept)."""
     lists = _completed_lists(payloads, column, keys)
-    return _checkpoint(lists.select(*keys, F.explode("done").alias("c")), keys)
+    # Outer, so that no predicate on the list is inferred and the list computed twice.
+    rows = lists.select(*keys, F.explode_outer("done").alias("c")).filter("c is not null")
+    return _checkpoint(rows, keys)
 
 
 def latest_completed(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
