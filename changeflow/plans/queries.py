@@ -334,20 +334,29 @@ def stream_recovered_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def damage(rows: DataFrame) -> DataFrame:
-    """A wrong copy of a table, by rule: rows lost, amounts changed, rows doubled, ghosts added."""
+    """A wrong copy of a table, by rule: rows lost, amounts changed, rows doubled, ghosts added.
+
+    One pass: every row says which copies of it exist. (Outer, so that no predicate moves below
+    the aggregate that made ``rows``, and its shuffle can be shared with the right table.)
+    """
     key = F.col("order_id")
-    kept = rows.filter(key % 17 != 3).withColumn(
-        "amount_cents", F.col("amount_cents") + F.when(key % 19 == 5, 1).otherwise(0)
-    )
-    copies = F.when(key % 23 == 7, 2).otherwise(1)
-    doubled = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
-    ghosts = rows.filter(key % 29 == 11).select(
-        (-key - 1).alias("order_id"),
+    kept, ghost = key % 17 != 3, F.lit("ghost")
+    copies = F.array(
+        F.when(kept, "kept"), F.when(kept & (key % 23 == 7), "again"), F.when(key % 29 == 11, ghost)
+    )
+    out = rows.withColumn("_copy", F.explode_outer(F.array_compact(copies))).filter("_copy is not null")
+    is_ghost = F.col("_copy") == ghost
+    changed = F.when(~is_ghost & (key % 19 == 5), 1).otherwise(0)
+    return out.select(
+        F.when(is_ghost, -key - 1).otherwise(key).alias("order_id"),
         "business_key",
-        (-F.col("event_id") - 1).alias("event_id"),
-        *CURRENT_COLUMNS[3:],
+        F.when(is_ghost, -F.col("event_id") - 1).otherwise(F.col("event_id")).alias("event_id"),
+        "customer_id",
+        "status",
+        (F.col("amount_cents") + changed).alias("amount_cents"),
+        "updated_at",
+        "seed",
     )
-    return doubled.unionByName(ghosts)
 
 
 @query
