@@ -11,24 +11,28 @@ from changeflow.schemas import CHANGELOG_COLUMNS, CURRENT_COLUMNS, ORDER_FIELDS
 
 # Envelope operations and the row kinds and names they become.
 HANDLED_OPS = ("c", "r", "u", "d")
-INSERT, UPDATE_BEFORE, UPDATE_AFTER, DELETE = "+I", "-U", "+U", "-D"
+UPDATE_BEFORE, DELETE = "-U", "-D"  # beside "+I" and "+U"
 
 # A binary-log position packs into one long: file number, offset in the file, row in the event.
 POS_BITS, ROW_BITS = 32, 12
 
 
-def log_position(source: Column) -> Column:
-    """One ordered number per change. Null where the parts are missing or do not fit.
+def log_position() -> Column:
+    """One ordered number per change from ``source``. Null where parts are missing or do not fit.
 
     Log files are named ``<base>.<number>``. Without a file name the offset itself is the
     position (one log, one row per event).
     """
-    file_no = F.substring_index(source["file"], ".", -1).try_cast("bigint")
-    pos, row = source["pos"], F.coalesce(source["row"].cast("bigint"), F.lit(0).cast("bigint"))
-    fits = file_no.between(0, (1 << (63 - POS_BITS - ROW_BITS)) - 1)
-    fits &= pos.between(0, (1 << POS_BITS) - 1) & row.between(0, (1 << ROW_BITS) - 1)
-    packed = F.shiftleft(file_no, POS_BITS + ROW_BITS) + F.shiftleft(pos, ROW_BITS) + row
-    return F.when(source["file"].isNull(), pos).when(fits, packed)
+    file_no = "try_cast(substring_index(source.file, '.', -1) AS bigint)"
+    row = "coalesce(CAST(source.row AS bigint), 0L)"
+    return F.expr(
+        f"""CASE WHEN source.file IS NULL THEN source.pos
+            WHEN {file_no} BETWEEN 0 AND {(1 << (63 - POS_BITS - ROW_BITS)) - 1}
+             AND source.pos BETWEEN 0 AND {(1 << POS_BITS) - 1}
+             AND {row} BETWEEN 0 AND {(1 << ROW_BITS) - 1}
+            THEN shiftleft({file_no}, {POS_BITS + ROW_BITS}) + shiftleft(source.pos, {ROW_BITS}) + {row}
+        END"""
+    )
 
 
 def _image_types(df: DataFrame, name: str) -> dict[str, T.DataType]:
@@ -76,17 +80,18 @@ def is_good(envelopes: DataFrame) -> Column:
     """Envelopes that decode without loss. Kept to null checks: it runs for every record."""
 
     def whole(image: str) -> Column:
-        ok = F.col(image).isNotNull()
-        for _, bad in _unreadable(envelopes, image):
-            ok = ok & ~bad
+        types = _image_types(envelopes, image)
+        plain = [f for f, target in ORDER_FIELDS if types[f].simpleString() == target]
+        ok = F.expr(" AND ".join(f"{x} IS NOT NULL" for x in [image, *[f"{image}.{f}" for f in plain]]))
+        for field, target in ORDER_FIELDS:
+            if field not in plain:
+                ok = ok & _coerced(F.col(image), field, target, types[field]).isNotNull()
         return ok
 
-    op = F.col("op")
-    before = F.when(op.isin("u", "d"), whole("before")).otherwise(True)
-    after = F.when(op.isin("c", "r", "u"), whole("after")).otherwise(True)
-    known = F.coalesce(op.isin(*HANDLED_OPS), F.lit(False))
-    placed = log_position(F.col("source")).isNotNull()
-    return known & _corrupt(envelopes).isNull() & before & after & placed
+    before = F.when(F.expr("op IN ('u', 'd')"), whole("before")).otherwise(True)
+    after = F.when(F.expr("op IN ('c', 'r', 'u')"), whole("after")).otherwise(True)
+    known = F.expr("coalesce(op IN ('c', 'r', 'u', 'd'), false)")
+    return known & _corrupt(envelopes).isNull() & before & after & log_position().isNotNull()
 
 
 def reject_reason(envelopes: DataFrame) -> Column:
@@ -111,7 +116,7 @@ def reject_reason(envelopes: DataFrame) -> Column:
         ),
         F.when(needs_before & before.isNull(), F.lit("missing before image")),
         F.when(needs_after & after.isNull(), F.lit("missing after image")),
-        F.when(known & log_position(source).isNull(), F.lit("no usable log position")),
+        F.when(known & log_position().isNull(), F.lit("no usable log position")),
     )
 
 
@@ -133,25 +138,29 @@ def rejects(envelopes: DataFrame) -> DataFrame:
     return envelopes.filter(~is_good(envelopes) & ~is_ignored(envelopes)).select(
         reject_reason(envelopes).alias("reject_reason"),
         "op",
-        log_position(F.col("source")).alias("_seq"),
+        log_position().alias("_seq"),
         F.coalesce(_corrupt(envelopes), whole).alias("raw"),
     )
 
 
-def _image_row(envelopes: DataFrame, image: Column) -> list[Column]:
-    """The eight table columns of one image. Called once per plan, after the fan-out."""
+def _image_row(envelopes: DataFrame) -> list[Column]:
+    """The eight table columns of ``image``. Called once per plan, after the fan-out."""
     types = _image_types(envelopes, "after")
     return [
-        _coerced(image, field, target, types[field]).alias(field) for field, target in ORDER_FIELDS
+        F.col(f"image.{field}")
+        if types[field].simpleString() == target
+        else _coerced(F.col("image"), field, target, types[field]).alias(field)
+        for field, target in ORDER_FIELDS
     ]
 
 
-def _row_of(kind: str, operation: str, img: int) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.lit(operation).alias("operation"),
-        F.lit(img).cast("tinyint").alias("img"),
-    )
+# The rows an operation gives: constants, so the fan-out copies nothing but references.
+_KINDS = """CASE op
+    WHEN 'u' THEN array(named_struct('kind', '-U', 'operation', 'update_before', 'img', 0Y),
+                        named_struct('kind', '+U', 'operation', 'update_after', 'img', 1Y))
+    WHEN 'd' THEN array(named_struct('kind', '-D', 'operation', 'delete', 'img', 0Y))
+    WHEN 'c' THEN array(named_struct('kind', '+I', 'operation', 'insert', 'img', 1Y))
+    ELSE array(named_struct('kind', '+I', 'operation', 'snapshot', 'img', 1Y)) END"""
 
 
 def changelog_rows(good: DataFrame) -> DataFrame:
@@ -160,28 +169,15 @@ def changelog_rows(good: DataFrame) -> DataFrame:
     The fan-out explodes constant lists of row kinds; images are picked and coerced behind it,
     so that code exists once however many rows an operation gives.
     """
-    op = F.col("op")
-    kinds = (
-        F.when(
-            op == "u",
-            F.array(
-                _row_of(UPDATE_BEFORE, "update_before", 0), _row_of(UPDATE_AFTER, "update_after", 1)
-            ),
-        )
-        .when(op == "d", F.array(_row_of(DELETE, "delete", 0)))
-        .when(op == "c", F.array(_row_of(INSERT, "insert", 1)))
-        .otherwise(F.array(_row_of(INSERT, "snapshot", 1)))
-    )
-    rows = good.select("before", "after", "ts_ms", "source", F.explode(kinds).alias("k"))
-    image = F.when(F.col("k.img") == 0, F.col("before")).otherwise(F.col("after"))
-    picked = rows.select(image.alias("image"), "ts_ms", "source", "k")
+    rows = good.selectExpr("before", "after", "ts_ms", "source", f"explode({_KINDS}) AS k")
+    picked = rows.selectExpr("IF(k.img = 0, before, after) AS image", "ts_ms", "source", "k")
     return picked.select(
-        *_image_row(good, F.col("image")),
-        F.col("k.kind").alias("cdc_row_kind"),
-        F.col("k.operation").alias("cdc_operation"),
-        F.col("ts_ms").alias("source_ts_ms"),
-        log_position(F.col("source")).alias("_seq"),
-        F.col("k.img").alias("_img"),
+        *_image_row(good),
+        F.expr("k.kind AS cdc_row_kind"),
+        F.expr("k.operation AS cdc_operation"),
+        F.expr("ts_ms AS source_ts_ms"),
+        log_position().alias("_seq"),
+        F.expr("k.img AS _img"),
     )
 
 
@@ -201,30 +197,20 @@ def decode_upserts(
     if rekey not in ("reference", "strict"):
         raise ValueError(f"rekey must be reference or strict, not {rekey!r}")
     good = good_envelopes(envelopes, mode)
-    op, is_delete = F.col("op"), F.col("op") == "d"
-    rows = good.select(
-        F.when(is_delete, F.col("before")).otherwise(F.col("after")).alias("image"),
-        "op",
-        "ts_ms",
-        "source",
-    )
+    rows = good.selectExpr("IF(op = 'd', before, after) AS image", "op", "ts_ms", "source")
     if rekey == "strict":
-        moved = (op == "u") & (F.col("before")["order_id"] != F.col("after")["order_id"])
-        old = good.filter(moved).select(
-            F.col("before").alias("image"), F.lit("d").alias("op"), "ts_ms", "source"
-        )
-        rows = rows.unionByName(old)
+        moved = good.filter("op = 'u' AND before.order_id <> after.order_id")
+        rows = rows.unionByName(moved.selectExpr("before AS image", "'d' AS op", "ts_ms", "source"))
     return rows.select(
-        *_image_row(envelopes, F.col("image")),
-        F.when(is_delete, DELETE).when(op == "u", UPDATE_AFTER).otherwise(INSERT).alias("cdc_row_kind"),
-        F.when(is_delete, "delete")
-        .when(op == "u", "update_after")
-        .when(op == "c", "insert")
-        .otherwise("snapshot")
-        .alias("cdc_operation"),
-        F.col("ts_ms").alias("source_ts_ms"),
-        log_position(F.col("source")).alias("_seq"),
-        F.when(is_delete, 0).otherwise(1).cast("tinyint").alias("_img"),
+        *_image_row(envelopes),
+        F.expr("CASE op WHEN 'd' THEN '-D' WHEN 'u' THEN '+U' ELSE '+I' END AS cdc_row_kind"),
+        F.expr(
+            """CASE op WHEN 'd' THEN 'delete' WHEN 'u' THEN 'update_after' WHEN 'c' THEN 'insert'
+                    ELSE 'snapshot' END AS cdc_operation"""
+        ),
+        F.expr("ts_ms AS source_ts_ms"),
+        log_position().alias("_seq"),
+        F.expr("CAST(IF(op = 'd', 0, 1) AS tinyint) AS _img"),
     )
 
 

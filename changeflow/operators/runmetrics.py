@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeflow.functions import scalars as S
-from changeflow.schemas import CHECKPOINTS
+from changeflow.schemas import CHECKPOINTS, SAMPLE
 
 # Metric names looked for (by normalised suffix), limits of the checks.
 SUFFIXES = {
@@ -318,6 +318,24 @@ def interval_max(
     )
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded samples, one JSON document per line."""
+    return spark.read.schema(SAMPLE).json(path)
+
+
+def flat_samples(samples: DataFrame) -> DataFrame:
+    """Nested sample documents to the columns the summary works on."""
+    return samples.selectExpr(
+        "sample_index",
+        "phase",
+        "checkpoint.duration_ms",
+        "checkpoint.alignment_time_ms",
+        "checkpoint.failed_count",
+        "backpressure.indicator",
+        "commit_lag.lag_events",
+    )
+
+
 def run_summary(
     samples: DataFrame, by: Sequence[str] = (), min_pressure: float = MIN_PRESSURE
 ) -> DataFrame:

@@ -181,7 +181,11 @@ def union_streams(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def dedup_stream(changes: DataFrame) -> DataFrame:
-    """Drop repeated deliveries of a change; the state store keeps the positions seen."""
+    """Drop repeated deliveries of a change.
+
+    The state store keeps every position seen, so it grows with the log: use the RocksDB store,
+    or leave it out, as latest-per-key reads are indifferent to repeats.
+    """
     return changes.dropDuplicates(["order_id", "_seq", "_img"])
 
 

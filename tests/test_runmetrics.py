@@ -188,3 +188,19 @@ def test_merged_samples(spark):
 def test_first_per_id(spark):
     df = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 5, "only")], "id string, at int, v string")
     assert rows(M.first_per_id(df, ["id"], "at"), "id", "v") == [("a", "early"), ("b", "only")]
+
+
+def test_recorded_samples(spark, tmp_path):
+    lag = [0, 9, 0]
+    docs = [
+        {
+            "sample_index": i, "phase": phase, "elapsed_ms": i * 1000,
+            "checkpoint": {"duration_ms": 20 + 100 * i, "alignment_time_ms": i, "failed_count": 0},
+            "backpressure": {"indicator": i / 10}, "commit_lag": {"lag_events": lag[i]},
+        }
+        for i, phase in enumerate(("baseline", "backpressure", "recovery"))
+    ]
+    path = tmp_path / "samples.json"
+    path.write_text("\n".join(json.dumps(d) for d in docs))
+    s = M.run_summary(M.flat_samples(M.read_samples(spark, str(path)))).first()
+    assert s["passed"] and s["load_max_lag_events"] == 9 and s["load_max_duration_ms"] == 220
