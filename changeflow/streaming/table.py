@@ -253,7 +253,8 @@ class ChangeTable:
         """Write the newest change per key as a new snapshot of files near ``target_bytes``.
 
         What the snapshot covers is fixed first. Batches committed while it is being written are
-        not in it and stay in the tail, so no change is lost. Old files are left in place.
+        not in it and stay in the tail, so no change is lost. Old files are left in place. Run one
+        compaction of a table at a time.
         """
         previous = self.latest_snapshot()
         snapshot_id = 0 if previous is None else previous + 1
