@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from changeflow.llm import packing, simhash
+from changeflow.llm import (
+    decontam,
+    htmltext,
+    langid,
+    licences,
+    neighbours,
+    packing,
+    secrets,
+    simhash,
+    tokencount,
+    tokenfile,
+)
 
 QUERIES = {
+    "op1_html": htmltext.op1_html,
     "op2_simhash": simhash.op2_simhash,
+    "op3_token_counts": tokencount.op3_token_counts,
+    "op4_decontamination": decontam.op4_decontamination,
+    "op5_token_files": tokenfile.op5_token_files,
+    "op6_licences": licences.op6_licences,
+    "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
+    "op9_neighbours": neighbours.op9_neighbours,
+    "op10_langid": langid.op10_langid,
 }
 ORACLES: dict[str, str] = {}
