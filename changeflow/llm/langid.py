@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import ready, saved, table
+from changeflow.llm.common import SLICE, ready, saved, table
 from changeflow.llm.pieces import SPACE, distinct, runs, summed, vocabulary
 
 UNKNOWN = "und"
@@ -32,6 +32,8 @@ SMOOTH, STRANGE = 0.05, 1e-7
 SCALE = 20.0
 #: Longer words are read in stretches of this many letters.
 STRETCH = 64
+#: Words cut into pieces at a time.
+AT_ONCE = 10_000
 #: Words whose scores a worker keeps, and how often a run of texts must hold them.
 KEPT, OFTEN = 100_000, 3
 
@@ -89,6 +91,12 @@ def stretches(word: str) -> list[str]:
     return [word[at : at + STRETCH] for at in range(0, len(word), STRETCH)]
 
 
+def _add(sums: np.ndarray, to: np.ndarray, values: np.ndarray) -> None:
+    """Adds rows of values to rows of sums; equal targets stand together."""
+    firsts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    sums[to[firsts]] += np.add.reduceat(values, firsts, axis=0)
+
+
 def _forward(words: list[str], chances: np.ndarray, path: str | None) -> tuple:
     """Scaled forward sums: one row per place in a word, one column per language."""
     which, piece, start, end = found = matches(words, path)
@@ -100,17 +108,15 @@ def _forward(words: list[str], chances: np.ndarray, path: str | None) -> tuple:
     cuts = np.searchsorted(end, np.arange(1, (int(lengths.max()) if len(words) else 0) + 2))
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
-            to = places[which[a:b]] + end[a:b]
-            add = sums[places[which[a:b]] + start[a:b]] * scaled[a:b]
-            for k in range(sums.shape[1]):
-                sums[:, k] += np.bincount(to, add[:, k], len(sums)) if b - a > len(sums) // 4 else 0
-            if b - a <= len(sums) // 4:
-                np.add.at(sums, to, add)
+            _add(sums, places[which[a:b]] + end[a:b], sums[places[which[a:b]] + start[a:b]] * scaled[a:b])
     return found, lengths, places, scaled, sums
 
 
 def log_chances(words: list[str], chances: np.ndarray, path: str | None = None) -> np.ndarray:
     """Log probability of each word (row) in each language (column)."""
+    if len(words) > AT_ONCE:
+        cuts = range(0, len(words), AT_ONCE)
+        return np.concatenate([log_chances(words[at : at + AT_ONCE], chances, path) for at in cuts])
     if not words:
         return np.zeros((0, chances.shape[1]))
     parts = [stretches(w) for w in words]
@@ -126,6 +132,9 @@ def expected(words: list[str], counts: np.ndarray, chances: np.ndarray, path: st
 
     ``counts`` says how often each word occurs in each language.
     """
+    if len(words) > AT_ONCE:
+        cuts = range(0, len(words), AT_ONCE)
+        return sum(expected(words[at : at + AT_ONCE], counts[at : at + AT_ONCE], chances, path) for at in cuts)
     out = np.zeros_like(chances)
     parts = [stretches(w) for w in words]
     flat = [p for own in parts for p in own]
@@ -136,12 +145,12 @@ def expected(words: list[str], counts: np.ndarray, chances: np.ndarray, path: st
     back = np.zeros_like(sums)
     back[places + lengths] = 1.0
     # Backwards: pieces by falling start.
-    order = np.argsort(-start, kind="stable")
+    order = np.lexsort((which, -start))
     falling = start[order]
     cuts = np.flatnonzero(np.concatenate([[True], falling[1:] != falling[:-1], [True]])) if len(falling) else [0]
     for a, b in zip(cuts, cuts[1:], strict=False):
         some = order[a:b]
-        np.add.at(back, places[which[some]] + start[some], back[places[which[some]] + end[some]] * scaled[some])
+        _add(back, places[which[some]] + start[some], back[places[which[some]] + end[some]] * scaled[some])
     total = np.maximum(sums[places + lengths], 1e-300)
     share = sums[places[which] + start] * scaled * back[places[which] + end] / total[which] * weights[which]
     for k in range(out.shape[1]):
@@ -184,8 +193,9 @@ def learn(
         for batch in batches:
             counts: Counter = Counter()
             langs = batch.column(0).to_pylist()
-            for at, some in runs(batch.column(1)):
-                for lang, words in zip(langs[at:], _letters(some).to_pylist(), strict=False):
+            for at in range(0, batch.num_rows, SLICE):
+                cut = _letters(batch.column(1).slice(at, SLICE)).to_pylist()
+                for lang, words in zip(langs[at:], cut, strict=False):
                     counts.update((lang, w) for w in words if w)
             keys = list(counts)
             yield pa.RecordBatch.from_arrays(
@@ -276,8 +286,6 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", model_path
     """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value, model_path)

@@ -14,7 +14,7 @@ VOCABULARY = "piece_bpe_32k.model"
 #: What stands for a space in pieces.
 SPACE = "▁"
 #: Bytes of text that are cut at a time.
-AT_ONCE = 12 << 20
+AT_ONCE = 8 << 20
 
 
 @functools.lru_cache(maxsize=4)
