@@ -206,7 +206,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 columns += [pa.array(got.counts), pa.array(crc, pa.int64()), own]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    files = ready(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = ready(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = files.where("length > 0").select("content")
     ddl = "task long, doc_id long, inside long, n_tokens long, ids_crc32 long, ids array<int>"
     found = files.mapInArrow(run, ddl)
     found = saved(found if with_ids else found.drop("ids"), "tokens")
