@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from changeflow.operators import evidence, maintain, reconcile
 from changeflow.plans import sqlapi
+from changeflow.schemas import CURRENT_COLUMNS
 from changeflow.session import build_session, run_dir
 from changeflow.sources import feeds, readers
 from changeflow.streaming import ingest, verify
@@ -40,9 +41,12 @@ def _parser() -> argparse.ArgumentParser:
     command("layout", "file layout of a table", "base", repetitions=7)
     command("compact", "write a compacted snapshot", "base", target_bytes=128 * 1024 * 1024)
     command("reconcile", "compare a table with its source rows", "base", "source")
-    command("verify", "induce failures and reconcile", failure="all", runs=1, out=None)
-    command("rewrite", "small files before and after compaction", profile="small", out=None)
-    command("load", "metrics of a run under load", profile="small", out=None)
+    failing = command("verify", "induce failures and reconcile", runs=1, out=None)
+    failing.add_argument("--failure", nargs="+", choices=sqlapi.FAILURE_CLASSES, default=[*sqlapi.FAILURE_CLASSES])
+    rewrite = verify.RewriteProfile()
+    command("rewrite", "small files before and after compaction", batches=rewrite.batches, rows=rewrite.rows_per_batch, out=None)
+    load = verify.LoadProfile()
+    command("load", "metrics of a run under load", events=load.spike_events, files=load.files, out=None)
     return parser
 
 
@@ -58,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
 
     def record(results, name: str) -> None:
         if args.out:
-            stamp = evidence.provenance(f"changeflow {name}", "", began)
+            stamp = evidence.provenance(spark, f"changeflow {name}", "", began)
             evidence.write_record(results.coalesce(1), stamp, args.out)
 
     if args.command == "generate":
@@ -92,10 +96,12 @@ def main(argv: list[str] | None = None) -> int:
         target = ChangeTable(spark, args.base).current()
         diff = reconcile.snapshot_diff(readers.source_rows(spark, args.source), target)
         counts = diff.groupBy("side").count().collect()
+        for row in diff.orderBy(*CURRENT_COLUMNS, "side").toLocalIterator():
+            _show([row])
         _show(counts)
         return 1 if counts else 0
     elif args.command == "verify":
-        classes = sqlapi.parse_choices(args.failure, sqlapi.FAILURE_CLASSES)
+        classes = list(dict.fromkeys(args.failure))
         runs = spark.range(args.runs).withColumnRenamed("id", "scenario_id")
         results = verify.verify_failures(spark, classes, runs, run_dir(spark, "verify"))
         rows = results.collect()
@@ -106,14 +112,14 @@ def main(argv: list[str] | None = None) -> int:
         good = summary.first()
         return 0 if all(good[c] for c in good.asDict() if c.startswith(("passed", "all_"))) else 1
     elif args.command == "rewrite":
-        profile = verify.profile_of(verify.REWRITE_PROFILES, args.profile)
+        profile = verify.RewriteProfile(args.batches, args.rows)
         result = spark.createDataFrame(
             rows := verify.rewrite_small_files(spark, profile, run_dir(spark, "rewrite")).collect(),
         )
         _show(rows)
         record(result, "rewrite")
     elif args.command == "load":
-        profile = verify.profile_of(verify.LOAD_PROFILES, args.profile)
+        profile = verify.LoadProfile(args.events, args.files)
         samples, summary = verify.run_under_load(spark, profile, run_dir(spark, "load"))
         _show(samples.collect())
         _show(summary.collect())

@@ -10,9 +10,15 @@ from pyspark.sql import types as T
 MICROS_THRESHOLD = 100_000_000_000_000  # epoch numbers below this magnitude are milliseconds
 TS_MS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 NULL_TEXT = "NULL"
+# A line of the public text exposition format: a name, label pairs in braces whose quoted values may
+# hold anything, a number, and perhaps a time.
+LABEL_PAIR = r'([a-zA-Z_]\w*)\s*=\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+_PAIRS = LABEL_PAIR.replace("([a-zA-Z_]", "(?:[a-zA-Z_]").replace('"([^', '"(?:[^')
+_READING = r"[-+]?(?:\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?|(?i:inf(?:inity)?|nan))"
 METRIC_LINE = (
-    r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+"
-    r"([-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+    r"^([a-zA-Z_:][\w:]*)"
+    rf"(?:\s*\{{\s*((?:{_PAIRS}\s*,?\s*)*)\}}\s*|\s+)"
+    rf"({_READING})(?:\s+[-+]?\d+)?$"
 )
 # "T" or a blank between date and time, 0 to 6 fraction digits; or an instant that ends in "Z"
 TIMESTAMP_TEXT = (
@@ -163,25 +169,38 @@ def alignment_ms(value: Column, name: Column) -> Column:
 
 
 def labels_map(raw: Column) -> Column:
-    """``k="v",…`` to a map; parts without ``=`` are dropped, quotes and escapes removed."""
-    parts = F.filter(F.split(raw, ","), lambda p: F.contains(p, F.lit("=")))
-
-    def entry(part: Column) -> Column:
-        cut = F.instr(part, "=")
-        key = F.trim(F.substring(part, F.lit(1), cut - 1))
-        value = F.regexp_replace(F.trim(F.substring(part, cut + 1, F.length(part))), r'^"+|"+$', "")
-        value = F.replace(F.replace(value, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
-        return F.struct(key.alias("key"), value.alias("value"))
-
-    entries = F.transform(parts, entry)
-    # A repeated label keeps its last value, as a plain map assignment would.
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
+    """``k="v",…`` to a map, escapes resolved; what is no label pair is dropped.
+
+    A repeated label keeps its last value.
+    """
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(raw, F.lit(LABEL_PAIR), F.lit(1)).alias("key"),
+        F.regexp_extract_all(raw, F.lit(LABEL_PAIR), F.lit(2)).alias("value"),
+    )
+
+    def plain(value: Column) -> Column:
+        for text, stands_for in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\x00", "\\")):
+            value = F.replace(value, F.lit(text), F.lit(stands_for))
+        return value
+
+    later = F.filter(
+        pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
     )
-    keys = entries["key"]
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
+    return F.map_from_entries(F.transform(later, lambda p: F.struct(p["key"], plain(p["value"]))))
+
+
+def json_depth(text: Column) -> Column:
+    """How deep brackets nest in JSON text, strings left out."""
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, bracket: Column) -> Column:
+        move = F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        now = state["now"] + move
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.coalesce(F.aggregate(steps, start, step, lambda state: state["most"]), F.lit(0))
 
 
 def state_path(path: Column) -> Column:

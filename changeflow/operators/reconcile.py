@@ -77,50 +77,49 @@ def column_diff(
 ) -> DataFrame:
     """Per key: missing, unexpected, changed (with the first differing column) or repeated.
 
-    One group per key holds one row of each side, so repeated keys never pair up. Where a side
-    has several different rows for a key, the largest stands for it and ``repeated`` is set.
+    Copies of each row are counted on both sides first, then folded to the key: a key whose rows
+    differ on the sides is ``changed`` even if it has as many rows on both; ``repeated`` means the
+    same rows in other numbers. ``first_column`` compares the largest row that one side has too
+    many of with the largest of the other. Only sums and single rows leave a task.
     """
     values = [c for c in columns if c != key]
-    row = F.struct(*values)
-    left = normalise(source, columns).select(key, row.alias("_sr"), F.lit(None).cast(_type(row, source, columns)).alias("_tr"))
-    right = normalise(target, columns).select(key, F.lit(None).cast(_type(row, target, columns)).alias("_sr"), row.alias("_tr"))
-    grouped = (
-        left.unionByName(right)
+    s, t, row = F.col("source_copies"), F.col("target_copies"), F.struct(*values)
+    folded = (
+        side_counts(source, target, columns)
         .groupBy(key)
         .agg(
-            F.max("_sr").alias("_sr"),
-            F.max("_tr").alias("_tr"),
-            F.count("_sr").alias("source_copies"),
-            F.count("_tr").alias("target_copies"),
+            F.sum(s).alias("source_copies"),
+            F.sum(t).alias("target_copies"),
+            F.max((s > 0) != (t > 0)).alias("_changed"),
+            F.max(s != t).alias("_differs"),
+            F.max(F.when(s > t, row)).alias("_sr"),
+            F.max(F.when(t > s, row)).alias("_tr"),
         )
     )
-    differs = F.coalesce(
+    both = (s > 0) & (t > 0)
+    paired = F.col("_sr").isNotNull() & F.col("_tr").isNotNull()
+    first = F.coalesce(
         *[F.when(~F.col("_sr")[c].eqNullSafe(F.col("_tr")[c]), F.lit(c)) for c in values]
     )
     kind = (
-        F.when(F.col("target_copies") == 0, "missing")
-        .when(F.col("source_copies") == 0, "unexpected")
-        .when(differs.isNotNull(), "changed")
-        .when(F.col("source_copies") != F.col("target_copies"), "repeated")
+        F.when(t == 0, "missing")
+        .when(s == 0, "unexpected")
+        .when(F.col("_changed"), "changed")
+        .when(F.col("_differs"), "repeated")
     )
-    both = (F.col("source_copies") > 0) & (F.col("target_copies") > 0)
     return (
-        grouped.withColumn("kind", kind)
+        folded.withColumn("kind", kind)
         .filter("kind is not null")
         .select(
             key,
             "kind",
-            F.when(both, differs).alias("first_column"),
+            F.when(both & paired, first).alias("first_column"),
             "source_copies",
             "target_copies",
         )
     )
 
 
-def _type(row: Column, df: DataFrame, columns: Sequence[str]):
-    return normalise(df, columns).select(row.alias("r")).schema["r"].dataType
-
-
 def _side(df: DataFrame, id_column: str, flag: str) -> DataFrame:
     flags = ["_source", "_target", "_expected", "_log", "_expected_log"]
     return df.select(

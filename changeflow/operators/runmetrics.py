@@ -87,12 +87,15 @@ def reporter_snapshot(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def numeric_leaves(
-    docs: DataFrame, column: str, keys: Sequence[str], max_depth: int = 12
+    docs: DataFrame, column: str, keys: Sequence[str], max_depth: int | None = None
 ) -> DataFrame:
-    """Every number in JSON text with its dotted path. Fails if a document nests deeper.
+    """Every number in JSON text with its dotted path.
 
-    One lateral explode per level; rows that are already leaves pass through.
+    One lateral explode per level of the deepest document, which is measured first; rows that are
+    already leaves pass through. With ``max_depth`` a document that nests deeper stops the job.
     """
+    if max_depth is None:
+        max_depth = docs.agg(F.max(S.json_depth(F.col(column)))).first()[0] or 0
     spark = docs.sparkSession
     rows = docs.select(
         *keys, F.lit("").alias("path"), F.lit("").alias("last"), F.try_parse_json(column).alias("v")

@@ -286,6 +286,7 @@ ORACLES: dict[str, str] = {
         FROM ord_log WHERE cdc_row_kind = '+I'""",
     "replay_once": f"WITH {_ORD_LOG} SELECT {_COLS}, cdc_row_kind, cdc_operation, source_ts_ms FROM ord_log",
     "compacted_state": f"WITH {_ORD_LOG} {_current('ord_log')}",
+    "late_batch_state": f"WITH {_ORD_LOG} {_current('ord_log')}",
     "commit_summary": f"""WITH {_ORD_LOG},
         steps AS (SELECT DISTINCT order_id AS k, _seq, cdc_row_kind = '+I' AS c FROM ord_log),
         -- a garbled operation is no create any more, so it travels in the second batch
@@ -320,6 +321,9 @@ ORACLES: dict[str, str] = {
                coalesce(d.n, 0) AS target_copies
         FROM cur c FULL JOIN d ON c.order_id = d.order_id
         WHERE d.order_id IS NULL OR c.order_id IS NULL OR c.amount_cents <> d.amount OR d.n > 1""",
+    "column_diff_copies": f"""WITH {_DAMAGED}
+        SELECT order_id, 'changed' AS kind, 'amount_cents' AS first_column, CAST(2 AS BIGINT) AS source_copies,
+               CAST(2 AS BIGINT) AS target_copies FROM cur WHERE order_id % 5 = 0""",
     "event_id_audit": f"""WITH {_DAMAGED}, {_SHORT_LOG}
         SELECT 'clean' AS target, {_audit('cur', 'ord_log')}
         UNION ALL SELECT 'damaged', {_audit('dam', 'short_log')}""",
@@ -518,20 +522,22 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT file_name, 'a result lacks a numeric snapshot_diff_count' FROM r WHERE p = '3-MEDIUM' AND s = 'F'
         UNION ALL SELECT file_name, o.f || ' is not an object' FROM r, (VALUES {_OBJ}) o(f) WHERE p = '5-LOW' AND s = 'O'
         UNION ALL SELECT file_name, 'check failed or missing: ' || c.f FROM r, (VALUES {_CHK}) c(f)
-                  WHERE s = 'O' AND (p = '5-LOW' OR (p = '3-MEDIUM' AND c.f = 'commit_count_decreased'))""",
+                  WHERE s = 'O' AND (p = '5-LOW' OR (p IN ('2-HIGH', '3-MEDIUM') AND c.f = 'commit_count_decreased'))""",
     "artifact_index": """
-        SELECT 'r' || o_orderkey || '.json' AS file_name, CAST(NULL AS VARCHAR) AS phase, 'r' || o_orderkey AS run_id,
+        SELECT 'r' || o_orderkey || '.json' AS file_name, CAST(NULL AS VARCHAR) AS phase, 'r' || o_orderkey AS title,
+               'r' || o_orderkey AS run_id,
                CASE WHEN o_orderpriority <> '1-URGENT' THEN 'abc' END AS git_sha,
                strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS started_at,
                strftime(o_orderdate + to_seconds(o_custkey), '%Y-%m-%dT%H:%M:%SZ') AS finished_at,
                'run' AS command, 'l.log' AS logs, o_custkey AS duration_seconds,
-               CASE WHEN o_orderstatus <> 'O' OR o_orderpriority = '5-LOW' THEN 'recorded'
-                    WHEN o_orderpriority = '3-MEDIUM' THEN 'failed' ELSE 'passed' END AS status
+               CASE WHEN o_orderstatus <> 'O' OR o_orderpriority = '5-LOW' THEN 'synced'
+                    WHEN o_orderpriority = '3-MEDIUM' THEN 'recorded' WHEN o_orderpriority = '2-HIGH' THEN 'failed'
+                    ELSE 'passed' END AS status
         FROM orders""",
     "evidence_rollup": """
         SELECT 'r' || o_orderkey || '.json' AS file_name, 'c' || (o_orderkey % 3) AS failure_class,
                CAST(2 AS BIGINT) AS results,
-               CASE WHEN o_orderpriority = '3-MEDIUM' THEN 4 ELSE 2 * o_custkey END AS snapshot_diff_count
+               CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0 ELSE 2 * o_custkey END AS snapshot_diff_count
         FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '4-NOT SPECIFIED'""",
     "sql_asof": """
         SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value

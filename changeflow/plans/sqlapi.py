@@ -67,17 +67,3 @@ def table_parts(identifier: str, catalog: str, database: str) -> tuple[str, str,
     if not all(parts) or len(parts) > 3:
         raise ValueError(f"not a table name of one to three parts: {identifier}")
     return tuple([catalog, database][: 3 - len(parts)] + parts)
-
-
-def parse_choices(raw: str, known: tuple[str, ...]) -> list[str]:
-    """``all`` or a comma list of known names."""
-    asked = [part.strip() for part in raw.split(",") if part.strip()]
-    if not asked:
-        raise ValueError("name at least one")
-    if asked == ["all"]:
-        return list(known)
-    unknown = sorted(set(asked) - set(known))
-    if unknown:
-        raise ValueError(f"unsupported: {', '.join(unknown)}; use {', '.join([*known, 'all'])}")
-    return asked
-

@@ -46,7 +46,7 @@ COMMIT = (
     "batch_id bigint, rows bigint, rejects bigint, min_seq bigint, max_seq bigint, "
     "committed_at timestamp, writer_id string, block bigint"
 )
-COVERAGE = "writer_id string, upto bigint"
+COVERAGE = "writer_id string, batch_id bigint"
 SNAPSHOT_LOG = "snapshot_id bigint, rows bigint, created_at timestamp"
 DATA_FILE = "path string, length bigint"
 PROGRESS = (

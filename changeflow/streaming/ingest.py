@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from changeflow.schemas import ENVELOPE, PROGRESS
 from changeflow.streaming.table import ChangeTable
@@ -87,18 +88,26 @@ def start_ingest(
     return writer.start()
 
 
-def drain(query: StreamingQuery, timeout: float = BATCH_TIMEOUT_SECONDS) -> None:
-    """Wait for a query that ends by itself."""
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"query did not end within {timeout} s")
+def drain(query: StreamingQuery, stalled_after: float = BATCH_TIMEOUT_SECONDS) -> None:
+    """Wait for a query that ends by itself, however long its backlog takes.
+
+    Only a standstill stops it: no batch finished in a whole ``stalled_after`` seconds.
+    """
+    finished = None
+    while not query.awaitTermination(stalled_after):
+        last = query.lastProgress
+        now = None if last is None else (last["runId"], last["batchId"])
+        if now == finished:
+            query.stop()
+            raise TimeoutError(f"no batch ended within {stalled_after} s")
+        finished = now
 
 
 def run_with_restarts(
     start: Callable[[], StreamingQuery],
     attempts: int = RESTART_ATTEMPTS,
     delay: float = RESTART_DELAY_SECONDS,
-    timeout: float = BATCH_TIMEOUT_SECONDS,
+    stalled_after: float = BATCH_TIMEOUT_SECONDS,
 ) -> int:
     """Run a query to its end, starting it anew after a failure at most ``attempts`` times.
 
@@ -106,7 +115,7 @@ def run_with_restarts(
     """
     for restart in range(attempts + 1):
         try:
-            drain(start(), timeout)
+            drain(start(), stalled_after)
             return restart
         except StreamingQueryException:
             if restart == attempts:
@@ -115,26 +124,19 @@ def run_with_restarts(
     raise AssertionError("unreachable")
 
 
-def wait_until(
-    predicate: Callable[[], bool],
-    what: str,
-    timeout: float,
-    interval: float = 2.0,
-    failed: Callable[[], bool] = lambda: False,
-) -> None:
-    """Poll until true. Errors while polling are kept for the message; ``failed`` aborts at once."""
-    deadline = time.monotonic() + timeout
-    last: Exception | None = None
-    while time.monotonic() < deadline:
-        if failed():
-            raise RuntimeError(f"gave up waiting for {what}: the job failed")
-        try:
-            if predicate():
-                return
-        except Exception as error:  # noqa: BLE001
-            last = error
-        time.sleep(interval)
-    raise TimeoutError(f"timed out waiting for {what}" + (f"; last error: {last}" if last else ""))
+def await_commits(query: StreamingQuery, table: ChangeTable, commits: int = 1, step: float = 0.2, steps: int = 600) -> None:
+    """Let a running query go on until ``table`` has so many commits.
+
+    The query's own failure is raised as it is; one that ends or is still short after ``steps``
+    looks raises too.
+    """
+    for _ in range(steps):
+        ended = query.awaitTermination(step)
+        if table.commits().count() >= commits:
+            return
+        if ended:
+            raise RuntimeError("the query ended before the commits were there")
+    raise TimeoutError(f"fewer than {commits} commits after {steps} looks")
 
 
 class FailOnce:
@@ -149,8 +151,48 @@ class FailOnce:
             raise RuntimeError(self.message)
 
 
+class ProgressLog(StreamingQueryListener):
+    """Keeps every progress report of every query as one JSON document under ``path``.
+
+    The engine itself remembers only the last reports. ``spark.streams.addListener(log)`` starts
+    it; ``log.rows()`` reads what there is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        report = event.progress
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path, f"{report.runId}-{report.batchId}-{time.time_ns()}.json")
+        out = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+        try:
+            out.write(bytearray((" ".join(report.json.split()) + "\n").encode()))
+        finally:
+            out.close()
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def rows(self) -> DataFrame:
+        """The reports as rows."""
+        took = "durationMs struct<triggerExecution: bigint, addBatch: bigint, walCommit: bigint, commitOffsets: bigint>"
+        schema = f"runId string, batchId bigint, timestamp string, numInputRows bigint, inputRowsPerSecond double, {took}"
+        fields = ("runId", "batchId", "timestamp", "numInputRows", "inputRowsPerSecond")
+        fields += tuple(f"durationMs.{k}" for k in ("triggerExecution", "addBatch", "walCommit", "commitOffsets"))
+        wanted = StructType.fromDDL(PROGRESS)
+        read = self.spark.read.schema(schema).json(self.path)
+        return read.select(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(fields, wanted, strict=True)])
+
+
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The engine's recent progress reports (a bounded list) as rows."""
+    """The engine's recent progress reports (a bounded list) as rows; ProgressLog keeps all."""
     rows = []
     for p in query.recentProgress:
         took = p["durationMs"]

@@ -196,9 +196,20 @@ class ChangeTable:
         done = self.commits().select("writer_id", "batch_id")
         return rows.join(done, ["writer_id", "batch_id"], "left_semi")
 
-    def as_of(self, upto: int) -> DataFrame:
-        """The keyed table as of batch ``upto``."""
-        return state.current_state(self.committed_changes(upto).select(*CHANGE_COLUMNS))
+    def as_of(self, upto: int, writer_id: str | None = None) -> DataFrame:
+        """The keyed table as of batch ``upto``.
+
+        Batch ids only order one writer's batches. In a table with several, name the writer: the
+        version is then the moment at which its batch was committed, for all writers.
+        """
+        if writer_id is None:
+            if len(self.commits().select("writer_id").distinct().limit(2).collect()) > 1:
+                raise ValueError("several writers: name the one whose batch is meant")
+            return state.current_state(self.committed_changes(upto).select(*CHANGE_COLUMNS))
+        commits = self.commits()
+        own = commits.filter((F.col("writer_id") == writer_id) & (F.col("batch_id") <= upto))
+        moment = own.agg(F.max("committed_at")).first()[0]
+        return state.current_state(self._changes_of(commits.filter(F.col("committed_at") <= F.lit(moment))))
 
     def latest_snapshot(self) -> int | None:
         """Number of the newest readable snapshot."""
@@ -218,14 +229,15 @@ class ChangeTable:
         if snapshot_id is None:
             return commits
         _, coverage = self._snapshot(snapshot_id)
-        # One plain comparison, so that the planner sees a selective filter and lets the commits
-        # prune batch folders when the changes are read.
-        newer = F.col("batch_id") > F.coalesce("upto", F.lit(-1))
-        return commits.join(coverage, "writer_id", "left").filter(newer).drop("upto")
+        # What was covered is listed batch by batch: ids need not be committed in order.
+        return commits.join(coverage, ["writer_id", "batch_id"], "left_anti")
 
     def _changes_of(self, commits: DataFrame) -> DataFrame:
+        """Changes of some batches. The lowest id among them prunes the folders before."""
         batches = commits.select("writer_id", "batch_id")
-        return self.stored().join(batches, ["writer_id", "batch_id"], "left_semi").select(*CHANGE_COLUMNS)
+        lowest = batches.agg(F.min("batch_id")).first()[0]
+        rows = self.stored().filter(F.col("batch_id") >= (lowest or 0))
+        return rows.join(batches, ["writer_id", "batch_id"], "left_semi").select(*CHANGE_COLUMNS)
 
     def open_files(self, snapshot_id: int | None) -> DataFrame:
         """Every row a reader of the keyed table scans, before merging."""
@@ -259,24 +271,21 @@ class ChangeTable:
         previous = self.latest_snapshot()
         snapshot_id = 0 if previous is None else previous + 1
         at = self.path("snapshots", f"id={snapshot_id}")
-        self.commits().groupBy("writer_id").agg(F.max("batch_id").alias("upto")).coalesce(
-            1
-        ).write.mode("overwrite").json(f"{at}/coverage")
+        self.commits().select("writer_id", "batch_id").write.mode("overwrite").json(f"{at}/coverage")
         coverage = self.spark.read.schema(COVERAGE).json(f"{at}/coverage")
         size = self.live_files(previous).agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")
         ).first()
-        covered = self.live_commits(previous).join(coverage, "writer_id").filter("batch_id <= upto")
+        covered = self.live_commits(previous).join(coverage, ["writer_id", "batch_id"], "left_semi")
         newest = self._changes_of(covered)
         if previous is not None:
             newest = self._snapshot(previous)[0].unionByName(newest)
         newest = state.latest_by_key(newest, keep_deletes=True)
         files = max(1, math.ceil(size["b"] / target_bytes))
         wrote = Observation()
-        # coalesce, not repartition: the aggregate has just spread the keys evenly, so files of
-        # the wanted number come without another shuffle. Above the number of shuffle partitions
-        # it does nothing, and each partition is a file.
-        out = newest.coalesce(files).observe(wrote, F.count(F.lit(1)).alias("rows"))
+        # The aggregate's own shuffle has no fixed number of partitions. A second one, which moves
+        # one row per key, makes as many files as the target asks for, at any size.
+        out = newest.repartition(files, "order_id").observe(wrote, F.count(F.lit(1)).alias("rows"))
         self._writer(out).parquet(f"{at}/rows")
         now = datetime.now(timezone.utc).isoformat(timespec="milliseconds")
         row = {"snapshot_id": snapshot_id, "rows": wrote.get["rows"], "created_at": now}

@@ -98,29 +98,18 @@ def verify_failures(spark: SparkSession, classes: list[str], runs: DataFrame, ba
 
 @dataclass(frozen=True)
 class RewriteProfile:
-    batches: int
-    rows_per_batch: int
+    batches: int = 12
+    rows_per_batch: int = 50
 
 
 @dataclass(frozen=True)
 class LoadProfile:
-    spike_events: int
-    files: int
-    baseline_samples: int = 3
-    max_samples: int = 30
+    spike_events: int = 500
+    files: int = 10
+    baseline_samples: int = 2
     poll_seconds: float = 0.5
 
 
-REWRITE_PROFILES = {"small": RewriteProfile(24, 24), "default": RewriteProfile(40, 40)}
-LOAD_PROFILES = {"small": LoadProfile(320, 8), "default": LoadProfile(600, 12)}
-
-
-def profile_of(profiles: dict, name: str):
-    if name not in profiles:
-        raise ValueError(f"profile must be one of {', '.join(profiles)}, not {name!r}")
-    return profiles[name]
-
-
 def _generated(spark: SparkSession, n: int) -> DataFrame:
     """``n`` create envelopes at positions 1 … n."""
     rows = feeds.sequence_orders(
@@ -192,16 +181,18 @@ def run_under_load(spark: SparkSession, profile: LoadProfile, base: str) -> tupl
         return int(lag["lag_events"])
 
     try:
-        ingest.wait_until(lambda: table.commits().count() > 0, "the first commit", 120, 0.2)
+        ingest.await_commits(query, table)
         for _ in range(profile.baseline_samples):
             sample(runmetrics.BASELINE)
             time.sleep(profile.poll_seconds)
         spike = _generated(spark, profile.spike_events + 1).filter(F.col("source.pos") > 1)
         spike.repartition(profile.files).write.mode("append").json(landing)
         streak = 0
-        while streak < runmetrics.RECOVERED_AFTER and len(samples) < profile.baseline_samples + profile.max_samples:
+        # Sampled until it has drained, however long that takes; a query that fails raises here.
+        while streak < runmetrics.RECOVERED_AFTER:
             streak = streak + 1 if sample(None) == 0 else 0
-            time.sleep(profile.poll_seconds)
+            if query.awaitTermination(profile.poll_seconds):
+                raise RuntimeError("the query ended before its lag was gone")
     finally:
         query.stop()
     schema = (

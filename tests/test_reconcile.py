@@ -132,3 +132,14 @@ def test_the_damaged_table_is_caught(spark, sf):
     wrong = Q.damage(clean)
     assert R.snapshot_diff(clean, wrong).count() > 0
     assert R.progress(clean).first()["rows"] == 1343
+
+
+def test_as_many_rows_with_other_contents_differ(spark):
+    a, b = base(spark).filter("order_id = 1"), base(spark).filter("order_id = 1").selectExpr(
+        *[c if c != "amount_cents" else "amount_cents + 1 AS amount_cents" for c in base(spark).columns]
+    )
+    diff = R.column_diff(a.unionByName(b), b.unionByName(b))
+    assert rows(diff, "order_id", "kind", "first_column", "source_copies", "target_copies") == [
+        (1, "changed", "amount_cents", 2, 2)
+    ]
+    assert R.column_diff(a.unionByName(b), b.unionByName(a)).count() == 0

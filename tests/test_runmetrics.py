@@ -34,6 +34,21 @@ def test_metric_lines(spark):
     ]
 
 
+def test_lines_of_the_text_format(spark):
+    text = "\n".join([
+        r'a{l="x},y",m="q\"\\\n"} 1',
+        "b NaN",
+        "c{} +Inf -5",
+        "d -2.5e-3",
+        "e 1 2 3",
+        "f{l=x} 1",
+    ])
+    got = {r["name"]: r for r in M.metric_lines(lines(spark, text)).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    assert got["a"]["labels"] == {"l": "x},y", "m": 'q"\\\n'}
+    assert got["b"]["value"] != got["b"]["value"] and got["c"]["value"] == float("inf") and got["d"]["value"] == -0.0025
+
+
 def test_reporter_snapshot_of_one_job(spark):
     text = "\n".join([
         'engine_job_lastCheckpointDuration{job_id="other"} 900',
@@ -172,6 +187,8 @@ def test_numbers_in_nested_json(spark):
     assert rows(leaves.filter("k = 3"), "path", "number") == [("", 5.0)]
     wanted = {"a": (["alignment"], ["duration"]), "d": (["start", "delay"], []), "none": (["x"], [])}
     assert rows(M.path_max(leaves.filter("k = 1"), ["k"], wanted)) == [(1, 8.5, 2.0, None)]
+    deep = spark.createDataFrame([(1, "[" * 20 + "7" + "]" * 20), (2, '{"a": "}]]", "b": 1}')], "k int, doc string")
+    assert rows(M.numeric_leaves(deep, "doc", ["k"]), "k", "number") == [(1, 7.0), (2, 1.0)]
     with pytest.raises(PySparkException, match="too deep"):
         M.numeric_leaves(df, "doc", ["k"], 3).collect()
 

@@ -49,13 +49,3 @@ def test_table_names():
     for bad in ("", "a.b.c.d", "a..b"):
         with pytest.raises(ValueError):
             parts(bad)
-
-
-def test_choices():
-    known = sqlapi.FAILURE_CLASSES
-    assert sqlapi.parse_choices("all", known) == list(known)
-    assert sqlapi.parse_choices("task-crash, checkpoint-restore", known) == ["task-crash", "checkpoint-restore"]
-    with pytest.raises(ValueError, match="unsupported"):
-        sqlapi.parse_choices("task-crash,other", known)
-    with pytest.raises(ValueError):
-        sqlapi.parse_choices(" ,", known)

@@ -165,26 +165,32 @@ def test_periodic_trigger_and_waiting(spark, tmp_path):
     stream = ingest.json_envelope_stream(spark, run.landing)
     query = ingest.start_ingest(stream, run.table, run.checkpoint, "w", every_seconds=1, name="periodic")
     try:
-        ingest.wait_until(lambda: run.table.commits().count() == 1, "a commit", 60, 0.2, lambda: not query.isActive)
+        ingest.await_commits(query, run.table)
         with pytest.raises(TimeoutError):
-            ingest.drain(query, timeout=1)
+            ingest.await_commits(query, run.table, commits=99, steps=2)
+        with pytest.raises(TimeoutError):
+            ingest.drain(query, stalled_after=2)
     finally:
         query.stop()
     run.verify()
 
 
-def test_wait_until():
-    calls = []
-
-    def fails():
-        calls.append(1)
-        raise ValueError("not yet")
-
-    with pytest.raises(TimeoutError, match="last error: not yet"):
-        ingest.wait_until(fails, "x", 0.05, 0.01)
-    assert len(calls) > 1
-    with pytest.raises(RuntimeError, match="job failed"):
-        ingest.wait_until(lambda: False, "x", 5, 0.01, lambda: True)
+def test_a_long_backlog_is_no_standstill(spark, tmp_path):
+    run = Run(spark, tmp_path, "crash")
+    log = ingest.ProgressLog(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(log)
+    try:
+        for n in range(6):
+            run.feed.filter(f"source.pos % 6 = {n}").coalesce(1).write.mode("append").json(run.landing)
+        stream = ingest.json_envelope_stream(spark, run.landing, max_files=1)
+        query = ingest.start_ingest(stream, run.table, run.checkpoint, "w", name="backlog")
+        ingest.drain(query, stalled_after=8)
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(log)
+    run.verify()
+    kept = ingest.progress_history(log.rows()).filter("input_rows > 0")
+    assert kept.agg({"input_rows": "sum"}).first()[0] == run.feed.count()
 
 
 def test_discard_runs_the_plan(spark):

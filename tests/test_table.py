@@ -154,7 +154,7 @@ def test_a_tail_read_prunes_covered_batches(table, feed):
     table.append_envelopes(day(feed, 19730, 30000), "w", 1)
     tail = table._changes_of(table.live_commits(0))
     plan = tail._jdf.queryExecution().sparkPlan().toString()
-    assert "dynamicpruning" in plan
+    assert "batch_id" in plan.split("PartitionFilters: [")[1].split("]")[0] and ">= 1" in plan
     assert tail.count() == 1586 - table.committed_changes(0).count()
 
 
@@ -213,3 +213,29 @@ def test_listing_reads_no_contents(spark, sf):
 def test_commit_folders_are_split_into_blocks(table, feed):
     table.append_envelopes(feed.limit(5), "w", 2500)
     assert table.exists(table.path("commits", "writer_id=w", "block=2", "2500.json"))
+
+
+def test_a_batch_committed_late_under_a_lower_id_is_seen(table, feed):
+    table.append_envelopes(day(feed, 19730, 30000), "w", 5)
+    table.compact()
+    table.append_envelopes(day(feed, 0, 19730), "w", 3)
+    assert rows(table.current()) == expected_current(feed)
+    table.compact()
+    assert rows(table.current()) == expected_current(feed)
+
+
+def test_versions_of_two_writers(table, feed):
+    table.append_envelopes(day(feed, 0, 19730), "old", 900)
+    table.append_envelopes(day(feed, 19730, 30000), "new", 0)
+    with pytest.raises(ValueError, match="several writers"):
+        table.as_of(0)
+    assert rows(table.as_of(0, "new")) == expected_current(feed)
+    assert rows(table.as_of(900, "old")) == expected_current(day(feed, 0, 19730))
+
+
+def test_compaction_keeps_to_its_target(table, feed):
+    table.append_envelopes(feed, "w", 0)
+    size = table.live_files().agg({"length": "sum"}).first()[0]
+    wanted = 9
+    done = table.compact(-(-size // wanted))
+    assert wanted / 2 <= done["added_files"] <= wanted * 2
