@@ -268,7 +268,7 @@ def align_long(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     A local alignment above zero spans at most three item lengths: each skipped word costs one,
     each matched word brings two.
     """
-    span = 3 * len(item)
+    span = max(1, 3 * len(item))
     best = (0, 0, -1)
     for at in range(0, max(1, len(words) - span), span):
         score, first, last = align(item, words[at : at + 2 * span])

@@ -60,54 +60,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, "id long, fp long")
 
 
-@functools.cache
-def masks(level: int) -> list[int]:
-    """The bits that are fixed on each way through the blocks, as signed numbers."""
-    if level < 0:
-        return [0]
-    out = []
-    for fixed in masks(level - 1):
-        free = [b for b in range(64) if not fixed >> b & 1]
-        cuts = [round(len(free) * k / (MAX_BITS + 1)) for k in range(MAX_BITS + 2)]
-        for k in range(MAX_BITS + 1):
-            more = sum(1 << b for b in free[cuts[k] : cuts[k + 1]])
-            whole = (fixed & (1 << 64) - 1) | more
-            out.append(whole - (1 << 64) if whole >> 63 else whole)
-    return out
-
-
-def _keyed(found: DataFrame, level: int) -> DataFrame:
-    """``(fp, way, part)``: each fingerprint under every block of this level below its ``way``."""
-    fixed = F.array(*[F.lit(m) for m in masks(level)])
-    below = F.sequence(F.col("way") * (MAX_BITS + 1), F.col("way") * (MAX_BITS + 1) + MAX_BITS)
-    return found.select("fp", F.explode(below).alias("way")).withColumn(
-        "part", F.col("fp").bitwiseAND(F.element_at(fixed, F.col("way") + 1))
-    )
+@functools.lru_cache(maxsize=1 << 16)
+def below(fixed: int) -> tuple[int, ...]:
+    """The bits that are fixed after one more cut of the free ones, four ways; signed numbers."""
+    whole = fixed & (1 << 64) - 1
+    free = [b for b in range(64) if not whole >> b & 1]
+    cuts = [round(len(free) * k / (MAX_BITS + 1)) for k in range(MAX_BITS + 2)]
+    more = (whole | sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:], strict=False))
+    return tuple(m - (1 << 64) if m >> 63 else m for m in more)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each ``(fp, fixed)`` under the four blocks below: ``(fp, fixed, part)``."""
+    for batch in batches:
+        fps, fixed = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ways, which = np.unique(fixed, return_inverse=True)
+        masks = np.array([below(w) for w in ways.tolist()], np.int64).reshape(-1, MAX_BITS + 1)[which]
+        out = [np.repeat(fps, MAX_BITS + 1), masks.ravel(), (masks & fps[:, None]).ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["fp", "fixed", "part"])
 
 
 def near_links(found: DataFrame, meeting: int = MEETING) -> DataFrame:
     """Links ``(a, b)`` that join all distinct fingerprints of ``found(fp)`` within three bits.
 
-    Not all pairs: in each block, those that hold its groups together.
+    Not all pairs: what a block's fingerprints reach by steps of three bits hangs together by one
+    of them. A block that still is too
+    full when few bits are left free holds at most as many fingerprints as these bits can tell
+    apart.
     """
-    level, waiting, calm = 0, found.select("fp", F.lit(0).alias("way")), []
+    waiting, met = found.select("fp", F.lit(0).cast("long").alias("fixed")), None
     while True:
-        keyed = _keyed(waiting, level)
-        free = 64 - min(m.bit_count() if m >= 0 else (m + (1 << 64)).bit_count() for m in masks(level))
-        full = keyed.groupBy("way", "part").count().where(F.col("count") > meeting).select("way", "part")
-        if 1 << free <= meeting:
-            calm.append((level, keyed))
-            break
-        full = saved(full, "blocks")
-        if full.isEmpty():
-            calm.append((level, keyed))
+        keyed = waiting.mapInArrow(_cut, "fp long, fixed long, part long")
+        full = keyed.groupBy("fixed", "part").count()
+        few = F.lit(64) - F.bit_count("fixed") <= max(1, meeting.bit_length() - 1)
+        full = saved(full.where((F.col("count") > meeting) & ~few).select("fixed", "part"), "blocks")
+        last = full.isEmpty()
+        calm = keyed if last else keyed.join(full, ["fixed", "part"], "left_anti")
+        calm = calm.select("fp", F.xxhash64("fixed", "part").alias("key"))
+        met = calm if met is None else met.union(calm)
+        if last:
             break
-        calm.append((level, keyed.join(full, ["way", "part"], "left_anti")))
-        waiting, level = saved(keyed.join(full, ["way", "part"], "left_semi").select("fp", "way"), "blocks"), level + 1
-    met = None
-    for at, keyed in calm:
-        part = keyed.select("fp", F.xxhash64(F.lit(at), "way", "part").alias("key"))
-        met = part if met is None else met.union(part)
+        waiting = saved(keyed.join(full, ["fixed", "part"], "left_semi").select("fp", "fixed"), "blocks")
     return met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "a long, b long").distinct()
 
 
@@ -134,7 +127,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within three bits: all pairs of small groups, spanning pairs of larger ones."""
+    """Pairs within three bits for small groups; in larger ones each fingerprint with the first of
+    those it reaches by steps of three bits."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
     a, b = [], []
