@@ -216,7 +216,7 @@ def checkpoint_number(path: Column) -> Column:
 def last_json_object(text: Column) -> Column:
     """The last line of ``text`` that is a JSON object, else the span from the last ``{`` on."""
     lines = F.filter(
-        F.transform(F.split(text, r"\r?\n"), F.trim),
+        F.transform(F.split(text, r"\r?\n"), lambda line: F.trim(line)),
         lambda line: F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}")),
     )
     span = F.nullif(F.regexp_extract(text, r"(?s)(\{[^{]*\})[^}]*$", 1), F.lit(""))

@@ -79,7 +79,7 @@ STATEMENTS = {
         SELECT o_orderkey, o_custkey, o_totalprice
         FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100
     """,
-    # Every sale within a day after the customer's order date, by range condition on an equal key.
+    # Every line shipped within a year of its order's date, by range condition on an equal key.
     "sql_range_join": """
         SELECT l.l_returnflag, o.o_orderstatus, count(*) AS line_count
         FROM lineitem l JOIN orders o

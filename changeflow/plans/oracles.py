@@ -539,6 +539,24 @@ ORACLES: dict[str, str] = {
                CAST(2 AS BIGINT) AS results,
                CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0 ELSE 2 * o_custkey END AS snapshot_diff_count
         FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '4-NOT SPECIFIED'""",
+    "text_numbers": """
+        WITH t AS (
+            SELECT o_orderkey, CASE o_orderpriority
+                WHEN '1-URGENT' THEN o_custkey WHEN '2-HIGH' THEN o_custkey
+                WHEN '3-MEDIUM' THEN CAST('99999999' || o_custkey AS BIGINT)
+                WHEN '4-NOT SPECIFIED' THEN NULL ELSE -o_custkey END AS n FROM orders)
+        SELECT o_orderkey, CASE WHEN n <= 2147483647 THEN CAST(n AS INTEGER) END AS as_int, n AS as_bigint FROM t""",
+    "output_objects": """
+        SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') THEN '{"id": ' || o_orderkey || '}' END AS doc,
+               CASE WHEN o_orderstatus = 'O' THEN o_orderkey ELSE 0 END AS row_count, CAST(0 AS BIGINT) AS file_count
+        FROM orders""",
+    "merged_readings": """
+        WITH r AS (
+            SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS a,
+                   CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS DOUBLE) END AS b FROM events)
+        SELECT event_id, coalesce(a, b) AS first_reading, greatest(a, b) AS largest_reading FROM r""",
+    "tsv_round_trip": f"""WITH {_ORD_CUR}
+        SELECT order_id, business_key, CASE WHEN status <> 'paid' THEN status END AS status, amount_cents FROM cur""",
     "sql_asof": """
         SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value
         FROM (SELECT * FROM events WHERE event_type = 'purchase') p

@@ -947,3 +947,70 @@ def sql_asof(spark: SparkSession, sf: str) -> DataFrame:
         F.col("seen.event_id").alias("view_id"),
         F.col("seen.value").alias("view_value"),
     )
+
+
+# -- text forms, readings, round trips -----------------------------------------------------
+
+
+@query
+def text_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole numbers from text: plain, with a fraction, too large, no number, negative."""
+    key = F.col("o_custkey").cast("string")
+    pr = F.col("o_orderpriority")
+    text = (
+        F.when(pr == "1-URGENT", key)
+        .when(pr == "2-HIGH", F.concat(key, F.lit(".7")))
+        .when(pr == "3-MEDIUM", F.concat(F.lit("99999999"), key))
+        .when(pr == "4-NOT SPECIFIED", F.concat(F.lit("x"), key))
+        .otherwise(F.concat(F.lit("-"), key))
+    )
+    o = _orders(spark, sf).select("o_orderkey", text.alias("text"))
+    dtype = o.schema["text"].dataType
+    return o.select(
+        "o_orderkey",
+        S.coerce_whole(F.col("text"), dtype, "int").alias("as_int"),
+        S.coerce_whole(F.col("text"), dtype, "bigint").alias("as_bigint"),
+    )
+
+
+@query
+def output_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """The last JSON object of a job's output, and whole numbers from its summary map."""
+    o = _orders(spark, sf)
+    key, out = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    text = (
+        F.when(out == "O", F.concat(F.lit('start\n{"id": 0}\n  {"id": '), key, F.lit("}\nend")))
+        .when(out == "F", F.concat(F.lit('done {"id": '), key, F.lit("} after")))
+        .otherwise(F.lit("nothing here"))
+    )
+    summary = F.create_map(F.lit("rows"), F.when(out == "O", key).otherwise(F.concat(F.lit("n"), key)))
+    return o.select(
+        "o_orderkey",
+        S.last_json_object(text).alias("doc"),
+        S.summary_int(summary, "rows").alias("row_count"),
+        S.summary_int(summary, "files").alias("file_count"),
+    )
+
+
+@query
+def merged_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Several readings of a quantity to one: the first that is there, and the largest."""
+    e = _events(spark, sf).select(
+        "event_id",
+        F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 1, "n/a").alias("a"),
+        F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("b"),
+    )
+    first = runmetrics.merged_sample({"first_reading": ["a", "b"]}, "first")
+    most = runmetrics.merged_sample({"largest_reading": ["a", "b"]}, "max")
+    return e.select("event_id", *first.values(), *most.values())
+
+
+@query
+def tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows written as tab-separated lines and read back with their types."""
+    rows = orders_current(spark, sf).select(
+        "order_id", "business_key", F.when(F.col("status") != "paid", F.col("status")).alias("status"), "amount_cents"
+    )
+    path = run_dir(spark, "tsv")
+    sqlapi.write_tsv(rows, path)
+    return sqlapi.read_tsv(spark, path, "order_id bigint, business_key string, status string, amount_cents bigint")
