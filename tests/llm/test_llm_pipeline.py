@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 import __spark_entry__ as contract
 import corpus_pipeline
-from changeflow.llm import common, packing, secrets
+
+from changeflow.llm import common, packing, queries, secrets
+from tools.check import TABLES, compare
 
 WORDS = "the of and to in is that for with this from are was which have not they but".split()
 
@@ -22,6 +27,15 @@ def test_all_is_registered():
     ]
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_spark_and_sql_agree(spark, sf, name):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    verdict, _ = compare(spark, con, name, sf)
+    assert verdict.startswith("ok"), verdict
+
+
 def test_stages(spark, tmp_path):
     item = "what is the capital of the smallest country that nobody in this long question has ever named"
     found = [
