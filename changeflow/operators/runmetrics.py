@@ -180,9 +180,62 @@ def completed_checkpoints(payloads: DataFrame, column: str, keys: Sequence[str])
 
 
 def latest_completed(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """``latest.completed`` of each document, else the first completed entry of its history."""
+    """The completed checkpoint with the largest id of each document; nulls without one."""
     lists = _completed_lists(payloads, column, keys)
-    return _checkpoint(lists.select(*keys, F.try_element_at("done", F.lit(1)).alias("c")), keys)
+    newest = F.array_max(F.transform("done", lambda c: F.struct(c["id"].alias("id"), c.alias("c"))))
+    return _checkpoint(lists.select(*keys, newest["c"].alias("c")), keys)
+
+
+def latest_restorable(payloads: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """What a job can restart from: ``latest.completed`` if it has a path, else the first completed
+    entry of the history that has one; nulls without any. Adds ``external_path``.
+    """
+    d = payloads.select(*keys, F.from_json(column, CHECKPOINTS).alias("d"))
+    history = F.filter("d.history", lambda h: h["status"] == "COMPLETED")
+    listed = F.concat(F.array("d.latest.completed"), F.coalesce(history, F.slice(F.array("d.latest.completed"), 1, 0)))
+    usable = F.filter(listed, lambda c: F.coalesce(c["external_path"] != "", F.lit(False)))
+    picked = d.select(*keys, F.try_element_at(usable, F.lit(1)).alias("c"))
+    return picked.select(
+        *keys,
+        F.col("c.id").alias("checkpoint_id"),
+        F.col("c.end_to_end_duration").alias("duration_ms"),
+        F.col("c.external_path").alias("external_path"),
+    )
+
+
+def checkpoint_records(rows: DataFrame, latest: str, details: str, keys: Sequence[str]) -> DataFrame:
+    """One full record per row of JSON text: numbers from the details where there are some, else
+    from the latest entry; ``keys`` identify a row.
+    """
+    v = F.try_parse_json(F.col(details))
+    filled = F.coalesce(F.schema_of_variant(v).rlike("^OBJECT<.+>$"), F.lit(False))
+    held = rows.select(
+        *keys, F.col(latest).alias("_latest"), F.when(filled, F.col(details)).otherwise(F.col(latest)).alias("_source")
+    )
+    wanted = {
+        "alignment_time_ms": (["alignment"], ["duration"]),
+        "start_delay_ms": (["start", "delay"], []),
+        "_buffered": (["alignment"], ["buffered"]),
+    }
+    deep = path_max(numeric_leaves(held, "_source", keys), keys, wanted)
+    entry, source = F.try_parse_json("_latest"), F.try_parse_json("_source")
+    text = lambda doc, name: F.try_variant_get(doc, f"$.{name}", "string")
+    number = lambda doc, name: S.to_float(text(doc, name))
+    whole = lambda name: F.try_variant_get(entry, f"$.{name}", "bigint").alias(name)
+    return held.join(deep, list(keys), "left").select(
+        *keys,
+        F.try_variant_get(entry, "$.id", "bigint").alias("checkpoint_id"),
+        text(entry, "status").alias("status"),
+        whole("trigger_timestamp"),
+        whole("latest_ack_timestamp"),
+        F.coalesce(number(source, "end_to_end_duration"), number(entry, "end_to_end_duration")).alias("duration_ms"),
+        "alignment_time_ms",
+        F.coalesce("_buffered", number(entry, "alignment_buffered")).alias("alignment_buffered_bytes"),
+        "start_delay_ms",
+        number(entry, "checkpointed_size").alias("checkpointed_size_bytes"),
+        number(entry, "processed_data").alias("processed_data_bytes"),
+        number(entry, "persisted_data").alias("persisted_data_bytes"),
+    )
 
 
 def first_per_id(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

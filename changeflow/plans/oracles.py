@@ -470,6 +470,24 @@ ORACLES: dict[str, str] = {
         SELECT event_id, event_id AS checkpoint_id,
                CAST(CASE WHEN event_type = 'error' THEN {_CENTS} + 5 ELSE {_CENTS} END AS DOUBLE) AS duration_ms
         FROM events""",
+    "restorable_checkpoint": f"""
+        WITH c AS (
+            SELECT event_id, event_id AS id, 0 AS nth, {_CENTS} AS d FROM events WHERE event_type <> 'error'
+            UNION ALL SELECT event_id, event_id, 1, {_CENTS} + 5 FROM events
+            UNION ALL SELECT event_id, event_id - 1, 2, {_CENTS} + 1 FROM events),
+        p AS (SELECT event_id, arg_min(id, nth) AS id, arg_min(d, nth) AS d FROM c WHERE id % 4 <> 0 GROUP BY event_id)
+        SELECT e.event_id, p.id AS checkpoint_id, CAST(p.d AS DOUBLE) AS duration_ms, 'chk-' || p.id AS external_path
+        FROM events e LEFT JOIN p ON e.event_id = p.event_id""",
+    "checkpoint_record": f"""
+        WITH e AS (SELECT event_id, event_type = 'view' AS v, CAST({_CENTS} AS BIGINT) AS c FROM events)
+        SELECT event_id, event_id AS checkpoint_id, 'COMPLETED' AS status, event_id * 1000 AS trigger_timestamp,
+               event_id * 1000 + c AS latest_ack_timestamp, CAST(CASE WHEN v THEN c + 1 ELSE c END AS DOUBLE) AS duration_ms,
+               CAST(CASE WHEN v THEN event_id END AS DOUBLE) AS alignment_time_ms,
+               CAST(CASE WHEN v THEN 3 ELSE 7 END AS DOUBLE) AS alignment_buffered_bytes,
+               CAST(CASE WHEN v THEN event_id + 1 END AS DOUBLE) AS start_delay_ms,
+               CAST(c * 2 AS DOUBLE) AS checkpointed_size_bytes, CAST(NULL AS DOUBLE) AS processed_data_bytes,
+               CAST(NULL AS DOUBLE) AS persisted_data_bytes
+        FROM e""",
     "first_kept": """
         SELECT user_id, event_type, event_id, value, ts FROM events e
         WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id

@@ -734,7 +734,11 @@ def _payloads(spark: SparkSession, sf: str) -> DataFrame:
     """One status document per event: a latest checkpoint (not after errors) and a short history."""
     e = _events(spark, sf)
     c = F.round(F.col("value") * 100).cast("double")
-    entry = lambda i, s, d: F.struct(i.alias("id"), F.lit(s).alias("status"), d.alias("end_to_end_duration"))
+
+    def entry(i: Column, s: str, d: Column) -> Column:
+        path = F.when(i % 4 != 0, F.concat(F.lit("chk-"), i))
+        return F.struct(i.alias("id"), F.lit(s).alias("status"), d.alias("end_to_end_duration"), path.alias("external_path"))
+
     n = F.col("event_id")
     latest = F.when(F.col("event_type") != "error", entry(n, "COMPLETED", c))
     doc = F.to_json(
@@ -761,6 +765,32 @@ def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     return runmetrics.latest_completed(_payloads(spark, sf), "doc", ["event_id"])
 
 
+@query
+def restorable_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest checkpoint of every status document that has a path."""
+    return runmetrics.latest_restorable(_payloads(spark, sf), "doc", ["event_id"])
+
+
+@query
+def checkpoint_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Full checkpoint records: details before the latest entry, nested numbers, sizes."""
+    c = F.round(F.col("value") * 100).cast("bigint")
+    n, kind = F.col("event_id"), F.col("event_type")
+    latest = F.format_string(
+        '{"id": %d, "status": "COMPLETED", "trigger_timestamp": %d, "latest_ack_timestamp": %d,'
+        ' "end_to_end_duration": %d, "alignment_buffered": "7", "checkpointed_size": %d}',
+        n, n * 1000, n * 1000 + c, c, c * 2,
+    )
+    details = F.format_string(
+        '{"end_to_end_duration": %d, "tasks": {"t1": {"alignment": {"duration": %d, "buffered": 3}, "start_delay": %d}}}',
+        c + 1, n, n + 1,
+    )
+    rows = _events(spark, sf).select(
+        "event_id", latest.alias("latest"), F.when(kind == "view", details).when(kind == "click", F.lit("{}")).alias("details")
+    )
+    return runmetrics.checkpoint_records(rows, "latest", "details", ["event_id"])
+
+
 @query
 def first_kept(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated ids, the first kept."""

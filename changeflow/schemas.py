@@ -68,6 +68,6 @@ SAMPLE = """
 
 CHECKPOINTS = """
     counts struct<failed: double>,
-    latest struct<completed: struct<id: bigint, status: string, end_to_end_duration: double>>,
-    history array<struct<id: bigint, status: string, end_to_end_duration: double>>
+    latest struct<completed: struct<id: bigint, status: string, end_to_end_duration: double, external_path: string>>,
+    history array<struct<id: bigint, status: string, end_to_end_duration: double, external_path: string>>
 """
