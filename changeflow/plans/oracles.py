@@ -7,6 +7,7 @@ mistake would have to be made twice in different words to stay hidden.
 from __future__ import annotations
 
 from changeflow.plans import conformance
+from changeflow.sources import feeds
 
 _ORD_IMG = """
 ord_img AS (
@@ -265,7 +266,8 @@ ORACLES: dict[str, str] = {
     "current_state_rekeyed": f"""WITH {_ORD_IMG},
         ins AS (SELECT order_id, event_id, amount_cents FROM ord_img WHERE i = 0),
         newest AS (SELECT -order_id - 1 AS order_id, event_id, amount_cents FROM ord_img l
-                   WHERE i > 0 AND NOT EXISTS (SELECT 1 FROM ord_img m WHERE m.k = l.k AND m.i > l.i))
+                   WHERE i > 0 AND NOT EXISTS (SELECT 1 FROM ord_img m WHERE m.k = l.k AND m.i > l.i)
+                     AND NOT (st = 'P' AND k % 3 = 0))
         SELECT 'reference' AS mode, * FROM ins UNION ALL SELECT 'reference', * FROM newest
         UNION ALL SELECT 'strict', * FROM newest
         UNION ALL SELECT 'strict', order_id, event_id, amount_cents FROM ord_img WHERE i = 0 AND st = 'O'""",
@@ -393,7 +395,7 @@ ORACLES: dict[str, str] = {
     "interval_max": """
         WITH s AS (
             SELECT DISTINCT event_type AS job, date_trunc('hour', ts) + INTERVAL 90 MINUTE AS sample_ts
-            FROM events WHERE hour(ts) >= 6),
+            FROM events),
         b AS (SELECT job, sample_ts, lag(sample_ts) OVER (PARTITION BY job ORDER BY sample_ts) AS prev FROM s)
         SELECT b.job, b.sample_ts, count(e.event_id) AS points, max(e.value) AS max_value
         FROM b LEFT JOIN events e ON e.event_type = b.job AND e.ts <= b.sample_ts
@@ -515,11 +517,17 @@ ORACLES: dict[str, str] = {
                25000 + o_orderkey AS amount_cents,
                TIMESTAMP '2026-01-01' + to_seconds(o_orderkey) AS updated_at, 222 AS seed
         FROM orders""",
-    "gen_seeded": """
-        SELECT i AS order_id, 'order-' || lpad(CAST(i AS VARCHAR), 12, '0') AS business_key, i AS event_id,
-               TIMESTAMP '2026-01-01' + to_seconds(i) AS updated_at, 1 AS seed,
-               TRUE AS customer_in_range, TRUE AS status_known, TRUE AS amount_in_range
-        FROM (SELECT row_number() OVER () AS i FROM orders) z""",
+    "gen_seeded": f"""
+        WITH d AS (
+            SELECT o_orderkey AS k, ('0x' || substr(md5(o_orderkey || ':1:1'), 1, 15))::BIGINT AS a,
+                   ('0x' || substr(md5(o_orderkey || ':1:2'), 1, 15))::BIGINT AS b,
+                   ('0x' || substr(md5(o_orderkey || ':1:3'), 1, 15))::BIGINT AS c FROM orders)
+        SELECT k AS order_id, 'order-' || lpad(CAST(k AS VARCHAR), 12, '0') AS business_key, k AS event_id,
+               a % {feeds.MAX_CUSTOMERS} + 1 AS customer_id,
+               {list(feeds.STATUSES)}[b % {len(feeds.STATUSES)} + 1] AS status,
+               c % {feeds.AMOUNT_SPAN} + {feeds.AMOUNT_FLOOR} AS amount_cents,
+               TIMESTAMP '2026-01-01' + to_seconds(k) AS updated_at, 1 AS seed
+        FROM d""",
     "tsv_rows": f"""WITH {_ORD_CUR}
         SELECT order_id || chr(9) || business_key || chr(9) || event_id || chr(9) ||
                CASE WHEN status = 'paid' THEN 'NULL' ELSE CAST(customer_id AS VARCHAR) END || chr(9) || status

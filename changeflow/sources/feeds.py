@@ -147,19 +147,28 @@ def seeded_orders(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """``n`` orders, the same for the same seed, made in parallel."""
     if n < 1:
         raise ValueError("n must be positive")
-    ids = spark.range(1, n + 1)
+    return seeded_rows(spark.range(1, n + 1), "id", seed, min(n, MAX_CUSTOMERS))
+
+
+def seeded_rows(numbers: DataFrame, column: str, seed: int, customers: int = MAX_CUSTOMERS) -> DataFrame:
+    """One order per number, drawn from it and the seed alone.
+
+    Draws are digits of an MD5 sum, which other engines compute alike.
+    """
+    number = F.col(column)
 
     def draw(salt: int, span: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(span).cast("bigint"))
+        digest = F.md5(F.concat_ws(":", number.cast("string"), F.lit(str(seed)), F.lit(str(salt))).cast("binary"))
+        return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(span).cast("bigint"))
 
-    return ids.select(
-        F.col("id").alias("order_id"),
-        S.padded_key("order-", F.col("id")).alias("business_key"),
-        F.col("id").alias("event_id"),
-        (draw(1, min(n, MAX_CUSTOMERS)) + 1).alias("customer_id"),
+    return numbers.select(
+        number.alias("order_id"),
+        S.padded_key("order-", number).alias("business_key"),
+        number.alias("event_id"),
+        (draw(1, customers) + 1).alias("customer_id"),
         F.element_at(_statuses(), (draw(2, len(STATUSES)) + 1).cast("int")).alias("status"),
         (draw(3, AMOUNT_SPAN) + AMOUNT_FLOOR).alias("amount_cents"),
-        S.add_seconds(F.expr(BASE_TS), F.col("id")).alias("updated_at"),
+        S.add_seconds(F.expr(BASE_TS), number).alias("updated_at"),
         F.lit(seed).alias("seed"),
     )
 
