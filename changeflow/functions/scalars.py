@@ -31,9 +31,9 @@ NUMBER_TEXT = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
-def floor_div(value: Column, by: int) -> Column:
+def floor_div(value: Column, by: int | Column) -> Column:
     """Whole-number division rounding down, negatives too; never through a double."""
-    n = F.lit(by).cast("bigint")
+    n = (by if isinstance(by, Column) else F.lit(by)).cast("bigint")
     return F.call_function("div", value - F.pmod(value, n), n)
 
 

@@ -27,22 +27,30 @@ def previous_row(
     """Add ``name``: ``columns`` of the nearest earlier row of ``key`` (that satisfies ``where``).
 
     ``order`` is a unique whole number. A plain window sorts all rows of one key in one task.
-    Here keys above ``hot_rows`` are cut into ranges of ``order`` (at most ``chunk_width`` rows
-    each, as ``order`` is unique), the window runs per range, and a range takes what it cannot
-    see from the last fitting row of the ranges before.
+    Here a key above ``hot_rows`` is cut between its smallest and largest ``order`` into as many
+    equal ranges as ``chunk_width`` goes into its rows, so sparse numbers give no more ranges than
+    dense ones. The window runs per range, and a range takes what it cannot see from the last
+    fitting row of the ranges before.
     """
     width = chunk_width or hot_rows
     fits = F.lit(True) if where is None else where
     value = F.when(fits, F.struct(*columns))
     # Counting is pre-aggregated, so a hot key costs one small row per task.
+    chunks = floor_div(F.col("_n") + width - 1, width)
     hot = (
         df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_from"), F.max(order).alias("_to"))
         .filter(F.col("_n") > hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
+        .select(
+            key,
+            F.lit(True).alias("_hot"),
+            "_from",
+            (floor_div(F.col("_to") - F.col("_from"), chunks) + 1).alias("_step"),
+        )
     )
-    chunk = F.when(F.col("_hot"), floor_div(F.col(order), width)).otherwise(F.lit(0)).cast("bigint")
-    rows = df.join(F.broadcast(hot), key, "left").withColumn("_chunk", chunk)
+    place = floor_div(F.col(order) - F.col("_from"), F.col("_step"))
+    chunk = F.when(F.col("_hot"), place).otherwise(F.lit(0)).cast("bigint")
+    rows = df.join(F.broadcast(hot), key, "left").withColumn("_chunk", chunk).drop("_from", "_step")
 
     before = Window.unboundedPreceding, -1
     inside = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(*before)

@@ -30,69 +30,92 @@ def data_files(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataF
     )
 
 
-def exact_median(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Exact median of a whole-number column per group, one row per non-empty group.
+#: Slices per doubling of a value when looking for the middle: each is 0.07 percent wide.
+SLICES_PER_OCTAVE = 1024
+
+
+def distribution(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Count, sum, smallest, largest and exact median of a whole-number column per group, in one scan.
 
-    The built-in aggregate keeps every distinct value of a group in one task. Here values fold to
-    counts, counts to slices of about four percent, and only the slice (or two) in which the
-    middle lies is looked into.
+    Nulls count nothing; a group of nulls only, and no rows at all without ``by``, give zero values
+    and null statistics. The built-in median keeps every distinct value of a group in one task. Here
+    values fold to counts, counts to slices, and only the slice (or two) in which the middle lies is
+    looked into. All other figures follow from the slices.
     """
-    keys = [F.col(k) for k in by] + [F.lit(0).alias("_all")]
     names = [*by, "_all"]
-    v = F.col("_v")
-    slice_of = F.signum(v) * F.floor(F.log2(F.abs(v.cast("double")) + 1) * 16)
+    v, n = F.col("_v"), F.col("_n")
+    slice_of = F.signum(v) * F.floor(F.log2(F.abs(v.cast("double")) + 1) * SLICES_PER_OCTAVE)
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("bigint").alias("_v"))
+        df.select(*by, F.lit(0).alias("_all"), F.col(value).cast("bigint").alias("_v"))
         .groupBy(*names, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", slice_of.cast("bigint"))
+        .agg(F.count("_v").alias("_n"))
+        .withColumn("_slice", F.coalesce(slice_of.cast("bigint"), F.lit(0).cast("bigint")))
     )
-    up_to = Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*names)
+    up_to = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("_total")
     slices = (
         counts.groupBy(*names, "_slice")
-        .agg(F.sum("_n").alias("_n"))
+        .agg(
+            F.sum("_n").alias("_n"),
+            F.sum(v * n).alias("_s"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+        )
         .withColumn("_end", F.sum("_n").over(up_to))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*names)))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .withColumn("_low", S.floor_div(F.col("_total") + 1, 2))
-        .withColumn("_high", S.floor_div(F.col("_total"), 2) + 1)
+        .withColumn("_total", F.sum("_n").over(whole))
+        .withColumn("_s", F.sum("_s").over(whole))
+        .withColumn("_min", F.min("_min").over(whole))
+        .withColumn("_max", F.max("_max").over(whole))
+        .withColumn("_start", F.col("_end") - n)
+        .withColumn("_low", S.floor_div(total + 1, 2))
+        .withColumn("_high", S.floor_div(total, 2) + 1)
     )
     holds = lambda rank: (F.col("_start") < F.col(rank)) & (F.col(rank) <= F.col("_end"))
-    middle = slices.filter(holds("_low") | holds("_high")).select(*names, "_slice", "_start", "_low", "_high")
+    middle = slices.filter(holds("_low") | holds("_high") | (total == 0)).drop("_n", "_end")
+    # Null-safe: null is a group of its own, and neither side gets a filter the other lacks, so
+    # both read the counts of one shuffle.
+    same = F.lit(True)
+    for c in [*names, "_slice"]:
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"m.{c}"))
+    looked = counts.alias("c").join(middle.alias("m"), same).select(
+        *[F.col(f"c.{c}").alias(c) for c in [*names, "_slice"]],
+        "_v", "_n", "_start", "_low", "_high", "_total", "_s", "_min", "_max",
+    )
     within = (
         Window.partitionBy(*names, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = (
-        counts.join(middle, [*names, "_slice"])
-        .withColumn("_end", F.col("_start") + F.sum("_n").over(within))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+    ranked = looked.withColumn("_end", F.col("_start") + F.sum("_n").over(within)).withColumn(
+        "_start", F.col("_end") - n
     )
-    return (
-        ranked.groupBy(*names)
-        .agg(
-            F.max(F.when(holds("_low"), v)).alias("_a"),
-            F.max(F.when(holds("_high"), v)).alias("_b"),
-        )
-        .select(*by, ((F.col("_a").cast("double") + F.col("_b")) / 2.0).alias("median"))
+    grouped = ranked.groupBy(*by).agg(
+        F.coalesce(F.max("_total"), F.lit(0)).cast("bigint").alias("count"),
+        F.max("_s").alias("total"),
+        F.max("_min").alias("smallest"),
+        F.max("_max").alias("largest"),
+        F.max(F.when(holds("_low"), v)).alias("_a"),
+        F.max(F.when(holds("_high"), v)).alias("_b"),
     )
+    median = (F.col("_a").cast("double") + F.col("_b")) / 2.0
+    return grouped.withColumn("median", median).drop("_a", "_b")
+
+
+def exact_median(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact median of a whole-number column, one row per group that holds a value."""
+    return distribution(df, value, by).filter("count > 0").select(*by, "median")
 
 
 def size_stats(files: DataFrame, size: str = "length", by: tuple[str, ...] = ()) -> DataFrame:
     """Count, total, exact median, smallest and largest file; all zero where there is none."""
     zero = F.lit(0).cast("bigint")
-    plain = files.groupBy(*by).agg(
-        F.count(size).cast("int").alias("data_file_count"),
-        F.coalesce(F.sum(size), zero).cast("bigint").alias("total_data_file_size_bytes"),
-        F.coalesce(F.min(size), zero).cast("bigint").alias("min_file_size_bytes"),
-        F.coalesce(F.max(size), zero).cast("bigint").alias("max_file_size_bytes"),
+    return distribution(files, size, by).select(
+        *by,
+        F.col("count").cast("int").alias("data_file_count"),
+        F.coalesce("total", zero).alias("total_data_file_size_bytes"),
+        F.coalesce("smallest", zero).alias("min_file_size_bytes"),
+        F.coalesce("largest", zero).alias("max_file_size_bytes"),
+        F.coalesce("median", F.lit(0.0)).alias("median_file_size_bytes"),
     )
-    middle = exact_median(files, size, by).withColumnRenamed("median", "median_file_size_bytes")
-    # One row per group on either side become one by union and max.
-    both = plain.unionByName(middle, allowMissingColumns=True)
-    values = [c for c in both.columns if c not in by]
-    row = both.groupBy(*by).agg(*[F.max(c).alias(c) for c in values])
-    return row.withColumn("median_file_size_bytes", F.coalesce("median_file_size_bytes", F.lit(0.0)))
 
 
 def planned_scan_tasks(df: DataFrame) -> int:

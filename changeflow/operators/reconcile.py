@@ -29,8 +29,11 @@ def normalise(rows: DataFrame, columns: Sequence[str] = CURRENT_COLUMNS) -> Data
     )
 
 
-def side_counts(source: DataFrame, target: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How often each distinct row occurs on either side."""
+def side_counts(
+    source: DataFrame, target: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """How often each distinct row occurs on either side; ``by`` names the case a row belongs to."""
+    columns = [*by, *columns]
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     left = normalise(source, columns).select("*", one.alias("_s"), zero.alias("_t"))
     right = normalise(target, columns).select("*", zero.alias("_s"), one.alias("_t"))
@@ -120,9 +123,10 @@ def column_diff(
     )
 
 
-def _side(df: DataFrame, id_column: str, flag: str) -> DataFrame:
+def _side(df: DataFrame, id_column: str, flag: str, by: Sequence[str]) -> DataFrame:
     flags = ["_source", "_target", "_expected", "_log", "_expected_log"]
     return df.select(
+        *by,
         F.col(id_column).cast("bigint").alias("event_id"),
         *[F.lit(1 if f == flag else 0).cast("bigint").alias(f) for f in flags],
     )
@@ -135,17 +139,18 @@ def event_id_presence(
     changelog: DataFrame,
     expected_changelog: DataFrame,
     id_column: str = "event_id",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """For every id, how often each of the five inputs holds it."""
-    tagged = _side(source, id_column, "_source")
+    """For every id (of every case), how often each of the five inputs holds it."""
+    tagged = _side(source, id_column, "_source", by)
     for df, flag in (
         (target, "_target"),
         (expected, "_expected"),
         (changelog, "_log"),
         (expected_changelog, "_expected_log"),
     ):
-        tagged = tagged.unionByName(_side(df, id_column, flag))
-    return tagged.groupBy("event_id").agg(
+        tagged = tagged.unionByName(_side(df, id_column, flag, by))
+    return tagged.groupBy(*by, "event_id").agg(
         *[F.sum(f).alias(f) for f in ("_source", "_target", "_expected", "_log", "_expected_log")]
     )
 
@@ -157,17 +162,19 @@ def event_id_audit(
     changelog: DataFrame,
     expected_changelog: DataFrame,
     id_column: str = "event_id",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """One row: do the current ids agree three ways, and does the changelog hold what it should.
 
-    ``expected_changelog`` lists every expected changelog row's id, repeats included.
+    ``expected_changelog`` lists every expected changelog row's id, repeats included. With ``by``,
+    columns of all five inputs, many cases are audited at once: one row per case.
     """
-    ids = event_id_presence(source, target, expected, changelog, expected_changelog, id_column)
+    ids = event_id_presence(source, target, expected, changelog, expected_changelog, id_column, by)
     has = lambda c: F.col(c) > 0
     n = lambda c: F.count_if(has(c))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
     every = lambda cond: F.coalesce(F.every(cond), F.lit(True))
-    audit = ids.agg(
+    audit = ids.groupBy(*by).agg(
         n("_source").alias("source_current_ids"),
         n("_target").alias("target_current_ids"),
         n("_expected").alias("expected_current_ids"),
@@ -192,12 +199,13 @@ def reconcile_summary(
     expected: DataFrame,
     changelog: DataFrame,
     expected_changelog: DataFrame,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row with row counts, diff counts and the id audit."""
+    """One row (per case) with row counts, diff counts and the id audit."""
     missing = (F.col("source_copies") > 0) & (F.col("target_copies") == 0)
     unexpected = (F.col("target_copies") > 0) & (F.col("source_copies") == 0)
     zero = F.lit(0).cast("bigint")
-    diff = side_counts(source, target, CURRENT_COLUMNS).agg(
+    diff = side_counts(source, target, CURRENT_COLUMNS, by).groupBy(*by).agg(
         F.coalesce(F.sum("source_copies"), zero).alias("source_row_count"),
         F.coalesce(F.sum("target_copies"), zero).alias("target_row_count"),
         F.count_if(missing).alias("missing_count"),
@@ -207,10 +215,10 @@ def reconcile_summary(
             "multiset_diff_count"
         ),
     )
-    audit = event_id_audit(source, target, expected, changelog, expected_changelog)
+    audit = event_id_audit(source, target, expected, changelog, expected_changelog, by=by)
     # Two one-row results become one by union and max: every column is set in exactly one of them.
     both = diff.unionByName(audit, allowMissingColumns=True)
-    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    row = both.groupBy(*by).agg(*[F.max(c).alias(c) for c in both.columns if c not in by])
     return row.withColumn("reconciled", (F.col("snapshot_diff_count") == 0) & F.col("consistent"))
 
 

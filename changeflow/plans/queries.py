@@ -422,13 +422,14 @@ def _expected_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _two_cases(spark: SparkSession, sf: str, check) -> DataFrame:
-    """One row for the right table and one for the damaged one."""
+    """One row for the right table and one for the damaged one, audited side by side."""
+    both = lambda df: df.withColumn("target", F.explode(F.array(F.lit("clean"), F.lit("damaged"))))
     rows = orders_current(spark, sf)
-    log = D.decode(orders_feed(spark, sf))
+    wrong = damage(rows).withColumn("target", F.lit("damaged"))
+    found = rows.withColumn("target", F.lit("clean")).unionByName(wrong)
+    log = both(D.decode(orders_feed(spark, sf))).filter("target = 'clean' OR cdc_row_kind <> '-D'")
     current, expected_log = _expected_ids(spark, sf)
-    clean = check(rows, rows, current, log, expected_log).withColumn("target", F.lit("clean"))
-    wrong = check(rows, damage(rows), current, log.filter("cdc_row_kind <> '-D'"), expected_log)
-    return clean.unionByName(wrong.withColumn("target", F.lit("damaged")))
+    return check(both(rows), found, both(current), log, both(expected_log), by=["target"])
 
 
 @query

@@ -61,3 +61,23 @@ def test_improvements_must_be_strict(spark):
 def test_planning_needs_a_repetition(spark):
     with pytest.raises(ValueError):
         M.planning_latency_ms(lambda: spark.range(1), 0)
+
+
+def test_null_groups_and_nulls(spark):
+    data = [(None, 3), (None, 5), (None, None), ("a", None), ("b", 7), ("b", -2), ("b", -2)]
+    df = spark.createDataFrame(data, "g string, length bigint")
+    want = [("a", 0, 0, 0, 0, 0.0), ("b", 3, 3, -2, 7, -2.0), (None, 2, 8, 3, 5, 4.0)]
+    names = ["data_file_count", "total_data_file_size_bytes", "min_file_size_bytes", "max_file_size_bytes"]
+    got = rows(M.size_stats(df, by=("g",)), "g", *names, "median_file_size_bytes")
+    assert got == sorted(want, key=str)
+    assert rows(M.exact_median(df, "length", ("g",))) == sorted([(None, 4.0), ("b", -2.0)], key=str)
+    assert M.exact_median(df.limit(0), "length").count() == 0
+
+
+def test_sizes_are_scanned_once(spark, sf):
+    from changeflow.plans import queries as Q
+
+    out = Q.QUERIES["size_stats"](spark, sf)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1

@@ -21,6 +21,29 @@ def test_positions_are_dense(spark, width):
     assert [r["pos"] for r in got] == list(range(150))
 
 
+@pytest.mark.parametrize("width", [1, 1000, 1 << 20])
+def test_positions_of_sparse_numbers(spark, width):
+    rng = random.Random(2)
+    # far apart, in clusters, negative, and at the ends of what a whole number holds
+    ids = {rng.randrange(-(1 << 62), 1 << 62) for _ in range(60)}
+    ids |= {(1 << 40) + i for i in range(30)} | {-(1 << 50) - i for i in range(30)} | {0, (1 << 63) - 1}
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(5)
+    got = dense_positions(df, "id", "pos", width).collect()
+    assert {r["id"]: r["pos"] for r in got} == {v: n for n, v in enumerate(sorted(ids))}
+
+
+def test_sizes_of_ranges_do_not_meet_in_one_task(spark):
+    # every number is a range of its own; what meets last is ranges of 2^16 ranges of 2^16 ranges
+    df = spark.range(2000).selectExpr("id * 4194304 AS id")
+    plan = dense_positions(df, "id", "pos")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    at = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert len(at) == 1
+    below = lines[at[0] + 1 : at[0] + 8]
+    assert sum("HashAggregate" in line for line in below) >= 2
+    assert dense_positions(df, "id", "pos").filter("pos * 4194304 <> id").count() == 0
+
+
 def test_statements_change_the_table(spark, tmp_path):
     table = ChangeTable(spark, str(tmp_path / "t")).create()
     orders = feeds.seeded_orders(spark, 20, 1)

@@ -19,11 +19,12 @@ def brute(data, want):
 
 @pytest.mark.parametrize("want", [None, "a", "never"])
 @pytest.mark.parametrize("hot_rows, width", [(1 << 20, None), (5, 3), (20, 7), (1, 1)])
-def test_same_as_one_pass_over_each_key(spark, hot_rows, width, want):
+@pytest.mark.parametrize("stride", [1, 1 << 44])
+def test_same_as_one_pass_over_each_key(spark, hot_rows, width, want, stride):
     rng = random.Random(3)
     # one key holds more than a third of the rows
     data = [
-        ("hot" if rng.random() < 0.4 else f"k{rng.randrange(9)}", i, rng.choice("ab"))
+        ("hot" if rng.random() < 0.4 else f"k{rng.randrange(9)}", i * stride, rng.choice("ab"))
         for i in rng.sample(range(500), 200)
     ]
     df = spark.createDataFrame(data, "key string, ord bigint, kind string").repartition(3)
