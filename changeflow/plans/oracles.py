@@ -303,6 +303,8 @@ ORACLES: dict[str, str] = {
                (SELECT max(_seq) FROM good) AS max_seq""",
     "stream_changelog": f"WITH {_ORD_LOG} SELECT {_COLS}, cdc_row_kind, cdc_operation, source_ts_ms FROM ord_log",
     "stream_recovered_state": f"WITH {_ORD_LOG} {_current('ord_log')}",
+    "restored_state": f"""WITH {_ORD_LOG}, now AS ({_current('ord_log')})
+        SELECT * FROM now, (VALUES ('checkpoint'), ('copy'), ('session')) AS ways(way)""",
     "snapshot_diff": f"""WITH {_DAMAGED}
         SELECT 'missing' AS side, * FROM (SELECT {_COLS} FROM cur EXCEPT SELECT {_COLS} FROM dam) a
         UNION ALL

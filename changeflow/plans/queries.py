@@ -15,7 +15,7 @@ from changeflow.plans import conformance, sqlapi
 from changeflow.schemas import CHANGE_COLUMNS, CURRENT_COLUMNS
 from changeflow.session import run_dir
 from changeflow.sources import feeds
-from changeflow.streaming import ingest
+from changeflow.streaming import ingest, verify
 from changeflow.streaming.table import ChangeTable, Hooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +343,18 @@ def stream_recovered_state(spark: SparkSession, sf: str) -> DataFrame:
     return _stream(spark, sf, "stream-recovered", hooks).current()
 
 
+@query
+def restored_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The keyed table after a running stream was stopped mid-backlog, for each way of restoring it."""
+    out = None
+    for way in verify.RESTORE.values():
+        base = run_dir(spark, f"restored-{way}")
+        restored = verify.interrupted_ingest(spark, orders_feed(spark, sf), base, way, files=4)
+        rows = ChangeTable(spark, restored.base).current().withColumn("way", F.lit(way))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # -- reconciliation ----------------------------------------------------------------------
 
 

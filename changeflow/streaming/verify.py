@@ -20,7 +20,7 @@ from changeflow.sources import feeds
 from changeflow.streaming import ingest
 from changeflow.streaming.table import ChangeTable, Hooks
 
-# Which script a failure class runs and where it fails.
+# Which script a failure class runs, where it fails or how it is restored.
 FAULT_POINT = {
     "task-crash": "before_write",
     "checkpoint-restore": None,
@@ -29,6 +29,7 @@ FAULT_POINT = {
     "sink-commit-fault": "before_commit",
 }
 SCRIPT = {name: "crash" if point else "restore" for name, point in FAULT_POINT.items()}
+RESTORE = {"checkpoint-restore": "checkpoint", "savepoint-restore": "copy", "jobmanager-restart": "session"}
 
 
 def _copy_folder(spark: SparkSession, source: str, target: str) -> None:
@@ -39,6 +40,39 @@ def _copy_folder(spark: SparkSession, source: str, target: str) -> None:
     )
 
 
+def interrupted_ingest(
+    spark: SparkSession, feed: DataFrame, base: str, way: str, files: int = 6, writer_id: str = "verify"
+) -> ChangeTable:
+    """Ingest ``feed``, stop the running query in the middle of its backlog, restore and finish.
+
+    ``way``: start again from the same ``checkpoint``, from a ``copy`` of it, or in a new
+    ``session`` that opens the table itself. The backlog is one file a batch; the query is stopped
+    once its first batch is committed, whatever it is doing then. Returns the restored table.
+    """
+    if way not in RESTORE.values():
+        raise ValueError(f"unknown way to restore: {way}")
+    table = ChangeTable(spark, base).create()
+    landing, checkpoint = f"{base}/landing", f"{base}/checkpoint"
+    feed.repartition(files, "source.pos").write.json(landing)
+
+    def start(owner: ChangeTable, at: str, **trigger):
+        stream = ingest.json_envelope_stream(owner.spark, landing, max_files=1)
+        return ingest.start_ingest(stream, owner, at, writer_id, name=f"interrupted-{way}", **trigger)
+
+    running = start(table, checkpoint, every_seconds=0)
+    try:
+        ingest.await_commits(running, table)
+    finally:
+        running.stop()
+    if way == "copy":
+        _copy_folder(spark, checkpoint, f"{base}/savepoint")
+        checkpoint = f"{base}/savepoint"
+    elif way == "session":
+        table = ChangeTable(spark.newSession(), base)
+    ingest.run_with_restarts(lambda: start(table, checkpoint), delay=0.1)
+    return table
+
+
 def verify_failure(spark: SparkSession, failure_class: str, runs: DataFrame, base: str) -> DataFrame:
     """Run the class's script for every ``scenario_id`` of ``runs`` and reconcile all of them.
 
@@ -47,27 +81,27 @@ def verify_failure(spark: SparkSession, failure_class: str, runs: DataFrame, bas
     if failure_class not in FAILURE_CLASSES:
         raise ValueError(f"unsupported failure class: {failure_class}")
     point, kind = FAULT_POINT[failure_class], SCRIPT[failure_class]
-    hooks = Hooks(**{point: ingest.FailOnce(1)}) if point else Hooks()
-    table = ChangeTable(spark, f"{base}/{failure_class}", hooks=hooks).create()
-    landing, checkpoint = f"{table.base}/landing", f"{table.base}/checkpoint"
     feed = feeds.scenario_feed(runs.select("scenario_id", F.lit(kind).alias("kind")))
-    step = F.col("source.pos") % 16
-
-    def start(session: SparkSession = spark, at: str = checkpoint):
-        stream = ingest.json_envelope_stream(session, landing)
-        return ingest.start_ingest(stream, table, at, "verify", name=f"verify-{failure_class}")
-
-    feed.filter(step < 3).write.mode("append").json(landing)
-    ingest.drain(start())
-    feed.filter(step >= 3).write.mode("append").json(landing)
-    restarts = 0
-    if failure_class == "savepoint-restore":
-        _copy_folder(spark, checkpoint, f"{table.base}/savepoint")
-        ingest.drain(start(at=f"{table.base}/savepoint"))
-    elif failure_class == "jobmanager-restart":
-        ingest.drain(start(session=spark.newSession()))
-    else:
+    home, restarts = f"{base}/{failure_class}", 0
+    if point:
+        table = ChangeTable(spark, home, hooks=Hooks(**{point: ingest.FailOnce(1)})).create()
+        landing = f"{home}/landing"
+
+        def start():
+            stream = ingest.json_envelope_stream(spark, landing)
+            return ingest.start_ingest(
+                stream, table, f"{home}/checkpoint", "verify", name=f"verify-{failure_class}"
+            )
+
+        step = F.col("source.pos") % 16
+        feed.filter(step < 3).write.mode("append").json(landing)
+        ingest.drain(start())
+        feed.filter(step >= 3).write.mode("append").json(landing)
         restarts = ingest.run_with_restarts(start, delay=0.1)
+    else:
+        # Read back through the first session: what another one committed is in the files.
+        restored = interrupted_ingest(spark, feed, home, RESTORE[failure_class])
+        table = ChangeTable(spark, restored.base)
 
     truth = state.current_state(decode.decode_upserts(feed))
     wanted = decode.decode(feed).select("event_id")

@@ -25,6 +25,30 @@ def test_every_failure_class_ends_reconciled(spark, tmp_path):
         verify.verify_failure(spark, "flood", runs, str(tmp_path))
 
 
+@pytest.mark.parametrize("way", list(verify.RESTORE.values()))
+def test_restores_interrupt_a_running_query(spark, tmp_path, sf, way, monkeypatch):
+    from changeflow.plans import queries as Q
+    from changeflow.streaming import ingest
+
+    left = []
+    stop_after = ingest.await_commits
+
+    def watched(query, table, *rest, **more):
+        stop_after(query, table, *rest, **more)
+        left.append((query.isActive, table.commits().count()))
+
+    monkeypatch.setattr(ingest, "await_commits", watched)
+    feed = Q.orders_feed(spark, sf)
+    table = verify.interrupted_ingest(spark, feed, str(tmp_path / "t"), way, files=8)
+    active, commits = left[0]
+    assert active and commits < 8
+    assert table.commits().count() == 8
+    assert (table.spark is not spark) == (way == "session")
+    assert table.changelog().count() == Q.QUERIES["changelog_rows"](spark, sf).count()
+    with pytest.raises(ValueError):
+        verify.interrupted_ingest(spark, feed, str(tmp_path / "u"), "tape")
+
+
 def test_small_files_are_merged(spark, tmp_path):
     profile = verify.RewriteProfile(batches=6, rows_per_batch=10)
     r = verify.rewrite_small_files(spark, profile, str(tmp_path / "t")).first()
