@@ -26,7 +26,6 @@ SUFFIXES = {
 }
 MIN_PRESSURE = 0.05
 RECOVERED_AFTER = 3
-BROADCAST_SLICES = 500_000  # rows of about 50 bytes that may be sent to every executor
 BASELINE, LOADED, RECOVERY = "baseline", "backpressure", "recovery"
 
 
@@ -331,46 +330,58 @@ def interval_max(
 ) -> DataFrame:
     """Per sample, count and largest ``value`` of the points since the sample before it.
 
-    Intervals ``(previous, this]`` are cut into fixed-width slices and points look up their own
-    slice, so the join is on equal (job, slice) and each point meets only the few intervals
-    that touch its slice. Points that lie after the last sample match nothing. Samples are
-    counted first: a short list is broadcast, so the points are not shuffled; a long one joins
-    by shuffle.
+    A point counts for the first sample of its job at or after it; points after the last sample
+    count for none. Both inputs are read once, tagged and folded to one row per moment. Windows run
+    per job and slice of ``width_seconds``; what a slice holds after its last sample is carried to
+    the next slice that has one, so of a hot job only one row per slice meets in a task. Samples
+    and points without a time are left out; copies of a sample stay copies.
     """
-    width = width_seconds * 1_000_000
-    w = Window.partitionBy(job).orderBy(time)
-    bounds = samples.select(
-        job,
-        F.col(time).alias("sample_ts"),
-        F.lag(S.epoch_micros(F.col(time))).over(w).alias("_from"),
-        S.epoch_micros(F.col(time)).alias("_to"),
+    t, own = S.epoch_micros(F.col(time)).alias("_t"), F.col(job).alias(job)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    seen = samples.select(own, t, one.alias("_copies"), zero.alias("_n"))
+    dots = points.select(own, t, zero.alias("_copies"), one.alias("_n"), F.col(value).alias("_v"))
+    folds = [F.sum("_copies").alias("_copies"), F.sum("_n").alias("_n"), F.max("_v").alias("_v")]
+    moments = (
+        seen.unionByName(dots, allowMissingColumns=True)
+        .filter("_t is not null")
+        .groupBy(job, "_t")
+        .agg(*folds)
+        .withColumn("_slice", S.floor_div(F.col("_t"), width_seconds * 1_000_000))
     )
-    # The first interval has no lower end: it starts at the earliest point of its job.
-    earliest = points.groupBy(job).agg(F.min(S.epoch_micros(F.col(time))).alias("_first"))
-    start = F.coalesce("_from", F.least(F.col("_first") - 1, F.col("_to") - 1), F.col("_to") - 1)
-    slices = (
-        bounds.join(earliest, job, "left")
-        .withColumn("_from", start)
-        .withColumn("_slice", F.explode(F.sequence(S.floor_div(F.col("_from") + 1, width), S.floor_div(F.col("_to"), width))))
+    # Read backwards, the smallest sample so far is the next one.
+    back = (
+        Window.partitionBy(job, "_slice")
+        .orderBy(F.desc("_t"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    dots = points.select(
-        F.col(job).alias("_job"),
-        S.epoch_micros(F.col(time)).alias("_t"),
-        S.floor_div(S.epoch_micros(F.col(time)), width).alias("_pslice"),
-        F.col(value).alias("_v"),
+    at = F.min(F.when(F.col("_copies") > 0, F.col("_t"))).over(back)
+    parts = moments.withColumn("_at", at).groupBy(job, "_slice", "_at").agg(*folds)
+    tail = F.col("_at").isNull()
+    later = (
+        Window.partitionBy(job).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     )
-    hit = (F.col(job) == F.col("_job")) & (F.col("_slice") == F.col("_pslice"))
-    hit &= (F.col("_t") > F.col("_from")) & (F.col("_t") <= F.col("_to"))
-    few = slices.limit(BROADCAST_SLICES + 1).count() <= BROADCAST_SLICES
-    found = (
-        dots.join(F.broadcast(slices) if few else slices, hit)
-        .groupBy(job, "sample_ts")
-        .agg(F.count(F.lit(1)).alias("points"), F.max("_v").alias("max_value"))
+    carried = (
+        parts.groupBy(job, "_slice")
+        .agg(
+            F.min("_at").alias("_first"),
+            *[F.max(F.when(tail, F.col(c))).alias(c) for c in ("_copies", "_n", "_v")],
+        )
+        .select(job, F.min("_first").over(later).alias("_at"), "_copies", "_n", "_v")
+        .filter("_n > 0")
     )
     return (
-        bounds.select(job, "sample_ts")
-        .join(found, [job, "sample_ts"], "left")
-        .withColumn("points", F.coalesce("points", F.lit(0).cast("bigint")))
+        parts.select(*carried.columns)
+        .unionByName(carried)
+        .filter("_at is not null")
+        .groupBy(job, "_at")
+        .agg(*folds)
+        .withColumn("_copy", F.explode(F.sequence(one, F.col("_copies"))))
+        .select(
+            job,
+            S.micros_to_timestamp(F.col("_at")).alias("sample_ts"),
+            F.col("_n").alias("points"),
+            F.col("_v").alias("max_value"),
+        )
     )
 
 

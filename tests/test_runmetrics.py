@@ -116,10 +116,8 @@ def test_run_summary(spark):
     assert not s["passed"]
 
 
-@pytest.mark.parametrize("broadcast_limit", [0, 500_000])
-def test_interval_max_against_brute_force(spark, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(M, "BROADCAST_SLICES", broadcast_limit)
-
+@pytest.mark.parametrize("width", [1, 1000, 1_000_000])
+def test_interval_max_against_brute_force(spark, width):
     rng = random.Random(5)
     points = [("j" if rng.random() < 0.5 else "k", T0 + timedelta(seconds=rng.randrange(50_000)), float(i)) for i in range(300)]
     samples = sorted({("j", T0 + timedelta(seconds=rng.randrange(60_000))) for _ in range(12)})
@@ -128,7 +126,7 @@ def test_interval_max_against_brute_force(spark, monkeypatch, broadcast_limit):
         spark.createDataFrame(samples, "job string, ts timestamp_ntz"),
         spark.createDataFrame(points, "job string, ts timestamp_ntz, v double"),
         "v",
-        width_seconds=1000,
+        width_seconds=width,
     )
     want = []
     for job, at in samples:
@@ -221,3 +219,15 @@ def test_recorded_samples(spark, tmp_path):
     path.write_text("\n".join(json.dumps(d) for d in docs))
     s = M.run_summary(M.flat_samples(M.read_samples(spark, str(path)))).first()
     assert s["passed"] and s["load_max_lag_events"] == 9 and s["load_max_duration_ms"] == 220
+
+
+def test_interval_max_of_copies_and_missing_times(spark):
+    s = spark.createDataFrame([("j", T0), ("j", T0), ("j", None)], "job string, ts timestamp_ntz")
+    early = T0 - timedelta(days=400)
+    p = spark.createDataFrame(
+        [("j", early, 4.0), ("j", T0, None), ("j", None, 9.0), ("j", T0 + timedelta(seconds=1), 8.0)],
+        "job string, ts timestamp_ntz, v double",
+    )
+    assert rows(M.interval_max(s, p, "v")) == [("j", T0, 2, 4.0)] * 2
+    assert M.interval_max(s.limit(0), p, "v").count() == 0
+    assert rows(M.interval_max(s, p.limit(0), "v")) == [("j", T0, 0, None)] * 2
