@@ -301,8 +301,17 @@ ORACLES: dict[str, str] = {
                (SELECT count(*) FROM good) AS total_rows,
                (SELECT count(*) FROM bad) AS total_rejects,
                (SELECT max(_seq) FROM good) AS max_seq""",
+    "union_dedup_stream": f"WITH {_ORD_LOG} SELECT {_COLS}, cdc_row_kind, cdc_operation, source_ts_ms FROM ord_log",
     "stream_changelog": f"WITH {_ORD_LOG} SELECT {_COLS}, cdc_row_kind, cdc_operation, source_ts_ms FROM ord_log",
     "stream_recovered_state": f"WITH {_ORD_LOG} {_current('ord_log')}",
+    "statement_changes": f"""WITH {_ORD_LOG}, now AS ({_current('ord_log')}),
+        hit AS (SELECT *, order_id % 3 AS third,
+                       row_number() OVER (PARTITION BY order_id % 3 ORDER BY order_id) AS n FROM now)
+        SELECT order_id, event_id, status, amount_cents, '-U' AS cdc_row_kind, n AS position
+        FROM hit WHERE third = 0
+        UNION ALL SELECT order_id, event_id, 'checked', amount_cents + 1, '+U', n FROM hit WHERE third = 0
+        UNION ALL SELECT order_id, event_id, status, amount_cents, '-D', 1099511627775 + n
+        FROM hit WHERE third = 1""",
     "restored_state": f"""WITH {_ORD_LOG}, now AS ({_current('ord_log')})
         SELECT * FROM now, (VALUES ('checkpoint'), ('copy'), ('session')) AS ways(way)""",
     "snapshot_diff": f"""WITH {_DAMAGED}

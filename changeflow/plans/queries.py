@@ -14,7 +14,7 @@ from changeflow.operators import evidence, maintain, reconcile, runmetrics, stat
 from changeflow.plans import conformance, sqlapi
 from changeflow.schemas import CHANGE_COLUMNS, CURRENT_COLUMNS
 from changeflow.session import run_dir
-from changeflow.sources import feeds
+from changeflow.sources import feeds, statements
 from changeflow.streaming import ingest, verify
 from changeflow.streaming.table import ChangeTable, Hooks
 
@@ -355,6 +355,32 @@ def restored_state(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query
+def union_dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams that deliver the same changes, one of them without deletes: every change once."""
+    base = run_dir(spark, "union-dedup")
+    feed = orders_feed(spark, sf)
+    feed.filter("op <> 'd'").write.json(f"{base}/some")
+    feed.write.json(f"{base}/all")
+    some, every = (ingest.json_envelope_stream(spark, f"{base}/{name}") for name in ("some", "all"))
+    changes = ingest.dedup_stream(D.decode(ingest.union_streams(some, every)))
+    out = changes.writeStream.format("parquet").option("path", f"{base}/out")
+    ingest.drain(out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    return D.audit_rows(spark.read.parquet(f"{base}/out"))
+
+
+@query
+def statement_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What an update of every third order and a delete of every other third write to the log."""
+    now, third = orders_current(spark, sf), F.col("order_id") % 3
+    new = {"status": F.lit("checked"), "amount_cents": F.col("amount_cents") + 1}
+    changed = statements.update(now, third == 0, new, first_seq=1)
+    gone = statements.delete(now, third == 1, first_seq=1 << 40)
+    return D.decode(changed.unionByName(gone)).select(
+        "order_id", "event_id", "status", "amount_cents", "cdc_row_kind", F.col("_seq").alias("position")
+    )
+
+
 # -- reconciliation ----------------------------------------------------------------------
 
 
