@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 One scan over the corpus finds every place where an n-gram of a test item stands, and keeps the
-words around those places as numbers. Their document frequencies say which of an item's n-grams
-are rare; a document that holds a rare one is aligned word by word with the item. A copy may be
-edited: the alignment's score, as a share of the item's best possible score, decides.
+words around those places as numbers. Every n-gram is a seed, however common: where one stands and
+the words around it hold as many of the item's words as a copy needs, which is a bound on the
+alignment's score and loses nothing, they are aligned word by word with the item. A copy may be
+edited: the score, as a share of the item's best possible score, decides.
 """
 
 from __future__ import annotations
@@ -21,9 +22,6 @@ from changeflow.llm.pieces import distinct, runs
 
 #: Words of a seed; items with fewer words can't be told from ordinary text and match nothing.
 WORDS = 4
-#: An item's seeds: its n-grams found in at most this share of the documents, and in any case the
-#: rarer half of them, so that an item that is copied everywhere still has seeds.
-RARE = 1e-4
 #: Share of the best possible score from which a passage counts as a copy.
 SIMILAR = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -51,12 +49,14 @@ class Items:
                 coded = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in own], np.int64)
                 self.items.append((i, coded))
         self.factors = np.random.default_rng(42).integers(1, 1 << 62, words, dtype=np.int64) | 1
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, coded) in enumerate(self.items):
-            for at, gram in enumerate(self.grams(coded).tolist()):
-                self.seeds.setdefault(gram, []).append((k, at))
-        self.known = np.array(sorted(self.seeds), np.int64)
+        own = [c for _, c in self.items] or [np.zeros(0, np.int64)]
+        self.known = np.unique(np.concatenate([self.grams(c) for c in own if len(c)] or own))
+        self.sizes = np.array([len(c) for _, c in self.items], np.int64)
         self.longest = max((len(c) for _, c in self.items), default=0)
+        # How often which item holds a word, sorted by word.
+        number = np.repeat(np.arange(len(self.items)), self.sizes)
+        pairs, self.times = np.unique(np.concatenate(own) * max(1, len(self.items)) + number, return_counts=True)
+        self.held, self.owner = np.divmod(pairs, max(1, len(self.items)))
 
     def grams(self, coded: np.ndarray) -> np.ndarray:
         """Hashes of all n-grams of a word sequence."""
@@ -83,6 +83,18 @@ class Items:
         place = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
         return at[self.known[place] == grams]
 
+    def sharing(self, words: np.ndarray, share: float) -> np.ndarray:
+        """Numbers of the items of which at least this share of the words stand in ``words``.
+
+        An alignment of at least that share of the best score matches as many words or more.
+        """
+        some, times = np.unique(words[words > 0], return_counts=True)
+        first = np.searchsorted(self.held, some)
+        size = np.searchsorted(self.held, some, "right") - first
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        same = np.bincount(self.owner[at], np.minimum(self.times[at], np.repeat(times, size)), len(self.items))
+        return np.flatnonzero(same >= share * self.sizes - 1e-6)
+
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: its score, and first and last word (inclusive) in ``words``.
@@ -151,34 +163,17 @@ def leaks(
     spark, out = ready(docs.sparkSession), None
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = picked.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    total = None
     schema = "doc_id long, mark long, item_id long, score double, first_word long, last_word long"
     for items in _slices(benchmark, item_col, item_text_col, words, at_once):
         if not items.items:
             continue
         shared = spark.sparkContext.broadcast(items)
         places = saved(picked.mapInArrow(_finder(shared), FOUND_DDL), "seeds")
-        told = places.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").count().toArrow()
-        frequency = dict(zip(told["gram"].to_pylist(), told["count"].to_pylist(), strict=True))
-        total = picked.count() if total is None else total
-        rare = rare_seeds(items, frequency, total)
-        found = places.mapInArrow(_aligner(shared, spark.sparkContext.broadcast(rare), similar), schema)
+        found = places.mapInArrow(_aligner(shared, similar), schema)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def rare_seeds(items: Items, frequency: dict[int, int], total: int) -> dict[int, list[int]]:
-    """For each n-gram, the items of which it is a rare seed."""
-    rare: dict[int, list[int]] = {}
-    for k, (_, coded) in enumerate(items.items):
-        grams = sorted(set(items.grams(coded).tolist()), key=lambda g: (frequency.get(g, 0), g))
-        half = -(-len(grams) // 2)
-        for i, gram in enumerate(grams):
-            if i < half or frequency.get(gram, 0) <= RARE * total:
-                rare.setdefault(gram, []).append(k)
-    return rare
-
-
 FOUND = pa.schema(
     [("doc_id", pa.int64()), ("mark", pa.int64())]
     + [(n, pa.list_(pa.int64())) for n in ("grams", "places", "begins")]
@@ -230,32 +225,41 @@ def _finder(shared):
     return run
 
 
-def _aligner(shared, rare, similar: float):
-    """Alignments of the documents that hold rare seeds, as good as asked for."""
+def _aligner(shared, similar: float):
+    """Alignments of the stretches that hold seeds, as good as asked for."""
     names = ["doc_id", "mark", "item_id", "score", "first_word", "last_word"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds = shared.value, rare.value
+        items = shared.value
+        # A good alignment spans less: each word it skips costs one, each of the item's brings two.
+        span = max(1, int((3 - 2 * min(similar, 1)) * items.longest) + 1)
         for batch in batches:
             lists: list[list] = [[] for _ in names]
             for r in range(batch.num_rows):
                 doc_id, mark, grams, places, begins, stretches = (c[r].as_py() for c in batch.columns)
-                begins = np.array(begins)
-                wanted: dict[int, set[int]] = {}
-                for gram, place in zip(grams, places, strict=True):
-                    for k in seeds.get(gram, ()):
-                        wanted.setdefault(k, set()).add(int(np.searchsorted(begins, place, "right")) - 1)
-                for k, where in sorted(wanted.items()):
+                grams, begins = np.array(grams, np.int64), np.array(begins)
+                within = np.searchsorted(begins, places, "right") - 1
+                best: dict[int, tuple[int, int, int]] = {}
+                for s, stretch in enumerate(stretches):
+                    words, seeds = np.array(stretch, np.int64), grams[within == s]
+                    seeded: dict[int, bool] = {}
+                    for at in range(0, max(1, len(words) - span), span):
+                        some = words[at : at + 2 * span]
+                        for k in items.sharing(some, similar).tolist():
+                            coded = items.items[k][1]
+                            if k not in seeded:
+                                seeded[k] = bool(np.isin(items.grams(coded), seeds).any())
+                            if seeded[k]:
+                                score, first, last = align_long(coded, some)
+                                if score > best.get(k, (0,))[0]:
+                                    begin = int(begins[s]) + at
+                                    best[k] = (score, begin + first, begin + last)
+                for k, (score, first, last) in sorted(best.items()):
                     item_id, coded = items.items[k]
-                    best = (0, 0, -1)
-                    for s in sorted(where):
-                        score, first, last = align_long(coded, np.array(stretches[s], np.int64))
-                        if score > best[0]:
-                            best = (score, int(begins[s]) + first, int(begins[s]) + last)
-                    share = best[0] / (MATCH * len(coded))
+                    share = score / (MATCH * len(coded))
                     if share >= similar:
-                        for values, v in zip(lists, (doc_id, mark, item_id, share, best[1], best[2]), strict=True):
+                        for values, v in zip(lists, (doc_id, mark, item_id, share, first, last), strict=True):
                             values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(lists, types, strict=True)], names=names)
 

@@ -174,6 +174,25 @@ def test_leaks(spark):
     assert decontam.without_leaks(df, bench.limit(0)).count() == len(found)
 
 
+@pytest.mark.parametrize("n, copies", [(30, 1), (300, 3)])
+def test_edited_copies_are_found_by_the_grams_they_keep(spark, n, copies):
+    words = [f"word{i}" for i in range(38)]
+    changed = " ".join("changed" if i in (5, 11, 17, 23, 29) else w for i, w in enumerate(words))
+    found = [(i, f"ordinary text {i} " + (changed if i < copies else "without a copy")) for i in range(n)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = decontam.leaks(docs(spark, found), bench).collect()
+    assert {(r["doc_id"], round(r["score"], 2)) for r in got} == {(i, 0.8) for i in range(copies)}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), min_size=4, max_size=9), st.lists(st.sampled_from("abcdex"), max_size=14))
+def test_no_item_that_aligns_well_is_ruled_out(item, words):
+    items = decontam.Items([1, 2], [" ".join(item), "p q r s"], 4)
+    coded = np.array([items.numbers.get(w, 0) for w in words], np.int64)
+    score = decontam.align(items.items[0][1], coded)[0] / (decontam.MATCH * len(item))
+    assert score < decontam.SIMILAR or 0 in items.sharing(coded, decontam.SIMILAR)
+
+
 def test_leak_query(spark, sf):
     given_ = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
     items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
