@@ -1,9 +1,9 @@
 """Near-duplicate vectors by NN-descent over cosine similarity.
 
 Sorted random projections give each vector its first neighbours. Rounds of local joins then
-compare the neighbours of a vector with each other, forward and reverse, and keep the best. Lists
-that fill up with links are enlarged, in the end to all of the group that the links hold together,
-compared in blocks. An audit compares a bounded number of vectors with all others; while too few
+compare the neighbours of a vector with each other, forward and reverse, and keep the best. What a
+list has no room for still counts: whatever is compared at once also emits links that span its
+groups. All vectors of a group that the links hold together are compared in blocks. An audit compares a bounded number of vectors with all others; while too few
 of their links were found, more projections are drawn.
 
 Two vectors linked to a third differ from each other by at most twice the angle of a link, so
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,11 @@ ROUNDS, STILL = 6, 0.002
 #: Vectors of the audit, links it must find, and draws at most.
 AUDITED, RECALL, DRAWS = 256, 0.97, 4
 
-PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
-PAIRS_DDL = "u long, v long, sim double"
+#: Rounding of similarities in single precision.
+SLACK = 1e-5
+
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64()), ("span", pa.bool_())])
+PAIRS_DDL = "u long, v long, sim double, span boolean"
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -140,8 +144,29 @@ def _projected(reps: DataFrame, draw: int, bits: int) -> DataFrame:
     return reps.select("space", "dim", "rep", "vec").mapInArrow(run, ddl)
 
 
-def _best(names: np.ndarray, vectors: np.ndarray, least: np.ndarray | float, keep: int) -> pa.RecordBatch | None:
-    """Each row's best partners among the others, at least as similar as asked for."""
+def _spanning(sims: np.ndarray, similar: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that hold together all that links hold together; ones in doubt between groups are all named."""
+    near = sims >= similar + slack
+    group = np.arange(len(sims))
+    seen = np.zeros(len(sims), bool)
+    row, column = [], []
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        todo = [] if seen[start] else [start]
+        seen[start] = True
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & ~seen).tolist()
+            seen[new], group[new] = True, start
+            row += [i] * len(new)
+            column += new
+            todo += new
+    a, b = np.nonzero(np.triu(np.abs(sims - similar) < slack, 1))
+    apart = group[a] != group[b]
+    return np.concatenate([row, a[apart]]).astype(np.int64), np.concatenate([column, b[apart]]).astype(np.int64)
+
+
+def _best(names: np.ndarray, vectors: np.ndarray, least: np.ndarray | float, keep: int, similar: float) -> pa.RecordBatch | None:
+    """Each row's best partners among the others, at least as similar as asked for, and spanning links."""
     if len(names) < 2:
         return None
     sims = vectors @ vectors.T
@@ -154,19 +179,22 @@ def _best(names: np.ndarray, vectors: np.ndarray, least: np.ndarray | float, kee
         row, column = np.nonzero(sims > -2.0)
     value = sims[row, column]
     good = value >= (least[row] if isinstance(least, np.ndarray) else least)
-    if not good.any():
+    a, b = _spanning(sims, similar, SLACK)
+    if not good.any() and not len(a):
         return None
+    row, column = np.concatenate([row[good], a]), np.concatenate([column[good], b])
+    span = np.arange(len(row)) >= len(row) - len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(names[row[good]]), pa.array(names[column[good]]), pa.array(value[good].astype(np.float64))], schema=PAIRS
+        [pa.array(names[row]), pa.array(names[column]), pa.array(sims[row, column].astype(np.float64)), pa.array(span)], schema=PAIRS
     )
 
 
-def _cells(floor: float):
+def _cells(floor: float, similar: float):
     def make(some: pa.Table) -> pa.RecordBatch | None:
         parts = []
         for at in range(0, some.num_rows, BLOCK):
             part = some.slice(at, BLOCK)
-            got = _best(part["rep"].to_numpy(), _matrix(part, np.float32), floor, LIST)
+            got = _best(part["rep"].to_numpy(), _matrix(part, np.float32), floor, LIST, similar)
             if got is not None:
                 parts.append(got)
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
@@ -195,15 +223,21 @@ def _cells(floor: float):
     return run
 
 
-def _merged(pairs: DataFrame, full: DataFrame | None, similar: float) -> DataFrame:
-    """The best entries of each list; lists that were full of links may grow."""
-    best = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+def _merged(pairs: DataFrame, full: DataFrame | None) -> DataFrame:
+    """The best entries of each list, and spanning links that are on none; lists that were full of links may grow."""
+    best = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("span").alias("span"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    if full is None:
-        return best.withColumn("rank", rank).where(F.col("rank") <= LIST).drop("rank")
-    grown = best.join(full.withColumn("grown", F.lit(True)), "u", "left")
-    size = F.when(F.col("grown"), F.lit(ENLARGED)).otherwise(F.lit(LIST))
-    return grown.withColumn("rank", rank).where(F.col("rank") <= size).select("u", "v", "sim")
+    size = F.lit(LIST)
+    if full is not None:
+        best = best.join(full.withColumn("grown", F.lit(True)), "u", "left")
+        size = F.when(F.col("grown"), F.lit(ENLARGED)).otherwise(size)
+    ranked = best.withColumn("listed", rank <= size)
+    return ranked.where("listed OR span").select("u", "v", "sim", "span", "listed")
+
+
+def _listed(merged: DataFrame) -> DataFrame:
+    """The entries of the lists, as pairs."""
+    return merged.where("listed").select("u", "v", "sim", F.lit(False).alias("span"))
 
 
 def _full(lists: DataFrame, similar: float) -> DataFrame:
@@ -213,8 +247,9 @@ def _full(lists: DataFrame, similar: float) -> DataFrame:
     ).select("u")
 
 
-def _descend(lists: DataFrame, reps: DataFrame, similar: float, floor: float) -> DataFrame:
-    """Rounds of local joins until the lists stand still."""
+def _descend(lists: DataFrame, reps: DataFrame, similar: float, floor: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Rounds of local joins until the lists stand still: the lists, and what each round found."""
+    seen = []
     small = saved(reps.select("rep", "small"), "vectors")
     for _ in range(ROUNDS):
         full = saved(_full(lists, similar), "full")
@@ -239,15 +274,16 @@ def _descend(lists: DataFrame, reps: DataFrame, similar: float, floor: float) ->
         )
 
         def local(some: pa.Table) -> pa.RecordBatch | None:
-            return _best(some["rep"].to_numpy(), _matrix(some, np.float32), some["least"].to_numpy(), ENLARGED)
+            return _best(some["rep"].to_numpy(), _matrix(some, np.float32), some["least"].to_numpy(), ENLARGED, similar)
 
         joined = met.repartition("centre").sortWithinPartitions("centre", "rep").mapInArrow(_grouped(["centre"], local), PAIRS_DDL)
-        after = saved(_merged(lists.union(joined), full, similar), "lists")
+        seen.append(saved(_merged(lists.union(joined), full), "lists"))
+        after = _listed(seen[-1])
         fresh = after.join(lists, ["u", "v"], "left_anti").count()
         lists = after
         if fresh <= STILL * after.count():
             break
-    return lists
+    return lists, seen
 
 
 def _blocks(reps: DataFrame, group: DataFrame, similar: float) -> DataFrame:
@@ -337,6 +373,7 @@ def near_vectors(
     reps = valid.groupBy("space", "dim", "vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("least_id"))
     reps = saved(reps.withColumn("rep", F.monotonically_increasing_id()), "distinct")
     group = lists = None
+    seen: list[DataFrame] = []
     largest = reps.groupBy("space").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, largest / CELL))))
     floor = 2 * similar * similar - 1 if similar > 0.5 else -1.0
@@ -344,11 +381,13 @@ def near_vectors(
     for draw in range(DRAWS if largest > 1 else 0):
         dealt = _projected(reps, draw, bits)
         keys = ["space", "table", "cell", "at"]
-        cells = dealt.repartitionByRange(*keys, "rep").sortWithinPartitions(*keys, "rep").mapInArrow(_cells(floor), PAIRS_DDL)
+        cells = dealt.repartitionByRange(*keys, "rep").sortWithinPartitions(*keys, "rep").mapInArrow(_cells(floor, similar), PAIRS_DDL)
         fresh = saved(cells, "cells")
-        lists = saved(_merged(fresh if lists is None else lists.union(fresh), None, similar), "lists")
-        lists = _descend(lists, narrow, similar, floor)
-        close = lists.where(F.col("sim") >= similar - 1e-4).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        seen.append(saved(_merged(fresh if lists is None else lists.union(fresh), None), "lists"))
+        lists, found = _descend(_listed(seen[-1]), narrow, similar, floor)
+        seen += found
+        # Whatever was found counts, also what better entries have pushed out of a list since.
+        close = reduce(DataFrame.union, seen).where(F.col("sim") >= similar - 1e-4).select(F.col("u").alias("a"), F.col("v").alias("b"))
         group = saved(components(_verified(close, reps, similar)), "groups")
         recall = _audit(reps, group, similar)
         if report is not None:

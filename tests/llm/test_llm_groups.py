@@ -163,3 +163,19 @@ def test_neighbours(spark):
     assert neighbours.near_vectors(none).count() == 0
     lonely = neighbours.near_vectors(spark.createDataFrame([(1, None, 2)], df.drop("space").schema)).collect()
     assert [tuple(r) for r in lonely] == [(1, 0, 1, True)]
+
+
+def test_dense_groups_are_linked_beyond_full_lists(spark):
+    # Cosine 0.99 inside a group of 40, 0.95 across: every list is full of its own group.
+    rng = np.random.default_rng(3)
+    centres = np.zeros((2, 64))
+    centres[0, 0], centres[1, 0], centres[1, 1] = 1, 0.96, (1 - 0.96**2) ** 0.5
+    noise = rng.standard_normal((80, 64))
+    noise[:, :2] = 0
+    noise *= (0.01**0.5) / np.linalg.norm(noise, axis=1)[:, None]
+    vectors = np.repeat(centres, 40, axis=0) * 0.99**0.5 + noise
+    sims = vectors @ vectors.T
+    assert sims[:40, 40:].min() >= 0.935 and sims[:40, :40].min() > sims[:40, 40:].max()
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label string")
+    got = neighbours.near_vectors(df).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(79, 0)} and sum(r["kept"] for r in got) == 1
