@@ -4,7 +4,8 @@ Sorted random projections give each vector its first neighbours. Rounds of local
 compare the neighbours of a vector with each other, forward and reverse, and keep the best. What a
 list has no room for still counts: whatever is compared at once also emits links that span its
 groups. All vectors of a group that the links hold together are compared in blocks. An audit compares a bounded number of vectors with all others; while too few
-of their links were found, more projections are drawn.
+of their links were found, in large groups or elsewhere, more projections are drawn. If that does
+not help, each label is compared in blocks as a whole.
 
 Two vectors linked to a third differ from each other by at most twice the angle of a link, so
 pairs beyond that angle are no use as neighbours and are not kept: most lists are short.
@@ -31,8 +32,9 @@ LIST, ENLARGED = 8, 16
 TABLES, CELL, BLOCK = 10, 96, 256
 #: Rounds of local joins at most; they end when under this share of the lists' entries is new.
 ROUNDS, STILL = 6, 0.002
-#: Vectors of the audit, links it must find, and draws at most.
-AUDITED, RECALL, DRAWS = 256, 0.97, 4
+#: Vectors of the audit in large groups and elsewhere, share of a vector's links it must find, and
+#: draws before all is compared.
+AUDITED, ELSEWHERE, RECALL, DRAWS = 256, 1024, 0.97, 4
 
 #: Rounding of similarities in single precision.
 SLACK = 1e-5
@@ -286,18 +288,43 @@ def _descend(lists: DataFrame, reps: DataFrame, similar: float, floor: float) ->
     return lists, seen
 
 
-def _blocks(reps: DataFrame, group: DataFrame, similar: float) -> DataFrame:
-    """``(rep, linked)``: how many vectors each one links to within its group, compared in blocks."""
+def _dealt(reps: DataFrame, group: DataFrame) -> DataFrame:
+    """The vectors of each group, dealt to pairs ``(a, b)`` of blocks."""
     sized = group.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     member = reps.select("rep", "vec", "weight").join(group, reps.rep == group.node).join(sized, "root")
     n = F.ceil(F.col("m") / F.lit(BLOCK))
     own = F.pmod(F.xxhash64("rep"), F.col("n"))
-    dealt = member.withColumn("n", n).withColumn("own", own).select(
+    return member.withColumn("n", n).withColumn("own", own).select(
         "root", "rep", "vec", "weight", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     ).select(
         "root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "vec", "weight"
     )
 
+
+def _whole(reps: DataFrame, similar: float) -> DataFrame:
+    """``(a, b)``: links that span all groups, from comparing everything in blocks."""
+
+    def meet(some: pa.Table) -> pa.RecordBatch:
+        names, left = some["rep"].to_numpy(), some["own"].to_numpy() == some["a"][0].as_py()
+        vectors = _matrix(some, np.float64)
+        if left.all():
+            sims = vectors @ vectors.T
+            np.fill_diagonal(sims, -2.0)
+        else:
+            sims = np.full((len(names), len(names)), -2.0)
+            sims[np.ix_(left, ~left)] = vectors[left] @ vectors[~left].T
+            sims = np.maximum(sims, sims.T)
+        a, b = _spanning(sims, similar, 1e-12)
+        return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
+
+    keys = ["root", "a", "b"]
+    dealt = _dealt(reps, reps.select(F.col("rep").alias("node"), F.col("space").alias("root")))
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_grouped(keys, meet), "a long, b long")
+
+
+def _blocks(reps: DataFrame, group: DataFrame, similar: float) -> DataFrame:
+    """``(rep, linked)``: how many vectors each one links to within its group, compared in blocks."""
+
     def meet(some: pa.Table) -> pa.RecordBatch | None:
         a, own = some["a"][0].as_py(), some["own"].to_numpy()
         names, weight = some["rep"].to_numpy(), some["weight"].to_numpy()
@@ -314,16 +341,24 @@ def _blocks(reps: DataFrame, group: DataFrame, similar: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], names=["rep", "linked"])
 
     keys = ["root", "a", "b"]
-    met = dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_grouped(keys, meet), "rep long, linked long")
+    met = _dealt(reps, group).repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_grouped(keys, meet), "rep long, linked long")
     return met.groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
 def _audit(reps: DataFrame, group: DataFrame, similar: float) -> float:
-    """Share found of the links of a bounded number of vectors, compared with all others."""
-    asked = reps.where(F.col("least_id") % 50 == 0).orderBy(F.xxhash64("rep")).limit(AUDITED)
-    asked = asked.select("rep", "space", "vec").toArrow()
+    """Share found of a vector's links, on average over a bounded number of vectors.
+
+    They are compared with all others. Vectors of large groups have many links and would outvote
+    the rest, so both kinds are averaged for themselves; the lower share counts.
+    """
+    sized = group.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    placed = reps.join(group, reps.rep == group.node, "left").join(sized, "root", "left")
+    placed = placed.withColumn("large", F.coalesce(F.col("m") > ENLARGED, F.lit(False)))
+    drawn = [placed.where(of).orderBy(F.xxhash64("vec"), "rep").limit(n) for of, n in (("large", AUDITED), ("NOT large", ELSEWHERE))]
+    asked = drawn[0].union(drawn[1]).select("rep", "space", "vec", "large").toArrow()
     if not asked.num_rows:
         return 1.0
+    large = set(asked.filter(asked["large"])["rep"].to_pylist())
     spaces, names = np.array(asked["space"].to_pylist(), object), asked["rep"].to_numpy()
     raw = asked["vec"].to_pylist()
     shared = reps.sparkSession.sparkContext.broadcast(
@@ -347,8 +382,9 @@ def _audit(reps: DataFrame, group: DataFrame, similar: float) -> float:
     true = saved(reps.select("space", "rep", "vec").mapInArrow(run, "u long, v long"), "audit")
     left, right = group.select(F.col("node").alias("u"), F.col("root").alias("ru")), group.select(F.col("node").alias("v"), F.col("root").alias("rv"))
     found = true.join(left, "u", "left").join(right, "v", "left")
-    total, hit = found.agg(F.count(F.lit(1)), F.sum((F.col("ru") == F.col("rv")).cast("long"))).first()
-    return 1.0 if not total else (hit or 0) / total
+    told = found.groupBy("u").agg(F.avg(F.coalesce(F.col("ru") == F.col("rv"), F.lit(False)).cast("double")).alias("share")).collect()
+    shares = [[r["share"] for r in told if (r["u"] in large) == kind] for kind in (True, False)]
+    return min((sum(x) / len(x) for x in shares if x), default=1.0)
 
 
 def near_vectors(
@@ -364,7 +400,8 @@ def near_vectors(
     Vectors that are null, empty, zero, hold a null or non-finite component, or have no label link
     with nothing; so do vectors of different lengths. Equal vectors of a label link with each
     other and are compared once. Repeated ids are vectors of their own; rows without an id are
-    linked but never name a group. ``report`` receives the audited recall.
+    linked but never name a group. ``report`` receives the audited recall of the last draw, and whether
+    all was compared because it was too low.
     """
     spark = ready(vectors.sparkSession)
     units = saved(_units(vectors, id_col, vector_col, label_col), "units")
@@ -391,9 +428,12 @@ def near_vectors(
         group = saved(components(_verified(close, reps, similar)), "groups")
         recall = _audit(reps, group, similar)
         if report is not None:
-            report.update(recall=recall, draws=draw + 1)
+            report.update(recall=recall, draws=draw + 1, whole=recall < RECALL and draw + 1 == DRAWS)
         if recall >= RECALL:
             break
+    else:
+        if group is not None:
+            group = saved(components(_verified(_whole(reps, similar), reps, similar)), "groups")
     if group is None:
         group = spark.createDataFrame([], "node long, root long")
     linked = _blocks(reps, group, similar)

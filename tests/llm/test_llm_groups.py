@@ -179,3 +179,30 @@ def test_dense_groups_are_linked_beyond_full_lists(spark):
     df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label string")
     got = neighbours.near_vectors(df).collect()
     assert {(r["n_links"], r["component_id"]) for r in got} == {(79, 0)} and sum(r["kept"] for r in got) == 1
+
+
+def test_audit_is_not_outvoted_by_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.standard_normal(32) + 0.05 * rng.standard_normal((300, 32))
+    pairs = np.repeat(rng.standard_normal((30, 32)), 2, axis=0) + 0.05 * rng.standard_normal((60, 32))
+    made = [(i, 1, i, "x", neighbours.unit(v.tolist()).tobytes()) for i, v in enumerate(np.concatenate([hot, pairs]))]
+    reps = spark.createDataFrame(made, "rep long, weight long, least_id long, space string, vec binary")
+    all_, some = [(i, 0 if i < 300 else i - i % 2) for i in range(360)], [(i, 0) for i in range(300)]
+    told = [neighbours._audit(reps.withColumn("least_id", F.col("least_id") * k + 1 - k // 50), spark.createDataFrame(g, "node long, root long"), 0.93)
+            for k, g in ((50, all_), (50, some), (7, some))]
+    assert told == [1.0, 0.0, 0.0]
+
+
+def test_what_draws_miss_is_compared_as_a_whole(spark, monkeypatch):
+    def nothing(*_):
+        return lambda batches: iter([])
+
+    monkeypatch.setattr(neighbours, "_cells", nothing)
+    monkeypatch.setattr(neighbours, "DRAWS", 1)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((3, 32))
+    found = [(i, (centres[i % 3 if i < 330 else 2] + 0.05 * rng.standard_normal(32)).tolist(), i // 330) for i in range(700)]
+    report = {}
+    df = spark.createDataFrame(found, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["id"], r["n_links"], r["component_id"]) for r in neighbours.near_vectors(df, report=report).collect())
+    assert got == sorted(brute_vectors(found)) and report["whole"]
