@@ -12,13 +12,14 @@ import base64
 import binascii
 import bisect
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Generator, Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,12 @@ ASSIGN = re.compile(
 )
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{32,}")
 SHORTEST = {"assign": 8, "access": 16, "hex": 32}
-#: Compressed bytes may open to this many times their size, which no deflate stream exceeds; of another
-#: format that does, as much is scanned (a decompression bomb must not take the worker).
-GROWTH, FLOOR = 1100, 1 << 20
+#: Compressed bytes are held opened up to this many times their size, which no deflate stream exceeds;
+#: what another format opens to beyond that is scanned in pieces of that size, each with the end of the
+#: one before (a decompression bomb must not take the worker).
+GROWTH, FLOOR, OVERLAP = 1100, 1 << 20, 1 << 16
+#: Bytes that come out of a decompressor at once.
+CHUNK = 1 << 20
 
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX_DIGITS = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -44,7 +48,10 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon|lowbar|period|sol);")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*={0,2}")
+BLOB = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*"
+    r"(?P<tail>[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?(?:(?:[ \t]*\r?\n[ \t]*)?={1,2})?"
+)
 HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Za-z])")
 
 
@@ -129,34 +136,85 @@ def _entity(m: re.Match) -> Iterator[tuple[str, int, int]]:
     yield html.unescape(m[0]), m.start(), m.end()
 
 
-def _opened(data: bytes) -> bytes:
-    """Bytes with every compression unwrapped."""
-    while True:
-        limit = max(FLOOR, GROWTH * len(data))
+def _kind(data: bytes) -> str:
+    """The compression that bytes begin with, if any."""
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib"
+    starts = {"bzip2": b"BZh", "xz": b"\xfd7zXZ\x00", "zstd": b"\x28\xb5\x2f\xfd"}
+    return next((k for k, start in starts.items() if data.startswith(start)), "")
+
+
+def _member(data: bytes, kind: str) -> Generator[bytes, None, bytes]:
+    """What the first member opens to, in chunks; returns the bytes after it."""
+    if kind == "zstd":
+        import zstandard
+
+        opener, at = zstandard.ZstdDecompressor(max_window_size=1 << 24).decompressobj(), 0
+        while at < len(data) and not opener.eof:
+            yield opener.decompress(data[at : at + 256])
+            at += 256
+        return opener.unused_data + data[at:] if opener.eof else b""
+    if kind in ("gzip", "zlib"):
+        opener = zlib.decompressobj(31 if kind == "gzip" else 15)
+        more = opener.decompress(data, CHUNK)
+        while more:
+            yield more
+            more = b"" if opener.eof else opener.decompress(opener.unconsumed_tail, CHUNK)
+        return opener.unused_data
+    opener = bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor(memlimit=1 << 27)
+    more = opener.decompress(data, CHUNK)
+    while more:
+        yield more
+        more = b"" if opener.eof or opener.needs_input else opener.decompress(b"", CHUNK)
+    return opener.unused_data if opener.eof else b""
+
+
+def _members(data: bytes, kind: str, left: list[bytes]) -> Iterator[bytes]:
+    """What all members of one kind open to; ``left`` receives what follows them or can't be opened."""
+    while data and _kind(data) == kind:
         try:
-            if data[:2] == b"\x1f\x8b":
-                more = zlib.decompressobj(31).decompress(data, limit)
-            elif len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
-                more = zlib.decompressobj().decompress(data, limit)
-            elif data[:3] == b"BZh":
-                more = bz2.BZ2Decompressor().decompress(data, limit)
-            elif data[:6] == b"\xfd7zXZ\x00":
-                more = lzma.LZMADecompressor(memlimit=1 << 27).decompress(data, limit)
-            elif data[:4] == b"\x28\xb5\x2f\xfd":
-                import zstandard
-
-                more = zstandard.ZstdDecompressor(max_window_size=1 << 24).stream_reader(data).read(limit)
-            else:
-                return data
+            data = (yield from _member(data, kind)).lstrip(b"\0")
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            return data
+            break
         except Exception as error:  # zstandard's own error type
             if type(error).__name__ != "ZstdError":
                 raise
-            return data
-        if not more:
-            return data
-        data = more
+            break
+    if data:
+        left.append(data)
+
+
+def _opened(data: bytes) -> Iterator[bytes]:
+    """Bytes with every compression unwrapped; very large ones in overlapping pieces.
+
+    Compression within compression is opened in the first piece.
+    """
+    kind = _kind(data)
+    if not kind:
+        yield data
+        return
+    limit = max(FLOOR, GROWTH * len(data))
+    held, left, first = bytearray(), [], True
+    for chunk in _members(data, kind, left):
+        held += chunk
+        if len(held) >= limit + OVERLAP:
+            end, begin = (_whole_until(held, at) for at in (len(held) - 1, len(held) - OVERLAP))
+            piece = bytes(held[:end])
+            yield from _opened(piece) if first else [piece]
+            del held[:begin]
+            first = False
+    if held:
+        yield from _opened(bytes(held)) if first else [bytes(held)]
+    for rest in left:
+        # Bytes that only looked compressed may be text as they are.
+        yield from [rest] if _kind(rest) == kind else _opened(rest)
+
+
+def _whole_until(data: bytearray, at: int) -> int:
+    """The last place up to ``at`` where a character of UTF-8 begins."""
+    return next((i for i in range(at, max(at - 4, 0), -1) if data[i] & 0xC0 != 0x80), at)
 
 
 def _readable(data: bytes) -> str | None:
@@ -171,22 +229,63 @@ def _readable(data: bytes) -> str | None:
     return None
 
 
+def _debased(run: str) -> bytes | None:
+    """The bytes of a base64 run of either alphabet; None if it can't be one."""
+    joined = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    if len(joined) < 16 or len(joined) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(joined + "=" * (-len(joined) % 4))
+    except binascii.Error:
+        return None
+
+
+def _reach(text: str, begin: int, end: int, data: bytes) -> int:
+    """Where a run of base64 must end to be text: no later than what spoils it."""
+    try:
+        data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
+    except UnicodeDecodeError as error:
+        most = error.start // 3 * 4 + 8
+        return next(islice((i for i in range(begin, end) if not text[i].isspace()), most, None), end)
+    return end
+
+
+def _hopeful(run: str) -> bool:
+    """Whether a base64 run may hold text or compressed bytes, from as many characters as the shortest one has."""
+    head = _debased(re.sub(r"\s+", "", run[:256])[:16])
+    if head is None or _kind(head) or head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return head is not None
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _blobs(layer: Layer) -> Iterator[Layer]:
     """What base64 or hexadecimal runs of a layer hold, if it is text after all unwrapping."""
     for m in BLOB.finditer(layer.text):
-        joined = re.sub(r"\s+", "", m[0]).rstrip("=").replace("-", "+").replace("_", "/")
-        if len(joined) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(joined + "=" * (-len(joined) % 4))
-        except binascii.Error:
-            continue
-        text = _readable(_opened(data))
-        if text:
-            yield Layer(text, [0], [m.start()], [m.end()], [False], layer)
+        # The short last line may be a word that follows; what stands before / - _ may be a path.
+        last, at = [m.end()] + [m.start("tail")] * (m["tail"] is not None), m.start()
+        cuts = [i for i in range(m.start(), last[-1]) if layer.text[i] in "/-_"]
+        for begin in [m.start(), *(i + 1 for i in cuts)]:
+            if begin < at or not _hopeful(layer.text[begin : last[-1]]):
+                continue
+            reach = 1 << 62
+            for end in [*last, *(i for i in reversed(cuts) if i >= begin + 16)]:
+                if end > reach:
+                    continue
+                data = _debased(layer.text[begin:end])
+                for text in filter(None, map(_readable, _opened(data) if data else ())):
+                    yield Layer(text, [0], [begin], [end], [False], layer)
+                    at = end
+                if at == end or data and _kind(data):
+                    # Compressed bytes open as far as they go, whatever follows them.
+                    break
+                if data and end not in last[1:]:
+                    reach = min(reach, _reach(layer.text, begin, end, data))
     for m in HEX_BLOB.finditer(layer.text):
-        text = _readable(_opened(bytes.fromhex(m[0])))
-        if text:
+        for text in filter(None, map(_readable, _opened(bytes.fromhex(m[0])))):
             yield Layer(text, [0], [m.start()], [m.end()], [False], layer)
 
 
@@ -202,6 +301,10 @@ def _layers(layer: Layer) -> Iterator[Layer]:
         yield from _blobs(layer)
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: ``(kind, start, end)`` in code points of the whole text.
 
@@ -213,15 +316,19 @@ def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
         return [], []
     base = scan(text)
     found = dict.fromkeys(base)
-    todo, seen = [Layer(text, [], [], [], [], None)], {(0, len(text), text)}
+    todo, seen = [_layers(Layer(text, [], [], [], [], None))], {(0, len(text), _digest(text))}
     while todo:
-        for layer in _layers(todo.pop()):
-            mark = (*layer.origin(0, len(layer.text)), layer.text)
-            if layer.text and mark not in seen:
-                seen.add(mark)
-                todo.append(layer)
-                for kind, a, b in scan(layer.text):
-                    found.setdefault((kind, *layer.origin(a, b)))
+        # Depth first, so that pieces of one large layer are not all held at a time.
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        mark = (*layer.origin(0, len(layer.text)), _digest(layer.text))
+        if layer.text and mark not in seen:
+            seen.add(mark)
+            todo.append(_layers(layer))
+            for kind, a, b in scan(layer.text):
+                found.setdefault((kind, *layer.origin(a, b)))
     covered = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
 
     def plain(kind: str, a: int, b: int) -> bool:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -13,6 +15,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -298,6 +301,35 @@ def test_wrapped_secrets(name, wrapped):
     assert "[assign]" in secrets.redacted(text) and secrets.redacted(text).startswith("é日 before ")
 
 
+def parts_of_layers():
+    enc = lambda b: base64.b64encode(b).decode()
+    for n in range(98, 110):
+        yield f"wrapped {n}", base64.encodebytes(b"x " * 49 + b" " * (n - 98) + b"password=abcd1234").decode()
+    for kind in (gzip, bz2, lzma):
+        yield kind.__name__, enc(kind.compress(b"a") + kind.compress(SECRET.encode()))
+    one = zstandard.ZstdCompressor().compress
+    yield "zstd", enc(one(b"a") + one(SECRET.encode()))
+    yield "nested", enc(bz2.compress(b"a ") + bz2.compress(enc(one(b"c ") + one(SECRET.encode())).encode()))
+    for kind in (bz2, lzma):
+        yield f"{kind.__name__} beyond the limit", enc(kind.compress(b"a " * 2_000_000 + SECRET.encode()))
+    for before in ("path/", "a-b-", "key_", "user/files_"):
+        yield f"after {before}", before + enc(SECRET.encode())
+    yield "between", "path/" + enc(SECRET.encode() * 3).rstrip("=") + "_name/of-it"
+
+
+@pytest.mark.parametrize("name, wrapped", list(parts_of_layers()))
+def test_layers_are_opened_to_their_end(name, wrapped):
+    text = f"before\n\n{wrapped}\n\nafter"
+    base, every = secrets.find_secrets(text)
+    assert not base and [k for k, _, _ in every] == ["assign"]
+    assert "abcd1234" not in secrets.redacted(text) and secrets.redacted(text).startswith("before")
+
+
+def test_a_word_after_a_blob_is_no_part_of_it():
+    blob = base64.b64encode(b"password=hunter2hunter22").decode()
+    assert secrets.redacted(f"x {blob}\nafter y") == "x [assign]\nafter y"
+
+
 def test_spans_map_character_by_character():
     text = "x%20pass%77ord%3Dabcdefghij%20y"
     _, every = secrets.find_secrets(text)
