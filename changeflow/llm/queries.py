@@ -7,6 +7,7 @@ from changeflow.llm import (
     htmltext,
     langid,
     licences,
+    merkle,
     neighbours,
     packing,
     secrets,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_langid": langid.op10_langid,
+    "op13_manifest": merkle.op13_manifest,
 }
 
 
