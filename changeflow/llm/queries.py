@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from changeflow.llm import (
+    collocations,
     decontam,
     htmltext,
     langid,
@@ -12,6 +13,7 @@ from changeflow.llm import (
     packing,
     secrets,
     simhash,
+    syncmers,
     tokencount,
     tokenfile,
 )
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_langid": langid.op10_langid,
+    "op11_syncmers": syncmers.op11_syncmers,
+    "op12_collocations": collocations.op12_collocations,
     "op13_manifest": merkle.op13_manifest,
 }
 
