@@ -217,14 +217,17 @@ class Transducer:
     @classmethod
     def of(cls, trie: Trie, symbols: pa.Array) -> Transducer:
         """From a trie whose labels are places in ``symbols``; only labels in use are kept."""
-        used = np.unique(np.concatenate([x for _, x, _ in trie])) if trie else np.zeros(0, np.int64)
+        flags = np.zeros(len(symbols), bool)
+        for _, x, _ in trie:
+            flags[x] = True
+        used, place = np.flatnonzero(flags), np.cumsum(flags) - 1
         states, target = [], None
         for k in reversed(range(len(trie))):
             parent, label, weight = trie[k]
             if target is None:
                 target = np.zeros(len(parent), np.int64)
             nodes = len(trie[k - 1][0]) if k else 1
-            arcs, target = _registered((parent, np.searchsorted(used, label), weight), target, nodes)
+            arcs, target = _registered((parent, place[label], weight), target, nodes)
             states.append(arcs)
         return cls(symbols.take(pa.array(used)), states[::-1])
 
@@ -244,15 +247,19 @@ class Transducer:
 
     def to_bytes(self) -> bytes:
         small = [tuple(a.astype(_width(a)) for a in arcs) for arcs in self.states]
-        return zstandard.ZstdCompressor(1).compress(pickle.dumps((self.symbols.to_pylist(), small), protocol=5))
+        texts, letters, ends = self.symbols, b"", np.zeros(1, np.int64)
+        if len(texts):
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            letters = texts.buffers()[2][ends[0] : ends[-1]].to_pybytes()
+        sizes = np.diff(ends)
+        return zstandard.ZstdCompressor(1).compress(pickle.dumps((sizes.astype(_width(sizes)), letters, small), protocol=5))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Transducer:
-        symbols, small = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-        return cls(
-            pa.array(symbols, pa.large_string()),
-            [(b.astype(np.int64), x, w, t.astype(np.int64)) for b, x, w, t in small],
-        )
+        sizes, letters, small = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        symbols = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(letters))
+        return cls(symbols, [(b.astype(np.int64), x, w, t.astype(np.int64)) for b, x, w, t in small])
 
 
 def _width(values: np.ndarray) -> type:

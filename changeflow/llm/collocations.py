@@ -2,8 +2,8 @@
 
 Shards of the texts become minimal count transducers, built from their sorted n-grams; the language
 is the first label. They are cut at common bounds, and each prefix range unites what all shards
-hold of it, weights summed. The parts of a range's candidates lie in other ranges: a range sends
-each of them an automaton of the parts it asks for, they come back composed with the counts.
+hold of it, weights summed. The parts of candidates lie anywhere: what is asked of a range becomes
+an automaton, too, and its composition with the range's counts gives their numbers.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from changeflow.llm.pieces import distinct, runs
 
 WORDS = 3
 #: Word places of a shard, and distinct words after which it is closed early.
-SHARD, SYMBOLS = 1_000_000, 1_500_000
+SHARD, SYMBOLS = 800_000, 1_500_000
 #: n-grams of all shards that a prefix range should hold; bounds are read off a sample of about
 #: SAMPLE n-grams of the shards. Both only balance the work.
-RANGE, SAMPLE, KEYS = 1_500_000, 200_000, 64
+RANGE, SAMPLE, KEYS = 1_000_000, 200_000, 64
+#: Bytes of text that are cut into words at a time.
+AT_ONCE = 2 << 20
 STOPS = "[.,;:!?\\x0A-\\x0D]"
 
 
@@ -72,7 +74,10 @@ class _Shard:
         for at in range(0, len(depth), SHARD):
             part = slice(at, at + SHARD)
             cut = [c[part] for c in columns]
-            used = np.unique(np.concatenate(cut))
+            flags = np.zeros(len(labels), bool)
+            for c in cut:
+                flags[c] = True
+            used = np.flatnonzero(flags)
             place = np.zeros(len(labels), np.int32)
             place[used] = [self.known.setdefault(labels[i], len(self.known)) for i in used.tolist()]
             self.held.append(([place[c] for c in cut], depth[part].astype(np.int8)))
@@ -106,7 +111,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names=["counts", "n_grams", "keys"],
     )
     for batch in batches:
-        for at, texts in runs(batch.column(1)):
+        for at, texts in runs(batch.column(1), AT_ONCE):
             langs = batch.column(0).slice(at, len(texts)).to_pylist()
             for row in shard.add(*_steps(langs, texts)):
                 yield made(row)
@@ -142,12 +147,9 @@ def _cutter(bounds: list[tuple[str, ...]]):
     return run
 
 
-def _row(*values) -> pa.RecordBatch:
-    """One row of whole numbers and, last, a transducer."""
-    *numbers, transducer = values
-    names = ["range", "from"][: len(numbers)] + ["counts"]
+def _row(number: int, transducer: Transducer) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [*[pa.array([x], pa.int64()) for x in numbers], pa.array([transducer.to_bytes()], pa.binary())], names=names
+        [pa.array([number], pa.int64()), pa.array([transducer.to_bytes()], pa.binary())], names=["range", "counts"]
     )
 
 
@@ -162,93 +164,64 @@ def _union(least: int):
     return run
 
 
-def _asked(bounds: list[tuple[str, ...]]):
-    """For each range, automata of the parts its candidates ask other ranges (and itself) for.
+CANDIDATE = "lang string, phrase string, words array<string>, a long"
 
-    A part weighs one more than the most frequent longer candidate that holds it.
-    """
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of two words or more that a range kept."""
+    for batch in batches:
+        for data in batch.column(0):
+            counts = Transducer.from_bytes(data.as_py())
+            trie, names = counts.trie(), counts.symbols.cast(pa.string())
+            for depth in range(3, len(trie) + 1):
+                on = np.flatnonzero(trie[depth - 1][2])
+                for at in range(0, len(on), 100_000):
+                    rows = on[at : at + 100_000]
+                    lang, *words = (names.take(pa.array(c[rows])) for c in fsa.spelled(trie, depth))
+                    each = np.arange(len(rows) + 1, dtype=np.int32) * len(words)
+                    order = np.arange(len(rows) * len(words)).reshape(len(words), -1).T.ravel()
+                    listed = pa.ListArray.from_arrays(pa.array(each), pa.concat_arrays(words).take(pa.array(order)))
+                    yield pa.RecordBatch.from_arrays(
+                        [lang, pc.binary_join(listed, " "), listed, pa.array(trie[depth - 1][2][rows], pa.int64())],
+                        names=["lang", "phrase", "words", "a"],
+                    )
+
+
+def _ranged(bounds: list[tuple[str, ...]]):
+    """The range in which a phrase of a language stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mine, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = Transducer.from_bytes(data.as_py())
-                trie, labels = counts.trie(), len(counts.symbols)
-                paths = []
-                for depth in range(3, len(trie) + 1):
-                    weight = trie[depth - 1][2]
-                    on = weight > 0
-                    lang, *words = (c[on] for c in fsa.spelled(trie, depth))
-                    plain, longer = np.ones(len(lang), np.int64), weight[on] + 1
-                    paths.append(([lang], plain))
-                    for k in range(1, len(words)):
-                        for part in (words[:k], words[k:]):
-                            paths.append(([lang, *part], longer if len(part) > 1 else plain))
-                if not paths:
-                    continue
-                width = max(len(c) for c, _ in paths)
-                empty = lambda w: np.zeros(len(w), np.int64)
-                columns = [np.concatenate([c[k] if k < len(c) else empty(w) for c, w in paths]) for k in range(width)]
-                depth = np.concatenate([np.full(len(w), len(c)) for c, w in paths])
-                asked = fsa.from_paths(columns, depth, np.concatenate([w for _, w in paths]), labels, np.maximum)
-                words = counts.symbols.to_pylist()
-                ends = [[0, *e, len(level[0])] for e, level in zip(fsa.cuts(asked, words, bounds), asked, strict=True)]
-                for r in range(len(bounds) + 1):
-                    part = fsa.sliced(asked, [e[r] for e in ends], [e[r + 1] for e in ends])
-                    if any(w.any() for _, _, w in part):
-                        yield _row(r, mine, Transducer.of(part, counts.symbols))
+            langs, parts = (batch.column(i).to_pylist() for i in range(2))
+            found = [bisect_right(bounds, (x, *(p.split(" ") if p else ()))) for x, p in zip(langs, parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns], names=["range", "lang", "part", "longest"])
 
     return run
 
 
-def _answered(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Requests composed with a range's counts, and the range's own phrases with their most frequent longer one."""
-    out = []
-    if left.num_rows:
-        mine = left.column("range")[0].as_py()
-        counts = Transducer.from_bytes(left.column("counts")[0].as_py())
-        longest = []
-        for at in range(right.num_rows):
-            asked = Transducer.from_bytes(right.column("counts")[at].as_py())
-            symbols, (known, want) = fsa.shared_labels([counts, asked])
-            held = fsa.walked(want, known, len(symbols))
-            held = [(p, x, np.where(asked_for > 0, w, 0)) for (p, x, w), (_, _, asked_for) in zip(held, want, strict=True)]
-            out.append(_row(right.column("from")[at].as_py(), 0, Transducer.of(held, symbols)))
-            longest.append(Transducer.of([(p, x, np.maximum(w, 1) - 1) for p, x, w in want], symbols))
-        if longest:
-            symbols, tries = fsa.shared_labels(longest)
-            out.append(_row(mine, 1, Transducer.of(fsa.merged(tries, len(symbols), np.maximum), symbols)))
-    return pa.Table.from_batches(out, schema=_row(0, 0, Transducer.of([], pa.array([], pa.large_string()))).schema)
-
-
-SCORED = "lang string, phrase string, a long, n long, longest long, lefts array<long>, rights array<long>"
-
-
-def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The candidates of a range with the counts of their parts."""
-    fields: dict[str, list] = {x: [] for x in ("lang", "phrase", "a", "n", "longest", "lefts", "rights")}
+def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What a range is asked for, composed with its counts: ``(lang, part, longest, places)``."""
+    fields: list[list] = [[], [], [], []]
     if left.num_rows and right.num_rows:
-        kinds = right.column("from").to_pylist()
-        others = [Transducer.from_bytes(x.as_py()) for x in right.column("counts")]
+        paths = [(x, *(p.split(" ") if p else ())) for x, p in zip(right.column("lang").to_pylist(), right.column("part").to_pylist(), strict=True)]
+        symbols = pa.array(sorted({x for p in paths for x in p}), pa.large_string())
+        rank = {x: i for i, x in enumerate(symbols.to_pylist())}
+        depth = np.array([len(p) for p in paths])
+        columns = [np.array([rank[p[k]] if k < len(p) else 0 for p in paths], np.int64) for k in range(depth.max())]
+        weight = np.array(right.column("longest").to_pylist(), np.int64) + 1
+        asked = Transducer.of(fsa.from_paths(columns, depth, weight, len(symbols)), symbols)
         counts = Transducer.from_bytes(left.column("counts")[0].as_py())
-        symbols, (own, *tries) = fsa.shared_labels([counts, *others])
-        labels, names = len(symbols), symbols.to_pylist()
-        parts = fsa.merged([t for t, kind in zip(tries, kinds, strict=True) if kind == 0], labels, np.maximum)
-        longer = fsa.merged([t for t, kind in zip(tries, kinds, strict=True) if kind == 1], labels, np.maximum)
-        for depth in range(3, len(own) + 1):
-            weight = own[depth - 1][2]
-            on = weight > 0
-            lang, *words = (c[on] for c in fsa.spelled(own, depth))
-            ask = lambda trie, part: fsa.weights_of(trie, [lang, *part], labels).tolist()
-            cut = range(1, len(words))
-            fields["lang"] += [names[x] for x in lang.tolist()]
-            fields["phrase"] += [" ".join(names[x] for x in p) for p in zip(*(w.tolist() for w in words), strict=True)]
-            fields["a"] += weight[on].tolist()
-            fields["n"] += ask(parts, [])
-            fields["longest"] += ask(longer, words)
-            fields["lefts"] += map(list, zip(*(ask(parts, words[:k]) for k in cut), strict=True))
-            fields["rights"] += map(list, zip(*(ask(parts, words[k:]) for k in cut), strict=True))
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.table([pa.array(v, type=t) for v, t in zip(fields.values(), types, strict=True)], names=list(fields))
+        symbols, (known, want) = fsa.shared_labels([counts, asked])
+        names = symbols.to_pylist()
+        for d, ((_, _, places), (_, _, asked_for)) in enumerate(zip(fsa.walked(want, known, len(names)), want, strict=True), 1):
+            on = np.flatnonzero(asked_for)
+            lang, *words = (c[on].tolist() for c in fsa.spelled(want, d))
+            fields[0] += [names[x] for x in lang]
+            fields[1] += [" ".join(names[x] for x in p) for p in zip(*words, strict=True)] if words else [""] * len(lang)
+            fields[2] += (asked_for[on] - 1).tolist()
+            fields[3] += places[on].tolist()
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(v, t) for v, t in zip(fields, types, strict=True)], names=["lang", "part", "longest", "places"])
 
 
 def collocations(
@@ -279,26 +252,43 @@ def collocations(
     bounds = _bounds(shards, per_range)
     slices = shards.select("counts").mapInArrow(_cutter(bounds), "range long, counts binary")
     ranges = saved(slices.groupBy("range").applyInArrow(_union(least), "range long, counts binary"), "ranges")
-    asked = ranges.mapInArrow(_asked(bounds), "range long, from long, counts binary")
-    answers = saved(
-        ranges.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(_answered, "range long, from long, counts binary"),
-        "answers",
+    found = saved(ranges.select("counts").mapInArrow(_candidates, CANDIDATE), "candidates")
+    # Every cut of a candidate, and the whole of its language, ask for their places; a part is asked for once.
+    cut = "inline(transform(sequence(1, size(words) - 1), k -> struct(k, array_join(slice(words, 1, k), ' ') AS head, array_join(slice(words, k + 1, size(words)), ' ') AS tail)))"
+    cuts = found.select("lang", "phrase", "a", F.expr(cut))
+    parts = found.select("lang", F.lit("").alias("part"), F.lit(0).cast("long").alias("longest")).unionByName(
+        cuts.select("lang", "a", F.explode(F.array("head", "tail")).alias("part")).select(
+            "lang", "part", F.when(F.contains("part", F.lit(" ")), F.col("a")).otherwise(0).alias("longest")
+        )
+    )
+    asked = parts.groupBy("lang", "part").agg(F.max("longest").alias("longest"))
+    asked = asked.mapInArrow(_ranged(bounds), "range long, lang string, part string, longest long")
+    places = saved(
+        ranges.groupBy("range")
+        .cogroup(asked.groupBy("range"))
+        .applyInArrow(_composed, "lang string, part string, longest long, places long"),
+        "places",
     )
-    scored = ranges.groupBy("range").cogroup(answers.groupBy("range")).applyInArrow(_scored, SCORED)
+    of = lambda part, name: places.select("lang", F.col("part").alias(part), F.col("places").alias(name))
     # Three counts under 10^14 keep every product within 38 digits.
-    exact = lambda c: c.cast("decimal(14,0)")
-    cut = F.transform(
-        F.arrays_zip("lefts", "rights"),
-        lambda x: F.struct((exact(x["lefts"]) * exact(x["rights"])).alias("both"), x["lefts"].alias("l"), x["rights"].alias("r")),
+    exact = lambda c: F.col(c).cast("decimal(14,0)")
+    million = exact("a") * exact("a") * F.lit(1_000_000).cast("decimal(7,0)")
+    scored = (
+        cuts.join(of("head", "l"), ["lang", "head"])
+        .join(of("tail", "r"), ["lang", "tail"])
+        .select("lang", "phrase", "a", "k", "l", "r", million.alias("million"), (exact("l") * exact("r")).alias("both"))
+        .select("lang", "phrase", "a", F.struct(F.expr("million div both").alias("score"), "k", "l", "r").alias("cut"))
+        .groupBy("lang", "phrase", "a")
+        .agg(F.min("cut").alias("best"))
+    )
+    longer = places.select("lang", F.col("part").alias("phrase"), "longest")
+    kept = scored.join(longer, ["lang", "phrase"], "left").where(
+        F.col("longest").isNull() | (F.col("longest") == 0) | (F.col("longest") * 100 < F.col("a") * cover)
     )
-    million = (exact(F.col("a")) * exact(F.col("a"))) * F.lit(1_000_000).cast("decimal(7,0)")
-    scores = scored.where((F.col("longest") == 0) | (F.col("longest") * 100 < F.col("a") * cover)).withColumn("cut", cut)
-    scores = scores.withColumn("million", million)
-    scores = scores.withColumn(
-        "best",
-        F.array_min(F.expr("transform(cut, (x, k) -> struct(million div x.both AS score, k, x.l AS l, x.r AS r))")),
+    whole = places.where("part = ''").select("lang", F.col("places").alias("n"))
+    return kept.join(whole, "lang").select(
+        "lang", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score")
     )
-    return scores.select("lang", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,14 @@ def vocabulary(path: str | None = None) -> tuple[tuple[str, ...], tuple[float, .
     return tuple(model.id_to_piece(i) for i in ids), tuple(model.get_score(i) for i in ids)
 
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of rows with at most AT_ONCE bytes, one row at least; nulls become empty."""
+def runs(texts: pa.Array, at_once: int = AT_ONCE) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of rows with at most ``at_once`` bytes, one row at least; nulls become empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + at_once, "right")))
         yield at, texts.slice(at, to - at)
         at = to
 
