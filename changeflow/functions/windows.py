@@ -69,3 +69,37 @@ def previous_row(
         .withColumn(name, F.coalesce(name, "_edge"))
         .drop("_edge", "_chunk", "_hot")
     )
+
+
+def running(
+    df: DataFrame, key: str, time: str, values: dict[str, tuple[Column, str]], width_seconds: int = 86_400
+) -> DataFrame:
+    """Add running totals of a key's rows by ``time``, this row included, a slice of time at a time.
+
+    ``values`` names for each new column what it runs over and how: ``sum``, ``max`` or ``min``. A
+    plain window sorts all rows of a key in one task. Here it sorts ``width_seconds`` of them; a slice
+    folds to one row per value, those are summed up before it, and what they give is handed back. So of a
+    key with most rows one task sees a row per slice. Nulls in ``key`` and ``time`` are values of their own.
+    """
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}
+    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col(time).cast("timestamp_ntz"))
+    rows = df.withColumn("_slice", floor_div(micros, width_seconds * 1_000_000))
+    edges = rows.groupBy(F.col(key).alias("_key"), F.col("_slice").alias("_at")).agg(
+        *[fold[how](value).alias(f"_{name}") for name, (value, how) in values.items()]
+    )
+    before = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(
+        "_key", "_at", *[fold[how](f"_{name}").over(before).alias(f"_{name}") for name, (_, how) in values.items()]
+    )
+    inside = Window.partitionBy(key, "_slice").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[fold[how](value).over(inside).alias(name) for name, (value, how) in values.items()])
+    both = local.join(edges, local[key].eqNullSafe(edges["_key"]) & local["_slice"].eqNullSafe(edges["_at"]))
+
+    def joined(name: str, how: str) -> Column:
+        here, earlier = F.col(name), F.col(f"_{name}")
+        if how == "sum":
+            return F.coalesce(here + earlier, here, earlier)
+        return F.greatest(here, earlier) if how == "max" else F.least(here, earlier)
+
+    others = [c for c in df.columns if c not in values]
+    return both.select(*others, *[joined(name, how).alias(name) for name, (_, how) in values.items()])

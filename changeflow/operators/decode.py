@@ -7,32 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.functions import scalars as S
-from changeflow.schemas import CHANGELOG_COLUMNS, CURRENT_COLUMNS, ORDER_FIELDS
+from changeflow.schemas import CHANGELOG_COLUMNS, CURRENT_COLUMNS, ORDER_FIELDS, POSITION_COLUMNS
 
 # Envelope operations and the row kinds and names they become.
 HANDLED_OPS = ("c", "r", "u", "d")
 UPDATE_BEFORE, DELETE = "-U", "-D"  # beside "+I" and "+U"
 
-# A binary-log position packs into one long: file number, offset in the file, row in the event.
-POS_BITS, ROW_BITS = 32, 12
+_FILE_NO = "IF(source.file IS NULL, 0L, try_cast(substring_index(source.file, '.', -1) AS bigint))"
+_ROW = "coalesce(CAST(source.row AS int), 0)"
 
 
-def log_position() -> Column:
-    """One ordered number per change from ``source``. Null where parts are missing or do not fit.
+def log_position() -> list[Column]:
+    """``_file, _seq, _row`` of a change from ``source``: file number, offset, row of the event.
 
-    Log files are named ``<base>.<number>``. Without a file name the offset itself is the
-    position (one log, one row per event).
+    The three order changes as they are, so each may take any value its type holds. Log files are named
+    ``<base>.<number>``. Without a file name there is one log, file 0, and the offset may
+    be negative (snapshot rows come before the log).
     """
-    file_no = "try_cast(substring_index(source.file, '.', -1) AS bigint)"
-    row = "coalesce(CAST(source.row AS bigint), 0L)"
-    return F.expr(
-        f"""CASE WHEN source.file IS NULL THEN source.pos
-            WHEN {file_no} BETWEEN 0 AND {(1 << (63 - POS_BITS - ROW_BITS)) - 1}
-             AND source.pos BETWEEN 0 AND {(1 << POS_BITS) - 1}
-             AND {row} BETWEEN 0 AND {(1 << ROW_BITS) - 1}
-            THEN shiftleft({file_no}, {POS_BITS + ROW_BITS}) + shiftleft(source.pos, {ROW_BITS}) + {row}
-        END"""
-    )
+    return [F.expr(_FILE_NO).alias("_file"), F.expr("source.pos").alias("_seq"), F.expr(_ROW).alias("_row")]
+
+
+def has_position() -> Column:
+    """Whether ``source`` names a place in its log."""
+    return F.expr(f"source.pos IS NOT NULL AND (source.file IS NULL OR ({_FILE_NO} >= 0 AND source.pos >= 0 AND {_ROW} >= 0))")
+
+
+def position_order(changes: DataFrame, image: bool = True) -> Column:
+    """What the changes of a key are ordered by, from the position columns that ``changes`` has."""
+    names = [c for c in (*POSITION_COLUMNS, *(["_img"] if image else [])) if c in changes.columns]
+    return F.struct(*names)
 
 
 def _image_types(df: DataFrame, name: str) -> dict[str, T.DataType]:
@@ -91,7 +94,7 @@ def is_good(envelopes: DataFrame) -> Column:
     before = F.when(F.expr("op IN ('u', 'd')"), whole("before")).otherwise(True)
     after = F.when(F.expr("op IN ('c', 'r', 'u')"), whole("after")).otherwise(True)
     known = F.expr("coalesce(op IN ('c', 'r', 'u', 'd'), false)")
-    return known & _corrupt(envelopes).isNull() & before & after & log_position().isNotNull()
+    return known & _corrupt(envelopes).isNull() & before & after & F.coalesce(has_position(), F.lit(False))
 
 
 def reject_reason(envelopes: DataFrame) -> Column:
@@ -116,7 +119,7 @@ def reject_reason(envelopes: DataFrame) -> Column:
         ),
         F.when(needs_before & before.isNull(), F.lit("missing before image")),
         F.when(needs_after & after.isNull(), F.lit("missing after image")),
-        F.when(known & log_position().isNull(), F.lit("no usable log position")),
+        F.when(known & ~F.coalesce(has_position(), F.lit(False)), F.lit("no usable log position")),
     )
 
 
@@ -138,7 +141,7 @@ def rejects(envelopes: DataFrame) -> DataFrame:
     return envelopes.filter(~is_good(envelopes) & ~is_ignored(envelopes)).select(
         reject_reason(envelopes).alias("reject_reason"),
         "op",
-        log_position().alias("_seq"),
+        *log_position(),
         F.coalesce(_corrupt(envelopes), whole).alias("raw"),
     )
 
@@ -176,7 +179,7 @@ def changelog_rows(good: DataFrame) -> DataFrame:
         F.expr("k.kind AS cdc_row_kind"),
         F.expr("k.operation AS cdc_operation"),
         F.expr("ts_ms AS source_ts_ms"),
-        log_position().alias("_seq"),
+        *log_position(),
         F.expr("k.img AS _img"),
     )
 
@@ -209,7 +212,7 @@ def decode_upserts(
                     ELSE 'snapshot' END AS cdc_operation"""
         ),
         F.expr("ts_ms AS source_ts_ms"),
-        log_position().alias("_seq"),
+        *log_position(),
         F.expr("CAST(IF(op = 'd', 0, 1) AS tinyint) AS _img"),
     )
 

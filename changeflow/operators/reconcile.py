@@ -249,15 +249,24 @@ def commit_lag(
 
 
 def position_lag(source: DataFrame, committed: DataFrame) -> DataFrame:
-    """How far the committed changes are behind the source log; also right when rows are deleted."""
-    side = lambda df, c: df.agg(F.max("_seq").alias(c))
-    both = side(source, "source_max_seq").unionByName(
-        side(committed, "committed_max_seq"), allowMissingColumns=True
+    """How far the committed changes are behind the source log; also right when rows are deleted.
+
+    Across log files ``file_lag`` counts the files between, and ``position_lag`` is the source's
+    offset in its own file, all of which is still to come.
+    """
+    zero = F.lit(0).cast("bigint")
+    place = lambda df: F.struct(
+        (F.col("_file") if "_file" in df.columns else zero).alias("file"), F.col("_seq").alias("seq")
     )
-    row = both.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in both.columns])
-    return row.withColumn(
-        "position_lag", F.greatest(F.col("source_max_seq") - F.col("committed_max_seq"), F.lit(0)).cast("bigint")
+    side = lambda df, c: df.agg(F.max(place(df)).alias(c))
+    both = side(source, "s").unionByName(side(committed, "c"), allowMissingColumns=True)
+    part = lambda c, name: F.coalesce(F.max(c)[name], zero)
+    row = both.agg(
+        part("s", "seq").alias("source_max_seq"), part("c", "seq").alias("committed_max_seq"),
+        F.greatest(part("s", "file") - part("c", "file"), zero).alias("file_lag"),
     )
+    behind = F.col("source_max_seq") - F.when(F.col("file_lag") == 0, F.col("committed_max_seq")).otherwise(zero)
+    return row.select("source_max_seq", "committed_max_seq", F.greatest(behind, zero).alias("position_lag"), "file_lag")
 
 
 def repeated_keys(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

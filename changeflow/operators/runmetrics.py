@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeflow.functions import scalars as S
+from changeflow.functions.windows import running
 from changeflow.schemas import CHECKPOINTS, SAMPLE
 
 # Metric names looked for (by normalised suffix), limits of the checks.
@@ -27,6 +28,8 @@ SUFFIXES = {
 MIN_PRESSURE = 0.05
 RECOVERED_AFTER = 3
 BASELINE, LOADED, RECOVERY = "baseline", "backpressure", "recovery"
+#: Seconds of a job's samples that are looked at together.
+SLICE = 86_400
 
 
 def metric_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -88,40 +91,34 @@ def reporter_snapshot(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def numeric_leaves(
     docs: DataFrame, column: str, keys: Sequence[str], max_depth: int | None = None
 ) -> DataFrame:
-    """Every number in JSON text with its dotted path.
+    """Every number in JSON text with its dotted path, in one narrow stage.
 
-    One lateral explode per level of the deepest document, which is measured first; rows that are
-    already leaves pass through. With ``max_depth`` a document that nests deeper stops the job.
+    With ``max_depth`` a document that nests deeper stops the job.
     """
-    if max_depth is None:
-        max_depth = docs.agg(F.max(S.json_depth(F.col(column)))).first()[0] or 0
-    spark = docs.sparkSession
-    rows = docs.select(
-        *keys, F.lit("").alias("path"), F.lit("").alias("last"), F.try_parse_json(column).alias("v")
-    )
-    for _ in range(max_depth):
-        # A leaf or an empty container gives one row without a position, and stays as it is.
-        exploded = rows.lateralJoin(
-            spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("_pos", "_key", "_value")
-        )
-        child = F.col("_pos").isNotNull()
-        name = F.coalesce("_key", F.col("_pos").cast("string"))
-        rows = exploded.select(
-            *keys,
-            F.when(child, F.concat_ws(".", F.nullif("path", F.lit("")), name))
-            .otherwise(F.col("path"))
-            .alias("path"),
-            F.when(child, name).otherwise(F.col("last")).alias("last"),
-            F.when(child, F.col("_value")).otherwise(F.col("v")).alias("v"),
-        )
-    leaves = rows.withColumn("_kind", F.schema_of_variant("v")).filter("v is not null")
-    nested = F.col("_kind").rlike("^(OBJECT|ARRAY)") & ~F.to_json("v").isin("{}", "[]")
-    fits = F.when(nested, F.raise_error(F.lit("document nests too deep")).cast("boolean")).otherwise(True)
-    text = F.try_variant_get("v", "$", "string")
-    number = F.when(F.col("_kind") != "BOOLEAN", S.to_float(text))
-    return leaves.filter(fits).select(*keys, "path", "last", number.alias("number")).filter(
-        "number is not null"
-    )
+    text = F.col(column)
+    if max_depth is not None:
+        deep = F.try_parse_json(text).isNotNull() & (S.json_depth(text) > max_depth)
+        text = F.when(deep, F.raise_error(F.lit("document nests too deep"))).otherwise(text)
+    return docs.select(*keys, text.alias("_text")).select(*keys, F.inline(S.json_numbers(F.col("_text"))))
+
+
+def path_maxima(column: str, wanted: dict[str, tuple[Sequence[str], Sequence[str]]]) -> list[Column]:
+    """Of a list of :func:`scalars.json_numbers`, the largest number below matching paths, as columns.
+
+    ``wanted`` is that of :func:`path_max`; nothing leaves the row.
+    """
+    out = []
+    for name, (include, suffixes) in wanted.items():
+
+        def hit(leaf: Column) -> Column:
+            found = F.lit(True)
+            for part in include:
+                found = found & F.contains(S.metric_key(leaf["path"]), S.metric_key(F.lit(part)))
+            return found & _ends_with_any(S.metric_key(leaf["last"]), suffixes) if suffixes else found
+
+        held = F.filter(F.col(column), hit)
+        out.append(F.array_max(F.transform(held, lambda leaf: leaf["number"])).alias(name))
+    return out
 
 
 def path_max(
@@ -216,12 +213,14 @@ def checkpoint_records(rows: DataFrame, latest: str, details: str, keys: Sequenc
         "start_delay_ms": (["start", "delay"], []),
         "_buffered": (["alignment"], ["buffered"]),
     }
-    deep = path_max(numeric_leaves(held, "_source", keys), keys, wanted)
+    # Expressions of a row, listed once: the numbers are read before anything asks for them.
+    held = held.select("*", S.json_numbers(F.col("_source")).alias("_numbers"))
+    held = held.select(*[c for c in held.columns if c != "_numbers"], *path_maxima("_numbers", wanted))
     entry, source = F.try_parse_json("_latest"), F.try_parse_json("_source")
     text = lambda doc, name: F.try_variant_get(doc, f"$.{name}", "string")
     number = lambda doc, name: S.to_float(text(doc, name))
     whole = lambda name: F.try_variant_get(entry, f"$.{name}", "bigint").alias(name)
-    return held.join(deep, list(keys), "left").select(
+    return held.select(
         *keys,
         F.try_variant_get(entry, "$.id", "bigint").alias("checkpoint_id"),
         text(entry, "status").alias("status"),
@@ -248,12 +247,12 @@ def first_per_id(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def lag_series(
-    arrivals: DataFrame, commits: DataFrame, job: str, bucket: str, event_id: str
+    arrivals: DataFrame, commits: DataFrame, job: str, bucket: str, event_id: str, width_seconds: int = SLICE
 ) -> DataFrame:
     """Lag at the end of every bucket: what has arrived by then and is not committed.
 
     Both inputs fold to one row per job and bucket before the shuffle, so the running totals
-    see time steps, not events.
+    see time steps, not events; they run slice by slice, so a job's steps never meet in one task.
     """
     fold = lambda df, side: df.groupBy(F.col(job).alias("job"), F.col(bucket).alias("bucket")).agg(
         F.count(F.lit(1)).alias(f"{side}_n"), F.max(event_id).alias(f"{side}_max")
@@ -264,60 +263,60 @@ def lag_series(
         .groupBy("job", "bucket")
         .agg(*[F.max(c).alias(c) for c in ("a_n", "a_max", "c_n", "c_max")])
     )
-    so_far = Window.partitionBy("job").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0).cast("bigint"))
-    top = lambda c: F.coalesce(F.max(c).over(so_far), F.lit(0).cast("bigint"))
+    steps = running(
+        steps, "job", "bucket",
+        {"a_sum": (F.col("a_n"), "sum"), "c_sum": (F.col("c_n"), "sum"), "a_top": (F.col("a_max"), "max"), "c_top": (F.col("c_max"), "max")},
+        width_seconds,
+    )
     zero = F.lit(0).cast("bigint")
+    known = lambda c: F.coalesce(F.col(c), zero)
     return steps.select(
         "job",
         "bucket",
-        top("a_max").alias("source_max_event_id"),
-        top("c_max").alias("table_max_event_id"),
-        F.greatest(top("a_max") - top("c_max"), zero).alias("max_event_id_gap"),
-        total("a_n").alias("source_rows"),
-        total("c_n").alias("changelog_rows"),
-        F.greatest(total("a_n") - total("c_n"), zero).alias("lag_events"),
+        known("a_top").alias("source_max_event_id"),
+        known("c_top").alias("table_max_event_id"),
+        F.greatest(known("a_top") - known("c_top"), zero).alias("max_event_id_gap"),
+        known("a_sum").alias("source_rows"),
+        known("c_sum").alias("changelog_rows"),
+        F.greatest(known("a_sum") - known("c_sum"), zero).alias("lag_events"),
     )
 
 
 def label_phases(
-    series: DataFrame, baseline_samples: int, job: str = "job", time: str = "bucket"
+    series: DataFrame, baseline_samples: int, job: str = "job", time: str = "bucket", width_seconds: int = SLICE
 ) -> DataFrame:
     """Number the samples, label the first ones baseline and the rest by lag, add elapsed time."""
-    w = Window.partitionBy(job).orderBy(time)
-    index = F.row_number().over(w) - 1
+    numbered = running(series, job, time, {"_n": (F.lit(1), "sum"), "_first": (F.col(time), "min")}, width_seconds)
     phase = (
-        F.when(F.col("sample_index") < baseline_samples, BASELINE)
+        F.when(F.col("_n") <= baseline_samples, BASELINE)
         .when(F.col("lag_events") > 0, LOADED)
         .otherwise(RECOVERY)
     )
-    first = F.first(time).over(w)
-    elapsed = S.floor_div(S.epoch_micros(F.col(time)) - S.epoch_micros(first), 1000)
-    return (
-        series.withColumn("sample_index", index.cast("int"))
-        .withColumn("elapsed_ms", elapsed.cast("bigint"))
-        .withColumn("phase", phase)
+    elapsed = S.floor_div(S.epoch_micros(F.col(time)) - S.epoch_micros(F.col("_first")), 1000)
+    return numbered.select(
+        *series.columns,
+        (F.col("_n") - 1).cast("int").alias("sample_index"),
+        elapsed.cast("bigint").alias("elapsed_ms"),
+        phase.alias("phase"),
     )
 
 
 def recovery_streak(
-    series: DataFrame, job: str = "job", time: str = "bucket", needed: int = RECOVERED_AFTER
+    series: DataFrame, job: str = "job", time: str = "bucket", needed: int = RECOVERED_AFTER, width_seconds: int = SLICE
 ) -> DataFrame:
-    """Length of the current run of zero-lag samples, and where it first reaches ``needed``."""
-    w = Window.partitionBy(job).orderBy(time)
-    island = F.sum(F.when(F.col("lag_events") > 0, 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    rows = series.withColumn("_island", island)
-    run = F.sum(F.when(F.col("lag_events") == 0, 1).otherwise(0)).over(
-        Window.partitionBy(job, "_island").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    rows = rows.withColumn("streak", run.cast("int")).drop("_island")
-    reached = F.col("streak") >= needed
-    before = F.coalesce(
-        F.max(reached).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)
-    )
-    return rows.withColumn("stops_here", reached & ~before)
+    """Length of the current run of zero-lag samples, and where it first reaches ``needed``.
+
+    The run is as long as the samples since the last one with lag, so numbers and their running
+    maxima tell it, however many slices it spans.
+    """
+    scan = lambda df, values: running(df, job, time, values, width_seconds)
+    lagging = F.col("lag_events") > 0
+    rows = scan(series, {"_n": (F.lit(1), "sum")})
+    rows = scan(rows, {"_last": (F.when(lagging, F.col("_n")), "max")})
+    rows = rows.withColumn("streak", (F.col("_n") - F.coalesce("_last", F.lit(0))).cast("int"))
+    # A run reaches the number once; the first run that does so decides.
+    rows = scan(rows, {"_reached": (F.when(F.col("streak") == needed, F.col("_n")), "min")})
+    return rows.select(*series.columns, "streak", F.coalesce(F.col("_reached") == F.col("_n"), F.lit(False)).alias("stops_here"))
 
 
 def interval_max(

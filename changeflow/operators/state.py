@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.operators.decode import DELETE, UPDATE_BEFORE
-from changeflow.schemas import CURRENT_COLUMNS
+from changeflow.operators.decode import DELETE, UPDATE_BEFORE, position_order
+from changeflow.schemas import CURRENT_COLUMNS, POSITION_COLUMNS
 
 #: Keys that may be broadcast (8 bytes each, about 80 MB in memory); more take the shuffle path.
 BROADCAST_KEYS = 5_000_000
 
 
 def latest_by_key(changes: DataFrame, key: str = "order_id", keep_deletes: bool = False) -> DataFrame:
-    """The newest change of every key by (_seq, _img).
+    """The newest change of every key by log position, the image after over the image before.
 
     One shuffle. Each task reduces its rows to one per key first, so a key with a third of all
     rows sends one row per task, and its final group holds a single row of state.
     Update-before rows never win a key and are dropped before the shuffle.
     """
     others = [c for c in changes.columns if c != key]
-    newest = F.max_by(F.struct(*others), F.struct("_seq", "_img"))
+    newest = F.max_by(F.struct(*others), position_order(changes))
     rows = (
         changes.filter(F.col("cdc_row_kind") != UPDATE_BEFORE)
         .groupBy(key)
@@ -37,22 +37,25 @@ def current_state(changes: DataFrame) -> DataFrame:
 
 
 def apply_equality_deletes(
-    data: DataFrame, deletes: DataFrame, key: str = "order_id", seq: str = "_seq", salt: int = 1
+    data: DataFrame, deletes: DataFrame, key: str = "order_id", salt: int = 1
 ) -> DataFrame:
     """Data rows not deleted later: a row is dead if a delete of its key has a larger position.
 
     Only the last delete of a key matters, so deletes shrink to one row per key before they meet
-    the data: the join never pairs a key's rows with each other. Data of a hot key is split by
-    adaptive skew handling, or by ``salt`` where that is off.
+    the data: the join never pairs a key's rows with each other. They are dealt out once more before
+    the join, because adaptive execution splits a hot key of the data only where both sides come
+    straight from a shuffle; ``salt`` splits it where that is off.
     """
-    last = deletes.groupBy(key).agg(F.max(seq).alias("_dead_before"))
+    at = position_order(data, image=False)
+    last = deletes.groupBy(key).agg(F.max(position_order(deletes, image=False)).alias("_dead_before"))
     if salt > 1:
-        data = data.withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(salt)).cast("int"))
+        data = data.withColumn("_salt", F.pmod(F.xxhash64(at), F.lit(salt)).cast("int"))
         last = last.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         keep = (data[key] == last[key]) & (data["_salt"] == last["_salt"])
-        keep &= data[seq] < last["_dead_before"]
+        keep &= at < last["_dead_before"]
         return data.join(last, keep, "left_anti").drop("_salt")
-    keep = (data[key] == last[key]) & (data[seq] < last["_dead_before"])
+    last = last.hint("rebalance")
+    keep = (data[key] == last[key]) & (at < last["_dead_before"])
     return data.join(last, keep, "left_anti")
 
 
@@ -63,7 +66,7 @@ def upsert_files(changes: DataFrame, key: str = "order_id") -> tuple[DataFrame,
     """
     kept = changes.filter(F.col("cdc_row_kind") != UPDATE_BEFORE)
     data = kept.filter(F.col("cdc_row_kind") != DELETE)
-    deletes = kept.select(key, "_seq")
+    deletes = kept.select(key, *[c for c in POSITION_COLUMNS if c in kept.columns])
     return data, deletes
 
 
@@ -98,7 +101,7 @@ def live_rows(latest: DataFrame) -> DataFrame:
 def position_conflicts(changes: DataFrame, key: str = "order_id") -> DataFrame:
     """Positions a key uses more than once: any row here means its history has no total order."""
     return (
-        changes.groupBy(key, "_seq", "_img")
+        changes.groupBy(key, *[c for c in (*POSITION_COLUMNS, "_img") if c in changes.columns])
         .agg(F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
     )

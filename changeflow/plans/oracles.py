@@ -253,6 +253,11 @@ ORACLES: dict[str, str] = {
     "decode_survivors": f"""WITH {_ORD_LOG}
         SELECT order_id, event_id, cdc_row_kind, cdc_operation, _seq, _img FROM ord_log
         WHERE NOT (order_id % 97 = 0 OR order_id % 101 = 0 OR order_id % 103 = 0)""",
+    "wide_positions": f"""WITH {_ORD_LOG}
+        SELECT order_id, event_id, cdc_row_kind, 600000 + _seq % 4 AS log_file,
+               5000000000 + (3 - _seq % 4) * 1000 AS log_offset, CAST(5000 + _seq % 4 AS INTEGER) AS log_row
+        FROM ord_log l WHERE cdc_row_kind <> '-U' AND NOT EXISTS (
+            SELECT 1 FROM ord_log m WHERE m.order_id = l.order_id AND m.cdc_row_kind <> '-U' AND m._seq > l._seq)""",
     "coerce_timestamps": """
         SELECT event_id, date_trunc('millisecond', ts) AS from_millis, ts AS from_micros,
                TIMESTAMP '1970-01-01' - (date_trunc('millisecond', ts) - TIMESTAMP '1970-01-01') AS from_negative,
@@ -355,7 +360,7 @@ ORACLES: dict[str, str] = {
     "position_lag": f"""WITH {_EV_LOG}
         SELECT max(_seq) AS source_max_seq,
                max(_seq) FILTER (source_ts_ms // 86400000 <= 19737) AS committed_max_seq,
-               max(_seq) - max(_seq) FILTER (source_ts_ms // 86400000 <= 19737) AS position_lag
+               max(_seq) - max(_seq) FILTER (source_ts_ms // 86400000 <= 19737) AS position_lag, CAST(0 AS BIGINT) AS file_lag
         FROM ev_log""",
     "scenario_final": f"""WITH {_SCEN}
         SELECT sid * 10000 + f.n AS order_id,

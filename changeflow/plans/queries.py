@@ -111,6 +111,24 @@ def decode_survivors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def wide_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest change of every order where file numbers, offsets and rows are large, and only the file
+    number tells which change is newer: offsets fall from one file to the next.
+    """
+    step = F.pmod(F.col("source.pos"), F.lit(4))
+    place = F.struct(
+        F.concat(F.lit("binlog."), (step + 600_000).cast("string")).alias("file"),
+        (F.lit(5_000_000_000) + (F.lit(3) - step) * 1000).alias("pos"),
+        (step + 5000).cast("int").alias("row"),
+    )
+    newest = state.latest_by_key(D.decode(orders_feed(spark, sf).withColumn("source", place)), keep_deletes=True)
+    return newest.select(
+        "order_id", "event_id", "cdc_row_kind",
+        F.col("_file").alias("log_file"), F.col("_seq").alias("log_offset"), F.col("_row").alias("log_row"),
+    )
+
+
 @query
 def coerce_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     """Event times as epoch milliseconds, microseconds and texts, all read back."""
@@ -760,9 +778,9 @@ def json_path_max(spark: SparkSession, sf: str) -> DataFrame:
         ' {"alignment": {"duration": %d}}], "start_delay": %d}], "alignment_duration": "12", "ok": true}',
         "event_id", "props", c, k, c + 1, k,
     )
-    leaves = runmetrics.numeric_leaves(e.select("event_id", doc.alias("doc")), "doc", ["event_id"])
+    numbers = e.select("event_id", doc.alias("doc")).select("event_id", S.json_numbers(F.col("doc")).alias("numbers"))
     wanted = {"alignment": (["alignment"], ["duration"]), "delay": (["start", "delay"], [])}
-    return runmetrics.path_max(leaves, ["event_id"], wanted).unpivot(
+    return numbers.select("event_id", *runmetrics.path_maxima("numbers", wanted)).unpivot(
         "event_id", list(wanted), "what", "max_number"
     )
 

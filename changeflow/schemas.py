@@ -14,11 +14,13 @@ ORDER_FIELDS = (
 )
 CURRENT_COLUMNS = [name for name, _ in ORDER_FIELDS]
 CHANGELOG_COLUMNS = [*CURRENT_COLUMNS, "cdc_row_kind", "cdc_operation", "source_ts_ms"]
-CHANGE_COLUMNS = [*CHANGELOG_COLUMNS, "_seq", "_img"]
+#: Where a change stands in its log: number of the log file, offset in it, row of the event.
+POSITION_COLUMNS = ["_file", "_seq", "_row"]
+CHANGE_COLUMNS = [*CHANGELOG_COLUMNS, *POSITION_COLUMNS, "_img"]
 
 CURRENT = ", ".join(f"{name} {kind}" for name, kind in ORDER_FIELDS)
 CHANGELOG = f"{CURRENT}, cdc_row_kind string, cdc_operation string, source_ts_ms bigint"
-CHANGE = f"{CHANGELOG}, _seq bigint, _img tinyint"
+CHANGE = f"{CHANGELOG}, _file bigint, _seq bigint, _row int, _img tinyint"
 STORED_CHANGE = f"{CHANGE}, writer_id string, batch_id bigint"
 
 _POSITION = "struct<file: string, pos: bigint, row: int>"
@@ -40,10 +42,10 @@ ENVELOPE = _envelope(
 TEXT_ENVELOPE = _envelope(", ".join(f"{name}: string" for name, _ in ORDER_FIELDS))
 
 STORED_REJECT = (
-    "reject_reason string, op string, _seq bigint, raw string, writer_id string, batch_id bigint"
+    "reject_reason string, op string, _file bigint, _seq bigint, _row int, raw string, writer_id string, batch_id bigint"
 )
 COMMIT = (
-    "batch_id bigint, rows bigint, rejects bigint, min_seq bigint, max_seq bigint, "
+    "batch_id bigint, rows bigint, rejects bigint, min_file bigint, min_seq bigint, max_file bigint, max_seq bigint, "
     "committed_at timestamp, writer_id string, block bigint"
 )
 COVERAGE = "writer_id string, batch_id bigint"

@@ -156,11 +156,13 @@ class ChangeTable:
         counted = changes.observe(
             wrote,
             F.count(F.lit(1)).alias("rows"),
-            F.min("_seq").alias("min_seq"),
-            F.max("_seq").alias("max_seq"),
+            F.min(D.position_order(changes, image=False)).alias("first"),
+            F.max(D.position_order(changes, image=False)).alias("last"),
         )
         self._writer(counted).parquet(self.path("changelog", *part))
-        return dict(wrote.get)
+        seen = dict(wrote.get)
+        ends = {f"{end}_{c}": at and at[f"_{c}"] for end, at in (("min", seen.pop("first")), ("max", seen.pop("last"))) for c in ("file", "seq")}
+        return {**seen, **ends}
 
     def _commit(self, writer_id: str, batch_id: int, stats: dict) -> None:
         self.hooks.before_commit(batch_id)
@@ -331,7 +333,7 @@ class ChangeTable:
                 newest.alias("n"),
                 F.coalesce(F.sum("rows"), zero).alias("total_rows"),
                 F.coalesce(F.sum("rejects"), zero).alias("total_rejects"),
-                F.max("max_seq").alias("max_seq"),
+                F.max(F.struct("max_file", "max_seq"))["max_seq"].alias("max_seq"),
             )
             .select(
                 "commit_count",

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from conftest import rows
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from changeflow.operators import decode as D
 from changeflow.operators import state
@@ -76,7 +77,8 @@ BAD = [
     (env("c", 1, after=image(status=None)), "bad status in after"),
     (env("u", 1, before=image(seed=2**40), after=image()), "bad seed in before"),
     (env("c", None, after=image()), "no usable log position"),
-    (env("c", 1, after=image(), file="log.000001", row=5000), "no usable log position"),
+    (env("c", 1, after=image(), file="log.000001", row=-1), "no usable log position"),
+    (env("c", 1, after=image(), file="log"), "no usable log position"),
     ("{not json", "malformed record"),
 ]
 
@@ -131,10 +133,18 @@ def test_message_values(spark):
 
 
 def test_log_positions_are_ordered_across_files_and_rows(spark, tmp_path):
-    places = [("log.000001", 4, 0), ("log.000001", 4, 1), ("log.000001", 900, 0), ("log.000002", 4, 0), ("log.000010", 4, 0)]
+    places = [
+        ("log.000001", 4, 0), ("log.000001", 4, 1), ("log.000001", 4, 5000), ("log.000001", 900, 0),
+        ("log.000001", 5 * 10**9, 0), ("log.000002", 4, 0), ("log.000010", 4, 0), ("log.600000", 3, 0),
+        (f"log.{2**62}", 2**62, 2**31 - 1),
+    ]
     df = load(spark, tmp_path, [env("c", p, after=image(i, i), file=f, row=r) for i, (f, p, r) in enumerate(places)])
-    got = [r["event_id"] for r in D.decode(df).orderBy("_seq").collect()]
-    assert got == [0, 1, 2, 3, 4]
+    got = [r["event_id"] for r in D.decode(df).orderBy("_file", "_seq", "_row").collect()]
+    assert got == list(range(len(places))) and rows(D.rejects(df)) == []
+    of_one_key = D.decode(df).withColumn("order_id", F.lit(1).cast("bigint"))
+    assert rows(state.current_state(of_one_key), "event_id") == [(len(places) - 1,)]
+    data, deletes = state.upsert_files(of_one_key)
+    assert rows(state.apply_equality_deletes(data, deletes), "event_id") == [(len(places) - 1,)]
     assert rows(state.position_conflicts(D.decode(df))) == []
     twice = D.decode(df).unionByName(D.decode(df).filter("event_id = 2"))
     assert rows(state.position_conflicts(twice), "order_id", "copies") == [(2, 2)]

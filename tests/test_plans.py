@@ -56,6 +56,33 @@ def test_a_hot_key_sends_one_row_per_task(spark):
         assert live.count() == 20_001
 
 
+def test_a_hot_key_of_the_data_is_split_before_it_meets_its_delete(spark, tmp_path):
+    changes = spark.range(200_000).selectExpr(
+        "IF(id % 2 = 0, -1L, id) AS order_id", "id AS _seq", "repeat(md5(string(id)), 4) AS business_key", "'+U' AS cdc_row_kind"
+    )
+    changes.write.parquet(str(tmp_path / "changes"))
+    changes = spark.read.parquet(str(tmp_path / "changes"))
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    kept = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        data, deletes = state.upsert_files(changes)
+        live = state.apply_equality_deletes(data, deletes)
+        assert len(live.collect()) == 100_001
+        assert "skew=true" in plan(live)
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_decode_is_one_narrow_stage(spark, sf):
     text = plan(D.decode_upserts(Q.orders_feed(spark, sf)))
     assert "Exchange" not in text and "Python" not in text

@@ -108,6 +108,9 @@ def test_commit_lag(spark):
     seqs = lambda v: spark.createDataFrame([(x,) for x in v], "_seq bigint")
     assert R.position_lag(seqs([1, 9]), seqs([1, 4])).first()["position_lag"] == 5
     assert R.position_lag(seqs([]), seqs([])).first()["position_lag"] == 0
+    places = lambda v: spark.createDataFrame(v, "_file bigint, _seq bigint")
+    lag = R.position_lag(places([(7, 4), (6, 900)]), places([(5, 10**10)])).first()
+    assert (lag["position_lag"], lag["file_lag"]) == (4, 2)
 
 
 def test_scenario_summary_needs_a_scenario(spark):

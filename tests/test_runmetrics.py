@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -79,6 +80,29 @@ def test_recovery_streak(spark):
     assert [i for i, r in enumerate(out) if r["stops_here"]] == [6]
 
 
+def test_a_hot_job_is_scanned_slice_by_slice(spark):
+    rng = random.Random(5)
+    lags = [rng.choice([0, 0, 0, 2]) for _ in range(300)] + [0] * 270 + [1] + [0] * 30
+    df = series(spark, lags).unionByName(series(spark, [3, 0, 0, 0], None))
+    for width in (3 * 3600, 10**9):
+        out = M.recovery_streak(df, width_seconds=width).where("job = 'j'").orderBy("bucket").collect()
+        run, want = 0, []
+        for lag in lags:
+            run = 0 if lag else run + 1
+            want.append(run)
+        assert [r["streak"] for r in out] == want
+        assert [i for i, r in enumerate(out) if r["stops_here"]] == [want.index(3)]
+        out = M.label_phases(df, 3, width_seconds=width).where("job = 'j'").orderBy("bucket").collect()
+        assert [r["sample_index"] for r in out] == list(range(601)) and out[-1]["elapsed_ms"] == 600 * 3_600_000
+        alone = M.recovery_streak(df, width_seconds=width).where("job IS NULL").orderBy("bucket").collect()
+        assert [(r["streak"], r["stops_here"]) for r in alone] == [(0, False), (1, False), (2, False), (3, True)]
+    text = M.recovery_streak(df)._jdf.queryExecution().executedPlan().toString()
+    # Windows of one job alone run over slices, never over samples.
+    for line in text.splitlines():
+        if "Window [" in line:
+            assert re.search(r"windowspecdefinition\(job#\d+, _slice#\d+", line) or "windowspecdefinition(_key#" in line
+
+
 def test_phases(spark):
     out = M.label_phases(series(spark, [0, 0, 7, 3, 0]), 3).orderBy("bucket").collect()
     assert [r["phase"] for r in out] == ["baseline"] * 3 + ["backpressure", "recovery"]
@@ -187,6 +211,11 @@ def test_numbers_in_nested_json(spark):
     assert rows(M.path_max(leaves.filter("k = 1"), ["k"], wanted)) == [(1, 8.5, 2.0, None)]
     deep = spark.createDataFrame([(1, "[" * 20 + "7" + "]" * 20), (2, '{"a": "}]]", "b": 1}')], "k int, doc string")
     assert rows(M.numeric_leaves(deep, "doc", ["k"]), "k", "number") == [(1, 7.0), (2, 1.0)]
+    assert rows(M.numeric_leaves(deep, "doc", ["k"]), "path") == [("0" + ".0" * 19,), ("b",)]
+    long = json.dumps({"a": [{"b": i, "c\"d, ]}": [i]} for i in range(500)], "é": {"": -1.5e3}})
+    leaves = M.numeric_leaves(spark.createDataFrame([(1, long), (2, None), (3, "{}")], "k int, doc string"), "doc", ["k"])
+    want = [("é.", -1500.0)] + [x for i in range(500) for x in ((f"a.{i}.b", float(i)), (f'a.{i}.c"d, ]}}.0', float(i)))]
+    assert rows(leaves, "path", "number") == sorted(want, key=str)
     with pytest.raises(PySparkException, match="too deep"):
         M.numeric_leaves(df, "doc", ["k"], 3).collect()
 

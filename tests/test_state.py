@@ -14,7 +14,7 @@ def changes(spark, items):
     """(order_id, kind, seq, img, event_id) to change rows."""
     names = {"+I": "insert", "-U": "update_before", "+U": "update_after", "-D": "delete"}
     data = [
-        (o, f"k{o}", e, 1, "created", e * 10, None, 1, kind, names[kind], None, seq, img)
+        (o, f"k{o}", e, 1, "created", e * 10, None, 1, kind, names[kind], None, 0, seq, 0, img)
         for o, kind, seq, img, e in items
     ]
     return spark.createDataFrame(data, CHANGE)
