@@ -258,6 +258,37 @@ ORACLES: dict[str, str] = {
                5000000000 + (3 - _seq % 4) * 1000 AS log_offset, CAST(5000 + _seq % 4 AS INTEGER) AS log_row
         FROM ord_log l WHERE cdc_row_kind <> '-U' AND NOT EXISTS (
             SELECT 1 FROM ord_log m WHERE m.order_id = l.order_id AND m.cdc_row_kind <> '-U' AND m._seq > l._seq)""",
+    "statement_text": f"""WITH {_ORD_LOG}, t0 AS ({_current('ord_log')}),
+        hit1 AS (SELECT *, row_number() OVER (ORDER BY order_id) - 1 AS p FROM t0 WHERE order_id % 3 = 0),
+        new1 AS (SELECT * REPLACE ('checked' AS status, amount_cents + 1 AS amount_cents) FROM hit1),
+        t1 AS (SELECT * FROM t0 WHERE order_id % 3 <> 0 UNION ALL SELECT * EXCLUDE (p) FROM new1),
+        hit2 AS (SELECT *, row_number() OVER (ORDER BY order_id) - 1 AS p FROM t1 WHERE status = 'created'
+                 AND customer_id IN (SELECT customer_id FROM t1 WHERE status = 'checked')),
+        t2 AS (SELECT * FROM t1 WHERE order_id NOT IN (SELECT order_id FROM hit2)),
+        hit3 AS (SELECT order_id + 100000000 AS order_id, business_key || '-again' AS business_key, event_id + 1000000000 AS event_id,
+                        customer_id, upper(status) AS status, amount_cents * 2 AS amount_cents, updated_at, seed,
+                        row_number() OVER (ORDER BY order_id) - 1 AS p
+                 FROM t2 WHERE order_id % 5 = 1),
+        hit4 AS (SELECT * FROM (VALUES
+                    (-1, 'first', -1, 1, 'CREATED', 100, TIMESTAMP '2026-01-01 00:00:00', 7, 1),
+                    (-2, 'second', -2, 1, 'CREATED', 200, TIMESTAMP '2026-01-01 00:00:01', 7, 0))
+                    v(order_id, business_key, event_id, customer_id, status, amount_cents, updated_at, seed, p)),
+        t4 AS (SELECT * FROM t2 UNION ALL SELECT * EXCLUDE (p) FROM hit3 UNION ALL SELECT * EXCLUDE (p) FROM hit4),
+        hit5 AS (SELECT *, row_number() OVER (ORDER BY order_id) - 1 AS p FROM t4 WHERE order_id > 100000000 OR order_id < 0),
+        t5 AS (SELECT * FROM t4 WHERE NOT (order_id > 100000000 OR order_id < 0)
+               UNION ALL SELECT * EXCLUDE (p) REPLACE (lower(status) AS status) FROM hit5),
+        hit6 AS (SELECT *, row_number() OVER (ORDER BY order_id) - 1 AS p FROM t5),
+        made(statement, cdc_row_kind, position, order_id, event_id, status, amount_cents) AS (
+            SELECT 1, '-U', p, order_id, event_id, status, amount_cents FROM hit1
+            UNION ALL SELECT 1, '+U', p, order_id, event_id, status, amount_cents FROM new1
+            UNION ALL SELECT 2, '-D', p, order_id, event_id, status, amount_cents FROM hit2
+            UNION ALL SELECT 3, '+I', p, order_id, event_id, status, amount_cents FROM hit3
+            UNION ALL SELECT 4, '+I', p, order_id, event_id, status, amount_cents FROM hit4
+            UNION ALL SELECT 5, '-U', p, order_id, event_id, status, amount_cents FROM hit5
+            UNION ALL SELECT 5, '+U', p, order_id, event_id, lower(status), amount_cents FROM hit5
+            UNION ALL SELECT 6, '-D', p, order_id, event_id, status, amount_cents FROM hit6)
+        SELECT CAST(statement AS BIGINT) AS statement, CAST(position AS BIGINT) AS position, cdc_row_kind, CAST(order_id AS BIGINT) AS order_id,
+               CAST(event_id AS BIGINT) AS event_id, status, CAST(amount_cents AS BIGINT) AS amount_cents FROM made""",
     "coerce_timestamps": """
         SELECT event_id, date_trunc('millisecond', ts) AS from_millis, ts AS from_micros,
                TIMESTAMP '1970-01-01' - (date_trunc('millisecond', ts) - TIMESTAMP '1970-01-01') AS from_negative,

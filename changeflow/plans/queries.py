@@ -14,7 +14,7 @@ from changeflow.operators import evidence, maintain, reconcile, runmetrics, stat
 from changeflow.plans import conformance, sqlapi
 from changeflow.schemas import CHANGE_COLUMNS, CURRENT_COLUMNS
 from changeflow.session import run_dir
-from changeflow.sources import feeds, statements
+from changeflow.sources import feeds, sqltext, statements
 from changeflow.streaming import ingest, verify
 from changeflow.streaming.table import ChangeTable, Hooks
 
@@ -129,6 +129,34 @@ def wide_positions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+STATEMENTS = (
+    "UPDATE orders_now AS o SET status = 'checked', o.amount_cents = o.amount_cents + 1 WHERE o.order_id % 3 = 0",
+    """DELETE FROM orders_now WHERE status = 'created'
+       AND customer_id IN (SELECT customer_id FROM orders_now WHERE status = 'checked')""",
+    """INSERT INTO orders_now SELECT order_id + 100000000, concat(business_key, '-again'), event_id + 1000000000,
+              customer_id, upper(status), amount_cents * 2, updated_at, seed
+       FROM orders_now WHERE order_id % 5 = 1""",
+    """INSERT INTO orders_now (order_id, business_key, event_id, customer_id, status, amount_cents, updated_at, seed)
+       VALUES (-1, 'first', -1, 1, 'CREATED', 100, TIMESTAMP_NTZ'2026-01-01 00:00:00', 7),
+              (-2, 'second', -2, 1, 'CREATED', 200, TIMESTAMP_NTZ'2026-01-01 00:00:01', 7)""",
+    "UPDATE orders_now SET status = lower(status) WHERE order_id > 100000000 OR order_id < 0",
+    "TRUNCATE TABLE orders_now",
+)
+
+
+@query
+def statement_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A script of SQL text over the orders: every change row it makes, with statement and position."""
+    orders_current(spark, sf).createOrReplaceTempView("orders_now")
+    try:
+        changes = D.decode(sqltext.run_script(spark, list(STATEMENTS), "orders_now"))
+    finally:
+        spark.catalog.dropTempView("orders_now")
+    return changes.select(
+        F.col("_file").alias("statement"), F.col("_seq").alias("position"), "cdc_row_kind", "order_id", "event_id", "status", "amount_cents"
+    )
+
+
 @query
 def coerce_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     """Event times as epoch milliseconds, microseconds and texts, all read back."""

@@ -25,13 +25,14 @@ def _statuses() -> Column:
     return F.array(*[F.lit(s) for s in STATUSES])
 
 
-def _position(seq: Column) -> Column:
-    return F.struct(
-        F.lit(None).cast("string").alias("file"), seq.alias("pos"), F.lit(0).alias("row")
-    )
+def _position(seq: Column, file: Column | None = None) -> Column:
+    name = F.lit(None) if file is None else file
+    return F.struct(name.cast("string").alias("file"), seq.alias("pos"), F.lit(0).alias("row"))
 
 
-def envelopes(rows: DataFrame, op: Column, ts_ms: Column, before: Column, after: Column, seq: Column) -> DataFrame:
+def envelopes(
+    rows: DataFrame, op: Column, ts_ms: Column, before: Column, after: Column, seq: Column, file: Column | None = None
+) -> DataFrame:
     """Envelope rows whose images are built once.
 
     A plain projection would be folded into every predicate that looks into an image, and build
@@ -42,7 +43,7 @@ def envelopes(rows: DataFrame, op: Column, ts_ms: Column, before: Column, after:
         ts_ms.alias("ts_ms"),
         before.alias("before"),
         after.alias("after"),
-        _position(seq).alias("source"),
+        _position(seq, file).alias("source"),
     )
     return rows.select(F.inline(F.array(envelope)))
 
