@@ -266,6 +266,26 @@ def json_numbers(text: Column) -> Column:
     )
 
 
+def _plain_number(token: Column) -> Column:
+    """One text for one number: no exponent, no zeros at the end, where 20 digits before and 18 after the
+    point hold it exactly; else as it came.
+    """
+    exact = token.try_cast("decimal(38,18)")
+    same = exact.cast("double") == token.try_cast("double")
+    text = F.when(exact == 0, F.lit("0")).otherwise(F.regexp_replace(exact.cast("string"), r"\.?0+$", ""))
+    return F.when(F.coalesce(same, F.lit(False)), text).otherwise(token)
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with keys sorted at every level, no blanks, and equal numbers and strings written alike.
+
+    Lists keep their order. Null for text that is no JSON or names a key twice.
+    """
+    parsed = F.to_json(F.try_parse_json(text))
+    tokens = F.regexp_extract_all(parsed, F.lit(JSON_TOKEN), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), _plain_number(t)).otherwise(t)), "")
+
+
 def state_path(path: Column) -> Column:
     """``file:/x`` to ``file:///x``; other paths as they are."""
     return F.regexp_replace(path, r"^file:/(?!//)", "file:///")

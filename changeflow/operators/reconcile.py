@@ -72,6 +72,14 @@ def snapshot_diff_all(
     )
 
 
+def canonical_diff(source: DataFrame, target: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Set difference of JSON documents: what differs in key order, blanks or the writing of a number or a
+    string alone is the same document. Text that is no JSON is compared as it is.
+    """
+    canonical = lambda df: df.select(*by, F.coalesce(S.canonical_json(F.col(column)), F.col(column)).alias(column))
+    return snapshot_diff(canonical(source), canonical(target), [*by, column])
+
+
 def column_diff(
     source: DataFrame,
     target: DataFrame,

@@ -112,4 +112,63 @@ STATEMENTS = {
                split(p_type, ' ')[0] AS type_head
         FROM part
     """,
+    # A chain of days: each step joins the one before it, as deep as the calendar of the data goes.
+    "sql_recursive": """
+        WITH RECURSIVE daily AS (
+            SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY CAST(ts AS DATE)
+        ),
+        edges AS (SELECT min(day) AS first_day, max(day) AS last_day FROM daily),
+        calendar(day, last_day) AS (
+            SELECT first_day, last_day FROM edges
+            UNION ALL
+            SELECT CAST(day + INTERVAL 1 DAY AS DATE), last_day FROM calendar WHERE day < last_day
+        )
+        SELECT c.day, coalesce(d.n, 0) AS events,
+               sum(coalesce(d.n, 0)) OVER (ORDER BY c.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
+        FROM calendar c LEFT JOIN daily d ON d.day = c.day
+    """,
+    # One derived table per outer row, and a scalar subquery that looks at that row.
+    "sql_lateral": """
+        SELECT c.c_mktsegment, n.n_name, best.orders, best.cents,
+               (SELECT count(*) FROM supplier s WHERE s.s_nationkey = n.n_nationkey) AS suppliers
+        FROM nation n
+        JOIN (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) c ON c.c_nationkey = n.n_nationkey,
+        LATERAL (
+            SELECT count(*) AS orders, CAST(coalesce(sum(CAST(round(o.o_totalprice * 100) AS BIGINT)), 0) AS BIGINT) AS cents
+            FROM orders o JOIN customer k ON k.c_custkey = o.o_custkey
+            WHERE k.c_nationkey = n.n_nationkey AND k.c_mktsegment = c.c_mktsegment AND o.o_orderstatus = 'P'
+        ) best
+    """,
+    "sql_pivot": """
+        WITH wide AS (
+            SELECT * FROM (
+                SELECT o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+            PIVOT (sum(cents) FOR o_orderstatus IN ('F' AS filled, 'O' AS open, 'P' AS partial))
+        )
+        SELECT o_custkey, status, cents FROM wide UNPIVOT (cents FOR status IN (filled, open, partial))
+    """,
+    # Lists, maps and JSON of an order's lines, and dates of them.
+    "sql_nested": """
+        WITH baskets AS (
+            SELECT l_orderkey,
+                   array_sort(collect_list(struct(l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, CAST(l_shipdate AS DATE) AS d))) AS a
+            FROM lineitem GROUP BY l_orderkey
+        ),
+        dated AS (SELECT *, array_min(transform(a, x -> x.d)) AS first_ship, array_max(transform(a, x -> x.d)) AS last_ship FROM baskets)
+        SELECT l_orderkey,
+               size(a) AS line_count,
+               array_join(transform(a, x -> CAST(x.q AS STRING)), ',') AS quantities,
+               aggregate(a, CAST(0 AS BIGINT), (s, x) -> s + x.q) AS total,
+               size(filter(a, x -> x.q >= 25)) AS large_lines,
+               exists(a, x -> x.q = 50) AS has_full_line,
+               element_at(map_from_entries(transform(a, (x, i) -> struct(i, x.q))), 0) AS first_quantity,
+               map_contains_key(map_from_arrays(sequence(1, size(a)), a), 3) AS has_third,
+               CAST(get_json_object(to_json(named_struct('n', size(a), 'q', transform(a, x -> x.q))), '$.q[0]') AS BIGINT) AS json_first,
+               datediff(last_ship, first_ship) AS days,
+               add_months(first_ship, 1) AS next_month,
+               last_day(first_ship) AS month_end,
+               CAST(date_trunc('QUARTER', first_ship) AS DATE) AS quarter_start,
+               extract(WEEK FROM first_ship) AS week
+        FROM dated
+    """,
 }

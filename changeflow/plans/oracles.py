@@ -350,6 +350,17 @@ ORACLES: dict[str, str] = {
         FROM hit WHERE third = 1""",
     "restored_state": f"""WITH {_ORD_LOG}, now AS ({_current('ord_log')})
         SELECT * FROM now, (VALUES ('checkpoint'), ('copy'), ('session')) AS ways(way)""",
+    "canonical_diff": """
+        WITH e AS (SELECT event_id AS n, event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events),
+        docs AS (
+            SELECT n, side, '{"amount":' || CASE WHEN c % 100 = 0 THEN CAST(c // 100 AS VARCHAR)
+                        ELSE rtrim(printf('%d.%02d', c // 100, c % 100), '0') END
+                   || ',"id":' || n || ',"kind":"' || event_type || '","nested":{"k":"A","list":[{"a":[1,null],"b":' || n % 7 || '}]}}' AS doc
+            FROM (SELECT n, event_type, c, 'source' AS side FROM e UNION ALL
+                  SELECT n, event_type, c + CASE WHEN n % 19 = 5 THEN 1 ELSE 0 END, 'target' FROM e WHERE n % 17 <> 3) x)
+        SELECT 'missing' AS side, doc FROM docs a WHERE side = 'source' AND doc NOT IN (SELECT doc FROM docs WHERE side = 'target')
+        UNION ALL
+        SELECT 'unexpected', doc FROM docs a WHERE side = 'target' AND doc NOT IN (SELECT doc FROM docs WHERE side = 'source')""",
     "snapshot_diff": f"""WITH {_DAMAGED}
         SELECT 'missing' AS side, * FROM (SELECT {_COLS} FROM cur EXCEPT SELECT {_COLS} FROM dam) a
         UNION ALL
@@ -645,3 +656,22 @@ ORACLES["sql_scalars"] = (
     .replace("split(p_type, ' ')[0]", "string_split(p_type, ' ')[1]")
 )
 ORACLES["sql_cube"] = conformance.STATEMENTS["sql_cube"].replace("dayofweek(ts)", "(dayofweek(ts) + 1)")
+ORACLES["sql_pivot"] = """
+    SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'partial' END AS status,
+           CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
+    FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_custkey, o_orderstatus"""
+ORACLES["sql_nested"] = """
+    WITH baskets AS (
+        SELECT l_orderkey, list({'q': CAST(l_quantity AS BIGINT)} ORDER BY l_linenumber, CAST(l_quantity AS BIGINT), CAST(l_shipdate AS DATE)) AS a,
+               min(CAST(l_shipdate AS DATE)) AS first_ship, max(CAST(l_shipdate AS DATE)) AS last_ship
+        FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, CAST(len(a) AS INTEGER) AS line_count,
+           array_to_string(list_transform(a, lambda x: CAST(x.q AS VARCHAR)), ',') AS quantities,
+           CAST(list_sum(list_transform(a, lambda x: x.q)) AS BIGINT) AS total,
+           CAST(len(list_filter(a, lambda x: x.q >= 25)) AS INTEGER) AS large_lines,
+           list_contains(list_transform(a, lambda x: x.q), 50) AS has_full_line,
+           a[1].q AS first_quantity, len(a) >= 3 AS has_third, a[1].q AS json_first,
+           CAST(last_ship - first_ship AS INTEGER) AS days, CAST(first_ship + INTERVAL 1 MONTH AS DATE) AS next_month,
+           last_day(first_ship) AS month_end, CAST(date_trunc('quarter', first_ship) AS DATE) AS quarter_start,
+           CAST(week(first_ship) AS INTEGER) AS week
+    FROM baskets"""

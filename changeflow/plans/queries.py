@@ -470,6 +470,26 @@ def snapshot_diff_all(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.snapshot_diff_all(rows, damage(rows))
 
 
+@query
+def canonical_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON documents whose target copy has other key orders, blanks and number forms, and some real changes."""
+    e = _events(spark, sf)
+    n = F.col("event_id")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    written = F.format_string("%d.%02d", S.floor_div(cents, 100), F.pmod(cents, F.lit(100)))
+    source = F.format_string(
+        '{"kind": "%s", "id": %d, "amount": %s, "nested": {"list": [{"b": %d, "a": [1.0, null]}], "k": "\\u0041"}}',
+        "event_type", n, written, n % 7,
+    )
+    changed = cents + F.when(n % 19 == 5, 1).otherwise(0)
+    target = F.format_string(
+        '{"nested":{"k":"A","list":[{"a":[1,null],"b":%de0}]},"amount":%de-2,"id":%d,"kind":"%s"}', n % 7, changed, n, "event_type"
+    )
+    return reconcile.canonical_diff(
+        e.select(source.alias("doc")), e.filter(n % 17 != 3).select(target.alias("doc")), "doc"
+    )
+
+
 @query
 def column_diff(spark: SparkSession, sf: str) -> DataFrame:
     """What is wrong with each key."""
