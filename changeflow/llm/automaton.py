@@ -270,10 +270,13 @@ def _width(values: np.ndarray) -> type:
 def shared_labels(automata: list[Transducer]) -> tuple[pa.Array, list[Trie]]:
     """One sorted label table for all, and their tries over it."""
     tables = [a.symbols for a in automata] or [pa.array([], pa.large_string())]
-    symbols = pc.unique(pa.concat_arrays(tables))
-    symbols = symbols.take(pc.sort_indices(symbols))
-    tries = []
+    coded = pa.concat_arrays(tables).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    place, tries, at = rank[coded.indices.to_numpy()], [], 0
     for a in automata:
-        place = pc.index_in(a.symbols, value_set=symbols).to_numpy(zero_copy_only=False).astype(np.int64)
-        tries.append([(p, place[x], w) for p, x, w in a.trie()])
-    return symbols, tries
+        own = place[at : at + len(a.symbols)]
+        tries.append([(p, own[x], w) for p, x, w in a.trie()])
+        at += len(own)
+    return coded.dictionary.take(order), tries

@@ -2,7 +2,8 @@
 
 Shards of the texts become minimal count transducers, built from their sorted n-grams; the language
 is the first label. They are cut at common bounds, and each prefix range unites what all shards
-hold of it, weights summed. The parts of candidates lie anywhere: what is asked of a range becomes
+hold of it, weights summed, in rounds: FAN lots of shards over FAN times finer ranges each time, so that slices
+keep their size however many shards there are. The parts of candidates lie anywhere: what is asked of a range becomes
 an automaton, too, and its composition with the range's counts gives their numbers.
 """
 
@@ -28,6 +29,8 @@ SHARD, SYMBOLS = 800_000, 1_500_000
 #: n-grams of all shards that a prefix range should hold; bounds are read off a sample of about
 #: SAMPLE n-grams of the shards. Both only balance the work.
 RANGE, SAMPLE, KEYS = 1_000_000, 200_000, 64
+#: Slices that one transducer is cut into, and about how many are united, in a round.
+FAN = 32
 #: Bytes of text that are cut into words at a time.
 AT_ONCE = 2 << 20
 STOPS = "[.,;:!?\\x0A-\\x0D]"
@@ -129,20 +132,25 @@ def _bounds(shards: DataFrame, per_range: int) -> list[tuple[str, ...]]:
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)})
 
 
-def _cutter(bounds: list[tuple[str, ...]]):
-    """Slices of a shard's transducer, one for each range it reaches."""
+def _cutter(bounds: list[tuple[str, ...]], width: int):
+    """Slices of a transducer of one range, one for each of the FAN finer ranges in it.
+
+    A finer range is ``width`` of the ranges between ``bounds``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for coarse, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                first = coarse * FAN
+                inner = [bounds[k * width - 1] for k in range(first + 1, first + FAN) if k * width <= len(bounds)]
                 whole = Transducer.from_bytes(data.as_py())
                 trie = whole.trie()
-                ends = fsa.cuts(trie, whole.symbols.to_pylist(), bounds)
+                ends = fsa.cuts(trie, whole.symbols.to_pylist(), inner)
                 ends = [[0, *e, len(level[0])] for e, level in zip(ends, trie, strict=True)]
-                for r in range(len(bounds) + 1):
+                for r in range(len(inner) + 1):
                     part = fsa.sliced(trie, [e[r] for e in ends], [e[r + 1] for e in ends])
                     if part:
-                        yield _row(r, Transducer.of(part, whole.symbols))
+                        yield _row(first + r, Transducer.of(part, whole.symbols))
 
     return run
 
@@ -154,16 +162,35 @@ def _row(number: int, transducer: Transducer) -> pa.RecordBatch:
 
 
 def _union(least: int):
-    """What all shards hold of a range, weights summed; n-grams under ``least`` can't matter to any score."""
+    """Slices of a range united, weights summed, without n-grams under ``least``."""
 
     def run(group: pa.Table) -> pa.Table:
         symbols, tries = fsa.shared_labels([Transducer.from_bytes(x.as_py()) for x in group.column("counts")])
-        whole = fsa.pruned(fsa.merged(tries, len(symbols)), least)
+        whole = fsa.merged(tries, len(symbols))
+        whole = fsa.pruned(whole, least) if least > 1 else whole
         return pa.Table.from_batches([_row(group.column("range")[0].as_py(), Transducer.of(whole, symbols))])
 
     return run
 
 
+def _united(shards: DataFrame, bounds: list[tuple[str, ...]], least: int) -> DataFrame:
+    """``(range, counts)``: what all shards hold of each range; n-grams under ``least`` in total can't
+    matter to any score and are left out at the end.
+    """
+    n = shards.count()
+    rounds = 1
+    while FAN**rounds < max(n, len(bounds) + 1):
+        rounds += 1
+    level = shards.select(F.lit(0).cast("long").alias("range"), "counts")
+    for done in range(1, rounds + 1):
+        lots = -(-n // FAN**done)
+        slices = level.mapInArrow(_cutter(bounds, FAN ** (rounds - done)), "range long, counts binary")
+        lot = F.pmod(F.xxhash64("counts"), F.lit(max(lots, 1))).alias("lot")
+        keep = least if done == rounds else 1
+        level = slices.select("range", lot, "counts").groupBy("range", "lot").applyInArrow(_union(keep), "range long, counts binary")
+    return level
+
+
 CANDIDATE = "lang string, phrase string, words array<string>, a long"
 
 
@@ -250,8 +277,7 @@ def collocations(
     )
     shards = saved(texts.mapInArrow(_shards, "counts binary, n_grams long, keys array<array<string>>"), "shards")
     bounds = _bounds(shards, per_range)
-    slices = shards.select("counts").mapInArrow(_cutter(bounds), "range long, counts binary")
-    ranges = saved(slices.groupBy("range").applyInArrow(_union(least), "range long, counts binary"), "ranges")
+    ranges = saved(_united(shards, bounds, least), "ranges")
     found = saved(ranges.select("counts").mapInArrow(_candidates, CANDIDATE), "candidates")
     # Every cut of a candidate, and the whole of its language, ask for their places; a part is asked for once.
     cut = "inline(transform(sequence(1, size(words) - 1), k -> struct(k, array_join(slice(words, 1, k), ' ') AS head, array_join(slice(words, k + 1, size(words)), ' ') AS tail)))"
