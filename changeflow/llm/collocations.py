@@ -25,14 +25,14 @@ from changeflow.llm.pieces import distinct, runs
 
 WORDS = 3
 #: Word places of a shard, and distinct words after which it is closed early.
-SHARD, SYMBOLS = 800_000, 1_500_000
+SHARD, SYMBOLS = 400_000, 1_000_000
 #: n-grams of all shards that a prefix range should hold; bounds are read off a sample of about
 #: SAMPLE n-grams of the shards. Both only balance the work.
-RANGE, SAMPLE, KEYS = 1_000_000, 200_000, 64
+RANGE, SAMPLE, KEYS = 600_000, 200_000, 64
 #: Slices that one transducer is cut into, and about how many are united, in a round.
 FAN = 32
 #: Bytes of text that are cut into words at a time.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 STOPS = "[.,;:!?\\x0A-\\x0D]"
 
 
@@ -132,25 +132,27 @@ def _bounds(shards: DataFrame, per_range: int) -> list[tuple[str, ...]]:
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)})
 
 
-def _cutter(bounds: list[tuple[str, ...]], width: int):
-    """Slices of a transducer of one range, one for each of the FAN finer ranges in it.
+def _cut(whole: Transducer, coarse: int, bounds: list[tuple[str, ...]], width: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the transducer of range ``coarse``, one for each of the FAN finer ranges in it.
 
     A finer range is ``width`` of the ranges between ``bounds``.
     """
-
+    first = coarse * FAN
+    inner = [bounds[k * width - 1] for k in range(first + 1, first + FAN) if k * width <= len(bounds)]
+    trie = whole.trie()
+    ends = fsa.cuts(trie, whole.symbols.to_pylist(), inner)
+    ends = [[0, *e, len(level[0])] for e, level in zip(ends, trie, strict=True)]
+    for r in range(len(inner) + 1):
+        part = fsa.sliced(trie, [e[r] for e in ends], [e[r + 1] for e in ends])
+        if part:
+            yield _row(first + r, Transducer.of(part, whole.symbols))
+
+
+def _cut_shards(bounds: list[tuple[str, ...]], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for coarse, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                first = coarse * FAN
-                inner = [bounds[k * width - 1] for k in range(first + 1, first + FAN) if k * width <= len(bounds)]
-                whole = Transducer.from_bytes(data.as_py())
-                trie = whole.trie()
-                ends = fsa.cuts(trie, whole.symbols.to_pylist(), inner)
-                ends = [[0, *e, len(level[0])] for e, level in zip(ends, trie, strict=True)]
-                for r in range(len(inner) + 1):
-                    part = fsa.sliced(trie, [e[r] for e in ends], [e[r + 1] for e in ends])
-                    if part:
-                        yield _row(first + r, Transducer.of(part, whole.symbols))
+            for data in batch.column(0):
+                yield from _cut(Transducer.from_bytes(data.as_py()), 0, bounds, width)
 
     return run
 
@@ -161,14 +163,17 @@ def _row(number: int, transducer: Transducer) -> pa.RecordBatch:
     )
 
 
-def _union(least: int):
-    """Slices of a range united, weights summed, without n-grams under ``least``."""
+def _union(least: int, bounds: list[tuple[str, ...]], width: int):
+    """Slices of a range united, weights summed: cut again into finer ranges while there are any
+    (``width``), else without n-grams under ``least``.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         symbols, tries = fsa.shared_labels([Transducer.from_bytes(x.as_py()) for x in group.column("counts")])
-        whole = fsa.merged(tries, len(symbols))
-        whole = fsa.pruned(whole, least) if least > 1 else whole
-        return pa.Table.from_batches([_row(group.column("range")[0].as_py(), Transducer.of(whole, symbols))])
+        whole, at = fsa.merged(tries, len(symbols)), group.column("range")[0].as_py()
+        if width:
+            return pa.Table.from_batches(_cut(Transducer.of(whole, symbols), at, bounds, width))
+        return pa.Table.from_batches([_row(at, Transducer.of(fsa.pruned(whole, least), symbols))])
 
     return run
 
@@ -181,13 +186,13 @@ def _united(shards: DataFrame, bounds: list[tuple[str, ...]], least: int) -> Dat
     rounds = 1
     while FAN**rounds < max(n, len(bounds) + 1):
         rounds += 1
-    level = shards.select(F.lit(0).cast("long").alias("range"), "counts")
-    for done in range(1, rounds + 1):
-        lots = -(-n // FAN**done)
-        slices = level.mapInArrow(_cutter(bounds, FAN ** (rounds - done)), "range long, counts binary")
-        lot = F.pmod(F.xxhash64("counts"), F.lit(max(lots, 1))).alias("lot")
-        keep = least if done == rounds else 1
-        level = slices.select("range", lot, "counts").groupBy("range", "lot").applyInArrow(_union(keep), "range long, counts binary")
+    kind = "range long, counts binary"
+    level = shards.select("counts").mapInArrow(_cut_shards(bounds, FAN ** (rounds - 1)), kind)
+    for left in reversed(range(rounds)):
+        lots = max(1, -(-n // FAN ** (rounds - left)))
+        lot = F.pmod(F.xxhash64("counts"), F.lit(lots)).alias("lot")
+        united = _union(least, bounds, FAN ** (left - 1) if left else 0)
+        level = level.select("range", lot, "counts").groupBy("range", "lot").applyInArrow(united, kind)
     return level
 
 
