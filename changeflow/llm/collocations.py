@@ -2,8 +2,8 @@
 
 Shards of the texts become minimal count transducers, built from their sorted n-grams; the language
 is the first label. They are cut at common bounds, and each prefix range unites what all shards
-hold of it, weights summed, in rounds: FAN lots of shards over FAN times finer ranges each time, so that slices
-keep their size however many shards there are. The parts of candidates lie anywhere: what is asked of a range becomes
+hold of it, weights summed, in rounds: a round unites up to FAN slices and cuts them into as many finer
+ranges, so that slices keep their size however many shards there are. The parts of candidates lie anywhere: what is asked of a range becomes
 an automaton, too, and its composition with the range's counts gives their numbers.
 """
 
@@ -29,7 +29,7 @@ SHARD, SYMBOLS = 400_000, 1_000_000
 #: n-grams of all shards that a prefix range should hold; bounds are read off a sample of about
 #: SAMPLE n-grams of the shards. Both only balance the work.
 RANGE, SAMPLE, KEYS = 600_000, 200_000, 64
-#: Slices that one transducer is cut into, and about how many are united, in a round.
+#: At most so many slices are cut from a transducer in a round, and about so many united.
 FAN = 32
 #: Bytes of text that are cut into words at a time.
 AT_ONCE = 1 << 20
@@ -128,17 +128,18 @@ def _bounds(shards: DataFrame, per_range: int) -> list[tuple[str, ...]]:
     every = n * KEYS // SAMPLE + 1
     keys = shards.select(F.explode("keys").alias("key")).where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
     found = sorted(tuple(r[0]) for r in keys.collect())
-    ranges = min(total // per_range + 1, len(found) + 1)
+    # As many ranges as shards at least: what a round unites then is about as large as a shard.
+    ranges = min(max(total // per_range + 1, n), len(found) + 1)
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)})
 
 
-def _cut(whole: Transducer, coarse: int, bounds: list[tuple[str, ...]], width: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the transducer of range ``coarse``, one for each of the FAN finer ranges in it.
+def _cut(whole: Transducer, coarse: int, bounds: list[tuple[str, ...]], fan: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the transducer of range ``coarse``, one for each of the ``fan`` finer ranges in it.
 
     A finer range is ``width`` of the ranges between ``bounds``.
     """
-    first = coarse * FAN
-    inner = [bounds[k * width - 1] for k in range(first + 1, first + FAN) if k * width <= len(bounds)]
+    first = coarse * fan
+    inner = [bounds[k * width - 1] for k in range(first + 1, first + fan) if k * width <= len(bounds)]
     trie = whole.trie()
     ends = fsa.cuts(trie, whole.symbols.to_pylist(), inner)
     ends = [[0, *e, len(level[0])] for e, level in zip(ends, trie, strict=True)]
@@ -148,11 +149,11 @@ def _cut(whole: Transducer, coarse: int, bounds: list[tuple[str, ...]], width: i
             yield _row(first + r, Transducer.of(part, whole.symbols))
 
 
-def _cut_shards(bounds: list[tuple[str, ...]], width: int):
+def _cut_shards(bounds: list[tuple[str, ...]], fan: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                yield from _cut(Transducer.from_bytes(data.as_py()), 0, bounds, width)
+                yield from _cut(Transducer.from_bytes(data.as_py()), 0, bounds, fan, width)
 
     return run
 
@@ -163,7 +164,7 @@ def _row(number: int, transducer: Transducer) -> pa.RecordBatch:
     )
 
 
-def _union(least: int, bounds: list[tuple[str, ...]], width: int):
+def _union(least: int, bounds: list[tuple[str, ...]], fan: int, width: int):
     """Slices of a range united, weights summed: cut again into finer ranges while there are any
     (``width``), else without n-grams under ``least``.
     """
@@ -172,7 +173,7 @@ def _union(least: int, bounds: list[tuple[str, ...]], width: int):
         symbols, tries = fsa.shared_labels([Transducer.from_bytes(x.as_py()) for x in group.column("counts")])
         whole, at = fsa.merged(tries, len(symbols)), group.column("range")[0].as_py()
         if width:
-            return pa.Table.from_batches(_cut(Transducer.of(whole, symbols), at, bounds, width))
+            return pa.Table.from_batches(_cut(Transducer.of(whole, symbols), at, bounds, fan, width))
         return pa.Table.from_batches([_row(at, Transducer.of(fsa.pruned(whole, least), symbols))])
 
     return run
@@ -183,15 +184,17 @@ def _united(shards: DataFrame, bounds: list[tuple[str, ...]], least: int) -> Dat
     matter to any score and are left out at the end.
     """
     n = shards.count()
-    rounds = 1
-    while FAN**rounds < max(n, len(bounds) + 1):
+    most, rounds, fan = max(n, len(bounds) + 1), 1, 1
+    while FAN**rounds < most:
         rounds += 1
+    while fan**rounds < most:
+        fan += 1
     kind = "range long, counts binary"
-    level = shards.select("counts").mapInArrow(_cut_shards(bounds, FAN ** (rounds - 1)), kind)
+    level = shards.select("counts").mapInArrow(_cut_shards(bounds, fan, fan ** (rounds - 1)), kind)
     for left in reversed(range(rounds)):
-        lots = max(1, -(-n // FAN ** (rounds - left)))
+        lots = max(1, -(-n // fan ** (rounds - left)))
         lot = F.pmod(F.xxhash64("counts"), F.lit(lots)).alias("lot")
-        united = _union(least, bounds, FAN ** (left - 1) if left else 0)
+        united = _union(least, bounds, fan, fan ** (left - 1) if left else 0)
         level = level.select("range", lot, "counts").groupBy("range", "lot").applyInArrow(united, kind)
     return level
 

@@ -10,6 +10,7 @@ from changeflow.llm import (
     licences,
     merkle,
     neighbours,
+    oracles,
     packing,
     secrets,
     simhash,
@@ -79,4 +80,8 @@ def _licence_sql() -> str:
         FROM d LEFT JOIN found USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN score USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op6_licences": _licence_sql()}
+ORACLES: dict[str, str] = {
+    "op6_licences": _licence_sql(),
+    "op12_collocations": oracles.COLLOCATIONS,
+    "op13_manifest": oracles.MANIFEST,
+}
