@@ -25,6 +25,8 @@ SUFFIXES = {
     "is_backpressured": ("isBackPressured",),
     "busy_time_ms_per_second": ("busyTimeMsPerSecond",),
 }
+#: Stands between the parts of a metric line.
+_MARK = "\x01"
 MIN_PRESSURE = 0.05
 RECOVERED_AFTER = 3
 BASELINE, LOADED, RECOVERY = "baseline", "backpressure", "recovery"
@@ -35,13 +37,18 @@ SLICE = 86_400
 def metric_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Text lines to ``name, labels, value``; comments and lines that do not fit are dropped."""
     text = F.trim(F.col(column))
-    part = lambda n: F.regexp_extract(text, S.METRIC_LINE, n)
     others = [c for c in lines.columns if c != column]
-    # No comment can match: a name does not start with "#".
-    return (
-        lines.filter(text.rlike(S.METRIC_LINE))
-        .select(*others, part(1).alias("name"), part(2).alias("_raw"), part(3).alias("_value"))
-        .select(*others, "name", S.labels_map(F.col("_raw")).alias("labels"), F.col("_value").cast("double").alias("value"))
+    # One run of the pattern a line: what it puts between its parts tells whether it fitted. A line that
+    # holds that sign itself is read part by part. No comment can match: a name does not start with "#".
+    cut = F.split(F.regexp_replace(text, S.METRIC_LINE, f"$1{_MARK}$2{_MARK}$3"), _MARK)
+    each = F.array(*[F.regexp_extract(text, S.METRIC_LINE, n) for n in (1, 2, 3)])
+    parts = F.when(F.contains(text, F.lit(_MARK)), F.when(text.rlike(S.METRIC_LINE), each)).otherwise(cut)
+    # Exploding keeps the list a value, so that neither the filter nor the columns build it again.
+    fitting = F.filter(F.array(parts), lambda p: F.size(p) == 3)
+    found = lines.select(*others, F.explode(fitting).alias("_parts"))
+    part = lambda n: F.element_at("_parts", n)
+    return found.select(
+        *others, part(1).alias("name"), S.labels_map(part(2)).alias("labels"), part(3).cast("double").alias("value")
     )
 
 

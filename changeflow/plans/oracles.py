@@ -338,6 +338,23 @@ ORACLES: dict[str, str] = {
                (SELECT count(*) FROM bad) AS total_rejects,
                (SELECT max(_seq) FROM good) AS max_seq""",
     "union_dedup_stream": f"WITH {_ORD_LOG} SELECT {_COLS}, cdc_row_kind, cdc_operation, source_ts_ms FROM ord_log",
+    "newest_stream": f"WITH {_ORD_LOG} {_current('ord_log')}",
+    "numbered_versions": f"WITH {_ORD_LOG} {_current('ord_log', 'l._seq % 4 < 2')}",
+    "progress_history": f"""WITH {_ORD_LOG}
+        SELECT CAST(count(DISTINCT _seq) AS BIGINT) AS input_rows, CAST(0 AS BIGINT) AS without_durations, TRUE AS batches_in_a_row FROM ord_log""",
+    "bulk_load": f"""WITH {_ORD_CUR}
+        SELECT count(*) AS row_count, CAST(sum(amount_cents) AS BIGINT) AS amount_cents, TRUE AS files_bounded, TRUE AS sizes_agree FROM cur""",
+    "sorted_diff": f"""WITH {_DAMAGED},
+        d AS (SELECT 'missing' AS side, * FROM (SELECT {_COLS} FROM cur EXCEPT SELECT {_COLS} FROM dam) a
+              UNION ALL SELECT 'unexpected', * FROM (SELECT {_COLS} FROM dam EXCEPT SELECT {_COLS} FROM cur) b)
+        SELECT row_number() OVER (ORDER BY order_id, side) - 1 AS place, side, order_id, event_id, amount_cents FROM d""",
+    "table_reset": f"""WITH {_ORD_CUR}
+        SELECT 'loaded' AS step, 'orders_current' AS table_name, count(*) AS rows FROM cur
+        UNION ALL SELECT 'loaded', 'orders_changelog', count(*) FROM ord_log
+        UNION ALL SELECT 'reset', 'orders_current', 0 UNION ALL SELECT 'reset', 'orders_changelog', 0
+        UNION ALL SELECT 'reloaded', 'orders_current', 0
+        UNION ALL SELECT 'reloaded', 'orders_changelog', count(*) FROM ord_log WHERE cdc_operation = 'insert'""",
+    "written_records": f"""WITH {_ORD_CUR} SELECT status, count(*) AS orders, '' AS missing FROM cur GROUP BY status""",
     "stream_changelog": f"WITH {_ORD_LOG} SELECT {_COLS}, cdc_row_kind, cdc_operation, source_ts_ms FROM ord_log",
     "stream_recovered_state": f"WITH {_ORD_LOG} {_current('ord_log')}",
     "statement_changes": f"""WITH {_ORD_LOG}, now AS ({_current('ord_log')}),

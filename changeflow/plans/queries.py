@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.functions import scalars as S
+from changeflow.functions.ranks import dense_positions
 from changeflow.functions.windows import previous_row
 from changeflow.operators import decode as D
-from changeflow.operators import evidence, maintain, reconcile, runmetrics, state
+from changeflow.operators import evidence, maintain, reconcile, runmetrics, state, versions
 from changeflow.plans import conformance, sqlapi
 from changeflow.schemas import CHANGE_COLUMNS, CURRENT_COLUMNS
 from changeflow.session import run_dir
-from changeflow.sources import feeds, sqltext, statements
+from changeflow.sources import catalog, feeds, sqltext, statements
 from changeflow.streaming import ingest, verify
 from changeflow.streaming.table import ChangeTable, Hooks
 
@@ -415,6 +417,122 @@ def union_dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
     return D.audit_rows(spark.read.parquet(f"{base}/out"))
 
 
+@query
+def newest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams that deliver the same changes in several batches; the state holds one row a key."""
+    base = run_dir(spark, "newest")
+    feed = orders_feed(spark, sf)
+    feed.filter("op <> 'd'").write.json(f"{base}/some")
+    feed.write.json(f"{base}/all")
+    some, every = (ingest.json_envelope_stream(spark, f"{base}/{name}", max_files=2) for name in ("some", "all"))
+    changes = D.decode(ingest.union_streams(some, every))
+    ingest.drain(ingest.start_newest(changes, f"{base}/out", f"{base}/checkpoint"))
+    return state.live_rows(ingest.newest_rows(spark, f"{base}/out"))
+
+
+@query
+def numbered_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders as of the second of three versions that two writers committed, whatever their clocks said."""
+    path = run_dir(spark, "versions")
+    log = D.decode(orders_feed(spark, sf))
+    step = F.pmod(F.col("_seq"), F.lit(4))
+    for part in (step == 0, step == 1, step > 1):
+        versions.commit(log.filter(part), path)
+    return versions.as_of(spark, path, 2)
+
+
+@query
+def progress_history(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run's own progress reports say, all of them kept: rows read, and batches without a duration."""
+    base = run_dir(spark, "progress")
+    orders_feed(spark, sf).write.json(f"{base}/landing")
+    log = ingest.ProgressLog(spark, f"{base}/reports")
+    spark.streams.addListener(log)
+    try:
+        stream = ingest.json_envelope_stream(spark, f"{base}/landing", max_files=1)
+        out = D.decode(stream).writeStream.format("parquet").option("path", f"{base}/out")
+        ingest.drain(out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    reports = ingest.progress_history(log.rows())
+    lacking = F.col("trigger_ms").isNull() | F.col("add_batch_ms").isNull() | F.col("wal_commit_ms").isNull()
+    return reports.filter("input_rows > 0").agg(
+        F.sum("input_rows").alias("input_rows"),
+        F.count_if(lacking).alias("without_durations"),
+        (F.count(F.lit(1)) == F.max("batch_id") - F.min("batch_id") + 1).alias("batches_in_a_row"),
+    )
+
+
+@query
+def bulk_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The current orders in files of at most 1000 rows, and what a listing of these files says of them."""
+    path = run_dir(spark, "bulk")
+    feeds.write_orders(orders_current(spark, sf), path, rows_per_file=1_000)
+    rows = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("size"), F.sum("amount_cents").alias("cents")
+    )
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = maintain.data_files(spark, path).select(name.alias("name"), "length")
+    return rows.withColumn("name", name).join(listed, "name", "full").agg(
+        F.sum("rows").alias("row_count"),
+        F.sum("cents").alias("amount_cents"),
+        F.every(F.col("rows") <= 1_000).alias("files_bounded"),
+        F.every(F.coalesce(F.col("size") == F.col("length"), F.lit(False))).alias("sizes_agree"),
+    )
+
+
+@query
+def sorted_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The differing rows of each side with their place in key order."""
+    rows = orders_current(spark, sf)
+    diff = reconcile.snapshot_diff(rows, damage(rows)).select("side", "order_id", "event_id", "amount_cents")
+    return dense_positions(diff.withColumn("_key", F.col("order_id") * 2 + (F.col("side") == "unexpected").cast("int")), "_key", "place").select(
+        "place", "side", "order_id", "event_id", "amount_cents"
+    ).orderBy("place")
+
+
+@query
+def table_reset(spark: SparkSession, sf: str) -> DataFrame:
+    """Both catalog tables loaded, made again in vain, reset, and loaded with the creates alone."""
+    base = run_dir(spark, "catalog")
+    namespace = f"reset_{base[-32:]}"
+    current, log = orders_current(spark, sf), D.audit_rows(D.decode(orders_feed(spark, sf)))
+    try:
+        names = catalog.create_tables(spark, namespace, base)
+        count = lambda when: [
+            spark.table(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(when).alias("step"), F.lit(n.split(".")[1]).alias("table_name"), "rows")
+            for n in names
+        ]
+        load = lambda rows, name: rows.write.insertInto(f"{namespace}.{name}")
+        steps = []
+        load(current, "orders_current")
+        load(log, "orders_changelog")
+        catalog.create_tables(spark, namespace)
+        steps += count("loaded")
+        report = reduce(DataFrame.unionByName, steps)
+        report.write.parquet(f"{base}-report/1")
+        catalog.reset_tables(spark, namespace)
+        reduce(DataFrame.unionByName, count("reset")).write.parquet(f"{base}-report/2")
+        load(log.filter("cdc_operation = 'insert'"), "orders_changelog")
+        reduce(DataFrame.unionByName, count("reloaded")).write.parquet(f"{base}-report/3")
+    finally:
+        catalog.drop_namespace(spark, namespace)
+    return spark.read.parquet(*[f"{base}-report/{n}" for n in (1, 2, 3)])
+
+
+@query
+def written_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Stamped result records, written and read back: which required fields each one has."""
+    path = run_dir(spark, "records")
+    stamp = evidence.provenance(spark, "orders by status", logs="none")
+    results = orders_current(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("orders"))
+    evidence.write_record(results, stamp, path)
+    docs = spark.read.json(path)
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in evidence.REQUIRED]))
+    return docs.select("status", "orders", F.array_join(missing, ",").alias("missing"))
+
+
 @query
 def statement_changes(spark: SparkSession, sf: str) -> DataFrame:
     """What an update of every third order and a delete of every other third write to the log."""

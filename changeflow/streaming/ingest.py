@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from changeflow.schemas import ENVELOPE, PROGRESS
+from changeflow.operators import state
+from changeflow.schemas import ENVELOPE, POSITION_COLUMNS, PROGRESS
 from changeflow.streaming.table import ChangeTable
 
 # Restart policy and trigger defaults.
@@ -20,6 +21,8 @@ RESTART_DELAY_SECONDS = 3.0
 TRIGGER_SECONDS = 30
 BATCH_TIMEOUT_SECONDS = 600
 QUERY_NAME = "orders-changes"
+#: Streaming state on disk, one file set per partition.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def json_envelopes(spark: SparkSession, path: str, schema: str = ENVELOPE) -> DataFrame:
@@ -124,19 +127,28 @@ def run_with_restarts(
     raise AssertionError("unreachable")
 
 
-def await_commits(query: StreamingQuery, table: ChangeTable, commits: int = 1, step: float = 0.2, steps: int = 600) -> None:
-    """Let a running query go on until ``table`` has so many commits.
+def await_commits(
+    query: StreamingQuery, table: ChangeTable, commits: int = 1, step: float = 0.2, stalled_after: float = BATCH_TIMEOUT_SECONDS
+) -> None:
+    """Let a running query go on until ``table`` has so many commits, however long they take.
 
-    The query's own failure is raised as it is; one that ends or is still short after ``steps``
-    looks raises too.
+    The query's own failure is raised as it is; one that ends, or neither ends a batch nor commits one for
+    ``stalled_after`` seconds, raises too.
     """
-    for _ in range(steps):
+    seen, since = None, time.monotonic()
+    while True:
         ended = query.awaitTermination(step)
-        if table.commits().count() >= commits:
+        found = table.commits().count()
+        if found >= commits:
             return
         if ended:
             raise RuntimeError("the query ended before the commits were there")
-    raise TimeoutError(f"fewer than {commits} commits after {steps} looks")
+        last = query.lastProgress
+        now = found, None if last is None else (last["runId"], last["batchId"], last["numInputRows"] > 0)
+        if now != seen:
+            seen, since = now, time.monotonic()
+        elif time.monotonic() - since > stalled_after:
+            raise TimeoutError(f"fewer than {commits} commits, and none in {stalled_after} s")
 
 
 class FailOnce:
@@ -225,10 +237,47 @@ def union_streams(left: DataFrame, right: DataFrame) -> DataFrame:
 def dedup_stream(changes: DataFrame) -> DataFrame:
     """Drop repeated deliveries of a change.
 
-    The state store keeps every position seen, so it grows with the log: use the RocksDB store,
-    or leave it out, as latest-per-key reads are indifferent to repeats.
+    The state store keeps every position seen, so it grows with the log. Where only the newest
+    change of a key is wanted, :func:`start_newest` keeps one row a key.
+    """
+    return changes.dropDuplicates(["order_id", *[c for c in POSITION_COLUMNS if c in changes.columns], "_img"])
+
+
+def start_newest(
+    changes: DataFrame, path: str, checkpoint: str, name: str = "changeflow-newest", key: str = "order_id"
+) -> StreamingQuery:
+    """Keep the newest change of every key of a stream, repeats and late older changes left out.
+
+    A streaming aggregate in update mode: its state, in RocksDB and so on disk, holds one row per
+    key, whatever the log's length. Each batch writes the keys it touched to ``path/batch=<n>``, a replay the
+    same again. A change older than what its key has already is not written: the newest is, again.
+    Read the result with :func:`newest_rows`.
     """
-    return changes.dropDuplicates(["order_id", "_seq", "_img"])
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    spark, provider = changes.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        return (
+            state.latest_by_key(changes, key, keep_deletes=True)
+            .writeStream.queryName(name)
+            .outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(store)
+            .start()
+        )
+    finally:
+        # A query keeps the settings it was started with.
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+def newest_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The newest change of every key that :func:`start_newest` has written, deletes included."""
+    return state.latest_by_key(spark.read.parquet(path).drop("batch"), keep_deletes=True)
 
 
 def discard(df: DataFrame) -> None:

@@ -146,3 +146,10 @@ def test_as_many_rows_with_other_contents_differ(spark):
         (1, "changed", "amount_cents", 2, 2)
     ]
     assert R.column_diff(a.unionByName(b), b.unionByName(a)).count() == 0
+
+
+def test_documents_that_differ_in_writing_alone_are_equal(spark):
+    docs = lambda v: spark.createDataFrame([(x,) for x in v], "doc string")
+    left = ['{"b": 1.50, "a": [1, {"y": null, "x": "\\u0041, \\"1.0"}]}', "[1e2, -0.0, 1e-3]", "broken {", "[1, 2]", '"12345678901234567890123e0"', None]
+    right = ['{"a":[1.0,{"x":"A, \\"1.0","y":null}],"b":15e-1}', "[100,0,0.001]", "broken {", "[2, 1]", '"12345678901234567890123e0"', None]
+    assert rows(R.canonical_diff(docs(left), docs(right), "doc")) == [("missing", "[1,2]"), ("unexpected", "[2,1]")]

@@ -4,12 +4,14 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from changeflow.functions.ranks import dense_positions
 from changeflow.operators import decode as D
 from changeflow.operators import state
-from changeflow.sources import feeds, readers, statements
+from changeflow.schemas import CURRENT_COLUMNS
+from changeflow.sources import feeds, readers, sqltext, statements
 from changeflow.streaming.table import ChangeTable
 
 
@@ -80,3 +82,32 @@ def test_readers(spark, tmp_path):
     assert readers.stored_table(spark, path).columns == readers.source_rows(spark, path).columns
     (tmp_path / "scrape.txt").write_text("a 1\nb 2\n")
     assert readers.reporter_text(spark, str(tmp_path / "scrape.txt")).count() == 2
+
+
+def test_statements_as_text(spark, tmp_path):
+    def one(text, **more):
+        return D.decode(sqltext.envelopes_of(spark, text, **more))
+
+    base = D.decode(statements.insert(feeds.sequence_orders(spark, 6).select(*CURRENT_COLUMNS), first_seq=0))
+    state.current_state(base).createOrReplaceTempView("t")
+    ids = [r["order_id"] for r in spark.table("t").orderBy("order_id").collect()]
+    out = one("UPDATE t x SET x.status = concat(status, '!'), seed = '9' WHERE x.order_id IN (SELECT max(order_id) FROM t)")
+    assert rows(out, "cdc_row_kind", "order_id", "seed")[0] == ("+U", ids[-1], 9) and out.count() == 2
+    assert one("UPDATE t SET seed = seed + 1").count() == 12
+    assert rows(one("DELETE FROM t WHERE order_id < 0")) == []
+    assert rows(one("TRUNCATE TABLE t", first_seq=5, file="log.7"), "_file", "_seq") == [(7, 5 + i) for i in range(6)]
+    short = sqltext.envelopes_of(spark, "INSERT INTO t (order_id, status) VALUES (1, 'new')")
+    assert rows(D.rejects(short), "reject_reason") == [("bad business_key in after",)]
+    bad = ["INSERT INTO t (order_id) VALUES (1, 2)", "INSERT OVERWRITE t SELECT * FROM t", "UPDATE t SET colour = 1",
+           "SELECT 1", "INSERT INTO t (nothing) VALUES (1)"]
+    for text in bad:
+        with pytest.raises(ValueError):
+            sqltext.envelopes_of(spark, text)
+    with pytest.raises(ParseException):
+        sqltext.envelopes_of(spark, "DELETE t WHERE")
+    script = ["DELETE FROM t WHERE order_id = " + str(ids[0]), "UPDATE t SET status = 'left'", "INSERT INTO t SELECT order_id - 1000000, "
+              "business_key, event_id, customer_id, status, amount_cents, updated_at, seed FROM t WHERE order_id = " + str(ids[1])]
+    made = D.decode(sqltext.run_script(spark, script, "t"))
+    assert rows(made.groupBy("_file", "cdc_row_kind").count()) == [(1, "-D", 1), (2, "+U", 5), (2, "-U", 5), (3, "+I", 1)]
+    assert rows(spark.table("t"), "status") == [("left",)] * 6
+    spark.catalog.dropTempView("t")

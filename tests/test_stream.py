@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import os
 import shutil
+import signal
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -167,7 +172,7 @@ def test_periodic_trigger_and_waiting(spark, tmp_path):
     try:
         ingest.await_commits(query, run.table)
         with pytest.raises(TimeoutError):
-            ingest.await_commits(query, run.table, commits=99, steps=2)
+            ingest.await_commits(query, run.table, commits=99, stalled_after=1)
         with pytest.raises(TimeoutError):
             ingest.drain(query, stalled_after=2)
     finally:
@@ -195,3 +200,63 @@ def test_a_long_backlog_is_no_standstill(spark, tmp_path):
 
 def test_discard_runs_the_plan(spark):
     ingest.discard(spark.range(10))
+
+
+def test_the_newest_change_of_a_key_is_all_a_stream_keeps(spark, tmp_path, sf):
+    landing, out, ck = (str(tmp_path / n) for n in ("landing", "out", "ck"))
+    feed = Q.events_feed(spark, sf).cache()
+    keys = D.decode(feed).select("order_id").distinct().count()
+    parts = [feed.filter(F.pmod(F.col("source.pos"), F.lit(3)) == n) for n in (2, 0, 1)]  # out of order
+    for n, part in enumerate([*parts, feed]):  # and all of it once more
+        part.coalesce(1).write.mode("append").json(landing)
+        stream = D.decode(ingest.json_envelope_stream(spark, landing))
+        query = ingest.start_newest(stream, out, ck)
+        ingest.drain(query)
+        held = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+        assert held[-1]["numRowsTotal"] <= keys and "rocksdbCommitFileSyncLatencyMs" in held[-1]["customMetrics"]
+        assert n < 3 or held[-1]["numRowsTotal"] == keys
+    newest = ingest.newest_rows(spark, out)
+    assert rows(state.live_rows(newest)) == rows(state.current_state(D.decode(feed)))
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+DRIVER = """
+import sys, time
+sys.path.insert(0, sys.argv[1])
+from changeflow.session import build_session
+from changeflow.streaming import ingest
+from changeflow.streaming.table import ChangeTable, Hooks
+
+spark = build_session("killed", "local[2]", {"spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": sys.argv[5]})
+
+def stuck(batch_id):
+    if batch_id == 2:
+        print("jvm", spark._jvm.ProcessHandle.current().pid(), flush=True)
+        time.sleep(600)
+
+table = ChangeTable(spark, sys.argv[3], hooks=Hooks(**{sys.argv[6]: stuck}))
+stream = ingest.json_envelope_stream(spark, sys.argv[2], max_files=1)
+ingest.drain(ingest.start_ingest(stream, table, sys.argv[4], "w"))
+"""
+
+
+@pytest.mark.parametrize("point", ["before_write", "before_commit"])
+def test_a_fresh_driver_takes_over_from_a_killed_one(spark, tmp_path, point):
+    run = Run(spark, tmp_path, "crash")
+    for n in range(0, 7):
+        land(run.feed, run.landing, n, n)
+    (tmp_path / "driver.py").write_text(DRIVER)
+    root = str(Path(__file__).resolve().parents[1])
+    args = [root, run.landing, str(tmp_path / "table"), run.checkpoint, str(tmp_path / "shared"), point]
+    with subprocess.Popen(
+        [sys.executable, str(tmp_path / "driver.py"), *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True
+    ) as other:
+        for line in other.stdout:
+            if line.startswith("jvm "):
+                # In the middle of batch 2: the driver's JVM, then its Python, by their own numbers.
+                os.kill(int(line.split()[1]), signal.SIGKILL)
+                other.kill()
+                break
+    assert run.table.commits().count() == 2
+    ingest.drain(run.start())
+    run.verify()
