@@ -4,7 +4,7 @@ A token of this vocabulary never reaches across a single space between two chara
 white space: the space opens the next token. So texts are cut there, equal pieces of a batch are
 found by Arrow's dictionary encoding, the library encodes each distinct piece, and Arrow puts the
 ids back in place. The results equal one call over each whole text; a text that has other white
-space beside a space takes that call.
+space beside a space, or one of the vocabulary's special tokens written out, takes that call.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ class Encoder:
 
         assert sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -86,6 +86,8 @@ class Encoder:
         closes = _matches(pieces, f"{SOLID}$")[index]
         opens[starts] = closes[lasts] = True
         uncut = np.add.reduceat(~(opens & closes), starts, dtype=np.int64) > 0
+        for token in self.added:
+            uncut |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         keep = np.ones(len(index), bool)
         for row in np.flatnonzero(uncut):
             keep[starts[row] : bounds[row + 1]] = False

@@ -1,17 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block of the page. Lines of elements that are no article
-(menus, scripts, adverts, ...) weigh nothing, nor do lines made of links. Text lengths are summed
-over a sliding window of lines; where the sum surges above a threshold the text begins, where it
-dives to nothing it ends. An ``article`` or ``main`` element that holds text sets the threshold to
-zero inside and to infinity outside: there every line counts, however short.
+Markup is stripped to lines, one per block of the page; elements that are no article (menus,
+scripts, adverts, ...) give none. Text lengths are summed over a sliding window of lines; where the
+sum surges above a threshold the text begins, where it dives to nothing it ends. Lines made of links
+weigh nothing. ``article`` and ``main`` only change weights: where such elements hold most of the
+page's text, their lines weigh more and those outside less, and no window reaches across their
+edges. Every step of the parser takes constant time, so a page's time is that of its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +27,9 @@ from changeflow.llm.common import per_row, ready, table
 WINDOW, SURGE = 3, 86
 #: A line is a link line when links make up this share of it.
 LINKS = 0.5
+#: Where article and main elements hold this share of a page's text, their lines weigh so much
+#: more, those outside so much less.
+SHARE, MORE, LESS = 0.5, 100, 0.1
 
 # Element names and words of the HTML standard and of common page templates.
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
@@ -42,6 +49,8 @@ NAMES = re.compile(
     r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|toolbar)s?(?=$|[\s_-])",
     re.I,
 )
+#: Class names that say what a wrapper has beside its content, not what it is.
+MODIFIERS = re.compile(r"^(?:has|no|not|with|without|hide|show|toggle|is-not|js)[-_]|[-_](?:left|right|none|off|on|open|closed|active|enabled|disabled)$", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*)(?:>|\Z)",
@@ -71,7 +80,9 @@ def _apart(tag: str, attrs: str, core: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
+        if name in ("class", "id") and any(
+            NAMES.search(word) and not MODIFIERS.search(word) for word in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).split()
+        ):
             return True
     return False
 
@@ -104,8 +115,23 @@ def lines(page: str) -> list[Line]:
             if state[3]:
                 linked += len(text.strip())
 
-    state = ("", False, False, False)
-    at, skip = 0, re.compile("")
+    def push(entry: tuple[str, bool, bool, bool]) -> None:
+        opened[entry[0]] += 1
+        if entry[0] in BLOCK:
+            blocks.append(len(stack))
+        stack.append(entry)
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
+    outside = ("", False, False, False)
+    opened: Counter[str] = Counter()  # how many of a tag are on the stack
+    blocks: list[int] = []  # where blocks stand on the stack
+    state = outside
+    at = 0
     while at < len(page):
         found = TOKEN.search(page, at)
         if not found:
@@ -122,33 +148,24 @@ def lines(page: str) -> list[Line]:
         if found["close"]:
             if tag in BLOCK:
                 flush()
-            if tag in ("br", "p") and not any(s[0] == tag for s in stack):
-                continue
-            for depth in range(len(stack) - 1, -1, -1):
-                # A wrong end tag inside a cell or an article does not close what is outside.
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                pop_to(depth)
         else:
             if tag in BLOCK:
                 flush()
-                if tag not in VOID:
-                    for depth in range(len(stack) - 1, -1, -1):
-                        open_ = stack[depth][0]
-                        if open_ == "p" or open_ == "li" and tag == "li":
-                            del stack[depth:]
-                            break
-                        if open_ in BLOCK:
-                            break
-                state = stack[-1] if stack else ("", False, False, False)
+                if tag not in VOID and blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] == tag == "li"):
+                    pop_to(blocks[-1])
+                state = stack[-1] if stack else outside
             if tag in RAW and not found["attrs"].rstrip().endswith("/"):
-                skip = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
-                end = skip.search(page, at)
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not (found["attrs"].endswith("/") and tag not in BLOCK and tag != "a"):
                 apart = state[1] or _apart(tag, found["attrs"], state[2])
-                stack.append((tag, apart, state[2] or tag in CORE and not apart, state[3] or tag == "a"))
-        state = stack[-1] if stack else ("", False, False, False)
+                push((tag, apart, state[2] or tag in CORE and not apart, state[3] or tag == "a"))
+        state = stack[-1] if stack else outside
     flush()
     return out
 
@@ -172,23 +189,42 @@ def spans(weights: list[int], window: int = WINDOW, surge: float = SURGE) -> lis
     return out
 
 
+def _segments(found: list[Line]) -> Iterator[list[Line]]:
+    """Lines in a row that stand all inside, or all outside, of ``article`` and ``main``."""
+    for _, lines_ in groupby(found, key=lambda line: line.core):
+        yield list(lines_)
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
-    """The article's blocks in page order, joined by one space; empty if there is none."""
+    """The article's blocks in page order, joined by one space; empty if there is none.
+
+    A line of links is kept where it stands alone between lines of the article.
+    """
     if not page:
         return ""
     found = lines(page)
-    if any(line.core for line in found):
-        return " ".join(found[i].text for a, b in spans([len(x.text) if x.core else 0 for x in found], 1, 0) for i in range(a, b))
-    weights = [0 if x.linked >= LINKS * len(x.text) else len(x.text) for x in found]
-    kept = spans(weights, window, surge) or spans(weights, window, 0)
-    return " ".join(found[i].text for a, b in kept for i in range(a, b) if weights[i])
+    plain = lambda line: 0 if line.linked >= LINKS * len(line.text) else len(line.text)
+    inside, total = sum(plain(x) for x in found if x.core), sum(map(plain, found))
+    marked = inside > 0 and inside >= SHARE * total
+    kept: list[str] = []
+    for limit in (surge, 0):
+        for segment in _segments(found) if marked else [found]:
+            weights = [plain(x) * ((MORE if x.core else LESS) if marked else 1) for x in segment]
+            for a, b in spans(weights, window, limit):
+                for i in range(a, b):
+                    alone = a < i < b - 1 and weights[i - 1] and weights[i + 1]
+                    if weights[i] or alone:
+                        kept.append(segment[i].text)
+        if kept:
+            break
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row, repeated ones too.
 
-    Null or empty pages and pages without an article have an empty text. Other columns are left
-    out. No rows give no rows.
+    Null or empty pages and pages without an article have an empty text. A page of any length is read
+    whole, in time that grows with its length. Other columns are left out. No rows give no rows.
     """
     ready(pages.sparkSession)
     picked = pages.select(

@@ -20,7 +20,7 @@ def text(seed, n=60):
 
 def test_all_is_registered():
     names = contract.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert names["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "near_duplicates", "decontamination", "secret_scan", "best_fit_packing",

@@ -8,6 +8,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -58,6 +59,42 @@ def test_line_blocks_find_the_text_without_an_article():
     assert htmltext.spans([0, 5, 100, 0, 3, 100, 0, 0, 0, 9], 3, 86) == [(1, 6)]
 
 
+BODY = "".join(f"<p>{'word ' * 30}{i}.</p>" for i in range(4))
+TEXT = " ".join(f"{'word ' * 30}{i}." for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div class="layout has-sidebar"><article>{BODY}</article></div>', TEXT),
+        (f'<div class="content no-sidebar"><article>{BODY}</article></div>', TEXT),
+        (f'<div class="content no-sidebar">{BODY}</div><div class="sidebar">{BODY}</div>', TEXT),
+        (f"<main>{BODY}<ul>" + "<li><a href=x>one of many</a></li>" * 9 + "</ul></main>", TEXT),
+        (f"<main>{BODY}<p><a href=x>source</a></p>{BODY}</main>", f"{TEXT} source {TEXT}"),
+        # Short lines of the element that holds the text count, longer ones outside it don't.
+        (f"<p>{'some words outside ' * 6}</p><article><h1>A</h1>{BODY}<p>b</p></article><div>Printed in 2020</div>", f"A {TEXT} b"),
+    ],
+)
+def test_density_decides_and_elements_weigh(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_a_teaser_does_not_hide_the_article():
+    page = f'<div>{BODY}</div><section class="more-stories"><article><h3>Teaser title</h3></article></section>'
+    assert htmltext.main_text(page).startswith(TEXT)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 120_000 + "<p>x y z" * 120_000, "<div>" * 150_000 + "</b>" * 250_000 + "text", "<p>" + "a < b &amp; " * 180_000, "<li><a href='x" * 140_000],
+)
+def test_long_pages_take_time_in_proportion(page):
+    assert len(page) > 1_600_000
+    begun = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - begun < 10
+
+
 def test_page_query(spark, sf):
     def brute(page):
         import html

@@ -17,14 +17,13 @@ from changeflow.llm import bpe, packing, pieces, tokencount, tokenfile
 
 ODD = [
     "", " ", "a", "a  b", " a b ", "it's I'LL ", "x \n y", "a\n\n b\t c", "\n a", "日本 語 a", "a 日 本", "\x85 a\x1c b",
-    "a　 b", "a b  c", "<|endoftext|> x", "🙂 🙂🙂 é", "a'sb 'll", "½ ²a", "q\U0010ffffz a b", "a\x0b b", "a b\n",
+    "a　 b", "a b  c", "<|endoftext|> x", "hello <|endoftext|> world", "a<|endoftext|>b c", "<|endoftext|><|endoftext|>", "<|endoftext| >", "🙂 🙂🙂 é", "a'sb 'll", "½ ²a", "q\U0010ffffz a b", "a\x0b b", "a b\n",
 ]
 
 
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
