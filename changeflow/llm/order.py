@@ -21,8 +21,9 @@ def numbered(df: DataFrame, order: list[str], name: str, keys: list[str] = []) -
     first. ``keys`` hold no null. No rows give no rows.
     """
     by = [*keys, *order, "_tie"]
+    # Written first: the bounds of ranges are sampled from the rows, which would be made twice.
     placed = saved(
-        df.withColumn("_tie", F.monotonically_increasing_id())
+        saved(df, "rows").withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .drop("_tie")
