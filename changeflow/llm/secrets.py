@@ -52,6 +52,11 @@ BLOB = re.compile(
     r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*"
     r"(?P<tail>[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?(?:(?:[ \t]*\r?\n[ \t]*)?={1,2})?"
 )
+#: Where a run may be cut, and after which cuts text, a mark of UTF-16 or compressed bytes may begin: a first
+#: character of more than 61 gives no byte of UTF-8.
+SIGN, OPENING = re.compile("[/_-]"), re.compile("[/_-](?=[^/_+-]|[/_](?:[/_]4|v8|Td6))")
+#: Text inside bytes: shorter than any secret with its name.
+STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Za-z])")
 
 
@@ -217,16 +222,33 @@ def _whole_until(data: bytearray, at: int) -> int:
     return next((i for i in range(at, max(at - 4, 0), -1) if data[i] & 0xC0 != 0x80), at)
 
 
+def _clean(data: bytes) -> str | None:
+    """Bytes that are text from end to end, in UTF-8 or marked UTF-16."""
+    try:
+        text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
+
+
 def _readable(data: bytes) -> str | None:
-    """Decoded bytes as text if they look like text."""
-    for code in ("utf-8", "utf-16") if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-8",):
-        try:
-            text = data.decode(code)
-        except UnicodeDecodeError:
-            continue
-        good = sum(c.isprintable() or c in "\t\r\n" for c in text)
-        return text if text and good >= 0.9 * len(text) else None
-    return None
+    """What of decoded bytes is text, in UTF-8 or UTF-16; bytes between its stretches become one U+FFFD.
+
+    UTF-16 without a mark is known by its zero bytes. Stretches hold as many characters as the shortest
+    secret has, so bytes that are no text give None.
+    """
+    text = _clean(data)
+    if text:
+        return text
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        wide = data.decode("utf-16", "replace")
+    elif 2 * data[1::2].count(0) > len(data[1::2]):
+        wide = data.decode("utf-16-le", "replace")
+    elif 2 * data[::2].count(0) > len(data[::2]):
+        wide = data.decode("utf-16-be", "replace")
+    else:
+        return "\ufffd".join(m[0].decode("utf-8", "replace") for m in STRETCH.finditer(data)) or None
+    return wide if wide and sum(c.isprintable() or c in "\t\r\n" for c in wide) >= 0.5 * len(wide) else None
 
 
 def _debased(run: str) -> bytes | None:
@@ -251,15 +273,25 @@ def _reach(text: str, begin: int, end: int, data: bytes) -> int:
 
 
 def _hopeful(run: str) -> bool:
-    """Whether a base64 run may hold text or compressed bytes, from as many characters as the shortest one has."""
-    head = _debased(re.sub(r"\s+", "", run[:256])[:16])
+    """Whether the first characters of a base64 run may begin text or compressed bytes."""
+    head = _debased(re.sub(r"\s+", "", run)[:16])
     if head is None or _kind(head) or head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return head is not None
     try:
-        codecs.getincrementaldecoder("utf-8")().decode(head)
+        text = codecs.getincrementaldecoder("utf-8")().decode(head)
     except UnicodeDecodeError:
         return False
-    return True
+    return 3 * sum(c.isprintable() or c in "\t\r\n" for c in text) >= len(text)
+
+
+def _shifted(text: str, begin: int, end: int) -> Iterator[tuple[int, str]]:
+    """Text in a base64 run that begins anywhere in it: each of the four ways to cut it into fours."""
+    for shift in range(4):
+        joined = re.sub(r"\s+", "", text[begin + shift : end]).rstrip("=").replace("-", "+").replace("_", "/")
+        joined = joined[: len(joined) - (len(joined) % 4 == 1)]
+        found = _readable(base64.b64decode(joined + "=" * (-len(joined) % 4)))
+        if found:
+            yield begin + shift, found
 
 
 def _blobs(layer: Layer) -> Iterator[Layer]:
@@ -267,16 +299,16 @@ def _blobs(layer: Layer) -> Iterator[Layer]:
     for m in BLOB.finditer(layer.text):
         # The short last line may be a word that follows; what stands before / - _ may be a path.
         last, at = [m.end()] + [m.start("tail")] * (m["tail"] is not None), m.start()
-        cuts = [i for i in range(m.start(), last[-1]) if layer.text[i] in "/-_"]
-        for begin in [m.start(), *(i + 1 for i in cuts)]:
-            if begin < at or not _hopeful(layer.text[begin : last[-1]]):
+        cuts = [c.start() for c in SIGN.finditer(layer.text, m.start(), last[-1])]
+        for begin in [m.start(), *(c.end() for c in OPENING.finditer(layer.text, m.start(), last[-1]))]:
+            if begin < at or not _hopeful(layer.text[begin : min(begin + 256, last[-1])]):
                 continue
             reach = 1 << 62
             for end in [*last, *(i for i in reversed(cuts) if i >= begin + 16)]:
                 if end > reach:
                     continue
                 data = _debased(layer.text[begin:end])
-                for text in filter(None, map(_readable, _opened(data) if data else ())):
+                for text in filter(None, map(_readable if data and _kind(data) else _clean, _opened(data) if data else ())):
                     yield Layer(text, [0], [begin], [end], [False], layer)
                     at = end
                 if at == end or data and _kind(data):
@@ -284,6 +316,9 @@ def _blobs(layer: Layer) -> Iterator[Layer]:
                     break
                 if data and end not in last[1:]:
                     reach = min(reach, _reach(layer.text, begin, end, data))
+        if at == m.start():
+            for begin, text in _shifted(layer.text, m.start(), m.end()):
+                yield Layer(text, [0], [begin], [m.end()], [False], layer)
     for m in HEX_BLOB.finditer(layer.text):
         for text in filter(None, map(_readable, _opened(bytes.fromhex(m[0])))):
             yield Layer(text, [0], [m.start()], [m.end()], [False], layer)

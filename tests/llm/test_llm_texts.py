@@ -391,3 +391,37 @@ def test_secret_tables(spark, sf):
     fresh = secrets.redact_documents(odd.withColumn("n_chars", F.length("text").cast("long")).withColumn("base", F.lit(1)))
     assert {(r["text"], r["n_chars"], r["base"]) for r in fresh.collect()} == {("[assign]", 8, 1), (None, None, 1), ("", 0, 1)}
     assert secrets.scan_documents(odd.limit(0)).count() == 0
+
+
+PLAIN = "password=abcd1234"
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        "é café ".encode("latin-1") + PLAIN.encode() + " déjà".encode("latin-1"),
+        f"x {PLAIN} end".encode("utf-16-le"),
+        f"x {PLAIN} end".encode("utf-16-be"),
+        b"\x00\x01\xfe\x02\x9f" + PLAIN.encode(),
+        bytes(range(128, 256)) + PLAIN.encode() + bytes(range(256)),
+    ],
+    ids=["latin-1", "utf-16-le", "utf-16-be", "five bytes", "binary"],
+)
+def test_bytes_that_are_not_all_text(data):
+    encoded = base64.b64encode(data).decode()
+    for text in (encoded, base64.b64encode(gzip.compress(data)).decode(), data.hex(), "q" + encoded, "qq" + encoded, "qqq" + encoded, f"a/b_c/{encoded}"):
+        base, every = secrets.find_secrets(f"see {text} .")
+        kinds = [k for k, a, b in every if (k, a, b) not in base]
+        assert kinds and set(kinds) == {"assign"}, text
+        assert all(4 <= a < b <= 4 + len(text) for _, a, b in every)
+
+
+@pytest.mark.parametrize("part", ["-", "/", "a/", "AAAA/", "abcd-efgh_", "x_"])
+def test_long_runs_take_time_in_proportion(part):
+    def took(n):
+        begun = time.process_time()
+        assert secrets.find_secrets(part * (n // len(part)))[1] == []
+        return time.process_time() - begun
+
+    took(10_000)
+    assert took(240_000) < 8 * took(60_000) + 1
