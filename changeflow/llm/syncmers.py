@@ -130,51 +130,68 @@ def likeness(left: Column, right: Column) -> Column:
     return _likeness(_tagged(left), _tagged(right))
 
 
+def _small(found: Column) -> Column:
+    """Anchors in four bytes each."""
+    return F.transform(found, lambda x: (x - F.lit(1 << 31)).cast("int"))
+
+
+def _wide(small: Column) -> Column:
+    return F.array_compact(F.transform(small, lambda x: x.cast("long") + F.lit(1 << 31)))
+
+
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text, next_text, times)``: the text of the next row by id, after the last that of the first.
+    """``(id, text, own, head, following, times)``: each text with its anchors, and with the first
+    characters (a quarter of its own number, or all) and the anchors of the text of the next row by id.
 
-    Null texts are empty; null ids come first; rows of one id go by a digest of their texts. Of equal rows each
-    is followed by the next of them and only the last by another text: ``times`` says how often a
-    row of the result stands. A single row follows itself. No rows give no rows.
+    After the last row comes the first. Null texts are empty; null ids come first; rows of one id go by a
+    digest of their texts. Of equal rows each is followed by the next of them and only the last by another text:
+    ``times`` says how often a row of the result stands. A single row follows itself. No rows give no
+    rows. A text is shuffled once; to the row before it travel its head and its anchors alone.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), key_text(id_col).alias("k"), text.alias("text")).withColumn(
         "h", F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     )
-    ids = rows.groupBy("id", "k", "h").agg(F.count(F.lit(1)).alias("copies"))
+    quarter = F.floor(F.char_length("text") / 4).cast("int")
+    ids = rows.groupBy("id", "k", "h").agg(F.count(F.lit(1)).alias("copies"), F.max(quarter).alias("tail"))
     ranked = saved(numbered(ids, ["id", "h"], "place"), "ranked")
     after = F.when(F.col("place") == 0, ranked.count()).otherwise(F.col("place")) - 1
-    # The row before hands out its name: to it the text goes.
+    # The row before hands out its name and what it needs: to it the next row sends that.
     links = saved(
         ranked.join(ranked.select(after.alias("place"), F.col("k").alias("next_k"), F.col("h").alias("next_h")), "place"), "links"
     )
     texts = rows.groupBy("k", "h").agg(F.first("text").alias("text"))
-    own = texts.join(links.select("id", "k", "h", "copies"), ["k", "h"])
+    own = texts.join(links.select("id", "k", "h", "copies", "tail"), ["k", "h"])
     following = (
-        texts.join(links.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h")), ["k", "h"])
-        .select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("text").alias("next_text"))
+        texts.join(links.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "tail"), ["k", "h"])
+        .select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.left("text", F.col("tail")).alias("head"), _small(anchors(F.col("text"))).alias("small"))
+    )
+    copy = F.expr("array(struct(false AS again, 1L AS times), struct(true AS again, copies - 1 AS times))")
+    both = own.join(following, ["k", "h"]).select("id", "text", "tail", "head", "small", F.inline(copy)).where("times > 0")
+    both = both.select("id", "text", "tail", "head", "small", "again", "times", anchors(F.col("text")).alias("own"))
+    return both.select(
+        "id",
+        "text",
+        "own",
+        F.when(F.col("again"), F.left("text", F.col("tail"))).otherwise(F.col("head")).alias("head"),
+        F.when(F.col("again"), F.col("own")).otherwise(_wide(F.col("small"))).alias("following"),
+        "times",
     )
-    case = lambda nxt, times: F.struct(F.col(nxt).alias("next_text"), times.cast("long").alias("times"))
-    cases = F.when(
-        F.col("copies") > 1, F.array(case("next_text", F.lit(1)), case("text", F.col("copies") - 1))
-    ).otherwise(F.array(case("next_text", F.lit(1))))
-    return own.join(following, ["k", "h"]).select("id", "text", F.inline(cases))
 
 
 def op11_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = successors(table(spark, sf_dir, "documents"))
     n = F.char_length("text")
-    tail = F.floor(n / 4).cast("int")
-    edited = F.concat(F.left("text", n - tail), F.left("next_text", tail))
-    pairs = pairs.select("id", "text", "next_text", "times", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    edited = F.concat(F.left("text", n - F.floor(n / 4).cast("int")), "head")
+    pairs = pairs.select("id", "times", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "following")
     found = pairs.select(
         "id",
         "times",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        anchors(F.col("text")).alias("own"),
+        "own",
         anchors(F.col("edited")).alias("other"),
-        anchors(F.col("next_text")).alias("following"),
+        "following",
     )
     tagged = found.select(
         "id", "times", "n_chars", "edited_sha256",
