@@ -18,8 +18,8 @@ from changeflow.llm.order import key_text, numbered
 #: Words of an inner substring, inner substrings of a window (a power of two), words of a window.
 S, W = 2, 4
 K = S + W - 1
-#: Words end at white space; in scripts that write none, every character is a word.
-BREAKS = r"\s+|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uFFEF])"
+#: Words end at white space; in scripts that write none, every character up to U+FFFF is a word.
+BREAKS = r"\s+|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uD7FF\uF900-\uFFEF])"
 #: Anchors are 32 bits; above them a tag holds a bit for the side and 30 for the rank.
 RANK = 1 << 30
 
