@@ -197,14 +197,18 @@ def op11_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "times", "n_chars", "edited_sha256",
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("other")).alias("edited_fingerprint"),
+        F.arrays_overlap("own", "following").alias("meet"),
         _tagged(F.col("own")).alias("own"),
         _tagged(F.col("other")).alias("other"),
-        _tagged(F.col("following")).alias("following"),
+        "following",
     )
+    # Most neighbours share no anchor at all; only the others are matched by position.
+    empty = (F.size("own") == 0) & (F.size("following") == 0)
+    near_next = F.when(F.col("meet"), _likeness(F.col("own"), _tagged(F.col("following")))).otherwise(F.when(empty, 1.0).otherwise(0.0))
     done = tagged.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         _likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        _likeness(F.col("own"), F.col("following")).alias("near_next"),
+        near_next.alias("near_next"),
         F.sequence(F.lit(1), F.col("times")).alias("copies"),
     )
     return done.withColumn("copies", F.explode("copies")).drop("copies")
