@@ -231,7 +231,7 @@ _CHK = (
 _BAD_KEY = "(k % 97 = 0)"
 
 ORACLES: dict[str, str] = {
-    "decode_changes": f"WITH {_EV_LOG} SELECT * FROM ev_log",
+    "decode_changes": f"WITH {_EV_LOG} SELECT *, CAST(0 AS BIGINT) AS _file, CAST(0 AS INTEGER) AS _row FROM ev_log",
     "changelog_rows": f"WITH {_ORD_LOG} SELECT {_COLS}, cdc_row_kind, cdc_operation, source_ts_ms FROM ord_log",
     "changelog_counts": f"""WITH {_ORD_LOG}, {_EV_LOG}
         SELECT feed, cdc_row_kind, cdc_operation, count(*) AS row_count,
