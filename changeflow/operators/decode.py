@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,15 +168,18 @@ _KINDS = """CASE op
     ELSE array(named_struct('kind', '+I', 'operation', 'snapshot', 'img', 1Y)) END"""
 
 
-def changelog_rows(good: DataFrame) -> DataFrame:
+def changelog_rows(good: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Good envelopes to the full changelog: an update gives two rows, before then after.
 
+    ``keep`` names columns that stand beside the envelopes and go along.
+
     The fan-out explodes constant lists of row kinds; images are picked and coerced behind it,
     so that code exists once however many rows an operation gives.
     """
-    rows = good.selectExpr("before", "after", "ts_ms", "source", f"explode({_KINDS}) AS k")
-    picked = rows.selectExpr("IF(k.img = 0, before, after) AS image", "ts_ms", "source", "k")
+    rows = good.selectExpr(*keep, "before", "after", "ts_ms", "source", f"explode({_KINDS}) AS k")
+    picked = rows.selectExpr(*keep, "IF(k.img = 0, before, after) AS image", "ts_ms", "source", "k")
     return picked.select(
+        *keep,
         *_image_row(good),
         F.expr("k.kind AS cdc_row_kind"),
         F.expr("k.operation AS cdc_operation"),
@@ -184,9 +189,9 @@ def changelog_rows(good: DataFrame) -> DataFrame:
     )
 
 
-def decode(envelopes: DataFrame, mode: str = "quarantine") -> DataFrame:
+def decode(envelopes: DataFrame, mode: str = "quarantine", keep: Sequence[str] = ()) -> DataFrame:
     """Envelopes to the changelog."""
-    return changelog_rows(good_envelopes(envelopes, mode))
+    return changelog_rows(good_envelopes(envelopes, mode), keep)
 
 
 def decode_upserts(

@@ -290,51 +290,20 @@ def repeated_keys(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def scenario_results(
-    scenarios: DataFrame,
-    source: DataFrame,
-    target: DataFrame,
-    expected: DataFrame,
-    changelog: DataFrame,
-    expected_changelog: DataFrame,
-) -> DataFrame:
-    """The id audit of many scenarios at once: one row per scenario.
+def scenario_audit(sides: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The id audit of many scenarios at once, from rows that say how often each side holds an id.
 
-    ``scenarios`` has ``scenario_id`` and ``expected_changelog_rows`` plus any labels; the other
-    inputs carry ``scenario_id`` and ``event_id``.
+    ``sides``: the columns ``by`` that name a scenario, ``event_id``, and the counts ``source, target,
+    expected, log, expected_log``; rows of one id add up. One row per scenario, labels among ``by`` kept.
     """
     names = ("source", "target", "expected", "log", "expected_log")
-    tagged = None
-    for df, name in zip((source, target, expected, changelog, expected_changelog), names):
-        side = df.select(
-            "scenario_id",
-            "event_id",
-            *[F.lit(1 if n == name else 0).cast("bigint").alias(n) for n in names],
-        )
-        tagged = side if tagged is None else tagged.unionByName(side)
-    ids = tagged.groupBy("scenario_id", "event_id").agg(*[F.sum(n).alias(n) for n in names])
+    ids = sides.groupBy(*by, "event_id").agg(*[F.sum(n).alias(n) for n in names])
     has = lambda c: F.col(c) > 0
-    per = ids.groupBy("scenario_id").agg(
+    same = (has("source") == has("target")) & (has("target") == has("expected")) & (has("log") == has("expected_log"))
+    return ids.groupBy(*by).agg(
         F.count_if(has("source") != has("target")).alias("id_diff_count"),
-        F.every((has("source") == has("target")) & (has("target") == has("expected"))).alias(
-            "current_sets_match"
-        ),
-        F.every(has("log") == has("expected_log")).alias("changelog_set_match"),
         F.sum("log").alias("changelog_rows"),
-    )
-    nothing = F.lit(0).cast("bigint")
-    full = scenarios.join(per, "scenario_id", "left")
-    rows = F.coalesce("changelog_rows", nothing)
-    consistent = (
-        F.coalesce("current_sets_match", F.lit(False))
-        & F.coalesce("changelog_set_match", F.lit(False))
-        & (rows == F.col("expected_changelog_rows"))
-    )
-    return full.select(
-        *scenarios.columns,
-        F.coalesce("id_diff_count", nothing).alias("id_diff_count"),
-        rows.alias("changelog_rows"),
-        consistent.alias("consistent"),
+        (F.every(same) & (F.sum("log") == F.sum("expected_log"))).alias("consistent"),
     )
 
 
@@ -351,31 +320,17 @@ def scenario_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def smoke_checks(target: DataFrame, changelog: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Per scenario: deleted key absent, updated key current, changelog long enough.
+def smoke_checks(rows: DataFrame, by: Sequence[str], deleted: Column, updated: Column, least: Column) -> DataFrame:
+    """Per scenario: deleted key absent, updated key current, changelog of ``least`` rows or more.
 
-    ``scenarios``: ``scenario_id, deleted_id, updated_id, updated_event_id, min_changelog_rows``.
+    ``rows`` hold the columns ``by`` and the counts ``target`` and ``log``; ``deleted`` and ``updated`` say which of
+    them are the deleted key and the current image of the updated one. One grouping for all three.
     """
-    keyed = target.select(
-        "scenario_id", "order_id", "event_id", F.lit(0).cast("bigint").alias("log"), F.lit(1).cast("bigint").alias("row")
-    ).unionByName(
-        changelog.select(
-            "scenario_id", "order_id", "event_id", F.lit(1).cast("bigint").alias("log"), F.lit(0).cast("bigint").alias("row")
-        )
-    )
-    # A scenario has a handful of keys; equal (scenario, key, id, side) rows fold before the shuffle.
-    folded = keyed.groupBy("scenario_id", "order_id", "event_id").agg(
-        F.sum("log").alias("log"), F.sum("row").alias("row")
-    )
-    joined = scenarios.join(folded, "scenario_id", "left")
-    held = F.coalesce(F.col("row") > 0, F.lit(False))
-    deleted = held & (F.col("order_id") == F.col("deleted_id"))
-    updated = held & (F.col("order_id") == F.col("updated_id"))
-    updated &= F.col("event_id") == F.col("updated_event_id")
-    return joined.groupBy(*scenarios.columns).agg(
-        (~F.some(F.coalesce(deleted, F.lit(False)))).alias("deleted_key_absent"),
-        F.some(F.coalesce(updated, F.lit(False))).alias("updated_key_current"),
-        (F.coalesce(F.sum("log"), F.lit(0)) >= F.col("min_changelog_rows")).alias("changelog_long_enough"),
+    held = F.col("target") > 0
+    return rows.groupBy(*by).agg(
+        (~F.some(held & deleted)).alias("deleted_key_absent"),
+        F.some(held & updated).alias("updated_key_current"),
+        (F.sum("log") >= least).alias("changelog_long_enough"),
     )
 
 

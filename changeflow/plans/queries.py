@@ -702,44 +702,50 @@ def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _scenario_of(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("scenario_id", S.floor_div(F.col("order_id"), feeds.SCENARIO_STRIDE))
-
-
 @query
 def scenario_final(spark: SparkSession, sf: str) -> DataFrame:
     """Final rows of every scripted run."""
     return state.current_state(D.decode_upserts(feeds.scenario_feed(_scenarios(spark, sf))))
 
 
-def _scenario_sides(spark: SparkSession, sf: str):
-    """Scripted runs with damage by priority: a lost row, a doubled change, a kept key."""
-    runs = _scenarios(spark, sf)
-    feed = feeds.scenario_feed(runs)
-    label = runs.select("scenario_id", "priority")
-    target = _scenario_of(state.current_state(D.decode_upserts(feed))).join(label, "scenario_id")
-    n = F.col("order_id") % feeds.SCENARIO_STRIDE
-    target = target.filter(~((F.col("priority") == "1-URGENT") & (n == 2)))
-    log = _scenario_of(D.decode(feed)).join(label, "scenario_id")
-    twice = F.when((F.col("priority") == "2-HIGH") & (F.col("cdc_row_kind") == "-D"), 2).otherwise(1)
-    log = log.withColumn("_c", F.explode(F.sequence(F.lit(1), twice))).drop("_c")
-    kept = log.filter("priority = '5-LOW' and cdc_row_kind = '-D'").select(*target.columns)
-    return runs, target.unionByName(kept), log
-
-
-def _scenario_ids(runs: DataFrame, ids: dict[str, list[int]]) -> DataFrame:
-    """Literal id lists per script, placed at each run."""
-    lists = None
-    for kind, values in ids.items():
-        here = F.array(*[F.lit(v) for v in values])
-        cond = F.col("kind") == kind
-        lists = F.when(cond, here) if lists is None else lists.when(cond, here)
-    event_id = F.col("scenario_id") * feeds.SCENARIO_STRIDE + F.col("n")
-    return runs.select("scenario_id", F.explode(lists).alias("n")).select(
-        "scenario_id", event_id.alias("event_id")
+RUN = ["scenario_id", "kind", "priority"]
+
+
+def _scenario_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Final rows and change rows of all scripted runs, with damage by priority: a lost row, a doubled
+    change, a kept key. Labels travel with the envelopes, so nothing is joined back.
+    """
+    feed = feeds.scenario_feed(_scenarios(spark, sf), RUN)
+    log, priority = D.decode(feed, keep=RUN), F.col("priority")
+    gone = F.col("cdc_row_kind") == "-D"
+    target = state.latest_by_key(log, keep_deletes=True).filter(~gone)
+    lost = (priority == "1-URGENT") & (F.col("order_id") % feeds.SCENARIO_STRIDE == 2)
+    one = F.lit(1).cast("bigint")
+    return (
+        target.filter(~lost).select(*RUN, "order_id", "event_id", one.alias("target"), (one - 1).alias("log")),
+        log.select(
+            *RUN, "order_id", "event_id",
+            F.when(gone & (priority == "5-LOW"), 1).otherwise(0).cast("bigint").alias("target"),
+            F.when(gone & (priority == "2-HIGH"), 2).otherwise(1).cast("bigint").alias("log"),
+        ),
     )
 
 
+def _scenario_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that each run should end with and log, from literal lists, one scan for both."""
+
+    def listed(ids: dict[str, list[int]], final: int, logged: int) -> Column:
+        entry = lambda n: F.struct(
+            (F.col("scenario_id") * feeds.SCENARIO_STRIDE + n).alias("event_id"),
+            F.lit(final).cast("bigint").alias("expected"), F.lit(logged).cast("bigint").alias("expected_log"),
+        )
+        lists = [(F.col("kind") == kind, F.array(*[entry(n) for n in values])) for kind, values in ids.items()]
+        return F.coalesce(*[F.when(cond, here) for cond, here in lists])
+
+    both = F.concat(listed(FINAL_IDS, 1, 0), listed(LOG_IDS, 0, 1))
+    return _scenarios(spark, sf).select(*RUN, F.inline(both))
+
+
 FINAL_IDS = {"smoke": [1002], "crash": [3, 4, 1002], "restore": [3, 4, 1002]}
 LOG_IDS = {
     "smoke": [1, 2, 1, 1001, 2, 1002, 1001],
@@ -751,17 +757,15 @@ LOG_IDS = {
 @query
 def scenario_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Audits of all scripted runs rolled up by script and priority."""
-    runs, target, log = _scenario_sides(spark, sf)
-    final, expected_log = _scenario_ids(runs, FINAL_IDS), _scenario_ids(runs, LOG_IDS)
-    rows = F.when(F.col("kind") == "smoke", 7).otherwise(9)
-    results = reconcile.scenario_results(
-        runs.withColumn("expected_changelog_rows", rows.cast("bigint")),
-        final,
-        target,
-        final,
-        log,
-        expected_log,
+    zero = F.lit(0).cast("bigint")
+    target, log = _scenario_rows(spark, sf)
+    found = target.unionByName(log).select(
+        *RUN, "event_id", zero.alias("source"), "target", zero.alias("expected"), "log", zero.alias("expected_log")
+    )
+    wanted = _scenario_ids(spark, sf).select(
+        *RUN, "event_id", F.col("expected").alias("source"), zero.alias("target"), "expected", zero.alias("log"), "expected_log"
     )
+    results = reconcile.scenario_audit(found.unionByName(wanted), RUN)
     timed_out = (F.col("kind") == "crash") & (F.col("priority") == "3-MEDIUM")
     results = results.withColumnRenamed("id_diff_count", "snapshot_diff_count").withColumn(
         "error", F.when(timed_out, "timed out")
@@ -772,23 +776,14 @@ def scenario_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def smoke_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Deleted key absent, updated key current, changelog long enough: runs that pass, by priority."""
-    runs, target, log = _scenario_sides(spark, sf)
-    base = F.col("scenario_id") * feeds.SCENARIO_STRIDE
-    wanted = runs.select(
-        "scenario_id",
-        "kind",
-        "priority",
-        (base + 1).alias("deleted_id"),
-        (base + 2).alias("updated_id"),
-        (base + 1002).alias("updated_event_id"),
-        F.when(F.col("kind") == "smoke", 7).otherwise(9).cast("bigint").alias("min_changelog_rows"),
-    )
-    checks = reconcile.smoke_checks(target, log, wanted)
-    return checks.groupBy("kind", "priority").agg(
+    target, log = _scenario_rows(spark, sf)
+    n = F.col("order_id") - F.col("scenario_id") * feeds.SCENARIO_STRIDE
+    event = F.col("event_id") - F.col("scenario_id") * feeds.SCENARIO_STRIDE
+    least = F.when(F.col("kind") == "smoke", 7).otherwise(9)
+    runs = reconcile.smoke_checks(target.unionByName(log), RUN, n == 1, (n == 2) & (event == 1002), least)
+    return runs.groupBy("kind", "priority").agg(
         F.count(F.lit(1)).alias("runs"),
-        F.count_if("deleted_key_absent").alias("deleted_key_absent"),
-        F.count_if("updated_key_current").alias("updated_key_current"),
-        F.count_if("changelog_long_enough").alias("changelog_long_enough"),
+        *[F.count_if(c).alias(c) for c in ("deleted_key_absent", "updated_key_current", "changelog_long_enough")],
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def _position(seq: Column, file: Column | None = None) -> Column:
 
 
 def envelopes(
-    rows: DataFrame, op: Column, ts_ms: Column, before: Column, after: Column, seq: Column, file: Column | None = None
+    rows: DataFrame, op: Column, ts_ms: Column, before: Column, after: Column, seq: Column, file: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Envelope rows whose images are built once.
 
@@ -45,7 +48,7 @@ def envelopes(
         after.alias("after"),
         _position(seq, file).alias("source"),
     )
-    return rows.select(F.inline(F.array(envelope)))
+    return rows.select(*carry, F.inline(F.array(envelope)))
 
 
 def orders_feed(orders: DataFrame) -> DataFrame:
@@ -216,9 +219,11 @@ SCENARIO_STRIDE = 10_000
 EXPECTED_CHANGELOG_ROWS = {"smoke": 7, "crash": 9, "restore": 9}
 
 
-def scenario_feed(instances: DataFrame) -> DataFrame:
+def scenario_feed(instances: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Envelopes of insert, update and delete statements; one run per (scenario_id, kind) row.
 
+    ``carry`` names columns of a run that its envelopes take along.
+
     The step lists are literals, so the feed is a narrow projection however many runs there are.
     """
 
@@ -233,7 +238,8 @@ def scenario_feed(instances: DataFrame) -> DataFrame:
     plan = F.when(F.col("kind") == "smoke", steps("smoke"))
     plan = plan.when(F.col("kind") == "crash", steps("crash"))
     plan = plan.when(F.col("kind") == "restore", steps("restore"))
-    rows = instances.select("scenario_id", F.explode(plan).alias("s")).select("scenario_id", "s.*")
+    others = [c for c in carry if c != "scenario_id"]
+    rows = instances.select("scenario_id", *others, F.explode(plan).alias("s")).select("scenario_id", *others, "s.*")
     rows = rows.withColumn("order_id", F.col("scenario_id") * SCENARIO_STRIDE + F.col("n"))
     rows = rows.withColumn("business_key", S.padded_key("scenario-", F.col("order_id")))
     order_id = F.col("order_id")
@@ -259,4 +265,5 @@ def scenario_feed(instances: DataFrame) -> DataFrame:
         before=F.when(op != "c", image(op == "d")),
         after=F.when(op != "d", image(op == "u")),
         seq=F.col("scenario_id") * 16 + F.col("step"),
+        carry=carry,
     )
