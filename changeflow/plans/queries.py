@@ -394,10 +394,11 @@ def stream_recovered_state(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def restored_state(spark: SparkSession, sf: str) -> DataFrame:
     """The keyed table after a running stream was stopped mid-backlog, for each way of restoring it."""
-    out = None
+    out, landing = None, run_dir(spark, "restored-landing")
+    a_batch = ingest.land(orders_feed(spark, sf), landing, batches=4)
     for way in verify.RESTORE.values():
         base = run_dir(spark, f"restored-{way}")
-        restored = verify.interrupted_ingest(spark, orders_feed(spark, sf), base, way, files=4)
+        restored = verify.interrupted_landing(spark, landing, a_batch, base, way)
         rows = ChangeTable(spark, restored.base).current().withColumn("way", F.lit(way))
         out = rows if out is None else out.unionByName(rows)
     return out

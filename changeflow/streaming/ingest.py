@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from changeflow.operators import state
+from changeflow.operators.maintain import data_files
 from changeflow.schemas import ENVELOPE, POSITION_COLUMNS, PROGRESS
 from changeflow.streaming.table import ChangeTable
 
@@ -23,6 +26,27 @@ BATCH_TIMEOUT_SECONDS = 600
 QUERY_NAME = "orders-changes"
 #: Streaming state on disk, one file set per partition.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Envelopes that a landing file holds at most: a compressed file is read by one task.
+LANDING_ROWS = 100_000
+
+
+def land(envelopes: DataFrame, path: str, batches: int = 1) -> int:
+    """Write envelopes as compressed JSON files for ``batches`` batches; returns how many files each has to take.
+
+    Rows stay with the task that made them: no envelope is shuffled, and the changes of a key that were made
+    together stay together. Only where that gives fewer files than batches, so at most ``batches * LANDING_ROWS``
+    rows, they are dealt out and written again.
+    """
+
+    def write(rows: DataFrame) -> int:
+        out = rows.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", LANDING_ROWS)
+        out.json(path)
+        return data_files(rows.sparkSession, path, "*.json.gz").count()
+
+    found = write(envelopes)
+    if found < batches:
+        found = write(envelopes.repartition(batches, "source.pos"))
+    return max(1, math.ceil(found / batches))
 
 
 def json_envelopes(spark: SparkSession, path: str, schema: str = ENVELOPE) -> DataFrame:
@@ -243,6 +267,18 @@ def dedup_stream(changes: DataFrame) -> DataFrame:
     return changes.dropDuplicates(["order_id", *[c for c in POSITION_COLUMNS if c in changes.columns], "_img"])
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB; a query keeps the settings it was started with."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
 def start_newest(
     changes: DataFrame, path: str, checkpoint: str, name: str = "changeflow-newest", key: str = "order_id"
 ) -> StreamingQuery:
@@ -257,10 +293,7 @@ def start_newest(
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    spark, provider = changes.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
-    try:
+    with state_on_disk(changes.sparkSession):
         return (
             state.latest_by_key(changes, key, keep_deletes=True)
             .writeStream.queryName(name)
@@ -270,9 +303,6 @@ def start_newest(
             .foreachBatch(store)
             .start()
         )
-    finally:
-        # A query keeps the settings it was started with.
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
 
 
 def newest_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -40,23 +40,37 @@ def _copy_folder(spark: SparkSession, source: str, target: str) -> None:
     )
 
 
+def _known(way: str) -> None:
+    if way not in RESTORE.values():
+        raise ValueError(f"unknown way to restore: {way}")
+
+
 def interrupted_ingest(
     spark: SparkSession, feed: DataFrame, base: str, way: str, files: int = 6, writer_id: str = "verify"
 ) -> ChangeTable:
-    """Ingest ``feed``, stop the running query in the middle of its backlog, restore and finish.
+    """Land ``feed`` as a backlog of ``files`` batches, ingest it and stop, restore and finish: see
+    :func:`interrupted_landing`.
+    """
+    _known(way)
+    landing = f"{base}/landing"
+    return interrupted_landing(spark, landing, ingest.land(feed, landing, files), base, way, writer_id)
+
+
+def interrupted_landing(
+    spark: SparkSession, landing: str, max_files: int, base: str, way: str, writer_id: str = "verify"
+) -> ChangeTable:
+    """Ingest the files of ``landing``, stop the running query in the middle of its backlog, restore and finish.
 
     ``way``: start again from the same ``checkpoint``, from a ``copy`` of it, or in a new
-    ``session`` that opens the table itself. The backlog is one file a batch; the query is stopped
+    ``session`` that opens the table itself. The backlog is ``max_files`` a batch; the query is stopped
     once its first batch is committed, whatever it is doing then. Returns the restored table.
     """
-    if way not in RESTORE.values():
-        raise ValueError(f"unknown way to restore: {way}")
+    _known(way)
     table = ChangeTable(spark, base).create()
-    landing, checkpoint = f"{base}/landing", f"{base}/checkpoint"
-    feed.repartition(files, "source.pos").write.json(landing)
+    checkpoint = f"{base}/checkpoint"
 
     def start(owner: ChangeTable, at: str, **trigger):
-        stream = ingest.json_envelope_stream(owner.spark, landing, max_files=1)
+        stream = ingest.json_envelope_stream(owner.spark, landing, max_files=max_files)
         return ingest.start_ingest(stream, owner, at, writer_id, name=f"interrupted-{way}", **trigger)
 
     running = start(table, checkpoint, every_seconds=0)
