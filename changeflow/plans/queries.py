@@ -368,10 +368,10 @@ def _stream(spark: SparkSession, sf: str, name: str, hooks: Hooks | None = None)
     """Write the orders feed as JSON files and stream them into a table, several per batch."""
     table = _table(spark, name, hooks)
     landing, checkpoint = f"{table.base}/landing", f"{table.base}/checkpoint"
-    orders_feed(spark, sf).repartition(8, "source.pos").write.json(landing)
+    a_batch = ingest.land(orders_feed(spark, sf), landing, batches=3)
 
     def start():
-        stream = ingest.json_envelope_stream(spark, landing, max_files=3)
+        stream = ingest.json_envelope_stream(spark, landing, max_files=a_batch)
         return ingest.start_ingest(stream, table, checkpoint, "stream", name=name)
 
     ingest.run_with_restarts(start, delay=0.1)
