@@ -408,13 +408,13 @@ def restored_state(spark: SparkSession, sf: str) -> DataFrame:
 def union_dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Two streams that deliver the same changes, one of them without deletes: every change once."""
     base = run_dir(spark, "union-dedup")
-    feed = orders_feed(spark, sf)
-    feed.filter("op <> 'd'").write.json(f"{base}/some")
-    feed.write.json(f"{base}/all")
-    some, every = (ingest.json_envelope_stream(spark, f"{base}/{name}") for name in ("some", "all"))
-    changes = ingest.dedup_stream(D.decode(ingest.union_streams(some, every)))
+    ingest.land(orders_feed(spark, sf), f"{base}/landing")
+    some, every = (ingest.json_envelope_stream(spark, f"{base}/landing") for _ in range(2))
+    changes = ingest.dedup_stream(D.decode(ingest.union_streams(some.filter("op <> 'd'"), every)))
     out = changes.writeStream.format("parquet").option("path", f"{base}/out")
-    ingest.drain(out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    with ingest.state_on_disk(spark):
+        running = out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    ingest.drain(running)
     return D.audit_rows(spark.read.parquet(f"{base}/out"))
 
 
