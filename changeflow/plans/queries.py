@@ -422,11 +422,9 @@ def union_dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
 def newest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Two streams that deliver the same changes in several batches; the state holds one row a key."""
     base = run_dir(spark, "newest")
-    feed = orders_feed(spark, sf)
-    feed.filter("op <> 'd'").write.json(f"{base}/some")
-    feed.write.json(f"{base}/all")
-    some, every = (ingest.json_envelope_stream(spark, f"{base}/{name}", max_files=2) for name in ("some", "all"))
-    changes = D.decode(ingest.union_streams(some, every))
+    a_batch = ingest.land(orders_feed(spark, sf), f"{base}/landing", batches=4)
+    some, every = (ingest.json_envelope_stream(spark, f"{base}/landing", max_files=a_batch) for _ in range(2))
+    changes = D.decode(ingest.union_streams(some.filter("op <> 'd'"), every))
     ingest.drain(ingest.start_newest(changes, f"{base}/out", f"{base}/checkpoint"))
     return state.live_rows(ingest.newest_rows(spark, f"{base}/out"))
 

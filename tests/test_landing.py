@@ -24,6 +24,7 @@ def test_files_are_bounded_and_rows_stay_where_they_are(spark, tmp_path, sf, mon
     "restored_state",
     "stream_recovered_state",
     "union_dedup_stream",
+    "newest_stream",
 ])
 def test_a_feed_is_landed_once_and_compressed(spark, sf, monkeypatch, name):
     made, real = [], queries.run_dir
