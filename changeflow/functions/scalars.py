@@ -1,11 +1,14 @@
-"""Column functions. All are built-in expressions, so they stay inside generated code."""
+"""Column functions. All but :func:`json_numbers` are built-in expressions, so they stay inside generated code."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeflow.functions import jsontokens
+
 # These decide results and must not drift.
 MICROS_THRESHOLD = 100_000_000_000_000  # epoch numbers below this magnitude are milliseconds
 TS_MS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
@@ -203,67 +206,23 @@ def json_depth(text: Column) -> Column:
     return F.coalesce(F.aggregate(steps, start, step, lambda state: state["most"]), F.lit(0))
 
 
-#: Tokens of JSON text, and how many of them are folded before their leaves are handed on.
+#: Tokens of JSON text.
 JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s\[\]{},:"]++'
-JSON_CHUNK = 64
-_FRAME = "struct<kind:string,path:string,name:string,at:int>"
 _LEAF = "struct<path:string,last:string,number:double>"
 
 
 def json_numbers(text: Column) -> Column:
     """Every number of JSON text, numbers in strings included, as ``(path, last, number)`` in order.
 
-    A stack automaton reads the tokens once: a bracket pushes or pops a frame that knows its own
-    path, a key or a comma names the frame's next value, any other token is a leaf. It works on one
-    row alone, to any depth. Text that is no JSON, or null, has no numbers.
+    Spark decides what is JSON; its tokens are read once, on one row alone, to any depth (:mod:`jsontokens`, a
+    batch of rows at a time). Text that is no JSON, or null, has no numbers.
     """
-    tokens = F.when(F.try_parse_json(text).isNotNull(), F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0)))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.greatest(F.size(tokens), F.lit(1)) - 1) / JSON_CHUNK).cast("int")),
-        lambda i: F.slice(tokens, i * JSON_CHUNK + 1, F.lit(JSON_CHUNK)),
-    )
-    none = F.array().cast(f"array<{_FRAME}>")
-
-    def state(stack: Column, leaves: Column) -> Column:
-        return F.struct(stack.alias("stack"), leaves.alias("leaves"))
-
-    def frame(kind: Column, path: Column, name: Column, at: Column) -> Column:
-        return F.struct(kind.alias("kind"), path.alias("path"), name.alias("name"), at.alias("at"))
-
-    def step(now: Column, token: Column) -> Column:
-        stack = now["stack"]
-        top, below = F.try_element_at(stack, F.lit(-1)), F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
-        listed = top["kind"] == "["
-        last = F.when(listed, top["at"].cast("string")).otherwise(F.coalesce(top["name"], F.lit("")))
-        path = F.when(top.isNull(), "").otherwise(F.concat_ws(".", F.nullif(top["path"], F.lit("")), last))
-        plain = F.try_variant_get(F.try_parse_json(token), "$", "string")
-        number = F.when(~token.isin("true", "false", "null"), to_float(plain))
-        named = lambda name: F.concat(below, F.array(frame(top["kind"], top["path"], name, top["at"])))
-        moved = F.concat(below, F.array(frame(top["kind"], top["path"], F.lit(None).cast("string"), top["at"] + 1)))
-        opened = F.concat(stack, F.array(frame(token, path, F.lit(None).cast("string"), F.lit(0))))
-        is_key = (top["kind"] == "{") & top["name"].isNull() & F.startswith(token, F.lit('"'))
-        leaf = F.array(F.struct(path.alias("path"), last.alias("last"), number.alias("number")).cast(_LEAF))
-        return (
-            F.when(token == ":", now)
-            .when(token == ",", state(moved, now["leaves"]))
-            .when(token.isin("{", "["), state(opened, now["leaves"]))
-            .when(token.isin("}", "]"), state(below, now["leaves"]))
-            .when(F.coalesce(is_key, F.lit(False)), state(named(plain), now["leaves"]))
-            .when(number.isNotNull(), state(stack, F.concat(now["leaves"], leaf)))
-            .otherwise(now)
-        )
-
-    def fold(now: Column, chunk: Column) -> Column:
-        # The leaves of a chunk are put together first: appending each to all before it is quadratic.
-        done = F.aggregate(chunk, state(now["stack"], F.array().cast(f"array<{_LEAF}>")), step)
-        both = F.transform(F.array(done), lambda d: state(d["stack"], F.concat(now["leaves"], F.array(d["leaves"]))))
-        return F.element_at(both, 1)
-
-    start = state(none, F.array().cast(f"array<array<{_LEAF}>>"))
-    return F.coalesce(
-        F.aggregate(F.coalesce(chunks, F.array().cast("array<array<string>>")), start, fold, lambda end: F.flatten(end["leaves"])),
-        F.array().cast(f"array<{_LEAF}>"),
-    )
+
+    @F.arrow_udf(f"array<{_LEAF}>")
+    def numbers(texts: pa.Array) -> pa.Array:
+        return jsontokens.number_lists(texts)
+
+    return numbers(F.when(F.try_parse_json(text).isNotNull(), text))
 
 
 def _plain_number(token: Column) -> Column:
