@@ -34,7 +34,7 @@ def _starts(sizes: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def dense_positions(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> DataFrame:
+def dense_positions(df: DataFrame, order: str, name: str, width: int = 1 << 16) -> DataFrame:
     """Add ``name``: 0, 1, 2 … by the whole number ``order`` (ties in any order).
 
     Rows are numbered inside ranges of ``order``. Range sizes add up level by level, so sparse

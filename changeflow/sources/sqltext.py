@@ -81,10 +81,13 @@ def envelopes_of(spark: SparkSession, text: str, first_seq: int = 0, ts_ms: int
 def run_script(spark: SparkSession, texts: list[str], view: str, ts_ms: int = 0) -> DataFrame:
     """The envelopes of several statements on the view ``view``, each of which sees what those before it changed.
 
-    Statement ``n`` has log file ``statement.n`` (from 1), so positions order the changes of the whole script. Each
-    statement's envelopes and the table after it are written once; at the end the view shows the last of them.
+    Statement ``n`` has log file ``statement.n`` (from 1), so positions order the changes of the whole script. The
+    table before the script, each statement's envelopes and the table after it are written once; at the end the view
+    shows the last of them.
     """
     log = run_dir(spark, "script")
+    spark.table(view).select(*CURRENT_COLUMNS).write.parquet(f"{log}/tables/0")
+    spark.read.parquet(f"{log}/tables/0").createOrReplaceTempView(view)
     for n, text in enumerate(texts, 1):
         at = f"{log}/envelopes/statement={n}"
         envelopes_of(spark, text, ts_ms=ts_ms, file=f"statement.{n}").write.parquet(at)
