@@ -535,7 +535,10 @@ def written_records(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def statement_changes(spark: SparkSession, sf: str) -> DataFrame:
     """What an update of every third order and a delete of every other third write to the log."""
-    now, third = orders_current(spark, sf), F.col("order_id") % 3
+    path, third = run_dir(spark, "statement-changes"), F.col("order_id") % 3
+    # Both statements read the table twice, to number its rows and to write them: it is made once.
+    orders_current(spark, sf).write.parquet(path)
+    now = spark.read.parquet(path)
     new = {"status": F.lit("checked"), "amount_cents": F.col("amount_cents") + 1}
     changed = statements.update(now, third == 0, new, first_seq=1)
     gone = statements.delete(now, third == 1, first_seq=1 << 40)

@@ -21,3 +21,8 @@ def test_a_million_dense_keys_are_numbered_in_several_tasks(spark):
     numbered = dense_positions(spark.range(200_000), "id", "place")
     assert numbered.filter("place <> id").isEmpty() and numbered.count() == 200_000
     assert (dense_positions.__defaults__[0] << 2) <= 1_000_000
+
+
+def test_both_statements_read_a_stored_table(spark, sf):
+    changes = queries.statement_changes(spark, sf)
+    assert changes.inputFiles() and not any("orders.parquet" in f for f in changes.inputFiles())
