@@ -2,8 +2,9 @@
 
 A *trie* is a list of levels; a level is three arrays ``(parent, label, weight)`` with one entry for
 each path of that length, in the order of the paths: the entry's parent on the level before, its
-last label, its weight (0 where the path only leads on). A :class:`Transducer` is the same language
-with equal states merged, a label table, and a byte form.
+last label, its weight (0 where the path only leads on). Parents and labels are 32-bit numbers, a
+task's paths of one length are fewer. A :class:`Transducer` is the same language with equal states
+merged, a label table, and a byte form.
 """
 
 from __future__ import annotations
@@ -20,6 +21,19 @@ Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 Trie = list[Level]
 
 
+def _keys(parent: np.ndarray, label: np.ndarray, labels: int) -> np.ndarray:
+    """Parent and label as one number, in the order of the paths."""
+    keys = parent.astype(np.int64)
+    keys *= labels
+    keys += label
+    return keys
+
+
+def _level(keys: np.ndarray, weights: np.ndarray, labels: int) -> Level:
+    """The level with these keys."""
+    return (keys // labels).astype(np.int32), (keys % labels).astype(np.int32), weights
+
+
 def _grouped(keys: np.ndarray, weights: np.ndarray, op: np.ufunc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, their weights put together by ``op``, and each entry's place among them."""
     order = np.argsort(keys, kind="stable")
@@ -27,8 +41,8 @@ def _grouped(keys: np.ndarray, weights: np.ndarray, op: np.ufunc) -> tuple[np.nd
     opens = np.ones(len(held), bool)
     opens[1:] = held[1:] != held[:-1]
     firsts = np.flatnonzero(opens)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(opens) - 1
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(opens, dtype=np.int32) - 1
     summed = op.reduceat(weights[order], firsts) if len(firsts) else weights[:0]
     return held[firsts], summed, place
 
@@ -41,30 +55,30 @@ def from_paths(
     A path's weight counts at its end, or with ``every`` at each of its prefixes, too. Paths are
     sorted level by level, so each one shares with its forerunner all they have in common.
     """
-    alive, node, trie = np.arange(len(depth)), np.zeros(len(depth), np.int64), []
+    alive, node, trie = np.arange(len(depth), dtype=np.int32), np.zeros(len(depth), np.int32), []
     for k, column in enumerate(columns):
         on = depth[alive] > k
         alive, node = alive[on], node[on]
         if not len(alive):
             break
         counts = weight[alive] if every else np.where(depth[alive] == k + 1, weight[alive], 0)
-        keys, summed, node = _grouped(node * labels + column[alive], counts, op)
-        trie.append((keys // labels, keys % labels, summed))
+        keys, summed, node = _grouped(_keys(node, column[alive], labels), counts, op)
+        trie.append(_level(keys, summed, labels))
     return trie
 
 
 def merged(tries: list[Trie], labels: int, op: np.ufunc = np.add) -> Trie:
     """The union of tries over one label table; weights of equal paths are put together by ``op``."""
-    maps, out = [np.zeros(1, np.int64) for _ in tries], []
+    maps, out = [np.zeros(1, np.int32) for _ in tries], []
     for k in range(max(map(len, tries), default=0)):
         held = [(i, t[k]) for i, t in enumerate(tries) if len(t) > k]
-        keys = np.concatenate([maps[i][p] * labels + x for i, (p, x, _) in held])
+        keys = np.concatenate([_keys(maps[i][p], x, labels) for i, (p, x, _) in held])
         keys, summed, place = _grouped(keys, np.concatenate([w for _, (_, _, w) in held]), op)
         at = 0
         for i, (p, _, _) in held:
             maps[i] = place[at : at + len(p)]
             at += len(p)
-        out.append((keys // labels, keys % labels, summed))
+        out.append(_level(keys, summed, labels))
     return out
 
 
@@ -89,7 +103,7 @@ def _dense(levels: list[tuple]) -> Trie:
             break
         up = parent[keep] if place is None else place[parent[keep]]
         out.append((up, label[keep], weight[keep]))
-        place = np.cumsum(keep) - 1
+        place = np.cumsum(keep, dtype=np.int32) - 1
     return out
 
 
@@ -99,7 +113,7 @@ def walked(trie: Trie, transducer: Trie, labels: int) -> Trie:
     for k, (parent, label, _) in enumerate(trie):
         up = match[parent]
         if k < len(transducer):
-            keys = transducer[k][0] * labels + transducer[k][1]
+            keys = _keys(*transducer[k][:2], labels)
             at = np.minimum(np.searchsorted(keys, up * labels + label), len(keys) - 1)
             hit = (up >= 0) & (keys[at] == up * labels + label)
             match, weight = np.where(hit, at, -1), np.where(hit, transducer[k][2][at], 0)
@@ -115,16 +129,16 @@ def weights_of(trie: Trie, columns: list[np.ndarray], labels: int) -> np.ndarray
     for k, column in enumerate(columns):
         if k >= len(trie):
             return np.zeros(len(node), np.int64)
-        keys = trie[k][0] * labels + trie[k][1]
+        keys = _keys(*trie[k][:2], labels)
         want = node * labels + column
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         node = np.where((node >= 0) & (keys[at] == want), at, -1)
     return np.where(node >= 0, trie[len(columns) - 1][2][node], 0)
 
 
-def spelled(trie: Trie, depth: int) -> list[np.ndarray]:
-    """The labels of all paths of one length, a column for each place."""
-    node, columns = np.arange(len(trie[depth - 1][0])), []
+def spelled(trie: Trie, depth: int, paths: np.ndarray | None = None) -> list[np.ndarray]:
+    """The labels of all paths of one length, or of those numbered ``paths``, a column for each place."""
+    node, columns = np.arange(len(trie[depth - 1][0])) if paths is None else paths, []
     for parent, label, _ in reversed(trie[:depth]):
         columns.append(label[node])
         node = parent[node]
@@ -133,7 +147,7 @@ def spelled(trie: Trie, depth: int) -> list[np.ndarray]:
 
 def cuts(trie: Trie, symbols: list[str], bounds: list[tuple[str, ...]]) -> list[list[int]]:
     """For each level, how many of its paths stand before each of ``bounds`` (paths of full length)."""
-    children = [np.searchsorted(trie[k + 1][0], np.arange(len(trie[k][0]) + 1)) for k in range(len(trie) - 1)]
+    children = [np.searchsorted(trie[k + 1][0], np.arange(len(trie[k][0]) + 1, dtype=np.int32)) for k in range(len(trie) - 1)]
     out: list[list[int]] = [[] for _ in trie]
     for bound in bounds:
         low, high, exact = 0, len(trie[0][0]) if trie else 0, True
@@ -184,25 +198,33 @@ def _registered(level: Level, target: np.ndarray, nodes: int) -> tuple[tuple, np
     equal ones, and the arcs themselves decide.
     """
     parent, label, weight = level
-    starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
-    lengths = np.diff(np.append(starts, len(parent)))
-    place = np.arange(len(parent)) - np.repeat(starts, lengths)
-    hashed = _mixed(label.astype(np.uint64) * _MIX[0] ^ _mixed(weight.astype(np.uint64) ^ _mixed(target.astype(np.uint64) + _MIX[0])))
-    hashed = _mixed(hashed + place.astype(np.uint64) * _MIX[2])
+    starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])).astype(np.int32)
+    lengths = np.diff(np.append(starts, np.int32(len(parent))))
+    place = np.arange(len(parent), dtype=np.int32) - np.repeat(starts, lengths)
+    hashed = _mixed(target.astype(np.uint64) + _MIX[0])
+    hashed ^= weight.astype(np.uint64)
+    hashed = _mixed(hashed)
+    hashed ^= label.astype(np.uint64) * _MIX[0]
+    hashed = _mixed(hashed)
+    hashed += place.astype(np.uint64) * _MIX[2]
+    hashed = _mixed(hashed)
     signs = np.add.reduceat(hashed, starts) + lengths.astype(np.uint64)
+    del hashed
     _, first, sort = np.unique(signs, return_index=True, return_inverse=True)
-    like = starts[first[sort]]
-    at = np.minimum(np.repeat(like, lengths) + place, len(parent) - 1)
-    same = (label[at] == label) & (weight[at] == weight) & (target[at] == target)
-    same = np.logical_and.reduceat(same, starts) & (lengths == lengths[first[sort]])
+    del signs
+    alike = first[sort]
+    same = lengths == lengths[alike]
+    at = np.minimum(np.repeat(starts[alike], lengths) + place, len(parent) - 1)
+    for x in label, weight, target:
+        same &= np.logical_and.reduceat(x[at] == x, starts)
+    del at, place
     same[first] = True
-    keep = np.zeros(len(starts), bool)
+    keep = ~same
     keep[first] = True
-    keep |= ~same
     number = np.cumsum(keep)
-    state = np.where(same, number[first[sort]], number)
+    state = np.where(same, number[alike], number)
     arcs = np.repeat(keep, lengths)
-    bounds = np.concatenate([[0, 0], np.cumsum(lengths[keep])])
+    bounds = np.concatenate([[0, 0], np.cumsum(lengths[keep], dtype=np.int64)])
     of_node = np.zeros(nodes, np.int64)
     of_node[parent[starts]] = state
     return (bounds, label[arcs], weight[arcs], target[arcs]), of_node
@@ -220,7 +242,7 @@ class Transducer:
         flags = np.zeros(len(symbols), bool)
         for _, x, _ in trie:
             flags[x] = True
-        used, place = np.flatnonzero(flags), np.cumsum(flags) - 1
+        used, place = np.flatnonzero(flags), np.cumsum(flags, dtype=np.int32) - 1
         states, target = [], None
         for k in reversed(range(len(trie))):
             parent, label, weight = trie[k]
@@ -238,7 +260,8 @@ class Transducer:
             lengths = bounds[node + 1] - bounds[node]
             ends = np.cumsum(lengths)
             arc = np.repeat(bounds[node] - ends + lengths, lengths) + np.arange(ends[-1])
-            out.append((np.repeat(np.arange(len(node)), lengths), label[arc].astype(np.int64), weight[arc].astype(np.int64)))
+            above = np.repeat(np.arange(len(node), dtype=np.int32), lengths)
+            out.append((above, label[arc].astype(np.int32), weight[arc].astype(np.int64)))
             node = target[arc]
         return out
 
@@ -272,7 +295,7 @@ def shared_labels(automata: list[Transducer]) -> tuple[pa.Array, list[Trie]]:
     tables = [a.symbols for a in automata] or [pa.array([], pa.large_string())]
     coded = pa.concat_arrays(tables).dictionary_encode()
     order = pc.sort_indices(coded.dictionary)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order.to_numpy()] = np.arange(len(order))
     place, tries, at = rank[coded.indices.to_numpy()], [], 0
     for a in automata:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from changeflow.llm import automaton as fsa
 from changeflow.llm.automaton import Transducer
-from changeflow.llm.common import saved, table
+from changeflow.llm.common import LARGE_ROWS, saved, table
 from changeflow.llm.pieces import distinct, runs
 
 WORDS = 3
@@ -90,20 +90,22 @@ class _Shard:
 
     def close(self) -> tuple:
         """``(transducer, number of n-grams, some of them)``; the shard is empty again."""
-        symbols = pa.array(list(self.known), pa.large_string())
+        symbols, held = pa.array(list(self.known), pa.large_string()), self.held
+        self.__init__()
         order = pc.sort_indices(symbols).to_numpy().astype(np.int64)
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        columns = [rank[np.concatenate(c)] for c in zip(*(h[0] for h in self.held), strict=True)]
-        depth = np.concatenate([h[1] for h in self.held])
+        columns = [rank[np.concatenate(c)] for c in zip(*(h[0] for h in held), strict=True)]
+        depth = np.concatenate([h[1] for h in held])
         symbols = symbols.take(pa.array(order))
+        held.clear()
         trie = fsa.from_paths(columns, depth, np.ones(len(depth), np.int64), len(order), every=True)
+        del columns, depth
         keys = []
         if len(trie) > WORDS:
             spread = np.unique(np.linspace(0, len(trie[WORDS][0]) - 1, KEYS).astype(np.int64))
-            full = [c[spread] for c in fsa.spelled(trie, WORDS + 1)]
+            full = fsa.spelled(trie, WORDS + 1, spread)
             keys = [[symbols[int(x)].as_py() for x in path] for path in zip(*full, strict=True)]
-        self.__init__()
         return Transducer.of(trie, symbols).to_bytes(), sum(len(x) for _, x, _ in trie), keys
 
 
@@ -133,27 +135,29 @@ def _bounds(shards: DataFrame, per_range: int) -> list[tuple[str, ...]]:
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)})
 
 
-def _cut(whole: Transducer, coarse: int, bounds: list[tuple[str, ...]], fan: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the transducer of range ``coarse``, one for each of the ``fan`` finer ranges in it.
+def _cut(
+    trie: fsa.Trie, symbols: pa.Array, coarse: int, bounds: list[tuple[str, ...]], fan: int, width: int
+) -> Iterator[pa.RecordBatch]:
+    """Transducers of slices of range ``coarse``, one for each of the ``fan`` finer ranges in it.
 
     A finer range is ``width`` of the ranges between ``bounds``.
     """
     first = coarse * fan
     inner = [bounds[k * width - 1] for k in range(first + 1, first + fan) if k * width <= len(bounds)]
-    trie = whole.trie()
-    ends = fsa.cuts(trie, whole.symbols.to_pylist(), inner)
+    ends = fsa.cuts(trie, symbols.to_pylist(), inner)
     ends = [[0, *e, len(level[0])] for e, level in zip(ends, trie, strict=True)]
     for r in range(len(inner) + 1):
         part = fsa.sliced(trie, [e[r] for e in ends], [e[r + 1] for e in ends])
         if part:
-            yield _row(first + r, Transducer.of(part, whole.symbols))
+            yield _row(first + r, Transducer.of(part, symbols))
 
 
 def _cut_shards(bounds: list[tuple[str, ...]], fan: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                yield from _cut(Transducer.from_bytes(data.as_py()), 0, bounds, fan, width)
+                symbols, (trie,) = fsa.shared_labels([Transducer.from_bytes(data.as_py())])
+                yield from _cut(trie, symbols, 0, bounds, fan, width)
 
     return run
 
@@ -172,8 +176,9 @@ def _union(least: int, bounds: list[tuple[str, ...]], fan: int, width: int):
     def run(group: pa.Table) -> pa.Table:
         symbols, tries = fsa.shared_labels([Transducer.from_bytes(x.as_py()) for x in group.column("counts")])
         whole, at = fsa.merged(tries, len(symbols)), group.column("range")[0].as_py()
+        del tries
         if width:
-            return pa.Table.from_batches(_cut(Transducer.of(whole, symbols), at, bounds, fan, width))
+            return pa.Table.from_batches(_cut(whole, symbols, at, bounds, fan, width))
         return pa.Table.from_batches([_row(at, Transducer.of(fsa.pruned(whole, least), symbols))])
 
     return run
@@ -283,9 +288,9 @@ def collocations(
     texts = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    shards = saved(texts.mapInArrow(_shards, "counts binary, n_grams long, keys array<array<string>>"), "shards")
+    shards = saved(texts.mapInArrow(_shards, "counts binary, n_grams long, keys array<array<string>>"), "shards", options=LARGE_ROWS)
     bounds = _bounds(shards, per_range)
-    ranges = saved(_united(shards, bounds, least), "ranges")
+    ranges = saved(_united(shards, bounds, least), "ranges", options=LARGE_ROWS)
     found = saved(ranges.select("counts").mapInArrow(_candidates, CANDIDATE), "candidates")
     # Every cut of a candidate, and the whole of its language, ask for their places; a part is asked for once.
     cut = "inline(transform(sequence(1, size(words) - 1), k -> struct(k, array_join(slice(words, 1, k), ' ') AS head, array_join(slice(words, k + 1, size(words)), ' ') AS tail)))"

@@ -29,13 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+#: For rows of megabytes that are compressed already: Parquet first looks at the size of a page and of a row
+#: group after 100 rows, and holds all of these on the heap and once more in the codec's direct buffers.
+LARGE_ROWS = {
+    "compression": "uncompressed",
+    "parquet.block.size": 16 << 20,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.page.size.row.check.min": 1,
+}
+
+
+def saved(df: DataFrame, name: str, partition_by: str | None = None, options: dict | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, with Parquet's ``options``, and read back.
 
     This cuts the lineage: what comes after survives lost executors without recomputing it.
     """
     path = run_dir(df.sparkSession, name)
-    writer = df.write
+    writer = df.write.options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

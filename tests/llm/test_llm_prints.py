@@ -6,11 +6,13 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -181,6 +183,54 @@ def test_long_texts_and_large_counts(spark):
     assert big.first()[0] == 10**6
 
 
+def held_most(run):
+    """What ``run`` returns, and the most bytes that its arrays and objects took at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_shards_and_unions():
+    """A shard is closed, and slices are united and cut again, in few bytes an n-gram."""
+
+    def shard(seed):
+        out = collocations._Shard()
+        text = " ".join(f"w{w}" for w in np.random.default_rng(seed).integers(0, 3000, 60_000))
+        assert not list(out.add(*collocations._steps(["en"], pa.array([text], pa.large_string()))))
+        return out
+
+    made = [held_most(shard(i).close) for i in range(6)]
+    assert all(most < 80 * n for (_, n, _), most in made)
+    blobs, sizes, keys = zip(*(x for x, _ in made), strict=True)
+    bounds = sorted(map(tuple, keys[0]))[8::16]
+    group = pa.table({"range": pa.array([0] * 6, pa.int64()), "counts": pa.array(blobs, pa.binary())})
+    united, most = held_most(lambda: collocations._union(10, bounds, 4, 1)(group))
+    assert united.num_rows == 4 and most < 80 * sum(sizes)
+
+
+def test_large_rows_are_stored_apart(spark, monkeypatch):
+    """Rows of megabytes don't wait for a hundred of them before a row group ends, and aren't compressed twice."""
+    metas = []
+
+    def saved(df, name, **options):
+        out = common.saved(df, name, **options)
+        if name in ("shards", "ranges", "rows"):
+            metas.extend(pq.ParquetFile(f.removeprefix("file:")).metadata for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(collocations, "saved", saved)
+    assert collocations.collocations(spark.createDataFrame([("en", words(1, 1000))], "lang string, text string")).count()
+    stored = [m.row_group(i).column(0).compression for m in metas for i in range(m.num_row_groups)]
+    assert stored and set(stored) == {"UNCOMPRESSED"}
+    metas.clear()
+    large = spark.range(0, 48, 1, 1).selectExpr("unhex(repeat(sha2(string(id), 512), 16384)) AS counts")
+    saved(large, "rows", options=common.LARGE_ROWS)
+    (meta,) = metas
+    assert meta.num_rows == 48 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 20 << 20
+
+
 def brute_trie(paths):
     return {p: n for p, n in paths.items() if n}
 
